@@ -279,3 +279,36 @@ def sequential_index_report(df: DataFrame, columns: Sequence[str], order_by: Seq
     rows.sort(key=lambda r: order[r[0]])
     return df.sparkSession.createDataFrame(
         rows, "column string, first_value double, is_monotonic boolean, is_index boolean")
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str = "rank",
+                size_name: str | None = None, n_buckets: int | None = None) -> DataFrame:
+    """1-based dense position of every row inside its ``keys`` group along
+    ``order_by`` (``row_number() over (partition by keys order by ...)``),
+    and optionally the group size.
+
+    Skew-safe: the buckets range over (keys, order, rest), so one group
+    holding a third of the rows is numbered by many tasks; the offset of a
+    bucket inside its group is a prefix sum on a table with one row per
+    (bucket, key).
+    """
+    keys = list(keys)
+    tcols = order_tuple_columns(df, order_by, keys)
+    n = df.count()
+    bucket, nb = range_buckets(df, tcols, n, n_buckets)
+    b = df.withColumn("__b", bucket)
+    key = _tuple(tcols)
+    local = b.withColumn("__p", F.row_number().over(Window.partitionBy("__b", *keys).orderBy(key)))
+    sizes = b.groupBy("__b", *keys).agg(F.count(F.lit(1)).alias("__c"))
+    wk = Window.partitionBy(*keys).orderBy("__b")
+    offs = sizes.select("__b", *keys,
+                        F.coalesce(F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                   F.lit(0)).alias("__off"),
+                        F.sum("__c").over(Window.partitionBy(*keys)).alias("__size"))
+    offs = offs.persist()
+    rows = offs.count()
+    joined = _join_carry(local, offs, ["__b", *keys], rows)
+    extra = [(F.col("__off") + F.col("__p")).cast("bigint").alias(name)]
+    if size_name:
+        extra.append(F.col("__size").cast("bigint").alias(size_name))
+    return joined.select(*df.columns, *extra)
