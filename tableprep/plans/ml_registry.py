@@ -1 +1,230 @@
-"""Registered model queries (features, fits, metrics, attribution)."""
+"""Registered model queries: feature preparation (L1-L8), fits (M1-M3),
+metrics (M8, M9), CV / search (M4, M5), scoring (M6) and explanations
+(M10-M12, O3, O4).  Fits that SQL cannot express are rows-only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..ml import evaluate, explain, features, models
+from ..operators import sampling
+from .registry import R, lineitem_masked, register, rnd, table
+
+_ = lineitem_masked
+
+
+# ---------------------------------------------------------------- detection
+
+@register("detect_categoricals", """SELECT 'doc_id' AS "column",
+  count(doc_id) > 0 AND bool_and(doc_id IN (0, 1)) AS is_categorical FROM labels
+UNION ALL SELECT 'quality', count(quality) > 0 AND bool_and(quality IN (0, 1)) FROM labels
+UNION ALL SELECT 'toxic', count(toxic) > 0 AND bool_and(toxic IN (0, 1)) FROM labels""")
+def q_detect_categoricals(spark, d):
+    return features.categorical_report(table(spark, d, "labels"))
+
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+           "l_discount", "l_tax"]
+
+
+@register("recommend_categoricals", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count({c}) > 0 AND count(DISTINCT {c}) BETWEEN 2 AND 50
+  AND count(DISTINCT {c}) <= 0.3 * count({c}) AS recommended FROM lineitem""" for c in _LI_NUM))
+def q_recommend_categoricals(spark, d):
+    rep = features.recommend_categoricals(table(spark, d, "lineitem"))
+    return rep.select("column", "recommended")
+
+
+# ---------------------------------------------------------------- encoders / scaler
+
+@register("label_encode", """SELECT o_orderkey,
+  CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM orders""")
+def q_label_encode(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return features.fit_label_encoder(o, ["o_orderpriority"]).transform(o)
+
+
+@register("one_hot", """SELECT o_orderkey,
+  CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS o_orderstatus_O,
+  CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END::DOUBLE AS o_orderstatus_P FROM orders""")
+def q_one_hot(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return features.fit_one_hot(o, ["o_orderstatus"]).transform(o)
+
+
+@register("standardize", f"""SELECT l_orderkey, l_linenumber,
+  round((l_quantity - avg(l_quantity) OVER ()) / coalesce(nullif(stddev_pop(l_quantity) OVER (), 0), 1), {R}) AS l_quantity,
+  round((l_extendedprice - avg(l_extendedprice) OVER ())
+        / coalesce(nullif(stddev_pop(l_extendedprice) OVER (), 0), 1), {R}) AS l_extendedprice FROM lineitem""")
+def q_standardize(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    scaler = features.fit_scaler(li, ["l_quantity", "l_extendedprice"])
+    out = scaler.transform(li)
+    return out.select("l_orderkey", "l_linenumber", rnd("l_quantity"), rnd("l_extendedprice"))
+
+
+# p_type categories of the test data (first one is dropped).
+_P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+def _linear_features_sql():
+    cols = ["p_size", "p_retailprice"] + [f"p_type_{t}" for t in _P_TYPES[1:]]
+    dummies = ", ".join(f"CASE WHEN p_type = '{t}' THEN 1.0 ELSE 0.0 END::DOUBLE AS p_type_{t}"
+                        for t in _P_TYPES[1:])
+    z = ", ".join(f"round((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), {R})"
+                  f" AS {c}" for c in cols)
+    return f"SELECT p_partkey, {z} FROM (SELECT p_partkey, p_size, p_retailprice, {dummies} FROM part) t"
+
+
+@register("linear_features", _linear_features_sql())
+def q_linear_features(spark, d):
+    p = table(spark, d, "part")
+    lf = features.fit_linear_features(p, ["p_size", "p_retailprice", "p_type"])
+    out = lf.transform(p, keep=["p_partkey"])
+    return out.select("p_partkey", *[rnd(c) for c in out.columns[1:]])
+
+
+# ---------------------------------------------------------------- linear models
+
+@register("ols_univariate", f"""SELECT round(regr_intercept(l_extendedprice, l_quantity), {R}) AS intercept,
+  round(regr_slope(l_extendedprice, l_quantity), {R}) AS slope,
+  round(regr_r2(l_extendedprice, l_quantity), {R}) AS r2 FROM lineitem""")
+def q_ols_univariate(spark, d):
+    li = table(spark, d, "lineitem")
+    m = models.fit_ols(li, ["l_quantity"], "l_extendedprice")
+    row = [(float(m.intercept), float(m.coefficients[0]), float(m.summary.r2))]
+    out = spark.createDataFrame(row, "intercept double, slope double, r2 double")
+    return out.select(rnd("intercept"), rnd("slope"), rnd("r2"))
+
+
+@register("ols_multi", f"""WITH s AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2,
+  var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2, covar_pop(l_quantity, l_discount) AS c12,
+  covar_pop(l_quantity, l_extendedprice) AS c1y, covar_pop(l_discount, l_extendedprice) AS c2y FROM lineitem),
+b AS (SELECT *, (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12) AS b1,
+  (c2y * v1 - c1y * c12) / (v1 * v2 - c12 * c12) AS b2 FROM s)
+SELECT round(my - b1 * m1 - b2 * m2, 4) AS intercept, round(b1, 4) AS b_quantity,
+  round(b2, 4) AS b_discount FROM b""")
+def q_ols_multi(spark, d):
+    li = table(spark, d, "lineitem")
+    m = models.fit_ols(li, ["l_quantity", "l_discount"], "l_extendedprice")
+    row = [(float(m.intercept), float(m.coefficients[0]), float(m.coefficients[1]))]
+    out = spark.createDataFrame(row, "intercept double, b_quantity double, b_discount double")
+    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
+
+
+@register("r2_score", f"""SELECT round(1 - sum((l_extendedprice - l_quantity * 2000) ^ 2)
+  / (var_pop(l_extendedprice) * count(l_extendedprice)), {R}) AS r2 FROM lineitem""")
+def q_r2_score(spark, d):
+    li = table(spark, d, "lineitem").withColumn("pred", F.col("l_quantity") * 2000)
+    return evaluate.r2_score(li, "l_extendedprice", "pred").select(rnd("r2"))
+
+
+@register("accuracy_score", f"""SELECT round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), {R}) AS accuracy
+  FROM labels""")
+def q_accuracy_score(spark, d):
+    lb = table(spark, d, "labels").withColumn("pred", 1 - F.col("toxic"))
+    return evaluate.accuracy_score(lb, "quality", "pred").select(rnd("accuracy"))
+
+
+@register("linear_attribution", """SELECT l_orderkey, l_linenumber,
+  round(regr_slope(l_extendedprice, l_quantity) OVER () * (l_quantity - avg(l_quantity) OVER ()), 2) AS l_quantity_contrib,
+  round(regr_intercept(l_extendedprice, l_quantity) OVER ()
+        + regr_slope(l_extendedprice, l_quantity) OVER () * avg(l_quantity) OVER (), 2) AS base_value FROM lineitem""")
+def q_linear_attribution(spark, d):
+    li = table(spark, d, "lineitem")
+    m = models.fit_ols(li, ["l_quantity"], "l_extendedprice")
+    mean = li.agg(F.avg("l_quantity")).collect()[0][0]
+    out = explain.linear_attribution(li, {"l_quantity": float(m.coefficients[0])}, float(m.intercept),
+                                     {"l_quantity": float(mean)}, keep=["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", F.round("l_quantity_contrib", 2).alias("l_quantity_contrib"),
+                      F.round("base_value", 2).alias("base_value"))
+
+
+# ---------------------------------------------------------------- rows-only fits
+
+def _docs_labelled(spark, d):
+    """labels joined to documents: features n_chars, lang, source; targets quality, toxic."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source")
+    return table(spark, d, "labels").join(docs, "doc_id")
+
+
+@register("logistic_fit")
+def q_logistic_fit(spark, d):
+    data = _docs_labelled(spark, d)
+    lf = features.fit_linear_features(data, ["n_chars", "lang", "source"])
+    x = lf.transform(data, keep=["doc_id", "quality"])
+    m = models.fit_logistic(x, lf.train_columns, "quality", C=1.0)
+    return models.coefficient_table(m, lf.train_columns)
+
+
+_GBT_SMALL = {"n_estimators": 20, "max_depth": 5}
+_LI_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"]
+
+
+@register("gbt_regression")
+def q_gbt_regression(spark, d):
+    li = table(spark, d, "lineitem")
+    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", _GBT_SMALL,
+                                  categoricals=["l_returnflag"])
+    return models.predict(model, li, _LI_FEATS, "l_extendedprice", keep=["l_orderkey", "l_linenumber"],
+                          tree_state=state)
+
+
+@register("gbt_classification")
+def q_gbt_classification(spark, d):
+    data = _docs_labelled(spark, d)
+    feats = ["n_chars", "lang", "source"]
+    model, state = models.fit_gbt(data, feats, "quality", "classification", _GBT_SMALL)
+    return models.predict(model, data, feats, "quality", keep=["doc_id", "quality"], tree_state=state)
+
+
+@register("cv_scores")
+def q_cv_scores(spark, d):
+    li = table(spark, d, "lineitem")
+    return evaluate.cv_scores(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
+                              ["l_orderkey", "l_linenumber"], k=5)
+
+
+@register("random_search")
+def q_random_search(spark, d):
+    data = _docs_labelled(spark, d)
+    state = models.fit_tree_features(data, ["n_chars", "lang", "source"])
+    x = state.transform(data, keep=["doc_id", "quality"])
+    return evaluate.random_search(x, state.columns(), "quality", ["doc_id"], task="classification",
+                                  n_trials=4, k=3, overrides={"n_estimators": 10, "max_depth": 4})
+
+
+@register("score_table")
+def q_score_table(spark, d):
+    li = table(spark, d, "lineitem")
+    train, hold = sampling.hash_split(li, ["l_orderkey", "l_linenumber"], 80)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    m = models.fit_ols(train, feats, "l_extendedprice")
+    return models.predict(m, hold, feats, "l_extendedprice")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    li = table(spark, d, "lineitem")
+    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", _GBT_SMALL,
+                                  categoricals=["l_returnflag"])
+    return explain.feature_importance(model, state.columns(), top=20)
+
+
+@register("coefficient_extremes")
+def q_coefficient_extremes(spark, d):
+    p = table(spark, d, "part")
+    lf = features.fit_linear_features(p, ["p_size", "p_type", "p_brand"])
+    x = lf.transform(p, keep=["p_retailprice"])
+    m = models.fit_ols(x, lf.train_columns, "p_retailprice")
+    return explain.coefficient_extremes(models.coefficient_table(m, lf.train_columns), k=10)
+
+
+@register("tree_attribution")
+def q_tree_attribution(spark, d):
+    li = table(spark, d, "lineitem")
+    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression",
+                                  {"n_estimators": 10, "max_depth": 4}, categoricals=["l_returnflag"])
+    x = state.transform(li, keep=["l_orderkey", "l_linenumber"])
+    return explain.tree_attribution(x, model, state.columns(), keep=["l_orderkey", "l_linenumber"])
