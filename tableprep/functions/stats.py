@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from ..session import default_parallelism
 
-# Groups whose row count is below this are sorted whole in the last pass;
-# above it the approximate bracket bounds the candidates to ~4n/accuracy.
-SMALL_GROUP_FACTOR = 50
 # Largest group table that is broadcast to the rows.
 BROADCAST_GROUP_LIMIT = 200_000
 
@@ -40,132 +37,163 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: i
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = 10_000,
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """Exact quantiles of ``value_col`` per group, linear interpolation.
+                    names: Sequence[str] | None = None, max_candidates: int = 100_000,
+                    grid: int = 1000, max_rounds: int = 8) -> DataFrame:
+    """Exact quantiles of ``value_col`` per group, linear interpolation
+    between closest ranks (pandas ``quantile`` / SQL ``quantile_cont``).
 
     NULL and NaN values are ignored; a group with no value gives NULL.
     Returns one row per group: ``group_cols`` then one double column per
     probability (``names`` or ``q0, q1, ...``).
+
+    Rounds over a small state table with one row per (group, target):
+    a ``percentile_approx`` grid (``grid`` steps, rank error n/accuracy)
+    brackets each target rank with a two-step margin, exact counts at the
+    bracket ends verify it, and a bracket still holding more than
+    ``max_candidates`` values is narrowed again on its own values.  The last
+    pass sorts only the values strictly inside each bracket.  A group with
+    at most ``max_candidates`` values is sorted whole.
     """
     probs = [float(p) for p in probs]
     if any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
-    g = list(group_cols)
+    spark = df.sparkSession
+    user_g = list(group_cols)
+    g = user_g or ["__one"]
     k = len(probs)
-    eps = 1.0 / accuracy
-    small_n = SMALL_GROUP_FACTOR * accuracy
+    gp = [j / grid for j in range(grid + 1)]
+    inf = float("inf")
 
     v = F.col(value_col).cast("double")
+    src = df if user_g else df.withColumn("__one", F.lit(0))
     # NaN is folded into NULL so that both are skipped by every pass.
-    base_all = df.select(*g, F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("__v"))
+    base_all = src.select(*g, F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("__v"))
     base = base_all.where(F.col("__v").isNotNull())
 
-    lo_p = [max(0.0, p - 2 * eps) for p in probs]
-    hi_p = [min(1.0, p + 2 * eps) for p in probs]
-    # Pass 1: group sizes and approximate brackets around every target rank.
-    stats = base_all.groupBy(*g).agg(
-        F.count("__v").alias("__n"),
-        F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__b"))
-    small = F.col("__n") < F.lit(small_n)
-    brackets = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[i]).alias("lo"),
-            F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[k + i]).alias("hi"),
-        )
-        for i in range(k)
-    ]
-    pos = [(F.col("__n") - 1) * F.lit(p) for p in probs]
-    stats = stats.select(*g, "__n", F.array(*brackets).alias("__br"),
-                         F.array(*pos).alias("__pos"))
-
-    if g:
-        stats = stats.persist()
-        n_groups = stats.count()
-        joined = _join_small(base, stats, g, n_groups)
+    # Round 0: group sizes and a quantile grid over every whole group.
+    stats = base_all.groupBy(*g).agg(F.count("__v").alias("__n"),
+                                     F.percentile_approx("__v", gp, accuracy).alias("__grid"))
+    targets = []
+    for i, p in enumerate(probs):
+        pos = (F.col("__n") - 1) * F.lit(p)
+        targets.append(F.struct(F.lit(i).alias("i"), F.floor(pos).cast("bigint").alias("j0"),
+                                F.least(F.floor(pos).cast("bigint") + 1, F.col("__n") - 1).alias("j1"),
+                                (pos - F.floor(pos)).alias("frac")))
+    state = (stats.where(F.col("__n") > 0)
+             .select(*g, "__n", "__grid", F.explode(F.array(*targets)).alias("t"))
+             .select(*g, "__n", "__grid", "t.*"))
+    small = F.col("__n") <= F.lit(max_candidates)
+    state = state.select(*g, "__n", "i", "j0", "j1", "frac",
+                         *_bracket(F.lit(0), F.col("__n"), F.lit(-inf), F.lit(inf), small, grid))
+    stats = stats.persist()
+    n_groups = stats.count()
+    state = state.persist()
+    n_big = state.where(F.col("__n") > max_candidates).count()
+
+    def with_state(rows: DataFrame, st: DataFrame, fields) -> DataFrame:
+        arr = st.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("i", *fields))).alias("__br"))
+        return _join_small(rows, arr, g, n_groups)
+
+    # Every group fits: the brackets are (-inf, inf), so the rank counts are
+    # known without a scan and the loop is skipped.
+    rounds = range(max_rounds) if n_big else []
+    if not n_big:
+        state = state.select(*g, "__n", "i", "j0", "j1", "frac", "lo", "hi",
+                             F.lit(0).cast("bigint").alias("lt_lo"), F.lit(0).cast("bigint").alias("le_lo"),
+                             F.col("__n").alias("lt_hi"), F.col("__n").alias("le_hi"),
+                             F.lit(True).alias("need"), F.col("__n").alias("mid"))
+    for _ in rounds:
+        # Exact counts at the bracket ends (one scan, one row per group).
+        joined = with_state(base, state, ["lo", "hi"])
+        aggs = []
+        for i in range(k):
+            b = F.col("__br")[i]
+            aggs += [F.count_if(F.col("__v") < b["lo"]).alias(f"a{i}"),
+                     F.count_if(F.col("__v") <= b["lo"]).alias(f"b{i}"),
+                     F.count_if(F.col("__v") < b["hi"]).alias(f"c{i}"),
+                     F.count_if(F.col("__v") <= b["hi"]).alias(f"d{i}")]
+        counts = joined.groupBy(*g).agg(*aggs)
+        counts = counts.select(*g, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.col(f"a{i}").alias("lt_lo"), F.col(f"b{i}").alias("le_lo"),
+                     F.col(f"c{i}").alias("lt_hi"), F.col(f"d{i}").alias("le_hi")) for i in range(k)])
+        ).alias("c")).select(*g, "c.*")
+        nxt = state.select(*g, "__n", "i", "j0", "j1", "frac", "lo", "hi").join(counts, [*g, "i"])
+        mid = F.col("lt_hi") - F.col("le_lo")
+        in_mid = lambda j: (j >= F.col("le_lo")) & (j < F.col("lt_hi"))
+        nxt = nxt.withColumn("need", in_mid(F.col("j0")) | in_mid(F.col("j1"))).withColumn("mid", mid)
+        nxt = nxt.persist()
+        nxt.count()
+        state.unpersist()
+        state = nxt
+        big = state.where(F.col("need") & (F.col("mid") > max_candidates))
+        if big.isEmpty():
+            break
+        # Narrow the big brackets with a grid over their own inside values.
+        inside = with_state(base, big, ["lo", "hi"]).select(
+            *g, "__v", F.explode(F.filter("__br", lambda b: (F.col("__v") > b["lo"]) & (F.col("__v") < b["hi"])))
+            .alias("b")).select(*g, F.col("b.i").alias("i"), "__v")
+        grids = inside.groupBy(*g, "i").agg(F.percentile_approx("__v", gp, accuracy).alias("__grid"))
+        upd = state.join(grids, [*g, "i"], "left")
+        refine = F.col("__grid").isNotNull()
+        new_lo, new_hi = _bracket(F.col("le_lo"), F.col("mid"), F.col("lo"), F.col("hi"), F.lit(False), grid)
+        upd = upd.select(*g, "__n", "i", "j0", "j1", "frac",
+                         F.when(refine, new_lo).otherwise(F.col("lo")).alias("lo"),
+                         F.when(refine, new_hi).otherwise(F.col("hi")).alias("hi")).persist()
+        upd.count()
+        state.unpersist()
+        state = upd
     else:
-        row = stats.collect()
-        if not row or row[0]["__n"] == 0:
-            # Empty input or only NULLs: one row of NULL quantiles.
-            return df.sparkSession.createDataFrame([tuple([None] * k)], ", ".join(f"`{n}` double" for n in names))
-        row = row[0]
-        lit_stats = [F.lit(row["__n"]).alias("__n"),
-                     F.array(*[F.struct(F.lit(b["i"]).alias("i"), F.lit(float(b["lo"])).alias("lo"),
-                                        F.lit(float(b["hi"])).alias("hi")) for b in row["__br"]]).alias("__br"),
-                     F.array(*[F.lit(float(p)) for p in row["__pos"]]).alias("__pos")]
-        joined = base.select("__v", *lit_stats)
-        stats = None
-
-    # Pass 2: exact rank counts at the bracket ends.
-    br = F.col("__br")
-    count_aggs = []
-    for i in range(k):
-        lo = br[i]["lo"]
-        hi = br[i]["hi"]
-        count_aggs += [
-            F.count_if(F.col("__v") < lo).alias(f"__lt_lo{i}"),
-            F.count_if(F.col("__v") <= lo).alias(f"__le_lo{i}"),
-            F.count_if(F.col("__v") < hi).alias(f"__lt_hi{i}"),
-            F.count_if(F.col("__v") <= hi).alias(f"__le_hi{i}"),
-        ]
-    counts = joined.groupBy(*g).agg(*count_aggs, F.first("__br").alias("__br"),
-                                    F.first("__pos").alias("__pos"), F.first("__n").alias("__n"))
-
-    # Pass 3: exact order of the values strictly inside each bracket.
-    inside = F.filter(br, lambda b: (F.col("__v") > b["lo"]) & (F.col("__v") < b["hi"]))
-    cand = (joined.select(*g, "__v", F.explode(inside).alias("__b"))
-            .select(*g, "__v", F.col("__b")["i"].alias("__i")))
-    w = Window.partitionBy(*g, "__i").orderBy("__v")
-    cand = cand.withColumn("__r", F.row_number().over(w) - 1)
-
-    # Target ranks j0 = floor(pos), j1 = min(j0 + 1, n - 1) for every prob.
-    long_rows = []
-    for i in range(k):
-        p = F.col("__pos")[i]
-        long_rows.append(F.struct(
-            F.lit(i).alias("__i"),
-            F.floor(p).cast("bigint").alias("j0"),
-            F.least(F.floor(p).cast("bigint") + 1, F.col("__n") - 1).alias("j1"),
-            (p - F.floor(p)).alias("frac"),
-            br[i]["lo"].alias("lo"), br[i]["hi"].alias("hi"),
-            F.col(f"__lt_lo{i}").alias("lt_lo"), F.col(f"__le_lo{i}").alias("le_lo"),
-            F.col(f"__lt_hi{i}").alias("lt_hi"), F.col(f"__le_hi{i}").alias("le_hi"),
-        ))
-    targets = counts.select(*g, F.explode(F.array(*long_rows)).alias("t")).select(*g, "t.*")
-
-    # Mid-rank lookups: the candidate rows at local ranks j - le_lo.
-    need = targets.select(*g, "__i", "j0", "j1", "le_lo")
-    picked = (cand.join(need, [*g, "__i"])
-              .where((F.col("__r") + F.col("le_lo") == F.col("j0"))
-                     | (F.col("__r") + F.col("le_lo") == F.col("j1")))
-              .groupBy(*g, "__i")
-              .agg(F.max(F.when(F.col("__r") + F.col("le_lo") == F.col("j0"), F.col("__v"))).alias("m0"),
-                   F.max(F.when(F.col("__r") + F.col("le_lo") == F.col("j1"), F.col("__v"))).alias("m1")))
-    res = targets.join(picked, [*g, "__i"], "left")
-
-    def value_at(j, mid):
+        if n_big:
+            raise RuntimeError("exact_quantiles: brackets did not narrow; raise accuracy or max_candidates")
+
+    # Last pass: exact order of the values strictly inside each needed bracket.
+    needed = state.where("need")
+    cand = (with_state(base, needed, ["lo", "hi"])
+            .select(*g, "__v", F.explode(F.filter("__br", lambda b: (F.col("__v") > b["lo"])
+                                                  & (F.col("__v") < b["hi"]))).alias("b"))
+            .select(*g, F.col("b.i").alias("i"), "__v"))
+    cand = cand.withColumn("__r", F.row_number().over(Window.partitionBy(*g, "i").orderBy("__v")) - 1)
+    pick = needed.select(*g, "i", "j0", "j1", "le_lo")
+    r = F.col("__r") + F.col("le_lo")
+    picked = (cand.join(pick, [*g, "i"]).where((r == F.col("j0")) | (r == F.col("j1")))
+              .groupBy(*g, "i").agg(F.max(F.when(r == F.col("j0"), F.col("__v"))).alias("m0"),
+                                    F.max(F.when(r == F.col("j1"), F.col("__v"))).alias("m1")))
+    res = state.join(picked, [*g, "i"], "left")
+
+    def value_at(j, m):
+        # The bracket puts every target rank in [lt_lo, le_hi); raise_error
+        # guards that guarantee instead of returning a wrong value.
         return (F.when((j >= F.col("lt_lo")) & (j < F.col("le_lo")), F.col("lo"))
-                .when((j >= F.col("le_lo")) & (j < F.col("lt_hi")), mid)
+                .when((j >= F.col("le_lo")) & (j < F.col("lt_hi")), m)
                 .when((j >= F.col("lt_hi")) & (j < F.col("le_hi")), F.col("hi"))
                 .otherwise(F.raise_error(F.lit("exact_quantiles: rank outside bracket")).cast("double")))
 
-    # The approximate bracket puts every target rank inside [lo, hi]; the
-    # raise_error guards the guarantee instead of returning a wrong value.
     v0 = value_at(F.col("j0"), F.col("m0"))
     v1 = value_at(F.col("j1"), F.col("m1"))
-    res = res.select(*g, "__i", (v0 + F.col("frac") * (v1 - v0)).alias("__q"))
-    out = res.groupBy(*g).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(names[i])
-                                for i in range(k)])
-    if g:
-        # Groups whose values are all NULL still appear, with NULL quantiles.
-        ren = out.select(*[F.col(c).alias(f"__g{j}") for j, c in enumerate(g)], *names)
-        keys = stats.select(*g)
-        cond = [keys[c].eqNullSafe(ren[f"__g{j}"]) for j, c in enumerate(g)]
-        out = keys.join(ren, cond, "left").select(*g, *names)
+    res = res.select(*g, "i", (v0 + F.col("frac") * (v1 - v0)).alias("__q"))
+    out = res.groupBy(*g).agg(*[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(names[i]) for i in range(k)])
+    # Groups with no value at all still appear, with NULL quantiles.
+    ren = out.select(*[F.col(c).alias(f"__g{j}") for j, c in enumerate(g)], *names)
+    keys = stats.select(*g)
+    cond = [keys[c].eqNullSafe(ren[f"__g{j}"]) for j, c in enumerate(g)]
+    out = keys.join(ren, cond, "left").select(*user_g, *names)
     return out
 
 
+def _bracket(offset, size, lo, hi, whole, grid: int):
+    """New (lo, hi) around target ranks j0..j1 of a set of ``size`` values
+    starting at rank ``offset`` from its ``__grid`` of approximate quantiles,
+    two grid steps wide on each side; ``whole`` keeps (lo, hi)."""
+    r0 = (F.col("j0") - offset).cast("double") / F.greatest(size, F.lit(1))
+    r1 = (F.col("j1") - offset + 1).cast("double") / F.greatest(size, F.lit(1))
+    i_lo = F.floor(r0 * grid).cast("int") - 2
+    i_hi = F.ceil(r1 * grid).cast("int") + 2
+    new_lo = F.when(whole | (i_lo < 0), lo).otherwise(F.element_at("__grid", i_lo + 1))
+    new_hi = F.when(whole | (i_hi > grid), hi).otherwise(F.element_at("__grid", i_hi + 1))
+    return new_lo.alias("lo"), new_hi.alias("hi")
+
+
 def exact_quantile_values(df: DataFrame, value_col: str, probs: Sequence[float],
                           accuracy: int = 10_000) -> list[float | None]:
     """Global exact quantiles as Python floats (a bounded, k-value result)."""
