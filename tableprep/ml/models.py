@@ -22,6 +22,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +55,17 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = FEATURES,
     return va.transform(df)
 
 
+def training_set(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error") -> DataFrame:
+    """Assembled (features, label) rows, persisted: iterative learners read
+    their input once per iteration.  Memory and disk, so it spills instead
+    of failing, and a lost executor's blocks are recomputed from lineage."""
+    data = assemble(df, features, handle_invalid=handle_invalid).select(FEATURES, label)
+    return data.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_ols(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error"):
-    """M1: ordinary least squares with intercept."""
+    """M1: ordinary least squares with intercept (one pass: the normal
+    solver aggregates X'X and X'y, so the input is not cached)."""
     data = assemble(df, features, handle_invalid=handle_invalid)
     lr = LinearRegression(featuresCol=FEATURES, labelCol=label, solver="normal", regParam=0.0,
                           elasticNetParam=0.0, fitIntercept=True, standardization=False)
@@ -65,12 +75,15 @@ def fit_ols(df: DataFrame, features: Sequence[str], label: str, handle_invalid:
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
                  max_iter: int = 100, handle_invalid: str = "error", n_rows: int | None = None):
     """M2: L2-regularised logistic regression (binary or multinomial)."""
-    data = assemble(df, features, handle_invalid=handle_invalid)
+    data = training_set(df, features, label, handle_invalid)
     n = n_rows if n_rows is not None else data.count()
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=label, regParam=1.0 / (C * max(n, 1)),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, family="auto",
                             tol=1e-8)
-    return lr.fit(data)
+    try:
+        return lr.fit(data)
+    finally:
+        data.unpersist()
 
 
 def gbt_params(params: Mapping | None = None) -> dict:
@@ -160,16 +173,22 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "reg
     """M3: returns (model, TreeFeatures).  ``task`` is 'regression' or
     'classification'; labels must be 0..k-1 for classification."""
     state = fit_tree_features(df, features, categoricals)
-    data = assemble(state.transform(df, keep=[label]), state.columns())
+    data = training_set(state.transform(df, keep=[label]), state.columns(), label)
     sp = gbt_params(params)
+    # with spark.checkpoint.dir set, the boosting state is checkpointed every
+    # 10 trees, so long fits keep a short lineage and survive lost executors
+    common = dict(featuresCol=FEATURES, labelCol=label, maxBins=state.max_bins(), checkpointInterval=10, **sp)
     if task == "regression":
-        est = GBTRegressor(featuresCol=FEATURES, labelCol=label, maxBins=state.max_bins(), **sp)
+        est = GBTRegressor(**common)
     else:
         if n_classes is None:
             n_classes = int(data.agg(F.max(label)).collect()[0][0]) + 1
-        clf = GBTClassifier(featuresCol=FEATURES, labelCol=label, maxBins=state.max_bins(), **sp)
+        clf = GBTClassifier(**common)
         est = clf if n_classes <= 2 else OneVsRest(classifier=clf, featuresCol=FEATURES, labelCol=label)
-    return est.fit(data), state
+    try:
+        return est.fit(data), state
+    finally:
+        data.unpersist()
 
 
 def predict(model: Model, df: DataFrame, features: Sequence[str], target: str | None,
