@@ -72,8 +72,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     base = base_all.where(F.col("__v").isNotNull())
 
     # Round 0: group sizes and a quantile grid over every whole group.
-    stats = base_all.groupBy(*g).agg(F.count("__v").alias("__n"),
-                                     F.percentile_approx("__v", gp, accuracy).alias("__grid"))
+    size_and_grid = [F.count("__v").alias("__n"), F.percentile_approx("__v", gp, accuracy).alias("__grid")]
+    if user_g:
+        stats = base_all.groupBy(*g).agg(*size_and_grid)
+    else:
+        # a global aggregate has one row even over an empty table
+        stats = base_all.agg(*size_and_grid).withColumn("__one", F.lit(0))
     targets = []
     for i, p in enumerate(probs):
         pos = (F.col("__n") - 1) * F.lit(p)
