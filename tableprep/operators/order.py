@@ -8,18 +8,19 @@ Every operator here instead works on *range buckets* of the ordering:
    tuple becomes a literal boundary (boundaries are fixed values in the
    plan, so a recomputed stage after a lost executor puts every row in the
    same bucket again);
-2. each row gets its bucket from a balanced ``CASE`` search over the
+2. each row gets its bucket from a binary search over one literal array of
    boundaries (log2 of the bucket count comparisons, all inside codegen);
 3. the per-row work is an ordinary window *partitioned by the bucket*;
 4. what crosses buckets (row counts, the last non-null value) is aggregated
    to one row per bucket, combined with a window over that small table and
    joined back.
 
-The order tuple always ends with every remaining orderable column, so ties
-in the user's ``order_by`` are broken by row content and the result does
-not depend on partitioning.  Only rows identical in every column can share
-a bucket they cannot be split out of (they are interchangeable, so the
-answer is still exact).
+Bucket keys are (partition keys, order columns, 64-bit hash of the whole
+row), so ties in the user's ``order_by`` -- a hot key holding a third of the
+rows -- are spread over many buckets; windows order by that key and then by
+the rest of the row, so the result does not depend on partitioning.  Only
+rows identical in every column cannot be split (they are interchangeable,
+so the answer is still exact).
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import types as T
 
 from ..session import default_parallelism
 
-# Bucket count bounds.  The search expression has one node per boundary.
-MAX_BUCKETS = 8192
+# Bucket count bounds.  Buckets are hashed to shuffle partitions, so there
+# are several per partition to even out the load.
+MAX_BUCKETS = 65536
+BUCKETS_PER_PARTITION = 4
 ROWS_PER_BUCKET = 2_000_000
 SAMPLES_PER_BUCKET = 32
 # Per-bucket / per-key carry tables up to this many rows are broadcast.
@@ -52,75 +55,123 @@ def _orderable(dt: T.DataType) -> bool:
     return True
 
 
-def order_tuple_columns(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = ()) -> list[str]:
-    """keys, then order columns, then every other orderable column (tiebreak)."""
+def lead_columns(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = ()) -> list[str]:
+    """keys, then the order columns (the row hash and the rest of the row
+    follow as tiebreak, see ``Buckets``)."""
     lead = list(keys) + [c for c in order_by if c not in keys]
     missing = [c for c in lead if c not in df.columns]
     if missing:
         raise ValueError(f"unknown column(s) {missing}")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    rest = [c for c in df.columns if c not in lead and _orderable(types[c])]
-    return lead + rest
+    return lead
 
 
 def _tuple(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(cols)])
 
 
-def _literal_tuple(values, types: Sequence[T.DataType]) -> Column:
-    return F.struct(*[F.lit(v).cast(t).alias(f"f{i}") if v is not None
-                      else F.lit(None).cast(t).alias(f"f{i}")
-                      for i, (v, t) in enumerate(zip(values, types))])
-
-
-def _search(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi] = number of bounds[lo:hi] that are <= key."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < bounds[mid], _search(key, bounds, lo, mid)).otherwise(
-        _search(key, bounds, mid + 1, hi))
+def _row_hash(df: DataFrame) -> Column:
+    """Deterministic 64-bit hash of the whole row (the tiebreak inside the
+    bucket key: equal hashes mean equal rows, barring collisions, which the
+    window order then settles by the full row)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols = [F.col(f"`{c}`") for c in df.columns if _orderable(types[c])]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
 
 
-def range_buckets(df: DataFrame, tuple_cols: Sequence[str], n_rows: int | None = None,
-                  n_buckets: int | None = None) -> tuple[Column, int]:
-    """A bucket-number column for the ordering ``tuple_cols`` and the bucket count.
+class Buckets:
+    """Range buckets of an ordering.
 
-    Bucket ``b`` holds the tuples between boundary ``b-1`` (inclusive) and
-    boundary ``b`` (exclusive); buckets are numbered in order.
+    ``apply(df)`` adds ``__b`` (bucket number, in order) and ``__h`` (row
+    hash) and range-partitions the rows on ``__b``, so every later window or
+    aggregate keyed by ``__b`` finds its rows co-located and balanced.
+    ``key`` is the full window order: lead columns, row hash, rest of row.
     """
+
+    def __init__(self, lead: list[str], rest: list[str], bounds_df: DataFrame | None, m: int, partitions: int):
+        self.lead, self.rest, self.bounds_df, self.m, self.partitions = lead, rest, bounds_df, m, partitions
+        self.count = m + 1
+
+    @property
+    def key(self) -> Column:
+        return F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(self.lead)], F.col("__rowhash").alias("h"),
+                        *[F.col(c).alias(f"r{i}") for i, c in enumerate(self.rest)])
+
+    def bucket_key(self) -> Column:
+        return F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(self.lead)], F.col("__rowhash").alias("h"))
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("__rowhash", _row_hash(df))
+        if self.bounds_df is None:
+            return out.withColumn("__b", F.lit(0))
+        out = _search(out, self.bucket_key(), self.bounds_df.select("b").scalar(), self.m, "__b")
+        return out.repartitionByRange(min(self.partitions, self.count), "__b")
+
+
+def _search(df: DataFrame, key: Column, bounds: Column, m: int, out: str) -> DataFrame:
+    """Add ``out`` = number of the ``m`` sorted boundaries that are <= key.
+
+    Binary search by binary lifting, written as one higher-order
+    ``aggregate`` over the step sizes (m/2, ..., 2, 1): log2(m) comparisons
+    per row against ``try_element_at`` of the boundary array, which arrives
+    as a scalar subquery over a one-row local table (evaluated once per
+    query, no join).  The expression has constant size for any bucket count."""
+    steps = []
+    step = 1
+    while step * 2 <= m:
+        step *= 2
+    while step >= 1:
+        steps.append(step)
+        step //= 2
+
+    def lift(acc, st):
+        cand = acc + st
+        return F.when((cand <= F.lit(m)) & (F.try_element_at(F.col("__bounds"), cand) <= F.col("__key")),
+                      cand).otherwise(acc)
+
+    cur = df.withColumn("__key", key).withColumn("__bounds", bounds)
+    cur = cur.withColumn(out, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lift))
+    return cur.drop("__key", "__bounds")
+
+
+def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
+                  n_buckets: int | None = None) -> Buckets:
+    """Range buckets over (lead columns, row hash), boundaries from a bounded
+    sample: Spark sorts about SAMPLES_PER_BUCKET sampled keys per bucket and
+    only every k-th key reaches the driver.  The boundaries go back as a
+    one-row local table, so a recomputed stage buckets every row the same
+    way again."""
     spark = df.sparkSession
+    lead = list(lead)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rest = [c for c in df.columns if c not in lead and _orderable(types[c])]
+    parts = default_parallelism(spark)
     if n_rows is None:
         n_rows = df.count()
     if n_buckets is None:
-        n_buckets = max(default_parallelism(spark), math.ceil(n_rows / ROWS_PER_BUCKET))
+        n_buckets = max(BUCKETS_PER_PARTITION * parts, math.ceil(n_rows / ROWS_PER_BUCKET))
     n_buckets = int(max(1, min(n_buckets, MAX_BUCKETS)))
     if n_rows == 0 or n_buckets == 1:
-        return F.lit(0), 1
-    types = {f.name: f.dataType for f in df.schema.fields}
-    tcols = list(tuple_cols)
+        return Buckets(lead, rest, None, 0, parts)
     want = n_buckets * SAMPLES_PER_BUCKET
     fraction = min(1.0, 1.5 * want / n_rows)
-    key = _tuple(tcols)
-    sample = df.select(key.alias("__t"))
+    hashed = df.withColumn("__rowhash", _row_hash(df))
+    bkey = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(lead)], F.col("__rowhash").alias("h"))
+    sample = hashed.select(bkey.alias("__t"))
     if fraction < 1.0:
         sample = sample.sample(False, fraction, ORDER_SEED)
-    # The sample is bounded (about SAMPLES_PER_BUCKET rows per bucket); Spark
-    # sorts it and only the every-k-th boundary tuples reach the driver.
     ranked = sample.withColumn("__r", F.row_number().over(Window.orderBy("__t")))
     m = min(n_rows, want) if fraction >= 1.0 else want
     step = max(1, math.ceil(m / n_buckets))
-    rows = ranked.where((F.col("__r") % step) == 0).orderBy("__r").select("__t").collect()
+    picked = ranked.where((F.col("__r") % step) == 0).orderBy("__r").select("__t")
+    struct_type = picked.schema["__t"].dataType
     seen = []
-    for r in rows:
-        vals = tuple(r["__t"])
-        if not seen or seen[-1] != vals:
-            seen.append(vals)
+    for r in picked.collect():
+        if not seen or seen[-1] != r["__t"]:
+            seen.append(r["__t"])
     if not seen:
-        return F.lit(0), 1
-    col_types = [types[c] for c in tcols]
-    bounds = [_literal_tuple(v, col_types) for v in seen]
-    return _search(key, bounds, 0, len(bounds)), len(bounds) + 1
+        return Buckets(lead, rest, None, 0, parts)
+    bounds_df = spark.createDataFrame([(seen,)], T.StructType([T.StructField("b", T.ArrayType(struct_type))]))
+    return Buckets(lead, rest, bounds_df, len(seen), parts)
 
 
 def _join_carry(rows: DataFrame, carry: DataFrame, on: list[str], carry_rows: int) -> DataFrame:
@@ -141,11 +192,9 @@ def add_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: st
         raise ValueError(f"cannot insert {name!r}: a column with that name already exists")
     if order_by is None:
         return _add_file_order_index(df, name, start)
-    tcols = order_tuple_columns(df, order_by)
-    n = df.count()
-    bucket, nb = range_buckets(df, tcols, n, n_buckets)
-    b = df.withColumn("__b", bucket)
-    key = _tuple(tcols)
+    bk = range_buckets(df, lead_columns(df, order_by), None, n_buckets)
+    b = bk.apply(df)
+    key, nb = bk.key, bk.count
     # One row per bucket; offsets are a prefix sum over that small table.
     sizes = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     offsets = sizes.select("__b", (F.sum("__c").over(
@@ -202,11 +251,9 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
         raise ValueError("direction must be 'forward' or 'backward'")
     cols = list(columns)
     keys = list(partition_by)
-    tcols = order_tuple_columns(df, order_by, keys)
-    n = df.count()
-    bucket, nb = range_buckets(df, tcols, n, n_buckets)
-    b = df.withColumn("__b", bucket)
-    key = _tuple(tcols)
+    bk = range_buckets(df, lead_columns(df, order_by, keys), None, n_buckets)
+    b = bk.apply(df)
+    key = bk.key
     fwd = direction == "forward"
     w = Window.partitionBy("__b", *keys).orderBy(key)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if fwd else w.rowsBetween(0, Window.unboundedFollowing)
@@ -238,11 +285,9 @@ def sequential_index_report(df: DataFrame, columns: Sequence[str], order_by: Seq
     One row per column: column, first_value, is_monotonic, is_index.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    tcols = order_tuple_columns(df, order_by)
-    n = df.count()
-    bucket, nb = range_buckets(df, tcols, n, n_buckets)
-    key = _tuple(tcols)
-    b = df.withColumn("__b", bucket)
+    bk = range_buckets(df, lead_columns(df, order_by), None, n_buckets)
+    b = bk.apply(df)
+    key = bk.key
     w = Window.partitionBy("__b").orderBy(key)
     numeric = [c for c in columns if isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType,
                                                            T.LongType, T.FloatType, T.DoubleType,
@@ -293,11 +338,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], nam
     (bucket, key).
     """
     keys = list(keys)
-    tcols = order_tuple_columns(df, order_by, keys)
-    n = df.count()
-    bucket, nb = range_buckets(df, tcols, n, n_buckets)
-    b = df.withColumn("__b", bucket)
-    key = _tuple(tcols)
+    bk = range_buckets(df, lead_columns(df, order_by, keys), None, n_buckets)
+    b = bk.apply(df)
+    key = bk.key
     local = b.withColumn("__p", F.row_number().over(Window.partitionBy("__b", *keys).orderBy(key)))
     sizes = b.groupBy("__b", *keys).agg(F.count(F.lit(1)).alias("__c"))
     wk = Window.partitionBy(*keys).orderBy("__b")

@@ -41,12 +41,12 @@ def stratified_split(df: DataFrame, label_col: str, key_cols: Sequence[str], tra
     """U4: per label, the rows with the smallest hashes form the training
     part: ``n_train = n - ceil((1 - train_frac) * n)`` rows of every label
     (exact per-stratum sizes; skew-safe rank, see ``rank_within``)."""
-    keyed = df.withColumn("__h", hash_hex(key_cols, seed))
-    ranked = rank_within(keyed, [label_col], ["__h", *key_cols], name="__r", size_name="__n")
+    keyed = df.withColumn("__split_hash", hash_hex(key_cols, seed))
+    ranked = rank_within(keyed, [label_col], ["__split_hash", *key_cols], name="__r", size_name="__n")
     n_train = F.col("__n") - F.ceil(F.lit(1.0 - train_frac) * F.col("__n"))
     marked = ranked.withColumn("__t", F.col("__r") <= n_train)
-    train = marked.where("__t").drop("__h", "__r", "__n", "__t")
-    hold = marked.where(~F.col("__t")).drop("__h", "__r", "__n", "__t")
+    train = marked.where("__t").drop("__split_hash", "__r", "__n", "__t")
+    hold = marked.where(~F.col("__t")).drop("__split_hash", "__r", "__n", "__t")
     return train, hold
 
 
