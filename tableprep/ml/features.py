@@ -100,6 +100,15 @@ def recommend_categoricals(df: DataFrame, exclude: Sequence[str] = (), min_uniqu
     return spark.createDataFrame(rows, schema)
 
 
+def feature_columns(df: DataFrame, target: str | None = None, id_col: str | None = None,
+                    first_column_is_id: bool = True) -> tuple[str | None, list[str]]:
+    """The row-label column (the first column by default) and the
+    feature columns: everything except the label and the target."""
+    ident = id_col if id_col is not None else (df.columns[0] if first_column_is_id and df.columns else None)
+    feats = [c for c in df.columns if c not in (ident, target)]
+    return ident, feats
+
+
 # --- fitted state -------------------------------------------------------------------
 
 def _sort_key(v):

@@ -86,6 +86,19 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str, C: float =
         data.unpersist()
 
 
+# Parameters the GBDT form must carry, each a positive number.
+REQUIRED_GBT_PARAMS = ("learning_rate", "n_estimators", "max_depth")
+
+
+def validate_model_parameters(params: Mapping) -> bool:
+    """Every required parameter present, numeric (not boolean) and > 0."""
+    for name in REQUIRED_GBT_PARAMS:
+        v = params.get(name) if isinstance(params, Mapping) else None
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or not v > 0:
+            return False
+    return True
+
+
 def gbt_params(params: Mapping | None = None) -> dict:
     """Map reference GBDT parameters to Spark ``GBT*`` parameters (2.13)."""
     p = dict(GBT_DEFAULTS)
@@ -231,3 +244,11 @@ def coefficient_table(model, names: Sequence[str]) -> DataFrame:
 
 def _finite(x: float) -> bool:
     return x is not None and not math.isnan(x) and not math.isinf(x)
+
+
+def score_and_export(model: Model, df: DataFrame, features: Sequence[str], target: str | None, path: str,
+                     fmt: str = "csv", tree_state: TreeFeatures | None = None) -> None:
+    """M7: score every row (M6) and write the result folder (S7) from the
+    executors; nothing passes through the driver."""
+    from ..sources.files import write_table
+    write_table(predict(model, df, features, target, tree_state=tree_state), path, fmt=fmt)

@@ -18,7 +18,9 @@ Every operator here instead works on *range buckets* of the ordering:
 Bucket keys are (partition keys, order columns, 64-bit hash of the whole
 row), so ties in the user's ``order_by`` -- a hot key holding a third of the
 rows -- are spread over many buckets; windows order by that key and then by
-the rest of the row, so the result does not depend on partitioning.  Only
+the rest of the row, so the result does not depend on partitioning.  Each
+shuffle partition receives a run of consecutive, equally sized buckets
+(exact placement through partition keys, no sampling pass).  Only
 rows identical in every column cannot be split (they are interchangeable,
 so the answer is still exact).
 """
@@ -38,6 +40,9 @@ from ..session import default_parallelism
 # are several per partition to even out the load.
 MAX_BUCKETS = 65536
 BUCKETS_PER_PARTITION = 4
+# Up to this many boundaries the search is a code-generated CASE tree;
+# beyond it a constant-size higher-order loop.
+CASE_SEARCH_LIMIT = 256
 ROWS_PER_BUCKET = 2_000_000
 SAMPLES_PER_BUCKET = 32
 # Per-bucket / per-key carry tables up to this many rows are broadcast.
@@ -81,12 +86,18 @@ def _row_hash(df: DataFrame) -> Column:
 class Buckets:
     """Range buckets of an ordering.
 
-    ``apply(df)`` adds ``__b`` (bucket number, in order) and ``__h`` (row
-    hash) and range-partitions the rows on ``__b``, so every later window or
-    aggregate keyed by ``__b`` finds its rows co-located and balanced.
+    ``apply(df)`` adds ``__b`` (bucket number, in order), ``__rowhash`` and
+    ``__pkey`` and hash-partitions the rows on ``__pkey``: every shuffle
+    partition receives a run of consecutive buckets of equal expected size,
+    because ``__pkey`` is, per partition, an integer whose Murmur3 hash (the
+    function Spark's hash partitioning applies) lands on that partition.
+    Windows partitioned by ``partition_cols`` (+ keys) then need no further
+    exchange, and no sampling pass is spent on range partitioning.
     ``key`` is the full window order: lead columns, row hash, rest of row.
     """
 
+    partition_cols = ("__pkey", "__b")
+
     def __init__(self, lead: list[str], rest: list[str], bounds_df: DataFrame | None, m: int, partitions: int):
         self.lead, self.rest, self.bounds_df, self.m, self.partitions = lead, rest, bounds_df, m, partitions
         self.count = m + 1
@@ -102,9 +113,23 @@ class Buckets:
     def apply(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("__rowhash", _row_hash(df))
         if self.bounds_df is None:
-            return out.withColumn("__b", F.lit(0))
+            return out.withColumn("__b", F.lit(0)).withColumn("__pkey", F.lit(0).cast("bigint"))
         out = _search(out, self.bucket_key(), self.bounds_df.select("b").scalar(), self.m, "__b")
-        return out.repartitionByRange(min(self.partitions, self.count), "__b")
+        parts = min(self.partitions, self.count)
+        slot = F.floor(F.col("__b") * F.lit(parts) / F.lit(self.count)).cast("int") + 1
+        out = out.withColumn("__pkey", F.element_at(self.bounds_df.select(F.slice("k", 1, parts)).scalar(), slot))
+        return out.repartition(parts, "__pkey")
+
+
+def _partition_keys(spark, parts: int) -> list[int]:
+    """For p in 0..parts-1 the smallest non-negative long k with
+    pmod(hash(k), parts) = p: a key that hash partitioning sends to p."""
+    cand = spark.range(0, 64 * parts).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p"))
+    found = {r["p"]: r["k"] for r in cand.groupBy("p").agg(F.min("id").alias("k")).collect()}
+    missing = [p for p in range(parts) if p not in found]
+    if missing:
+        raise RuntimeError(f"no partition key found for partitions {missing[:5]}")
+    return [int(found[p]) for p in range(parts)]
 
 
 def _search(df: DataFrame, key: Column, bounds: Column, m: int, out: str) -> DataFrame:
@@ -129,7 +154,18 @@ def _search(df: DataFrame, key: Column, bounds: Column, m: int, out: str) -> Dat
                       cand).otherwise(acc)
 
     cur = df.withColumn("__key", key).withColumn("__bounds", bounds)
-    cur = cur.withColumn(out, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lift))
+    if m <= CASE_SEARCH_LIMIT:
+        # small bucket counts: a balanced CASE tree over the same array,
+        # fully code-generated (2m nodes, log2(m) comparisons per row)
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(F.col("__key") < F.element_at(F.col("__bounds"), mid + 1), tree(lo, mid)).otherwise(
+                tree(mid + 1, hi))
+        cur = cur.withColumn(out, tree(0, m))
+    else:
+        cur = cur.withColumn(out, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lift))
     return cur.drop("__key", "__bounds")
 
 
@@ -170,7 +206,9 @@ def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
             seen.append(r["__t"])
     if not seen:
         return Buckets(lead, rest, None, 0, parts)
-    bounds_df = spark.createDataFrame([(seen,)], T.StructType([T.StructField("b", T.ArrayType(struct_type))]))
+    keys = _partition_keys(spark, min(parts, len(seen) + 1))
+    bounds_df = spark.createDataFrame([(seen, keys)], T.StructType([T.StructField("b", T.ArrayType(struct_type)),
+                                                                   T.StructField("k", T.ArrayType(T.LongType()))]))
     return Buckets(lead, rest, bounds_df, len(seen), parts)
 
 
@@ -200,8 +238,10 @@ def add_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: st
     offsets = sizes.select("__b", (F.sum("__c").over(
         Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).alias("__off"))
     offsets = offsets.fillna(0, ["__off"])
-    numbered = b.withColumn("__p", F.row_number().over(Window.partitionBy("__b").orderBy(key)))
-    joined = _join_carry(numbered, offsets, ["__b"], nb)
+    numbered = b.withColumn("__p", F.row_number().over(Window.partitionBy(*bk.partition_cols).orderBy(key)))
+    # offsets has one row per bucket (bounded by MAX_BUCKETS): broadcast it.
+    # Both branches read the same range exchange of ``b`` in one query.
+    joined = numbered.join(F.broadcast(offsets), ["__b"], "left")
     out = joined.withColumn(name, (F.col("__off") + F.col("__p") + F.lit(start - 1)).cast("bigint"))
     return out.select(name, *df.columns)
 
@@ -255,7 +295,7 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     b = bk.apply(df)
     key = bk.key
     fwd = direction == "forward"
-    w = Window.partitionBy("__b", *keys).orderBy(key)
+    w = Window.partitionBy(*bk.partition_cols, *keys).orderBy(key)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if fwd else w.rowsBetween(0, Window.unboundedFollowing)
     pick = F.last if fwd else F.first
     local = b.select("*", *[pick(F.col(c), ignorenulls=True).over(w).alias(f"__l{i}")
@@ -269,9 +309,10 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     wc = wc.rowsBetween(Window.unboundedPreceding, -1) if fwd else wc.rowsBetween(1, Window.unboundedFollowing)
     carry = edges.select("__b", *keys, *[pick(F.col(f"__e{i}"), ignorenulls=True).over(wc).alias(f"__k{i}")
                                          for i in range(len(cols))])
-    carry = carry.persist()
-    carry_rows = carry.count()
-    joined = _join_carry(local, carry, ["__b", *keys], carry_rows)
+    # Without keys the carry table has one row per bucket: broadcast.  With
+    # keys it has one row per (bucket, key); AQE picks a broadcast from its
+    # runtime size or keeps the shuffle join (skew-join handling on).
+    joined = local.join(F.broadcast(carry) if not keys else carry, ["__b", *keys], "left")
     filled = {c: F.coalesce(F.col(c), F.col(f"__l{i}"), F.col(f"__k{i}")).alias(c) for i, c in enumerate(cols)}
     return joined.select(*[filled.get(c, F.col(c)) for c in df.columns])
 
@@ -288,7 +329,7 @@ def sequential_index_report(df: DataFrame, columns: Sequence[str], order_by: Seq
     bk = range_buckets(df, lead_columns(df, order_by), None, n_buckets)
     b = bk.apply(df)
     key = bk.key
-    w = Window.partitionBy("__b").orderBy(key)
+    w = Window.partitionBy(*bk.partition_cols).orderBy(key)
     numeric = [c for c in columns if isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType,
                                                            T.LongType, T.FloatType, T.DoubleType,
                                                            T.DecimalType))]
@@ -341,16 +382,14 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], nam
     bk = range_buckets(df, lead_columns(df, order_by, keys), None, n_buckets)
     b = bk.apply(df)
     key = bk.key
-    local = b.withColumn("__p", F.row_number().over(Window.partitionBy("__b", *keys).orderBy(key)))
+    local = b.withColumn("__p", F.row_number().over(Window.partitionBy(*bk.partition_cols, *keys).orderBy(key)))
     sizes = b.groupBy("__b", *keys).agg(F.count(F.lit(1)).alias("__c"))
     wk = Window.partitionBy(*keys).orderBy("__b")
     offs = sizes.select("__b", *keys,
                         F.coalesce(F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
                                    F.lit(0)).alias("__off"),
                         F.sum("__c").over(Window.partitionBy(*keys)).alias("__size"))
-    offs = offs.persist()
-    rows = offs.count()
-    joined = _join_carry(local, offs, ["__b", *keys], rows)
+    joined = local.join(F.broadcast(offs) if not keys else offs, ["__b", *keys], "left")
     extra = [(F.col("__off") + F.col("__p")).cast("bigint").alias(name)]
     if size_name:
         extra.append(F.col("__size").cast("bigint").alias(size_name))

@@ -153,3 +153,12 @@ def test_cv_and_search(spark):
     trials = evaluate.draw_trials(3, seed=1)
     assert trials == evaluate.draw_trials(3, seed=1) and len(trials) == 3
     assert all(100 <= t["n_estimators"] <= 1000 and 3 <= t["max_depth"] <= 10 for t in trials)
+
+
+def test_validate_params_and_feature_columns(spark):
+    assert models.validate_model_parameters({"learning_rate": 0.1, "n_estimators": 100, "max_depth": 7})
+    assert not models.validate_model_parameters({"learning_rate": 0.1, "n_estimators": 100})
+    assert not models.validate_model_parameters({"learning_rate": 0, "n_estimators": 100, "max_depth": 7})
+    assert not models.validate_model_parameters({"learning_rate": "0.1", "n_estimators": 100, "max_depth": 7})
+    df = spark.createDataFrame([(0, 1.0, 2.0, 1)], "index long, a double, b double, y int")
+    assert features.feature_columns(df, "y") == ("index", ["a", "b"])

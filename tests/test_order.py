@@ -74,3 +74,19 @@ def test_sequential_report(spark):
     assert rep["i"]["is_index"] and rep["i"]["first_value"] == 1.0
     assert not rep["j"]["is_monotonic"]
     assert not rep["s"]["is_index"]
+
+
+def test_hot_key_is_spread_and_exact(spark):
+    # one key holds a third of the rows: buckets split it, tasks stay balanced
+    from tableprep.operators.order import lead_columns, range_buckets
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    sk = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    bk = range_buckets(sk, lead_columns(sk, ["event_id"], ["user_id"]))
+    sizes = [r[0] for r in bk.apply(sk).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) / (sum(sizes) / len(sizes)) < 1.6
+    m = sk.withColumn("value", F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value"))).select(
+        "event_id", "user_id", "value")
+    out = fill_ordered(m, ["value"], ["event_id"], "forward", ["user_id"]).toPandas().sort_values("event_id")
+    pdf = m.toPandas().sort_values("event_id")
+    assert np.allclose(out["value"].to_numpy(dtype=float), pdf.groupby("user_id")["value"].ffill().to_numpy(),
+                       equal_nan=True)
