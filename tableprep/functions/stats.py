@@ -38,7 +38,7 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: i
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = 10_000,
                     names: Sequence[str] | None = None, max_candidates: int = 100_000,
-                    grid: int = 1000, max_rounds: int = 8) -> DataFrame:
+                    grid: int = 1000, max_rounds: int = 8, extra_aggs=None) -> DataFrame:
     """Exact quantiles of ``value_col`` per group, linear interpolation
     between closest ranks (pandas ``quantile`` / SQL ``quantile_cont``).
 
@@ -52,7 +52,14 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     bracket ends verify it, and a bracket still holding more than
     ``max_candidates`` values is narrowed again on its own values.  The last
     pass sorts only the values strictly inside each bracket.  A group with
-    at most ``max_candidates`` values is sorted whole.
+    at most ``max_candidates`` values is sorted whole.  When no group can
+    hold more than ``max_candidates`` values inside a first bracket, the
+    counting pass also collects those values (sorted, per target), so two
+    scans answer everything.
+
+    ``extra_aggs`` maps output names to functions of the value column (e.g.
+    ``{"mean": F.avg}``); they are computed in the first scan and returned
+    after the quantile columns.
     """
     probs = [float(p) for p in probs]
     if any(p < 0 or p > 1 for p in probs):
@@ -72,7 +79,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     base = base_all.where(F.col("__v").isNotNull())
 
     # Round 0: group sizes and a quantile grid over every whole group.
-    size_and_grid = [F.count("__v").alias("__n"), F.percentile_approx("__v", gp, accuracy).alias("__grid")]
+    extra = dict(extra_aggs or {})
+    size_and_grid = [F.count("__v").alias("__n"), F.percentile_approx("__v", gp, accuracy).alias("__grid"),
+                     *[fn(F.col("__v")).alias(name) for name, fn in extra.items()]]
     if user_g:
         stats = base_all.groupBy(*g).agg(*size_and_grid)
     else:
@@ -93,12 +102,37 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     stats = stats.persist()
     n_groups = stats.count()
     state = state.persist()
-    n_big = state.where(F.col("__n") > max_candidates).count()
+    sizes = state.agg(F.count_if(F.col("__n") > max_candidates).alias("big"), F.max("__n").alias("top")).collect()[0]
+    n_big, top = sizes["big"], sizes["top"] or 0
 
     def with_state(rows: DataFrame, st: DataFrame, fields) -> DataFrame:
         arr = st.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("i", *fields))).alias("__br"))
         return _join_small(rows, arr, g, n_groups)
 
+    if top <= max_candidates * grid // 8:
+        # A first bracket spans about five grid steps (5n/grid values) plus the
+        # sketch error, so it holds fewer than max_candidates values: one pass
+        # counts the bracket ends and collects the inside values, sorted.
+        joined = with_state(base, state, ["lo", "hi"])
+        aggs = []
+        for i in range(k):
+            b = F.col("__br")[i]
+            inside = (F.col("__v") > b["lo"]) & (F.col("__v") < b["hi"])
+            aggs += [F.count_if(F.col("__v") < b["lo"]).alias(f"a{i}"),
+                     F.count_if(F.col("__v") <= b["lo"]).alias(f"b{i}"),
+                     F.count_if(F.col("__v") < b["hi"]).alias(f"c{i}"),
+                     F.count_if(F.col("__v") <= b["hi"]).alias(f"d{i}"),
+                     F.sort_array(F.collect_list(F.when(inside, F.col("__v")))).alias(f"e{i}")]
+        counts = joined.groupBy(*g).agg(*aggs).select(*g, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.col(f"a{i}").alias("lt_lo"), F.col(f"b{i}").alias("le_lo"),
+                     F.col(f"c{i}").alias("lt_hi"), F.col(f"d{i}").alias("le_hi"), F.col(f"e{i}").alias("arr"))
+            for i in range(k)])).alias("c")).select(*g, "c.*")
+        res = state.select(*g, "i", "j0", "j1", "frac", "lo", "hi").join(counts, [*g, "i"])
+        for m, j in (("m0", "j0"), ("m1", "j1")):
+            idx = (F.col(j) - F.col("le_lo") + 1).cast("int")
+            res = res.withColumn(m, F.when(idx >= 1, F.try_element_at("arr", idx)))
+        return _finish(res, stats, g, user_g, names, k, list(extra))
+
     # Every group fits: the brackets are (-inf, inf), so the rank counts are
     # known without a scan and the loop is skipped.
     rounds = range(max_rounds) if n_big else []
@@ -164,7 +198,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
               .groupBy(*g, "i").agg(F.max(F.when(r == F.col("j0"), F.col("__v"))).alias("m0"),
                                     F.max(F.when(r == F.col("j1"), F.col("__v"))).alias("m1")))
     res = state.join(picked, [*g, "i"], "left")
+    return _finish(res, stats, g, user_g, names, k, list(extra))
+
 
+def _finish(res: DataFrame, stats: DataFrame, g, user_g, names, k: int, extra_names) -> DataFrame:
+    """Interpolate every target from its bracket counts and mid values, one
+    row per group (groups with no value keep NULL quantiles)."""
     def value_at(j, m):
         # The bracket puts every target rank in [lt_lo, le_hi); raise_error
         # guards that guarantee instead of returning a wrong value.
@@ -177,12 +216,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     v1 = value_at(F.col("j1"), F.col("m1"))
     res = res.select(*g, "i", (v0 + F.col("frac") * (v1 - v0)).alias("__q"))
     out = res.groupBy(*g).agg(*[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(names[i]) for i in range(k)])
-    # Groups with no value at all still appear, with NULL quantiles.
     ren = out.select(*[F.col(c).alias(f"__g{j}") for j, c in enumerate(g)], *names)
-    keys = stats.select(*g)
+    keys = stats.select(*g, *extra_names)
     cond = [keys[c].eqNullSafe(ren[f"__g{j}"]) for j, c in enumerate(g)]
-    out = keys.join(ren, cond, "left").select(*user_g, *names)
-    return out
+    return keys.join(ren, cond, "left").select(*user_g, *names, *extra_names)
 
 
 def _bracket(offset, size, lo, hi, whole, grid: int):

@@ -76,11 +76,12 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def _quantiles_long(df: DataFrame, cols: Sequence[str], probs, names, accuracy) -> DataFrame:
+def _quantiles_long(df: DataFrame, cols: Sequence[str], probs, names, accuracy, extra_aggs=None) -> DataFrame:
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols])
     ).alias("s")).select("s.column", "s.value")
-    return exact_quantiles(stacked, "value", probs, ["column"], accuracy=accuracy, names=names)
+    return exact_quantiles(stacked, "value", probs, ["column"], accuracy=accuracy, names=names,
+                           extra_aggs=extra_aggs)
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
@@ -91,10 +92,9 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, count bigint, mean double, std double, "
                                                    "min double, q25 double, q50 double, q75 double, max double")
-    mom = _stack(_moments(df, cols), cols, [("count", "bigint"), ("mean", "double"), ("std", "double"),
-                                            ("min", "double"), ("max", "double")])
-    q = _quantiles_long(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], accuracy)
-    out = mom.join(q, "column", "left")
+    # one stacked (column, value) pass gives the moments and the quantile grid
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    out = _quantiles_long(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], accuracy, moments)
     return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
