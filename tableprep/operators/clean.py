@@ -191,16 +191,18 @@ def dedupe(df: DataFrame, subset: Sequence[str] | None = None,
            order_by: Sequence[str] | None = None) -> DataFrame:
     """remove duplicate rows (NULLs compare equal, as in pandas).
 
-    Without ``order_by`` any one row of each duplicate group is kept, which
-    for whole-row duplicates is exact.  With ``order_by`` the row first in
-    that order is kept: a ``min(struct(order, rest))`` aggregate, which
+    Whole-row duplicates use ``dropDuplicates``.  Otherwise the row first
+    by ``order_by`` (then by the rest of the row) is kept, deterministically: a ``min(struct(order, rest))`` aggregate, which
     Spark combines map-side, so a group holding a third of the rows is
     collapsed before the shuffle.
     """
     keys = list(subset) if subset else list(df.columns)
-    if not order_by:
+    if not order_by and len(keys) == len(df.columns):
         return df.dropDuplicates(keys)
-    order = [c for c in order_by]
+    # With a subset the kept row must not depend on task timing (a
+    # recomputed stage would otherwise keep another row): take the first by
+    # ``order_by`` and then by the rest of the row.
+    order = [c for c in (order_by or [])]
     rest = [c for c in df.columns if c not in keys and c not in order]
     best = F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                           *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])).alias("__k")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hash_u32
-from .order import rank_within
+from .order import add_row_index, rank_within
 
 
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -23,10 +23,20 @@ def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+# Up to this many rows a sample is a top-k (each task keeps n rows, one task
+# merges); beyond it the rows are numbered by hash with range buckets.
+TOP_K_LIMIT = 100_000
+
+
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by the smallest hashes of the key (a top-k, so
-    Spark keeps at most ``n`` rows per task before the final merge)."""
-    return df.orderBy(hash_hex(key_cols, seed), *key_cols).limit(int(n))
+    """The ``n`` rows with the smallest hashes of the key, repeatable and
+    independent of partitioning."""
+    n = int(n)
+    if n <= TOP_K_LIMIT:
+        return df.orderBy(hash_hex(key_cols, seed), *key_cols).limit(n)
+    keyed = df.withColumn("__sample_hash", hash_hex(key_cols, seed))
+    ranked = add_row_index(keyed, ["__sample_hash", *key_cols], name="__sample_rank")
+    return ranked.where(F.col("__sample_rank") <= n).drop("__sample_rank", "__sample_hash")
 
 
 def hash_split(df: DataFrame, key_cols: Sequence[str], train_pct: int = 80,

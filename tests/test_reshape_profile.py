@@ -96,3 +96,22 @@ def test_prep_plan_stage_order(spark):
     assert rows(grouped) == [("a", 1.0), ("b", 3.0)]
     skipped = apply_plan(df, PrepPlan(group=("g", "nope", "sum"), on_error="skip"))
     assert skipped.count() == 3
+
+
+def test_large_sample_equals_top_k(spark):
+    from tableprep.operators import sampling as S
+    df = spark.range(3000).withColumn("v", F.col("id") % 7)
+    small = S.sample_n(df, 1200, ["id"])
+    old = S.TOP_K_LIMIT
+    try:
+        S.TOP_K_LIMIT = 10
+        big = S.sample_n(df, 1200, ["id"])
+    finally:
+        S.TOP_K_LIMIT = old
+    assert sorted(r[0] for r in small.select("id").collect()) == sorted(r[0] for r in big.select("id").collect())
+
+
+def test_dedupe_subset_is_deterministic(spark):
+    from tableprep.operators import clean as C
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, v int").repartition(3)
+    assert sorted(tuple(r) for r in C.dedupe(df, ["k"]).collect()) == [("a", 1), ("b", 2)]
