@@ -48,7 +48,7 @@ def feature_importance(model, names: Sequence[str], top: int = 20) -> DataFrame:
 def coefficient_extremes(coefs: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` largest and ``k`` smallest coefficients, ascending,
     each feature once (D20).  ``coefs`` has (feature, coefficient)."""
-    body = coefs.where(F.col("feature") != "(intercept)")
+    body = coefs.where(~F.col("feature").startswith("(intercept)"))
     top = body.orderBy(F.col("coefficient").desc(), "feature").limit(k)
     bottom = body.orderBy(F.col("coefficient").asc(), "feature").limit(k)
     return top.unionByName(bottom).distinct().orderBy("coefficient", "feature")
@@ -165,6 +165,8 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
 
     ``df`` must hold the prepared numeric feature columns (e.g. the output of
     ``TreeFeatures.transform``)."""
+    if not hasattr(model, "treeWeights"):
+        raise ValueError("tree attribution needs a single boosted ensemble (regression or binary classification)")
     trees, weights = _gbt_trees(model)
     leaves = [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, w)]
     depth = max((len(lf[1]) for lf in leaves), default=0)

@@ -237,8 +237,16 @@ def load_bundle(path: str, model_cls) -> tuple[Model, dict]:
 def coefficient_table(model, names: Sequence[str]) -> DataFrame:
     """Coefficients of a linear / binary logistic model as (feature, coefficient)."""
     spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
-    coefs = model.coefficients.toArray().tolist()
-    rows = [(n, float(c)) for n, c in zip(names, coefs)] + [("(intercept)", float(model.intercept))]
+    n_classes = getattr(model, "numClasses", 2)
+    if n_classes > 2:
+        # multinomial: one coefficient row per class and feature
+        mat = model.coefficientMatrix.toArray()
+        icp = model.interceptVector.toArray()
+        rows = [(f"{n}[class={k}]", float(mat[k, j])) for k in range(mat.shape[0]) for j, n in enumerate(names)]
+        rows += [(f"(intercept)[class={k}]", float(icp[k])) for k in range(len(icp))]
+    else:
+        coefs = model.coefficients.toArray().tolist()
+        rows = [(n, float(c)) for n, c in zip(names, coefs)] + [("(intercept)", float(model.intercept))]
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 

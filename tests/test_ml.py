@@ -162,3 +162,20 @@ def test_validate_params_and_feature_columns(spark):
     assert not models.validate_model_parameters({"learning_rate": "0.1", "n_estimators": 100, "max_depth": 7})
     df = spark.createDataFrame([(0, 1.0, 2.0, 1)], "index long, a double, b double, y int")
     assert features.feature_columns(df, "y") == ("index", ["a", "b"])
+
+
+def test_multiclass_paths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2))
+    y = np.digitize(x[:, 0] + 0.1 * rng.normal(size=300), [-0.5, 0.5])
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+    gbt, state = models.fit_gbt(df, ["a", "b"], "y", "classification", {"n_estimators": 5, "max_depth": 3})
+    pred = models.predict(gbt, df, ["a", "b"], "y", tree_state=state)
+    assert evaluate.accuracy_score(pred, "y", "predicted_y").collect()[0][0] > 0.8
+    with pytest.raises(ValueError):
+        explain.tree_attribution(state.transform(df), gbt, state.columns())
+    lr = models.fit_logistic(df, ["a", "b"], "y")
+    tab = models.coefficient_table(lr, ["a", "b"])
+    assert tab.count() == 9
+    ext = explain.coefficient_extremes(tab, k=2).collect()
+    assert len(ext) == 4 and all(not r["feature"].startswith("(intercept)") for r in ext)
