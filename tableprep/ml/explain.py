@@ -205,4 +205,10 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
             yield res
 
     cols = keep + [f for f in feats if f not in keep]
-    return df.select(*[F.col(f"`{c}`") for c in cols]).mapInPandas(run, schema)
+    rows = df.select(*[F.col(f"`{c}`") for c in cols])
+    # The per-row work is CPU-heavy Python: with fewer input partitions than
+    # cores, spread the (narrow) feature rows first.
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.mapInPandas(run, schema)

@@ -60,6 +60,11 @@ def training_set(df: DataFrame, features: Sequence[str], label: str, handle_inva
     their input once per iteration.  Memory and disk, so it spills instead
     of failing, and a lost executor's blocks are recomputed from lineage."""
     data = assemble(df, features, handle_invalid=handle_invalid).select(FEATURES, label)
+    # Fewer input partitions than cores (a few large row groups) would leave
+    # cores idle for every iteration: spread the cached set once.
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
     return data.persist(StorageLevel.MEMORY_AND_DISK)
 
 
