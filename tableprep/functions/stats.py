@@ -87,6 +87,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     else:
         # a global aggregate has one row even over an empty table
         stats = base_all.agg(*size_and_grid).withColumn("__one", F.lit(0))
+    # Only groups too big to sort whole keep their grid: with millions of
+    # small groups the persisted table stays one short row per group.
+    stats = stats.withColumn("__grid", F.when(F.col("__n") > max_candidates, F.col("__grid")))
     targets = []
     for i, p in enumerate(probs):
         pos = (F.col("__n") - 1) * F.lit(p)
