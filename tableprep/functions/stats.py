@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism
 
 # Largest group table that is broadcast to the rows.
 BROADCAST_GROUP_LIMIT = 200_000
@@ -260,6 +259,3 @@ def mode_value(df: DataFrame, value_col: str):
     row = mode_of(df, value_col).collect()
     return row[0]["mode"] if row else None
 
-
-def partitions_for(df: DataFrame) -> int:
-    return default_parallelism(df.sparkSession)

@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import json
-import math
 import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -255,9 +254,6 @@ def coefficient_table(model, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
-def _finite(x: float) -> bool:
-    return x is not None and not math.isnan(x) and not math.isinf(x)
-
 
 def score_and_export(model: Model, df: DataFrame, features: Sequence[str], target: str | None, path: str,
                      fmt: str = "csv", tree_state: TreeFeatures | None = None) -> None:

@@ -70,10 +70,6 @@ def lead_columns(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = (
     return lead
 
 
-def _tuple(cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(cols)])
-
-
 def _row_hash(df: DataFrame) -> Column:
     """Deterministic 64-bit hash of the whole row (the tiebreak inside the
     bucket key: equal hashes mean equal rows, barring collisions, which the

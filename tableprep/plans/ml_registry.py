@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from ..ml import evaluate, explain, features, models
 from ..operators import sampling
-from .registry import R, lineitem_masked, register, rnd, table
-
-_ = lineitem_masked
+from .registry import R, register, rnd, table
 
 
 # ---------------------------------------------------------------- detection

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts
-from ..functions.hashing import hash_u32
 from ..operators import clean, order, profile, reshape, sampling
 from ..sources import catalog, files
 
@@ -600,5 +599,3 @@ def oracle_sql() -> dict[str, str]:
     from . import ml_registry  # noqa: F401
     return dict(ORACLE)
 
-
-_ = hash_u32  # re-exported for query authors
