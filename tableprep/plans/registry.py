@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casts
 from ..operators import clean, order, profile, reshape, sampling
+from ..session import scratch_path
 from ..sources import catalog, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +223,19 @@ def q_validate_dataset(spark, d):
     return out
 
 
+@register("csv_roundtrip", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def q_csv_roundtrip(spark, d):
+    """S7 then S1-S3: write a CSV folder (one file per task) with NA tokens
+    for missing text, read it back with type inference."""
+    o = table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("NA")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    path = scratch_path(spark, "csv-roundtrip")
+    files.write_table(o, path, fmt="csv")
+    return files.read_csv(spark, path)
+
+
 # ---------------------------------------------------------------- filters / dedupe
 
 @register("filter_rows", """SELECT * FROM lineitem
@@ -325,6 +339,23 @@ def q_missing_plan(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_discount", rnd("l_tax"))
 
 
+@register("missing_plan_ordered", f"""WITH a AS (SELECT event_id, user_id, event_type, value
+  FROM {EVENTS_MASKED_SQL} t WHERE NOT (event_id % 11 = 0)),
+b AS (SELECT event_id, user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS event_type,
+  last_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+  FROM a)
+SELECT event_id, user_id, coalesce(event_type, (SELECT event_type FROM b WHERE event_type IS NOT NULL
+  GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type, value FROM b""")
+def q_missing_plan_ordered(spark, d):
+    """N8 with an ordered step: drop rows missing user_id, forward-fill the
+    value along event_id, then fill event_type with its mode."""
+    ev = events_masked(spark, d).select(
+        "event_id", F.when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 13 == 0, F.lit(None)).otherwise(F.col("event_type")).alias("event_type"), "value")
+    return clean.impute(ev, [("user_id", "drop"), ("value", "forward"), ("event_type", "mode")],
+                        order_by=["event_id"])
+
+
 # ---------------------------------------------------------------- casts
 
 @register("cast_int", """SELECT p_partkey, CAST(p_size AS BIGINT) AS size_int,
