@@ -134,9 +134,21 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
         one = df.agg(*[F.approx_count_distinct(_present(df, c)).alias(f"unique_count_{i}")
                        for i, c in enumerate(cols)])
         return _stack(one, cols, [("unique_count", "bigint")])
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), _present(df, c).cast("string").alias("v")) for i, c in enumerate(cols)
-    ])).alias("s")).select("s.i", "s.v").where(F.col("v").isNotNull())
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def slots(i, c):
+        # typed slots: integers and floats are compared as numbers (no text
+        # formatting per value), everything else as text
+        v = _present(df, c)
+        dt = types[c]
+        integral = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        floating = isinstance(dt, (T.FloatType, T.DoubleType))
+        return F.struct(F.lit(i).alias("i"),
+                        (v.cast("bigint") if integral else F.lit(None).cast("bigint")).alias("l"),
+                        (v.cast("double") if floating else F.lit(None).cast("double")).alias("d"),
+                        (v.cast("string") if not (integral or floating) else F.lit(None).cast("string")).alias("s"))
+    stacked = (df.select(F.explode(F.array(*[slots(i, c) for i, c in enumerate(cols)])).alias("x"))
+               .select("x.*").where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()))
     per = stacked.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("unique_count"))
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "i int, column string")
     return (F.broadcast(names).join(per, "i", "left")
