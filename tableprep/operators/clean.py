@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import exact_quantiles, mode_of
+from ..functions.stats import exact_quantiles
 from .order import fill_ordered
 
 STRATEGIES = ("drop", "zero", "mean", "median", "mode", "forward", "backward")
@@ -89,11 +89,39 @@ def fit_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -
 
 
 def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column, smallest on ties."""
-    out = {}
-    for c in columns:
-        row = mode_of(df, c).collect()
-        out[c] = row[0]["mode"] if row else None
+    """Most frequent value per column, smallest on ties (D10), for all
+    columns in one job: (column, value) pairs are counted with partial
+    aggregation, then ``min(struct(-count, value))`` picks each winner.
+    Values sit in a typed slot (integer / double / text / other) so numbers
+    compare as numbers."""
+    cols = list(columns)
+    if not cols:
+        return {}
+    types = _types(df)
+
+    def slot(c: str, kind: str):
+        dt = types[c]
+        integral = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        floating = isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType))
+        text = isinstance(dt, T.StringType)
+        v = _present(c, dt)
+        pick = {"l": integral, "d": floating, "s": text, "o": not (integral or floating or text)}[kind]
+        cast = {"l": "bigint", "d": "double", "s": "string", "o": "string"}[kind]
+        return (v.cast(cast) if pick else F.lit(None).cast(cast)).alias(kind)
+
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), *[slot(c, k) for k in ("l", "d", "s", "o")]) for i, c in enumerate(cols)
+    ])).alias("x")).select("x.*").where(
+        F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("o").isNotNull())
+    counted = stacked.groupBy("i", "l", "d", "s", "o").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), "l", "d", "s", "o")).alias("b"))
+    out: dict[str, object] = {c: None for c in cols}
+    for r in best.collect():  # one row per column
+        c = cols[r["i"]]
+        b = r["b"]
+        # other types (dates, booleans, ...) come back in text form; the fill
+        # casts the literal to the column type
+        out[c] = next((b[k] for k in ("l", "d", "s", "o") if b[k] is not None), None)
     return out
 
 

@@ -85,3 +85,12 @@ def test_coerce_default(spark):
     df = spark.createDataFrame([("3",), ("x",), (None,)], "s string")
     assert [r[0] for r in df.select(casts.coerce_default("s", -1)).collect()] == [3.0, -1.0, -1.0]
     assert [r[0] for r in df.select(casts.coerce_default("s", 0, "bigint")).collect()] == [3, 0, 0]
+
+
+def test_mode_of_dates_and_booleans(spark):
+    import datetime as dt2
+    df = spark.createDataFrame([(dt2.date(2024, 1, 2), True), (dt2.date(2024, 1, 2), None), (None, True),
+                                (dt2.date(2023, 5, 5), False)], "d date, b boolean")
+    out = clean.impute(df, [("d", "mode"), ("b", "mode")]).collect()
+    assert {r["d"] for r in out} == {dt2.date(2024, 1, 2), dt2.date(2023, 5, 5)}
+    assert [r["b"] for r in out].count(True) == 3
