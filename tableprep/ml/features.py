@@ -1,10 +1,13 @@
 """Feature preparation.
 
 Fitting collects only bounded state: a flag per column, the sorted category
-list of each categorical column (checked against ``max_categories``), and a
-mean / deviation per numeric column.  Applying the state is a set of column
-expressions built from literals, so scoring tables and streams need no join
-and no statistic is recomputed on the scoring data (D15).
+list of each categorical column, and a mean / deviation per numeric column.
+Applying the state is a set of column expressions built from literals, so
+scoring tables and streams need no join and no statistic is recomputed on
+the scoring data (D15).  The one exception is label encoding of a column
+with more than ``LITERAL_CATEGORIES`` values: its exact value -> code table
+is a checkpointed Spark table joined to the rows, so no category count is
+capped and no category list passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _FLOATING = (T.FloatType, T.DoubleType)
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _types(df: DataFrame) -> dict[str, T.DataType]:
@@ -115,61 +119,167 @@ def _sort_key(v):
     return (0, v) if isinstance(v, (int, float)) else (1, str(v))
 
 
-def fit_categories(df: DataFrame, columns: Sequence[str], max_categories: int = 10_000) -> dict[str, list]:
-    """Sorted distinct non-null values per column (numeric columns sort by
-    value, so 2 < 10).  One distinct job over (column, value) pairs; more
-    than ``max_categories`` values in a column is an error."""
-    if not columns:
-        return {}
-    types = _types(df)
+def _distinct_values(df: DataFrame, columns: Sequence[str], types) -> DataFrame:
+    """Distinct non-null (column index, value) pairs of all ``columns`` from one
+    stacked pass with partial aggregation.  ``v`` is the text form (the
+    join / map key); ``d`` and ``l`` carry the numeric order for numeric
+    columns (``l`` exact for integral types, ``d`` for the others)."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), _present(c, types[c]).cast("string").alias("v"),
-                 _present(c, types[c]).try_cast("double").alias("d"))
+                 _present(c, types[c]).try_cast("double").alias("d"),
+                 (_present(c, types[c]).cast("bigint") if isinstance(types[c], _INTEGRAL)
+                  else F.lit(None).cast("bigint")).alias("l"))
         for i, c in enumerate(columns)])).alias("s")).select("s.*").where(F.col("v").isNotNull())
-    distinct = stacked.distinct()
-    counts = {r["i"]: r["n"] for r in distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_many = [columns[i] for i, n in counts.items() if n > max_categories]
-    if too_many:
-        raise ValueError(f"more than {max_categories} categories in {too_many}")
-    out: dict[str, list] = {c: [] for c in columns}
-    for r in distinct.collect():
+    return stacked.distinct()
+
+
+def _category_lists(distinct: DataFrame, columns: Sequence[str], types, wanted) -> dict[str, list]:
+    """Collect the (bounded) distinct values of the columns indexed by ``wanted``
+    as sorted Python lists."""
+    out: dict[str, list] = {columns[i]: [] for i in wanted}
+    if not wanted:
+        return out
+    for r in distinct.where(F.col("i").isin(list(wanted))).collect():
         c = columns[r["i"]]
         dt = types[c]
         if isinstance(dt, T.BooleanType):
             out[c].append(r["v"] == "true")
         elif isinstance(dt, _NUMERIC):
-            d = r["d"]
-            out[c].append(int(d) if not isinstance(dt, _FLOATING) else d)
+            out[c].append(r["l"] if r["l"] is not None else r["d"])
         else:
             out[c].append(r["v"])
     return {c: sorted(v, key=_sort_key) for c, v in out.items()}
 
 
+def fit_categories(df: DataFrame, columns: Sequence[str], max_categories: int = 10_000) -> dict[str, list]:
+    """Sorted distinct non-null values per column (numeric columns sort by
+    value, so 2 < 10).  One distinct job over (column, value) pairs; more
+    than ``max_categories`` values in a column is an error.  The callers
+    (one-hot dummies, tree bins) produce one output column or bin per
+    category, so the cap bounds their output width, not the rows read;
+    label encoding has no such bound and uses ``fit_label_encoder``."""
+    if not columns:
+        return {}
+    types = _types(df)
+    distinct = _distinct_values(df, columns, types)
+    counts = {r["i"]: r["n"] for r in distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    too_many = [columns[i] for i, n in counts.items() if n > max_categories]
+    if too_many:
+        raise ValueError(f"more than {max_categories} categories in {too_many}")
+    return _category_lists(distinct, columns, types, range(len(columns)))
+
+
+# Columns with more distinct values than this are label-encoded through a
+# distributed dictionary table instead of a literal map in the plan.
+LITERAL_CATEGORIES = 10_000
+# Dictionaries up to this many rows are broadcast to the rows they encode.
+DICTIONARY_BROADCAST_ROWS = 1_000_000
+
+
 @dataclass
 class LabelEncoderModel:
     """L3: value -> position in the sorted category list; NULL and unseen
-    values stay NULL (or take ``unseen_code``)."""
+    values stay NULL (or take ``unseen_code``).
+
+    ``categories`` holds the lists of columns with at most
+    ``LITERAL_CATEGORIES`` values (applied as a literal map, no join).
+    ``dictionaries`` holds, for wider columns, a checkpointed table
+    (``value`` text, ``code`` int) applied with a left join; ``dictionary_rows``
+    is its size, measured at fit, which decides broadcast versus shuffle join."""
     categories: dict[str, list] = field(default_factory=dict)
     unseen_code: int | None = None
+    dictionaries: dict[str, DataFrame] = field(default_factory=dict)
+    dictionary_rows: dict[str, int] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
+        types = _types(df)
         exprs = {}
         for c, cats in self.categories.items():
             m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(i))]) if cats else None
-            code = F.element_at(m, F.col(f"`{c}`")) if m is not None else F.lit(None)
+            exprs[c] = F.element_at(m, F.col(f"`{c}`")) if m is not None else F.lit(None)
+        out = df
+        for j, (c, table) in enumerate(self.dictionaries.items()):
+            key, code = f"__lek{j}", f"__lec{j}"
+            lookup = table.select(F.col("value").alias(key), F.col("code").alias(code))
+            if self.dictionary_rows.get(c, DICTIONARY_BROADCAST_ROWS + 1) <= DICTIONARY_BROADCAST_ROWS:
+                lookup = F.broadcast(lookup)
+            # a hot value is one skewed join key: AQE splits it (left side)
+            out = out.withColumn(key, _present(c, types[c]).cast("string")).join(lookup, key, "left")
+            exprs[c] = F.col(code)
+        for c, code in exprs.items():
             if self.unseen_code is not None:
                 code = F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(code, F.lit(self.unseen_code)))
             exprs[c] = code.cast("int").alias(c + suffix)
         if suffix:
-            return df.select("*", *exprs.values())
-        return df.select(*[exprs.get(c, F.col(f"`{c}`")) for c in df.columns])
+            return out.select(*[F.col(f"`{c}`") for c in df.columns], *exprs.values())
+        return out.select(*[exprs.get(c, F.col(f"`{c}`")) for c in df.columns])
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), default=str)
+        if self.dictionaries:
+            raise ValueError("dictionary-encoded columns are tables: use save(path)")
+        return json.dumps({"categories": self.categories, "unseen_code": self.unseen_code}, default=str)
+
+    def save(self, path: str) -> None:
+        """Literal lists as JSON, each dictionary as a Parquet table."""
+        spark = next(iter(self.dictionaries.values())).sparkSession if self.dictionaries else None
+        meta = {"categories": self.categories, "unseen_code": self.unseen_code,
+                "dictionaries": {c: f"dict{j}" for j, c in enumerate(self.dictionaries)},
+                "dictionary_rows": self.dictionary_rows}
+        for j, table in enumerate(self.dictionaries.values()):
+            table.write.mode("overwrite").parquet(f"{path}/dict{j}")
+        if spark is None:
+            from pyspark.sql import SparkSession
+            spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1).write.mode(
+            "overwrite").text(f"{path}/meta")
 
-
-def fit_label_encoder(df: DataFrame, columns: Sequence[str], unseen_code: int | None = None) -> LabelEncoderModel:
-    return LabelEncoderModel(fit_categories(df, columns), unseen_code)
+    @staticmethod
+    def load(spark, path: str) -> "LabelEncoderModel":
+        meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
+        tables = {c: spark.read.parquet(f"{path}/{name}") for c, name in meta["dictionaries"].items()}
+        return LabelEncoderModel(meta["categories"], meta["unseen_code"], tables,
+                                 {c: int(n) for c, n in meta["dictionary_rows"].items()})
+
+
+def _fit_dictionary(distinct: DataFrame, i: int, numeric: bool) -> DataFrame:
+    """Exact 0-based code of every distinct value of column ``i`` in sorted
+    order (numbers by value), numbered with the skew-safe ranged
+    ``rank_within`` (no single task sees all values) and checkpointed into
+    the shared checkpoint folder, so scoring reads fixed data."""
+    from ..operators.order import rank_within
+    vals = distinct.where(F.col("i") == i).select("i", "v", "l", "d")
+    order_by = ["l", "d", "v"] if numeric else ["v"]
+    ranked = rank_within(vals, ["i"], order_by, name="__r")
+    table = ranked.select(F.col("v").alias("value"), (F.col("__r") - 1).cast("int").alias("code"))
+    return table.checkpoint(eager=True)
+
+
+def fit_label_encoder(df: DataFrame, columns: Sequence[str], unseen_code: int | None = None,
+                      literal_limit: int | None = None) -> LabelEncoderModel:
+    """L3 fit: one distinct job over all columns.  Columns with at most
+    ``literal_limit`` values become literal maps; wider ones get an exact
+    dictionary table (no cap on the number of categories)."""
+    limit = LITERAL_CATEGORIES if literal_limit is None else literal_limit
+    columns = list(columns)
+    if not columns:
+        return LabelEncoderModel({}, unseen_code)
+    types = _types(df)
+    distinct = _distinct_values(df, columns, types).persist()
+    try:
+        counts = {r["i"]: r["n"] for r in distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+        small = [i for i in range(len(columns)) if counts.get(i, 0) <= limit]
+        cats = _category_lists(distinct, columns, types, small)
+        dicts, sizes = {}, {}
+        for i in range(len(columns)):
+            if i in small:
+                continue
+            c = columns[i]
+            dicts[c] = _fit_dictionary(distinct, i, isinstance(types[c], _NUMERIC))
+            sizes[c] = int(counts[i])
+        ordered = {c: cats[c] for c in columns if c in cats}
+        return LabelEncoderModel(ordered, unseen_code, dicts, sizes)
+    finally:
+        distinct.unpersist()
 
 
 def _dummy_name(c: str, v) -> str:

@@ -43,6 +43,18 @@ def q_label_encode(spark, d):
     return features.fit_label_encoder(o, ["o_orderpriority"]).transform(o)
 
 
+@register("label_encode_wide", """SELECT l_orderkey AS orderkey, l_linenumber,
+  CAST(dense_rank() OVER (ORDER BY l_orderkey) - 1 AS INTEGER) AS l_orderkey,
+  CAST(dense_rank() OVER (ORDER BY l_partkey) - 1 AS INTEGER) AS l_partkey FROM lineitem""")
+def q_label_encode_wide(spark, d):
+    """L3 on every lineitem row: ``l_orderkey`` has more values than
+    ``features.LITERAL_CATEGORIES`` (from sf0.01 up), so it is encoded
+    through the exact dictionary table; ``l_partkey`` stays a literal map."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_linenumber",
+                                            "l_orderkey", "l_partkey")
+    return features.fit_label_encoder(li, ["l_orderkey", "l_partkey"]).transform(li)
+
+
 @register("one_hot", """SELECT o_orderkey,
   CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS o_orderstatus_O,
   CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END::DOUBLE AS o_orderstatus_P FROM orders""")

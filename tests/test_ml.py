@@ -30,6 +30,34 @@ def test_label_encode_numeric_order_and_unseen(spark):
     assert [r[0] for r in features.fit_label_encoder(train, ["c"], unseen_code=9).transform(score).collect()] == [1, 9, None]
 
 
+def test_label_encode_dictionary_path_equals_literal_path(spark):
+    """Past the literal limit, codes come from the ranged dictionary table;
+    they must equal the literal-map codes, also with a hot value holding a
+    third of the rows, NULLs, numeric order (2 < 10) and unseen values."""
+    rows = [(i, i % 37 if i % 3 else 5, None if i % 11 == 0 else f"s{i % 23}") for i in range(600)]
+    train = spark.createDataFrame(rows, "id long, n int, s string")
+    lit_enc = features.fit_label_encoder(train, ["n", "s"])
+    dict_enc = features.fit_label_encoder(train, ["n", "s"], literal_limit=3)
+    assert not lit_enc.dictionaries and set(dict_enc.dictionaries) == {"n", "s"}
+    assert dict_enc.dictionary_rows == {"n": 37, "s": 23}
+    want = sorted(lit_enc.transform(train).collect())
+    assert sorted(dict_enc.transform(train).collect()) == want
+    score = spark.createDataFrame([(1, 10, "s3"), (2, 99, "zz"), (3, None, None)], "id long, n int, s string")
+    got = {r["id"]: (r["n"], r["s"]) for r in
+           features.fit_label_encoder(train, ["n", "s"], unseen_code=-1, literal_limit=3).transform(score).collect()}
+    assert got == {1: (lit_enc.categories["n"].index(10), lit_enc.categories["s"].index("s3")),
+                   2: (-1, -1), 3: (None, None)}
+
+
+def test_label_encoder_save_load(spark, tmp_path):
+    train = spark.createDataFrame([(i, f"v{i % 7}") for i in range(50)], "id long, s string")
+    enc = features.fit_label_encoder(train, ["id", "s"], literal_limit=10)
+    assert set(enc.dictionaries) == {"id"} and enc.categories["s"][0] == "v0"
+    enc.save(str(tmp_path / "enc"))
+    back = features.LabelEncoderModel.load(spark, str(tmp_path / "enc"))
+    assert sorted(back.transform(train).collect()) == sorted(enc.transform(train).collect())
+
+
 def test_one_hot_and_align(spark):
     train = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "s string, x double")
     lf = features.fit_linear_features(train, ["s", "x"])
