@@ -34,7 +34,11 @@ from ..session import scratch_path
 # installed: ship this module's functions with the task by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_ATTRIBUTION_DEPTH = 8
+# Leaves whose path uses at most this many distinct features get their
+# Shapley table for all 2^d condition patterns once per worker; deeper
+# leaves (Spark trees reach depth 30) are solved exactly for the patterns
+# that occur in each batch, so no depth is refused.
+FULL_TABLE_DEPTH = 8
 
 
 def feature_importance(model, names: Sequence[str], top: int = 20) -> DataFrame:
@@ -125,17 +129,17 @@ def _leaves(tree: dict, weight: float) -> list[tuple]:
     return out
 
 
-def _shapley_table(b: np.ndarray) -> np.ndarray:
-    """Shapley values of the product game for every 0/1 pattern of met
-    conditions: table[pattern, i] for the game v(S) = prod_{f in S} a_f
-    prod_{f not in S} b_f."""
+def _shapley_rows(b: np.ndarray, pats: np.ndarray) -> np.ndarray:
+    """Shapley values of the product game for the given 0/1 patterns of met
+    conditions: rows[k, i] for pattern pats[k] and the game
+    v(S) = prod_{f in S} a_f prod_{f not in S} b_f.  O(len(pats) d^2)."""
     d = len(b)
-    pats = np.arange(2 ** d)
-    a = ((pats[:, None] >> np.arange(d)[None, :]) & 1).astype(float)  # (P, d)
+    n = len(pats)
+    a = ((pats[:, None] >> np.arange(d)[None, :]) & 1).astype(float)  # (n, d)
     w = np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
-    table = np.zeros((2 ** d, d))
+    rows = np.zeros((n, d))
     for i in range(d):
-        coef = np.zeros((2 ** d, d))  # polynomial coefficients in z of prod_{f != i} (b_f + a_f z)
+        coef = np.zeros((n, d))  # polynomial coefficients in z of prod_{f != i} (b_f + a_f z)
         coef[:, 0] = 1.0
         for f in range(d):
             if f == i:
@@ -143,8 +147,13 @@ def _shapley_table(b: np.ndarray) -> np.ndarray:
             shifted = np.zeros_like(coef)
             shifted[:, 1:] = coef[:, :-1] * a[:, f:f + 1]
             coef = coef * b[f] + shifted
-        table[:, i] = (a[:, i] - b[i]) * (coef @ w)
-    return table
+        rows[:, i] = (a[:, i] - b[i]) * (coef @ w)
+    return rows
+
+
+def _shapley_table(b: np.ndarray) -> np.ndarray:
+    """``_shapley_rows`` for every one of the 2^d patterns."""
+    return _shapley_rows(b, np.arange(2 ** len(b), dtype=np.int64))
 
 
 def _met(x: np.ndarray, cond: dict) -> np.ndarray:
@@ -169,10 +178,7 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
         raise ValueError("tree attribution needs a single boosted ensemble (regression or binary classification)")
     trees, weights = _gbt_trees(model)
     leaves = [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, w)]
-    depth = max((len(lf[1]) for lf in leaves), default=0)
-    if depth > MAX_ATTRIBUTION_DEPTH:
-        raise ValueError(f"paths use {depth} distinct features; attribution supports at most "
-                         f"{MAX_ATTRIBUTION_DEPTH}")
+    full_depth = FULL_TABLE_DEPTH
     base = float(sum(v * float(np.prod(r)) for v, _, _, r in leaves))
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(leaves)
@@ -191,13 +197,17 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
             for li, (value, fidx, conds, ratios) in enumerate(lv):
                 if not fidx:
                     continue
-                t = tables.get(li)
-                if t is None:
-                    t = tables[li] = _shapley_table(ratios)
                 pattern = np.zeros(len(pdf), dtype=np.int64)
                 for j, (f, c) in enumerate(zip(fidx, conds)):
                     pattern |= _met(x[:, f], c).astype(np.int64) << j
-                out[:, fidx] += value * t[pattern]
+                if len(fidx) <= full_depth:
+                    t = tables.get(li)
+                    if t is None:
+                        t = tables[li] = _shapley_table(ratios)
+                    out[:, fidx] += value * t[pattern]
+                else:
+                    seen, where = np.unique(pattern, return_inverse=True)
+                    out[:, fidx] += value * _shapley_rows(ratios, seen)[where.reshape(-1)]
             res = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
             for j, n in enumerate(names):
                 res[n] = out[:, j]

@@ -153,6 +153,30 @@ def test_tree_attribution_exact(spark):
         assert base == pytest.approx(att.loc[rid, "base_value"])
 
 
+def test_tree_attribution_deep_paths_use_seen_patterns(spark, monkeypatch):
+    """Paths deeper than the full-table depth are solved per seen pattern;
+    the result must equal the full-table path."""
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet").withColumn("rid", F.monotonically_increasing_id())
+    feats = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"]
+    model, state = models.fit_gbt(li, feats, "l_extendedprice", "regression",
+                                  {"n_estimators": 3, "max_depth": 6}, categoricals=["l_returnflag"])
+    x = state.transform(li, keep=["rid"])
+    full = explain.tree_attribution(x, model, state.columns(), keep=["rid"]).toPandas().set_index("rid").sort_index()
+    monkeypatch.setattr(explain, "FULL_TABLE_DEPTH", 1)
+    deep = explain.tree_attribution(x, model, state.columns(), keep=["rid"]).toPandas().set_index("rid").sort_index()
+    assert np.allclose(full.to_numpy(), deep.to_numpy(), atol=1e-9)
+
+
+def test_shapley_rows_match_table_and_efficiency():
+    b = np.array([0.3, 0.6, 0.5, 0.9, 0.2, 0.7, 0.4, 0.8, 0.35, 0.55])
+    pats = np.array([0, 5, 511, 1023, 700], dtype=np.int64)
+    rows = explain._shapley_rows(b, pats)
+    assert np.allclose(rows, _shapley_table(b)[pats])
+    for k, pat in enumerate(pats):
+        a = [(int(pat) >> j) & 1 for j in range(len(b))]
+        assert rows[k].sum() == pytest.approx(np.prod(a) - np.prod(b))
+
+
 def test_shapley_table_efficiency():
     b = np.array([0.3, 0.6, 0.5])
     t = _shapley_table(b)
