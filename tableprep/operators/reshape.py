@@ -148,20 +148,15 @@ def pivot_values(df: DataFrame, column: str, max_values: int = 10_000) -> list:
     rows = (df.where(F.col(column).isNotNull()).select(column).distinct()
             .orderBy(column).limit(max_values + 1).collect())
     if len(rows) > max_values:
-        raise ValueError(f"pivot column {column!r} has more than {max_values} distinct values")
+        raise ValueError(f"pivot column {column!r} has more than {max_values} distinct values: "
+                         "use pivot_cells for the long (index, column, value) form")
     return [r[0] for r in rows]
 
 
-def pivot_table(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "mean",
-                column_values: Sequence | None = None, max_values: int = 10_000) -> DataFrame:
-    """A2: index x columns table of one aggregate.
-
-    Two phases: ``groupBy(index, columns)`` (partial + final aggregation,
-    skew-safe) then a pivot of that one-row-per-cell table.  NULL keys are
-    dropped (D5).  For mean / min / max, cells, index rows and column values
-    with no non-null value vanish; for sum / count an all-missing cell is 0
-    and an absent combination is NULL (D26).
-    """
+def pivot_cells(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "mean") -> DataFrame:
+    """A2 in long form: one row per (index, column value) cell, with the
+    pivot's NULL rules (D5, D26).  Exact for any number of column values;
+    ``pivot_table`` spreads these cells into one column per value."""
     if aggfunc not in PIVOT_FUNCTIONS:
         raise ValueError(f"unknown pivot aggregate {aggfunc!r}; choose one of {PIVOT_FUNCTIONS}")
     dt = _dtype(df, values)
@@ -178,6 +173,21 @@ def pivot_table(df: DataFrame, index: str, columns: str, values: str, aggfunc: s
         "min": F.min(v),
         "max": F.max(v),
     }[aggfunc]
-    cells = keyed.groupBy(index, columns).agg(cell.alias("__cell"))
+    return keyed.groupBy(index, columns).agg(cell.alias("__cell"))
+
+
+def pivot_table(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "mean",
+                column_values: Sequence | None = None, max_values: int = 10_000) -> DataFrame:
+    """A2: index x columns table of one aggregate.
+
+    Two phases: ``groupBy(index, columns)`` (partial + final aggregation,
+    skew-safe) then a pivot of that one-row-per-cell table.  NULL keys are
+    dropped (D5).  For mean / min / max, cells, index rows and column values
+    with no non-null value vanish; for sum / count an all-missing cell is 0
+    and an absent combination is NULL (D26).  The output has one column per
+    value, so more than ``max_values`` values is an error (the long form,
+    ``pivot_cells``, has no such bound).
+    """
+    cells = pivot_cells(df, index, columns, values, aggfunc)
     vals = list(column_values) if column_values is not None else pivot_values(cells, columns, max_values)
     return cells.groupBy(index).pivot(columns, vals).agg(F.first("__cell"))

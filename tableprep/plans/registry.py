@@ -474,6 +474,16 @@ for _fn in ("mean", "sum", "count", "min", "max"):
     register(f"pivot_{_fn}", _pivot_sql(_fn))(_pivot_query(_fn))
 
 
+@register("pivot_long", f"""SELECT l_returnflag, l_partkey, round(coalesce(sum(l_quantity), 0), {R}) AS value
+  FROM {LINEITEM_MASKED_SQL} t WHERE l_returnflag IS NOT NULL AND l_partkey IS NOT NULL
+  GROUP BY l_returnflag, l_partkey""")
+def q_pivot_long(spark, d):
+    """A2 long form over a column with more values than a wide pivot allows
+    (20,000 part keys at sf0.1): one row per (index, column value) cell."""
+    out = reshape.pivot_cells(lineitem_masked(spark, d), "l_returnflag", "l_partkey", "l_quantity", "sum")
+    return out.select("l_returnflag", "l_partkey", rnd("__cell", "value"))
+
+
 # ---------------------------------------------------------------- profile
 
 _LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",

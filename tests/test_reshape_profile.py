@@ -37,6 +37,13 @@ def test_pivot_null_rules(sales):
     assert sm == {"a": (1.0, 0.0), "b": (8.0, None), "c": (None, 0.0)}
 
 
+def test_pivot_long_form_and_width_guard(sales):
+    long = {(r["k"], r["c"]): r["__cell"] for r in reshape.pivot_cells(sales, "k", "c", "v", "count").collect()}
+    assert long == {("a", "x"): 1, ("a", "y"): 0, ("b", "x"): 2, ("c", "y"): 0}
+    with pytest.raises(ValueError, match="pivot_cells"):
+        reshape.pivot_table(sales, "k", "c", "v", "count", max_values=1)
+
+
 def test_filter_sort_head(sales):
     assert reshape.filter_rows(sales, "  ").count() == 6
     assert reshape.filter_rows(sales, "v > 2").count() == 3
