@@ -35,3 +35,18 @@ def test_stream_prep_and_score(spark, tmp_path):
     batch = spark.read.parquet(src).where("l_quantity > 10")
     assert got.count() == batch.count()
     assert got.columns == ["l_orderkey", "predicted_l_extendedprice"]
+
+
+def test_dictionary_label_encoder_on_stream(spark, tmp_path):
+    """The wide-column encoder is a stream-static left join: a stream gets
+    the same codes as the batch table."""
+    o = spark.read.parquet(f"{SF001}/orders.parquet").select("o_orderkey", "o_custkey")
+    enc = features.fit_label_encoder(o, ["o_custkey"], literal_limit=10)
+    assert set(enc.dictionaries) == {"o_custkey"}
+    src = str(tmp_path / "orders")
+    o.write.parquet(src)
+    stream = spark.readStream.schema(o.schema).parquet(src)
+    q = enc.transform(stream).writeStream.format("memory").queryName("encoded_stream").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(spark.table("encoded_stream").collect()) == sorted(enc.transform(o).collect())
