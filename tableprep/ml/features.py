@@ -241,16 +241,24 @@ class LabelEncoderModel:
                                  {c: int(n) for c, n in meta["dictionary_rows"].items()})
 
 
-def _fit_dictionary(distinct: DataFrame, i: int, numeric: bool) -> DataFrame:
-    """Exact 0-based code of every distinct value of column ``i`` in sorted
-    order (numbers by value), numbered with the skew-safe ranged
-    ``rank_within`` (no single task sees all values) and checkpointed into
-    the shared checkpoint folder, so scoring reads fixed data."""
+def _fit_dictionaries(distinct: DataFrame, wide: Sequence[int], n_values: int, types,
+                      columns: Sequence[str]) -> DataFrame:
+    """Exact 0-based code of every distinct value of the ``wide`` columns in
+    sorted order (numbers by value), all columns numbered together by the
+    skew-safe ranged ``rank_within`` grouped by column (no single task sees
+    all values), and checkpointed into the shared checkpoint folder, so
+    scoring reads fixed data.  Rows: (i, value, code)."""
     from ..operators.order import rank_within
-    vals = distinct.where(F.col("i") == i).select("i", "v", "l", "d")
-    order_by = ["l", "d", "v"] if numeric else ["v"]
-    ranked = rank_within(vals, ["i"], order_by, name="__r")
-    table = ranked.select(F.col("v").alias("value"), (F.col("__r") - 1).cast("int").alias("code"))
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(distinct.sparkSession)
+    numeric = [i for i in wide if isinstance(types[columns[i]], _NUMERIC)]
+    # text columns order by the text; numeric ones by value (l exact for
+    # integers, d otherwise), with the text only as a final tiebreak
+    vals = distinct.where(F.col("i").isin(list(wide))).select(
+        "i", "v", F.when(F.col("i").isin(numeric), F.col("l")).alias("l"),
+        F.when(F.col("i").isin(numeric), F.col("d")).alias("d"))
+    ranked = rank_within(vals, ["i"], ["l", "d", "v"], name="__r", n_rows=n_values)
+    table = ranked.select("i", F.col("v").alias("value"), (F.col("__r") - 1).cast("int").alias("code"))
     return table.checkpoint(eager=True)
 
 
@@ -270,12 +278,12 @@ def fit_label_encoder(df: DataFrame, columns: Sequence[str], unseen_code: int |
         small = [i for i in range(len(columns)) if counts.get(i, 0) <= limit]
         cats = _category_lists(distinct, columns, types, small)
         dicts, sizes = {}, {}
-        for i in range(len(columns)):
-            if i in small:
-                continue
-            c = columns[i]
-            dicts[c] = _fit_dictionary(distinct, i, isinstance(types[c], _NUMERIC))
-            sizes[c] = int(counts[i])
+        wide = [i for i in range(len(columns)) if i not in small]
+        if wide:
+            table = _fit_dictionaries(distinct, wide, sum(counts[i] for i in wide), types, columns)
+            for i in wide:
+                dicts[columns[i]] = table.where(F.col("i") == i).select("value", "code")
+                sizes[columns[i]] = int(counts[i])
         ordered = {c: cats[c] for c in columns if c in cats}
         return LabelEncoderModel(ordered, unseen_code, dicts, sizes)
     finally:

@@ -364,7 +364,8 @@ def sequential_index_report(df: DataFrame, columns: Sequence[str], order_by: Seq
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str = "rank",
-                size_name: str | None = None, n_buckets: int | None = None) -> DataFrame:
+                size_name: str | None = None, n_buckets: int | None = None,
+                n_rows: int | None = None) -> DataFrame:
     """1-based dense position of every row inside its ``keys`` group along
     ``order_by`` (``row_number() over (partition by keys order by ...)``),
     and optionally the group size.
@@ -372,10 +373,11 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], nam
     Skew-safe: the buckets range over (keys, order, rest), so one group
     holding a third of the rows is numbered by many tasks; the offset of a
     bucket inside its group is a prefix sum on a table with one row per
-    (bucket, key).
+    (bucket, key).  ``n_rows`` (the row count, when the caller knows it)
+    saves the counting job.
     """
     keys = list(keys)
-    bk = range_buckets(df, lead_columns(df, order_by, keys), None, n_buckets)
+    bk = range_buckets(df, lead_columns(df, order_by, keys), n_rows, n_buckets)
     b = bk.apply(df)
     key = bk.key
     local = b.withColumn("__p", F.row_number().over(Window.partitionBy(*bk.partition_cols, *keys).orderBy(key)))
