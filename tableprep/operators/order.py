@@ -117,15 +117,23 @@ class Buckets:
         return out.repartition(parts, "__pkey")
 
 
+# parts -> keys; Spark's hash (Murmur3, fixed seed) makes them a pure
+# function of the partition count, so each count is searched once.
+_KEYS_BY_PARTS: dict[int, list[int]] = {}
+
+
 def _partition_keys(spark, parts: int) -> list[int]:
     """For p in 0..parts-1 the smallest non-negative long k with
     pmod(hash(k), parts) = p: a key that hash partitioning sends to p."""
+    if parts in _KEYS_BY_PARTS:
+        return list(_KEYS_BY_PARTS[parts])
     cand = spark.range(0, 64 * parts).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p"))
     found = {r["p"]: r["k"] for r in cand.groupBy("p").agg(F.min("id").alias("k")).collect()}
     missing = [p for p in range(parts) if p not in found]
     if missing:
         raise RuntimeError(f"no partition key found for partitions {missing[:5]}")
-    return [int(found[p]) for p in range(parts)]
+    _KEYS_BY_PARTS[parts] = [int(found[p]) for p in range(parts)]
+    return list(_KEYS_BY_PARTS[parts])
 
 
 def _search(df: DataFrame, key: Column, bounds: Column, m: int, out: str) -> DataFrame:
