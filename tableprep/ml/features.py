@@ -172,8 +172,10 @@ def fit_categories(df: DataFrame, columns: Sequence[str], max_categories: int =
 # Columns with more distinct values than this are label-encoded through a
 # distributed dictionary table instead of a literal map in the plan.
 LITERAL_CATEGORIES = 10_000
-# Dictionaries up to this many rows are broadcast to the rows they encode.
+# Dictionaries up to this many rows and this many value bytes (both
+# measured at fit) are broadcast to the rows they encode.
 DICTIONARY_BROADCAST_ROWS = 1_000_000
+DICTIONARY_BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
@@ -185,11 +187,19 @@ class LabelEncoderModel:
     ``LITERAL_CATEGORIES`` values (applied as a literal map, no join).
     ``dictionaries`` holds, for wider columns, a checkpointed table
     (``value`` text, ``code`` int) applied with a left join; ``dictionary_rows``
-    is its size, measured at fit, which decides broadcast versus shuffle join."""
+    and ``dictionary_bytes`` are its size (rows, total value bytes), measured
+    at fit, which decide broadcast versus shuffle join."""
     categories: dict[str, list] = field(default_factory=dict)
     unseen_code: int | None = None
     dictionaries: dict[str, DataFrame] = field(default_factory=dict)
     dictionary_rows: dict[str, int] = field(default_factory=dict)
+    dictionary_bytes: dict[str, int] = field(default_factory=dict)
+
+    def _broadcastable(self, c: str) -> bool:
+        rows = self.dictionary_rows.get(c)
+        size = self.dictionary_bytes.get(c)
+        return (rows is not None and size is not None and rows <= DICTIONARY_BROADCAST_ROWS
+                and size <= DICTIONARY_BROADCAST_BYTES)
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         types = _types(df)
@@ -201,7 +211,7 @@ class LabelEncoderModel:
         for j, (c, table) in enumerate(self.dictionaries.items()):
             key, code = f"__lek{j}", f"__lec{j}"
             lookup = table.select(F.col("value").alias(key), F.col("code").alias(code))
-            if self.dictionary_rows.get(c, DICTIONARY_BROADCAST_ROWS + 1) <= DICTIONARY_BROADCAST_ROWS:
+            if self._broadcastable(c):
                 lookup = F.broadcast(lookup)
             # a hot value is one skewed join key: AQE splits it (left side)
             out = out.withColumn(key, _present(c, types[c]).cast("string")).join(lookup, key, "left")
@@ -224,7 +234,7 @@ class LabelEncoderModel:
         spark = next(iter(self.dictionaries.values())).sparkSession if self.dictionaries else None
         meta = {"categories": self.categories, "unseen_code": self.unseen_code,
                 "dictionaries": {c: f"dict{j}" for j, c in enumerate(self.dictionaries)},
-                "dictionary_rows": self.dictionary_rows}
+                "dictionary_rows": self.dictionary_rows, "dictionary_bytes": self.dictionary_bytes}
         for j, table in enumerate(self.dictionaries.values()):
             table.write.mode("overwrite").parquet(f"{path}/dict{j}")
         if spark is None:
@@ -238,7 +248,8 @@ class LabelEncoderModel:
         meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
         tables = {c: spark.read.parquet(f"{path}/{name}") for c, name in meta["dictionaries"].items()}
         return LabelEncoderModel(meta["categories"], meta["unseen_code"], tables,
-                                 {c: int(n) for c, n in meta["dictionary_rows"].items()})
+                                 {c: int(n) for c, n in meta["dictionary_rows"].items()},
+                                 {c: int(n) for c, n in meta.get("dictionary_bytes", {}).items()})
 
 
 def _fit_dictionaries(distinct: DataFrame, wide: Sequence[int], n_values: int, types,
@@ -274,18 +285,22 @@ def fit_label_encoder(df: DataFrame, columns: Sequence[str], unseen_code: int |
     types = _types(df)
     distinct = _distinct_values(df, columns, types).persist()
     try:
-        counts = {r["i"]: r["n"] for r in distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sized = distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("v")).alias("b"))
+        counts, nbytes = {}, {}
+        for r in sized.collect():
+            counts[r["i"]], nbytes[r["i"]] = r["n"], r["b"] or 0
         small = [i for i in range(len(columns)) if counts.get(i, 0) <= limit]
         cats = _category_lists(distinct, columns, types, small)
-        dicts, sizes = {}, {}
+        dicts, sizes, byte_sizes = {}, {}, {}
         wide = [i for i in range(len(columns)) if i not in small]
         if wide:
             table = _fit_dictionaries(distinct, wide, sum(counts[i] for i in wide), types, columns)
             for i in wide:
                 dicts[columns[i]] = table.where(F.col("i") == i).select("value", "code")
                 sizes[columns[i]] = int(counts[i])
+                byte_sizes[columns[i]] = int(nbytes[i])
         ordered = {c: cats[c] for c in columns if c in cats}
-        return LabelEncoderModel(ordered, unseen_code, dicts, sizes)
+        return LabelEncoderModel(ordered, unseen_code, dicts, sizes, byte_sizes)
     finally:
         distinct.unpersist()
 

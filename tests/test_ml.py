@@ -49,6 +49,29 @@ def test_label_encode_dictionary_path_equals_literal_path(spark):
                    2: (-1, -1), 3: (None, None)}
 
 
+def test_label_encode_dictionary_shuffle_join(spark, monkeypatch):
+    """Above the broadcast bound the dictionary is a shuffle join; a hot
+    value holding a third of the rows gets the same codes."""
+    rows = [(i, 7 if i % 3 == 0 else i % 101) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k long")
+    want = sorted(features.fit_label_encoder(df, ["k"]).transform(df).collect())
+    enc = features.fit_label_encoder(df, ["k"], literal_limit=5)
+    assert enc.dictionary_rows == {"k": 101} and enc.dictionary_bytes["k"] > 0 and enc._broadcastable("k")
+    monkeypatch.setattr(features, "DICTIONARY_BROADCAST_BYTES", 10)
+    assert not enc._broadcastable("k")
+    # Spark's own size-based broadcast off too: the join must shuffle
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = enc.transform(df)
+        got = sorted(out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+    assert got == want
+
+
 def test_label_encoder_save_load(spark, tmp_path):
     train = spark.createDataFrame([(i, f"v{i % 7}") for i in range(50)], "id long, s string")
     enc = features.fit_label_encoder(train, ["id", "s"], literal_limit=10)
