@@ -18,22 +18,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-# Largest group table that is broadcast to the rows.
+# Largest group table that is broadcast to the rows: rows and bytes.
 BROADCAST_GROUP_LIMIT = 200_000
+BROADCAST_GROUP_BYTES = 64 << 20
 
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
-def _join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int) -> DataFrame:
+
+def _join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int,
+                small_bytes: int) -> DataFrame:
     """Join ``small`` (a per-group table) onto ``big``; broadcast only when its
-    row count, which the caller measured, is under the limit."""
+    row count and byte size, which the caller measured, are under the limits
+    (otherwise a shuffle join, which AQE may still turn into a broadcast
+    from the runtime size)."""
     if not keys:
         raise ValueError("per-group join needs keys")
-    if small_rows <= BROADCAST_GROUP_LIMIT:
+    if small_rows <= BROADCAST_GROUP_LIMIT and small_bytes <= BROADCAST_GROUP_BYTES:
         return big.join(F.broadcast(small), keys)
     return big.join(small, keys)
 
 
+def _group_table_size(stats: DataFrame, keys: Sequence[str], row_bytes: int) -> tuple[int, int]:
+    """(groups, bytes) of a per-group table: fixed-width keys count 8 bytes,
+    variable-width keys their measured text length."""
+    types = {f.name: f.dataType for f in stats.schema.fields}
+    var = [c for c in keys if not isinstance(types[c], _FIXED)]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.octet_length(F.col(c).cast("string"))).alias(f"b{i}")
+                                             for i, c in enumerate(var)]
+    r = stats.agg(*aggs).collect()[0]
+    n = int(r["n"])
+    var_bytes = sum(int(r[f"b{i}"] or 0) for i in range(len(var)))
+    return n, n * (row_bytes + 8 * (len(keys) - len(var))) + var_bytes
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = 10_000,
                     names: Sequence[str] | None = None, max_candidates: int = 100_000,
@@ -102,14 +122,15 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     state = state.select(*g, "__n", "i", "j0", "j1", "frac",
                          *_bracket(F.lit(0), F.col("__n"), F.lit(-inf), F.lit(inf), small, grid))
     stats = stats.persist()
-    n_groups = stats.count()
+    # the bracket state per group: k targets of (index, lo, hi) plus overhead
+    n_groups, group_bytes = _group_table_size(stats, g, 32 * k + 64)
     state = state.persist()
     sizes = state.agg(F.count_if(F.col("__n") > max_candidates).alias("big"), F.max("__n").alias("top")).collect()[0]
     n_big, top = sizes["big"], sizes["top"] or 0
 
     def with_state(rows: DataFrame, st: DataFrame, fields) -> DataFrame:
         arr = st.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("i", *fields))).alias("__br"))
-        return _join_small(rows, arr, g, n_groups)
+        return _join_small(rows, arr, g, n_groups, group_bytes)
 
     if top <= max_candidates * grid // 8:
         # A first bracket spans about five grid steps (5n/grid values) plus the

@@ -50,6 +50,11 @@ BROADCAST_ROWS = 1_000_000
 ORDER_SEED = 17
 
 
+def _fixed_width(dt: T.DataType) -> bool:
+    """Values of this type take a bounded number of bytes."""
+    return isinstance(dt, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def _orderable(dt: T.DataType) -> bool:
     if isinstance(dt, T.MapType) or isinstance(dt, T.VariantType if hasattr(T, "VariantType") else ()):
         return False
@@ -216,8 +221,13 @@ def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
     return Buckets(lead, rest, bounds_df, len(seen), parts)
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, on: list[str], carry_rows: int) -> DataFrame:
-    if carry_rows <= BROADCAST_ROWS:
+# ... and up to this many bytes (measured or bounded by type).
+BROADCAST_BYTES = 64 << 20
+
+
+def _join_carry(rows: DataFrame, carry: DataFrame, on: list[str], carry_rows: int,
+                carry_bytes: int) -> DataFrame:
+    if carry_rows <= BROADCAST_ROWS and carry_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(carry), on, "left")
     return rows.join(carry, on, "left")
 
@@ -265,10 +275,12 @@ def _add_file_order_index(df: DataFrame, name: str, start: int) -> DataFrame:
         raise ValueError("file-order numbering needs a DataFrame read from files; pass order_by") from exc
     blocks = marked.groupBy("__fp", "__fs").agg(F.count(F.lit(1)).alias("__c"), F.min("__m").alias("__m0"))
     blocks = blocks.persist()
-    n_blocks = blocks.count()
+    size = blocks.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("__fp")).alias("w")).collect()[0]
+    n_blocks = size["n"]
+    # per block: the path, the split start, the first id and the offset
     offsets = blocks.select("__fp", "__fs", "__m0", F.coalesce(F.sum("__c").over(
         Window.orderBy("__fp", "__fs").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    joined = _join_carry(marked, offsets, ["__fp", "__fs"], n_blocks)
+    joined = _join_carry(marked, offsets, ["__fp", "__fs"], n_blocks, n_blocks * ((size["w"] or 0) + 24))
     out = joined.withColumn(name, (F.col("__off") + F.col("__m") - F.col("__m0") + F.lit(start)).cast("bigint"))
     return out.select(name, *df.columns)
 
@@ -313,10 +325,14 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     wc = wc.rowsBetween(Window.unboundedPreceding, -1) if fwd else wc.rowsBetween(1, Window.unboundedFollowing)
     carry = edges.select("__b", *keys, *[pick(F.col(f"__e{i}"), ignorenulls=True).over(wc).alias(f"__k{i}")
                                          for i in range(len(cols))])
-    # Without keys the carry table has one row per bucket: broadcast.  With
-    # keys it has one row per (bucket, key); AQE picks a broadcast from its
-    # runtime size or keeps the shuffle join (skew-join handling on).
-    joined = local.join(F.broadcast(carry) if not keys else carry, ["__b", *keys], "left")
+    # Without keys the carry table has one row per bucket (at most
+    # MAX_BUCKETS); when the filled columns are fixed-width its bytes are
+    # bounded too and it is broadcast.  With keys (one row per bucket and
+    # key) or variable-width values (long text), AQE picks a broadcast from
+    # its runtime size or keeps the shuffle join (skew-join handling on).
+    types = {f.name: f.dataType for f in df.schema.fields}
+    bounded = not keys and all(_fixed_width(types[c]) for c in cols)
+    joined = local.join(F.broadcast(carry) if bounded else carry, ["__b", *keys], "left")
     filled = {c: F.coalesce(F.col(c), F.col(f"__l{i}"), F.col(f"__k{i}")).alias(c) for i, c in enumerate(cols)}
     return joined.select(*[filled.get(c, F.col(c)) for c in df.columns])
 
