@@ -50,3 +50,21 @@ def test_mode_smallest_on_tie(spark):
     assert mode_of(df, "c").collect()[0]["mode"] == "a"
     grouped = spark.createDataFrame([(1, 3), (1, 2), (1, 3), (2, 5)], "g int, v int")
     assert {r["g"]: r["mode"] for r in mode_of(grouped, "v", ["g"]).collect()} == {1: 3, 2: 5}
+
+
+def test_exact_quantiles_state_over_byte_bound(spark, monkeypatch):
+    """Per-group state wider than the byte bound is shuffle-joined, not
+    broadcast; long text keys are measured, and the answer is unchanged."""
+    from tableprep.functions import stats
+    keys = ["k" * 300 + str(i % 4) for i in range(400)]
+    vals = [float((i * 37) % 101) for i in range(400)]
+    df = spark.createDataFrame(list(zip(keys, vals)), "k string, v double")
+    st = df.groupBy("k").count()
+    n, size = stats._group_table_size(st, ["k"], 96)
+    assert n == 4 and size >= 4 * 301
+    monkeypatch.setattr(stats, "BROADCAST_GROUP_BYTES", 10)
+    got = {r["k"]: (r["q0"], r["q1"]) for r in
+           exact_quantiles(df, "v", [0.25, 0.5], ["k"], max_candidates=10).collect()}
+    pdf = pd.DataFrame({"k": keys, "v": vals})
+    for k, grp in pdf.groupby("k"):
+        assert got[k] == pytest.approx((grp["v"].quantile(0.25), grp["v"].quantile(0.5)))
