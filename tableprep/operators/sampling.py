@@ -9,6 +9,7 @@ of the same rows, makes exactly the same choice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -23,18 +24,43 @@ def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-# Up to this many rows a sample is a top-k (each task keeps n rows, one task
-# merges); beyond it the rows are numbered by hash with range buckets.
+# Up to this many rows a sample can be a top-k (each task keeps n rows, one
+# task merges them); beyond it the rows are numbered by hash with range
+# buckets.
 TOP_K_LIMIT = 100_000
+# A top-k's merge task receives every partition's local top n: allowed only
+# while partitions x n (or the candidate count) stays below this.
+TOP_K_MERGE_ROWS = 2_000_000
 
 
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
     """The ``n`` rows with the smallest hashes of the key, repeatable and
-    independent of partitioning."""
+    independent of partitioning.
+
+    With many partitions the candidates are cut first: hashes are uniform,
+    so the ``n`` smallest lie below a 32-bit threshold near ``n / rows`` of
+    the range.  Rows under a threshold are a prefix of the sample order, so
+    keeping them (with a 5-sigma margin, widened until at least ``n`` pass)
+    loses nothing; only those candidates are ranked."""
     n = int(n)
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(hash_hex(key_cols, seed), *key_cols).limit(n)
-    keyed = df.withColumn("__sample_hash", hash_hex(key_cols, seed))
+    order = [hash_hex(key_cols, seed), *key_cols]
+    parts = df.rdd.getNumPartitions()
+    if n <= TOP_K_LIMIT and n * parts <= TOP_K_MERGE_ROWS:
+        return df.orderBy(*order).limit(n)
+    total = df.count()
+    if n >= total:
+        return df
+    frac = n / total + 5.0 * math.sqrt(n) / total
+    while True:
+        frac = min(frac, 1.0)
+        cand = df.where(hash_u32(key_cols, seed) < F.lit(int(math.ceil(frac * 2 ** 32))))
+        m = cand.count() if frac < 1.0 else total
+        if m >= n or frac >= 1.0:
+            break
+        frac *= 2
+    if n <= TOP_K_LIMIT and min(m, n * parts) <= TOP_K_MERGE_ROWS:
+        return cand.orderBy(*order).limit(n)
+    keyed = cand.withColumn("__sample_hash", order[0])
     ranked = add_row_index(keyed, ["__sample_hash", *key_cols], name="__sample_rank")
     return ranked.where(F.col("__sample_rank") <= n).drop("__sample_rank", "__sample_hash")
 

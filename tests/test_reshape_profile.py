@@ -118,6 +118,20 @@ def test_large_sample_equals_top_k(spark):
     assert sorted(r[0] for r in small.select("id").collect()) == sorted(r[0] for r in big.select("id").collect())
 
 
+def test_sample_threshold_cut_equals_top_k(spark, monkeypatch):
+    """Many partitions: the hash-threshold cut keeps exactly the top-k rows,
+    also when one key (one hash) holds a third of the rows."""
+    from tableprep.operators import sampling as S
+    df = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")))
+    df = df.repartition(12)
+    for n in (1, 50, 1200):
+        want = sorted(tuple(r) for r in df.orderBy(S.hash_hex(["k"]), "k").limit(n).select("k").collect())
+        monkeypatch.setattr(S, "TOP_K_MERGE_ROWS", 10)
+        got = sorted(tuple(r) for r in S.sample_n(df, n, ["k"]).select("k").collect())
+        monkeypatch.setattr(S, "TOP_K_MERGE_ROWS", 2_000_000)
+        assert len(got) == n and got == want, n
+
+
 def test_dedupe_subset_is_deterministic(spark):
     from tableprep.operators import clean as C
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, v int").repartition(3)
