@@ -172,47 +172,61 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
     ensemble output (regression prediction, or classification margin) and
     the base value; base + sum of contributions = raw output, for every row.
 
+    A multiclass model (``OneVsRest`` of boosted ensembles) gives one row per
+    input row and class, with a ``class`` column; each class row explains
+    that class's one-vs-rest margin.  All classes run in one pass.
+
     ``df`` must hold the prepared numeric feature columns (e.g. the output of
     ``TreeFeatures.transform``)."""
-    if not hasattr(model, "treeWeights"):
-        raise ValueError("tree attribution needs a single boosted ensemble (regression or binary classification)")
-    trees, weights = _gbt_trees(model)
-    leaves = [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, w)]
+    if hasattr(model, "treeWeights"):
+        ensembles, multiclass = [model], False
+    elif hasattr(model, "models") and all(hasattr(m, "treeWeights") for m in model.models):
+        ensembles, multiclass = list(model.models), True
+    else:
+        raise ValueError("tree attribution needs a boosted ensemble, or a one-vs-rest set of them")
+    per_class = []
+    for m in ensembles:
+        trees, weights = _gbt_trees(m)
+        leaves = [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, w)]
+        per_class.append((leaves, float(sum(v * float(np.prod(r)) for v, _, _, r in leaves))))
     full_depth = FULL_TABLE_DEPTH
-    base = float(sum(v * float(np.prod(r)) for v, _, _, r in leaves))
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(leaves)
+    shared = spark.sparkContext.broadcast(per_class)
     feats = list(feature_cols)
     keep = list(keep)
     names = [f"{f}_contrib" for f in feats]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+                       + (["`class` int"] if multiclass else [])
                        + [f"`{n}` double" for n in names] + ["base_value double"])
 
     def run(batches):
         tables = {}
-        lv = shared.value
+        classes = shared.value
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
-            out = np.zeros((len(pdf), len(feats)))
-            for li, (value, fidx, conds, ratios) in enumerate(lv):
-                if not fidx:
-                    continue
-                pattern = np.zeros(len(pdf), dtype=np.int64)
-                for j, (f, c) in enumerate(zip(fidx, conds)):
-                    pattern |= _met(x[:, f], c).astype(np.int64) << j
-                if len(fidx) <= full_depth:
-                    t = tables.get(li)
-                    if t is None:
-                        t = tables[li] = _shapley_table(ratios)
-                    out[:, fidx] += value * t[pattern]
-                else:
-                    seen, where = np.unique(pattern, return_inverse=True)
-                    out[:, fidx] += value * _shapley_rows(ratios, seen)[where.reshape(-1)]
-            res = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
-            for j, n in enumerate(names):
-                res[n] = out[:, j]
-            res["base_value"] = base
-            yield res
+            for ci, (lv, base) in enumerate(classes):
+                out = np.zeros((len(pdf), len(feats)))
+                for li, (value, fidx, conds, ratios) in enumerate(lv):
+                    if not fidx:
+                        continue
+                    pattern = np.zeros(len(pdf), dtype=np.int64)
+                    for j, (f, c) in enumerate(zip(fidx, conds)):
+                        pattern |= _met(x[:, f], c).astype(np.int64) << j
+                    if len(fidx) <= full_depth:
+                        t = tables.get((ci, li))
+                        if t is None:
+                            t = tables[(ci, li)] = _shapley_table(ratios)
+                        out[:, fidx] += value * t[pattern]
+                    else:
+                        seen, where = np.unique(pattern, return_inverse=True)
+                        out[:, fidx] += value * _shapley_rows(ratios, seen)[where.reshape(-1)]
+                res = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
+                if multiclass:
+                    res["class"] = np.int32(ci)
+                for j, n in enumerate(names):
+                    res[n] = out[:, j]
+                res["base_value"] = base
+                yield res
 
     cols = keep + [f for f in feats if f not in keep]
     rows = df.select(*[F.col(f"`{c}`") for c in cols])

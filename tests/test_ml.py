@@ -247,8 +247,17 @@ def test_multiclass_paths(spark):
     gbt, state = models.fit_gbt(df, ["a", "b"], "y", "classification", {"n_estimators": 5, "max_depth": 3})
     pred = models.predict(gbt, df, ["a", "b"], "y", tree_state=state)
     assert evaluate.accuracy_score(pred, "y", "predicted_y").collect()[0][0] > 0.8
-    with pytest.raises(ValueError):
-        explain.tree_attribution(state.transform(df), gbt, state.columns())
+    # one row per (row, class); base + contributions = that class's margin
+    x = state.transform(df.withColumn("rid", F.monotonically_increasing_id()), keep=["rid"])
+    att = explain.tree_attribution(x, gbt, state.columns(), keep=["rid"]).toPandas()
+    assert sorted(att["class"].unique()) == [0, 1, 2] and len(att) == 3 * 300
+    assembled = models.assemble(x, state.columns())
+    for ci, m in enumerate(gbt.models):
+        margin = {r["rid"]: float(r["rawPrediction"][1]) for r in m.transform(assembled).select(
+            "rid", "rawPrediction").collect()}
+        part = att[att["class"] == ci].set_index("rid")
+        total = part[[c for c in part.columns if c.endswith("_contrib")]].sum(axis=1) + part["base_value"]
+        assert np.allclose(total.to_numpy(), [margin[r] for r in part.index], atol=1e-6)
     lr = models.fit_logistic(df, ["a", "b"], "y")
     tab = models.coefficient_table(lr, ["a", "b"])
     assert tab.count() == 9
