@@ -238,3 +238,17 @@ def q_tree_attribution(spark, d):
                                   {"n_estimators": 10, "max_depth": 4}, categoricals=["l_returnflag"])
     x = state.transform(li, keep=["l_orderkey", "l_linenumber"])
     return explain.tree_attribution(x, model, state.columns(), keep=["l_orderkey", "l_linenumber"])
+
+
+@register("tree_attribution_multiclass")
+def q_tree_attribution_multiclass(spark, d):
+    """M12 for a three-class target: ``o_orderstatus`` label-encoded, one
+    boosted ensemble per class (one-vs-rest), every order explained per class."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority",
+                                         "o_orderstatus")
+    data = features.fit_label_encoder(o, ["o_orderstatus"]).transform(o)
+    feats = ["o_totalprice", "o_custkey", "o_orderpriority"]
+    model, state = models.fit_gbt(data, feats, "o_orderstatus", "classification",
+                                  {"n_estimators": 5, "max_depth": 3})
+    x = state.transform(data, keep=["o_orderkey"])
+    return explain.tree_attribution(x, model, state.columns(), keep=["o_orderkey"])
