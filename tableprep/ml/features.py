@@ -169,9 +169,11 @@ def fit_categories(df: DataFrame, columns: Sequence[str], max_categories: int =
     return _category_lists(distinct, columns, types, range(len(columns)))
 
 
-# Columns with more distinct values than this are label-encoded through a
-# distributed dictionary table instead of a literal map in the plan.
+# Columns with more distinct values than this, or more value bytes, are
+# label-encoded through a distributed dictionary table instead of a literal
+# map in the plan (long texts would make the plan itself large).
 LITERAL_CATEGORIES = 10_000
+LITERAL_BYTES = 1 << 20
 # Dictionaries up to this many rows and this many value bytes (both
 # measured at fit) are broadcast to the rows they encode.
 DICTIONARY_BROADCAST_ROWS = 1_000_000
@@ -289,7 +291,8 @@ def fit_label_encoder(df: DataFrame, columns: Sequence[str], unseen_code: int |
         counts, nbytes = {}, {}
         for r in sized.collect():
             counts[r["i"]], nbytes[r["i"]] = r["n"], r["b"] or 0
-        small = [i for i in range(len(columns)) if counts.get(i, 0) <= limit]
+        small = [i for i in range(len(columns))
+                 if counts.get(i, 0) <= limit and nbytes.get(i, 0) <= LITERAL_BYTES]
         cats = _category_lists(distinct, columns, types, small)
         dicts, sizes, byte_sizes = {}, {}, {}
         wide = [i for i in range(len(columns)) if i not in small]

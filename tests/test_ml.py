@@ -72,6 +72,17 @@ def test_label_encode_dictionary_shuffle_join(spark, monkeypatch):
     assert got == want
 
 
+def test_label_encode_long_texts_use_dictionary(spark, monkeypatch):
+    """Few but long values stay out of the plan: past the byte bound the
+    column is dictionary-encoded, with the same codes."""
+    df = spark.createDataFrame([(i, ("t%d" % (i % 5)) * 200) for i in range(40)], "id long, s string")
+    want = sorted(features.fit_label_encoder(df, ["s"]).transform(df).collect())
+    monkeypatch.setattr(features, "LITERAL_BYTES", 100)
+    enc = features.fit_label_encoder(df, ["s"])
+    assert set(enc.dictionaries) == {"s"} and not enc.categories
+    assert sorted(enc.transform(df).collect()) == want
+
+
 def test_label_encoder_save_load(spark, tmp_path):
     train = spark.createDataFrame([(i, f"v{i % 7}") for i in range(50)], "id long, s string")
     enc = features.fit_label_encoder(train, ["id", "s"], literal_limit=10)
