@@ -59,6 +59,24 @@ def test_fill_matches_pandas(spark, direction, keyed):
     assert np.allclose(out["v"].to_numpy(dtype=float), exp.to_numpy(), equal_nan=True)
 
 
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_fill_text_column_matches_pandas(spark, direction):
+    """Text values are variable-width: the carry table is not hinted to
+    broadcast (AQE decides); the fill must still equal pandas."""
+    rng = np.random.default_rng(4)
+    n = 300
+    vals = [None if rng.random() < 0.5 else "x" * int(rng.integers(1, 50)) + str(i) for i in range(n)]
+    vals[0] = vals[-1] = None
+    pdf = pd.DataFrame({"t": np.arange(n), "s": vals})
+    df = spark.createDataFrame([(int(t), s) for t, s in pdf.itertuples(index=False)], "t long, s string").repartition(4)
+    out = fill_ordered(df, ["s"], ["t"], direction, n_buckets=7)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+    got = out.toPandas().sort_values("t")["s"].tolist()
+    exp = (pdf["s"].ffill() if direction == "forward" else pdf["s"].bfill()).tolist()
+    assert [None if isinstance(v, float) else v for v in exp] == got
+
+
 def test_rank_within_and_sizes(spark):
     data = [("a", i) for i in range(30)] + [("b", i) for i in range(3)]
     df = spark.createDataFrame(data, "g string, x int")
