@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprep.llm import mixing, packing, token_output
+from tableprep.llm import mixing, packing, simhash, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rans_tokens": token_output.op2_rans_tokens,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op7_simhash_groups": simhash.op7_simhash_groups,
         "op8_curriculum_mix": mixing.op8_curriculum_mix,
     }
 
