@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprep.llm import mixing, packing, simhash, token_output
+from tableprep.llm import mixing, packing, quality, quality_rules, simhash, token_output, toxicity
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(query: Callable) -> Callable:
+    """Let Python workers find this package where the session was started elsewhere."""
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, env.get("PYTHONPATH"))))
+        return query(spark, sf_dir)
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op2_rans_tokens": token_output.op2_rans_tokens,
+        "op3_quality_gbdt": quality.op3_quality_gbdt,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_simhash_groups": simhash.op7_simhash_groups,
         "op8_curriculum_mix": mixing.op8_curriculum_mix,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_toxicity_ftrl": toxicity.op10_toxicity_ftrl,
     }
+    return {name: importable(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
