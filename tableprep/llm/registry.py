@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprep.llm import mixing, packing, quality, quality_rules, simhash, token_output, toxicity
+from tableprep.llm import mixing, packing, quality, quality_rules, simhash, suffix_dedup, token_output, toxicity
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op2_rans_tokens": token_output.op2_rans_tokens,
         "op3_quality_gbdt": quality.op3_quality_gbdt,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_simhash_groups": simhash.op7_simhash_groups,
         "op8_curriculum_mix": mixing.op8_curriculum_mix,
