@@ -72,10 +72,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, model: trees.Forest) -> DataFrame:
     """The documents that the classifier predicts as 1, all columns as they came."""
-    model = fit_quality(docs, labels, max_rows)
-
     def run(batches):
         for batch in batches:
             x = doc_stats.features(doc_stats.measure(batch.column(at)))

@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprep.llm import mixing, packing, quality, quality_rules, simhash, suffix_dedup, token_output, toxicity
+from tableprep.llm import hamming, mixing, packing, quality, quality_rules, secrets, simhash, suffix_dedup, token_output, toxicity
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,10 +27,12 @@ def importable(query: Callable) -> Callable:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op1_secret_scan": secrets.op1_secret_scan,
         "op2_rans_tokens": token_output.op2_rans_tokens,
         "op3_quality_gbdt": quality.op3_quality_gbdt,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_hamming_topk": hamming.op6_hamming_topk,
         "op7_simhash_groups": simhash.op7_simhash_groups,
         "op8_curriculum_mix": mixing.op8_curriculum_mix,
         "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -40,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_curriculum_mix": mixing.ORACLE_SQL}
+    return {"op6_hamming_topk": hamming.ORACLE_SQL, "op8_curriculum_mix": mixing.ORACLE_SQL}

@@ -162,6 +162,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
             assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in odd_docs.collect())
             assert all(0 <= r.score <= 1 and (some is labels or r.score == pytest.approx(0.5)) for r in rows)
         assert run(no_docs, labels).collect() == []
-    kept = quality.keep_good(odd_docs, labels)
+    model = quality.fit_quality(odd_docs, labels)
+    kept = quality.keep_good(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.count() <= odd_docs.count()
-    assert quality.keep_good(no_docs, labels).collect() == []
+    assert quality.keep_good(no_docs, model).collect() == []
