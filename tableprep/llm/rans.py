@@ -71,7 +71,7 @@ def lanes_for(tokens: int, most: int) -> int:
     return lanes
 
 
-def encode_block(table: Table, doc_ids: list, lengths: list, ids: np.ndarray, lanes: int = 512, stride: int = 256) -> bytes:
+def encode_block(table: Table, doc_ids: list, lengths: list, ids: np.ndarray, lanes: int = 1024, stride: int = 128) -> bytes:
     n = len(ids)
     lanes = lanes_for(n, lanes)
     steps = -(-n // lanes)

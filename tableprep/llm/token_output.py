@@ -58,13 +58,14 @@ def count_ids(coded: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                n = np.bincount(np.frombuffer(row.as_buffer(), kind))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            ids = batch.column(0)
+            _, off, data = ids.buffers()
+            off = np.frombuffer(off, np.int32)[ids.offset: ids.offset + len(ids) + 1]
+            n = np.bincount(np.frombuffer(data, np.uint8)[off[0]: off[-1]].view(kind)) if len(ids) else total[:0]
+            if len(n) < len(total):
+                n, total = total, n
+            n[: len(total)] += total
+            total = n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], names=["symbol", "n"])
 

@@ -14,13 +14,12 @@ import itertools
 import json
 import os
 import re
+from array import array
 
-import numpy as np
-
-MEMO_WORDS = 800_000  # entries a worker keeps (about 200 bytes each) before it starts over
+MEMO_WORDS = 800_000  # entries a worker keeps (about 200 bytes each) before it drops the newer half
 
 _ODD = re.compile(r"[^\S \n]|\x00")
-_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -31,6 +30,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printable else next(rest)) for b in range(256)}
 
 
+class Memo(dict):
+    """Pieces and their ids; a piece not met yet is encoded."""
+
+    def __init__(self, encode, known=()):
+        super().__init__(known)
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,7 +50,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.model, self.norm, self.pre = self.tok.model, self.tok.normalizer, self.tok.pre_tokenizer
         spec = json.loads(self.tok.to_str())
-        pre, self.memo, self.letters = spec["pre_tokenizer"] or {}, {}, byte_letters()
+        pre, self.memo, self.letters = spec["pre_tokenizer"] or {}, Memo(self._encode), byte_letters()
         steps = pre.get("pretokenizers", [])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.mode = "whole"
@@ -61,29 +72,33 @@ class Encoder:
         out = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return None if "" in out or " " in out else out
 
+    def _part(self, word: str) -> bytes:
+        """Ids of one plain pre-token, by the memo."""
+        got = self.memo.get(word)
+        if got is None:
+            unit = word.replace(" ", self.letters[32]) if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            got = self.memo[word] = array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
+        return got
+
     def _encode(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
         if plain:
-            space, word, marks = plain.groups()
+            word, marks = plain.groups()
             if self.mode == "words":
-                space, word = "", word.lower()
-            units = ["".join(map(self.letters.__getitem__, (space + word).encode()))] + ([marks] if marks else [])
-        else:
-            text = self.norm.normalize_str(piece) if self.norm else piece
-            units = [u for u, _ in self.pre.pre_tokenize_str(text)]
-        return np.array([t.id for u in units for t in self.model.tokenize(u)], "<u4").tobytes()
+                word = word.lstrip(" ").lower()
+            return self._part(word) + self._part(marks) if marks else self._part(word)
+        text = self.norm.normalize_str(piece) if self.norm else piece
+        return array("I", [t.id for u, _ in self.pre.pre_tokenize_str(text) for t in self.model.tokenize(u)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._pieces(t) for t in texts]
-        new = set(itertools.chain.from_iterable(p for p in split if p is not None)).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = set(itertools.chain.from_iterable(p for p in split if p is not None))
-        for piece in new:
-            self.memo[piece] = self._encode(piece)
-        get = self.memo.__getitem__
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+        if len(self.memo) > MEMO_WORDS:  # the words met first are the frequent ones: keep those
+            self.memo = Memo(self._encode, itertools.islice(self.memo.items(), MEMO_WORDS // 2))
+        get, out = self.memo.__getitem__, []
+        for t in texts:
+            pieces = self._pieces(t)
+            out.append(array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes() if pieces is None else b"".join(map(get, pieces)))
+        return out
 
 
 def encoder(path: str) -> Encoder:
