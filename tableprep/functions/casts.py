@@ -11,20 +11,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# date/time formats tried in order when a string column is cast
-# to a date (Spark datetime pattern syntax).  First match wins.
+# Date/time formats tried in order when a string column is cast to a date
+# (Spark datetime pattern syntax).  First match wins; lone letters such as
+# ``M`` also take one digit.
 DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd.MM.yyyy",
+    "yyyy-M-d",
+    "yyyy-M-d H:m[:s][.SSSSSS][.SSS]",
+    "yyyy-M-d'T'H:m[:s][.SSSSSS][.SSS][XXX]",
+    "yyyy-M-d H:m[:s][.SSSSSS][.SSS]XXX",
+    "yyyy/M/d",
+    "yyyy/M/d H:m[:s]",
+    "M/d/yyyy",
+    "M/d/yyyy H:m[:s]",
+    "M-d-yyyy",
+    "d.M.yyyy",
     "yyyyMMdd",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "MMM d yyyy",
+    "MMMM d yyyy",
 )
 
 # Nanoseconds, microseconds, milliseconds or seconds per epoch unit.
@@ -35,6 +42,29 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+# What counts as a number in text.  Spark's own cast also takes type suffixes
+# and hexadecimal floats (10D, 1f, 0x1p3), which are codes here, not numbers.
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+
+
+def text_to_double(text: Column) -> Column:
+    """Double of a text that reads as a number, NULL for any other."""
+    t = F.trim(text)
+    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+
+
+def text_to_long(text: Column) -> Column:
+    """Bigint of a text that reads as an integer, NULL for any other."""
+    t = F.trim(text)
+    return F.when(t.rlike(INTEGER_PATTERN), t.try_cast("bigint"))
+
+
+def _as_double(c: Column, source_type: T.DataType | None) -> Column:
+    """Double of a column of known numeric type, or by way of its text."""
+    return c.cast("double") if isinstance(source_type, NUMERIC_TYPES) else text_to_double(c.cast("string"))
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -50,8 +80,7 @@ def to_float(c, source_type: T.DataType | None = None) -> Column:
     c = _col(c)
     if isinstance(source_type, T.BooleanType):
         return c.cast("double")
-    d = c.try_cast("double")
-    return nan_to_null(d)
+    return nan_to_null(_as_double(c, source_type))
 
 
 def to_int(c, source_type: T.DataType | None = None, on_fraction: str = "error") -> Column:
@@ -68,8 +97,12 @@ def to_int(c, source_type: T.DataType | None = None, on_fraction: str = "error")
         return c.cast("bigint")
     if isinstance(source_type, T.BooleanType):
         return c.cast("bigint")
-    exact = c.try_cast("bigint") if not isinstance(source_type, (T.FloatType, T.DoubleType)) else None
-    d = nan_to_null(c.try_cast("double"))
+    if isinstance(source_type, T.DecimalType):
+        exact, d = F.when(c == F.floor(c), c.try_cast("bigint")), c
+    elif isinstance(source_type, (T.FloatType, T.DoubleType)):
+        exact, d = None, nan_to_null(c.cast("double"))
+    else:
+        exact, d = text_to_long(c.cast("string")), nan_to_null(text_to_double(c.cast("string")))
     whole = F.when(d == F.floor(d), d.try_cast("bigint"))
     if on_fraction == "null":
         via_double = whole
@@ -116,7 +149,7 @@ def coerce_default(c, default, to: str = "double") -> Column:
     """Numeric coercion with a fallback value for NULL / unparsable."""
     if to not in ("double", "bigint"):
         raise ValueError("to must be 'double' or 'bigint'")
-    v = _col(c).try_cast("double")
+    v = text_to_double(_col(c).cast("string"))
     if to == "double":
         v = nan_to_null(v)
         return F.coalesce(v, F.lit(float(default)))

@@ -15,11 +15,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import quoted
+
 
 # Largest group table that is broadcast to the rows: rows and bytes.
 BROADCAST_GROUP_LIMIT = 200_000
@@ -37,8 +41,11 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: i
     if not keys:
         raise ValueError("per-group join needs keys")
     if small_rows <= BROADCAST_GROUP_LIMIT and small_bytes <= BROADCAST_GROUP_BYTES:
-        return big.join(F.broadcast(small), keys)
-    return big.join(small, keys)
+        small = F.broadcast(small)
+    # a NULL key is a group like any other
+    other = small.withColumnsRenamed({k: f"__of_{i}" for i, k in enumerate(keys)})
+    same = reduce(and_, (quoted(k).eqNullSafe(F.col(f"__of_{i}")) for i, k in enumerate(keys)))
+    return big.join(other, same).drop(*(f"__of_{i}" for i in range(len(keys))))
 
 
 def _group_table_size(stats: DataFrame, keys: Sequence[str], row_bytes: int) -> tuple[int, int]:

@@ -7,22 +7,23 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import assign_folds
-from .models import FEATURES, assemble, gbt_params
+from ..functions.names import quoted
+from .models import FEATURES, assemble, fit_tree_features, gbt_estimator
 
 
 def r2_score(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """M8: 1 - SSE / SST in one aggregate pass (SST from the moments:
     sum(y^2) - n * mean^2 is replaced by n * var_pop for stability)."""
-    y = F.col(label).cast("double")
-    p = F.col(prediction).cast("double")
-    agg = df.agg(F.sum((y - p) * (y - p)).alias("sse"), (F.var_pop(y) * F.count(y)).alias("sst"))
+    y, p = quoted(label).cast("double"), quoted(prediction).cast("double")
+    # both sums are over the rows that have a label and a prediction
+    both = df.where(y.isNotNull() & p.isNotNull())
+    agg = both.agg(F.sum((y - p) * (y - p)).alias("sse"), (F.var_pop(y) * F.count(y)).alias("sst"))
     return agg.select(F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).alias("r2"))
 
 
@@ -38,20 +39,52 @@ def _evaluator(task: str, label: str):
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
 
 
+def _default_estimator(task: str, label: str):
+    if task == "regression":
+        return LinearRegression(featuresCol=FEATURES, labelCol=label)
+    return LogisticRegression(featuresCol=FEATURES, labelCol=label)
+
+
+def _fold_scores(data: DataFrame, estimator, evaluator, k: int) -> list[float]:
+    """Score on each fold of an estimator fitted on the others; no fit beyond the k needed."""
+    return [evaluator.evaluate(estimator.fit(data.where(F.col("fold") != i)).transform(data.where(F.col("fold") == i))) for i in range(k)]
+
+
 def cv_scores(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str],
-              estimator=None, task: str = "regression", k: int = 5, seed: int = 42,
-              parallelism: int = 2) -> DataFrame:
+              estimator=None, task: str = "regression", k: int = 5, seed: int = 42) -> DataFrame:
     """M4: shuffled K-fold CV; folds are ``hash(key) % k`` so they do not
-    depend on partitioning.  Returns mean and std (sample) of R^2 or accuracy."""
-    data = assign_folds(assemble(df, features), key_cols, k, seed)
-    est = estimator or LinearRegression(featuresCol=FEATURES, labelCol=label, solver="normal")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=_evaluator(task, label), foldCol="fold", numFolds=k,
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(data)
-    spark = df.sparkSession
-    return spark.createDataFrame([(float(model.avgMetrics[0]), float(model.stdMetrics[0]), k)],
-                                 "cv_mean double, cv_std double, folds int")
+    depend on partitioning.  Returns mean and std (sample) of R^2 or accuracy.
+    Without an estimator: OLS, or logistic regression for classification."""
+    data = assign_folds(assemble(df, features), key_cols, k, seed).select(FEATURES, label, "fold").persist()
+    try:
+        scores = _fold_scores(data, estimator or _default_estimator(task, label), _evaluator(task, label), k)
+    finally:
+        data.unpersist()
+    return _score_row(df, scores)
+
+
+def _score_row(df: DataFrame, scores: list[float]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(float(np.mean(scores)), float(np.std(scores, ddof=1)), len(scores))],
+                                           "cv_mean double, cv_std double, folds int")
+
+
+def _gbt_folds(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str, categoricals: Sequence[str], k: int, seed: int):
+    """Persisted (features, label, fold) rows of a boosted model, its bin count and class count."""
+    state = fit_tree_features(df, features, categoricals)
+    folded = assign_folds(df, key_cols, k, seed)
+    data = assemble(state.transform(folded, keep=[label, "fold"]), state.columns()).select(FEATURES, label, "fold").persist()
+    classes = None if task == "regression" else int(data.agg(F.max(label)).collect()[0][0]) + 1
+    return data, state.max_bins(), classes
+
+
+def cv_gbt_scores(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str = "regression", params: Mapping | None = None,
+                  categoricals: Sequence[str] = (), k: int = 5, seed: int = 42) -> DataFrame:
+    """M4 of the boosted model, categorical features and any number of classes included."""
+    data, bins, classes = _gbt_folds(df, features, label, key_cols, task, categoricals, k, seed)
+    try:
+        return _score_row(df, _fold_scores(data, gbt_estimator(label, task, params, bins, classes), _evaluator(task, label), k))
+    finally:
+        data.unpersist()
 
 
 # Search ranges of the reference's GBDT tuning form
@@ -86,26 +119,23 @@ def draw_trials(n_trials: int, seed: int = 42, space=SEARCH_SPACE,
 
 def random_search(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str],
                   task: str = "regression", n_trials: int = 20, k: int = 5, seed: int = 42,
-                  overrides: Mapping | None = None, parallelism: int = 2) -> DataFrame:
+                  overrides: Mapping | None = None, categoricals: Sequence[str] = ()) -> DataFrame:
     """M5: seeded random search over the GBDT space, each trial scored by
     K-fold CV on the same hash folds; one row per trial, best first.
 
     ``overrides`` pins parameters (e.g. a smaller ``n_estimators`` budget)."""
     trials = draw_trials(n_trials, seed, overrides=overrides)
-    data = assign_folds(assemble(df, features), key_cols, k, seed)
-    est = (GBTRegressor if task == "regression" else GBTClassifier)(featuresCol=FEATURES, labelCol=label)
-    maps = []
-    for t in trials:
-        sp = gbt_params(t)
-        maps.append({getattr(est, name): value for name, value in sp.items()})
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=_evaluator(task, label),
-                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
-    model = cv.fit(data)
+    data, bins, classes = _gbt_folds(df, features, label, key_cols, task, categoricals, k, seed)
+    try:
+        scores = [_fold_scores(data, gbt_estimator(label, task, {n: v for n, v in t.items() if n != "num_leaves"}, bins, classes), _evaluator(task, label), k)
+                  for t in trials]
+    finally:
+        data.unpersist()
     rows = []
     for i, t in enumerate(trials):
         rows.append((i, int(t["n_estimators"]), float(t["learning_rate"]), int(t["max_depth"]),
                      float(t["subsample"]), float(t["colsample_bytree"]),
-                     float(model.avgMetrics[i]), float(model.stdMetrics[i])))
+                     float(np.mean(scores[i])), float(np.std(scores[i], ddof=1))))
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "trial int, n_estimators int, learning_rate double, max_depth int, "
                                       "subsample double, colsample_bytree double, cv_mean double, cv_std double")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pyspark import cloudpickle
 
-from ..session import scratch_path
+from ..session import default_parallelism, scratch_path
 
 # The per-row work runs in Python workers that need not have this package
 # installed: ship this module's functions with the task by value.
@@ -230,9 +230,5 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
 
     cols = keep + [f for f in feats if f not in keep]
     rows = df.select(*[F.col(f"`{c}`") for c in cols])
-    # The per-row work is CPU-heavy Python: with fewer input partitions than
-    # cores, spread the (narrow) feature rows first.
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    return rows.mapInPandas(run, schema)
+    # The per-row work is CPU-heavy Python: deal the (narrow) feature rows out first.
+    return rows.repartition(max(default_parallelism(spark), spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)

@@ -31,7 +31,8 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
 
 def _present(c: str, dt: T.DataType) -> Column:
     col = F.col(f"`{c}`")
-    return F.when(~F.isnan(col), col) if isinstance(dt, _FLOATING) else col
+    # NaN is missing, and -0.0 is the value 0.0
+    return F.when(~F.isnan(col), F.when(col == 0, F.lit(0.0).cast(dt)).otherwise(col)) if isinstance(dt, _FLOATING) else col
 
 
 # --- detection -------------------------------------------------------------------
@@ -73,10 +74,9 @@ def recommend_categoricals(df: DataFrame, exclude: Sequence[str] = (), min_uniqu
     """L2: numeric columns not already categorical whose distinct count is in
     [min_unique, max_unique] and at most ``max_ratio`` of the non-null count.
 
-    Distinct counts are screened with ``approx_count_distinct`` in one pass;
-    only columns near the limits get an exact count (D21: an all-null column
-    is never recommended).  Returns column, unique_count, non_null,
-    unique_ratio, recommended for every numeric column considered.
+    All counts are exact (D21: an all-null column is never recommended).
+    Returns column, unique_count, non_null, unique_ratio, recommended for
+    every numeric column considered.
     """
     types = _types(df)
     skip = set(exclude) | set(detect_categoricals(df))
@@ -85,21 +85,14 @@ def recommend_categoricals(df: DataFrame, exclude: Sequence[str] = (), min_uniqu
     schema = "column string, unique_count bigint, non_null bigint, unique_ratio double, recommended boolean"
     if not cols:
         return spark.createDataFrame([], schema)
-    approx = df.agg(*[F.approx_count_distinct(_present(c, types[c]), 0.05).alias(f"a{i}") for i, c in enumerate(cols)],
-                    *[F.count(_present(c, types[c])).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
-    # approx_count_distinct at 5% relative error: far above the limit is
-    # decided without an exact count.
-    exact_cols = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= max_unique * 1.5]
-    exact = {}
-    if exact_cols:
-        from ..operators.profile import distinct_counts
-        exact = {r["column"]: r["unique_count"] for r in distinct_counts(df, exact_cols).collect()}
+    counted = df.agg(*[F.count(_present(c, types[c])).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
+    from ..operators.profile import distinct_counts
+    unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, cols).collect()}
     rows = []
     for i, c in enumerate(cols):
-        nn = approx[f"n{i}"]
-        u = exact.get(c, approx[f"a{i}"])
+        nn, u = counted[f"n{i}"], unique.get(c, 0)
         ratio = (u / nn) if nn else None
-        rec = bool(nn) and c in exact and min_unique <= u <= max_unique and ratio <= max_ratio
+        rec = bool(nn) and min_unique <= u <= max_unique and ratio <= max_ratio
         rows.append((c, int(u), int(nn), ratio, rec))
     return spark.createDataFrame(rows, schema)
 
@@ -126,7 +119,7 @@ def _distinct_values(df: DataFrame, columns: Sequence[str], types) -> DataFrame:
     columns (``l`` exact for integral types, ``d`` for the others)."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), _present(c, types[c]).cast("string").alias("v"),
-                 _present(c, types[c]).try_cast("double").alias("d"),
+                 (_present(c, types[c]).cast("double") if isinstance(types[c], _NUMERIC) else F.lit(None).cast("double")).alias("d"),
                  (_present(c, types[c]).cast("bigint") if isinstance(types[c], _INTEGRAL)
                   else F.lit(None).cast("bigint")).alias("l"))
         for i, c in enumerate(columns)])).alias("s")).select("s.*").where(F.col("v").isNotNull())
@@ -172,7 +165,7 @@ def fit_categories(df: DataFrame, columns: Sequence[str], max_categories: int =
 # Columns with more distinct values than this, or more value bytes, are
 # label-encoded through a distributed dictionary table instead of a literal
 # map in the plan (long texts would make the plan itself large).
-LITERAL_CATEGORIES = 10_000
+LITERAL_CATEGORIES = 100
 LITERAL_BYTES = 1 << 20
 # Dictionaries up to this many rows and this many value bytes (both
 # measured at fit) are broadcast to the rows they encode.
@@ -208,7 +201,9 @@ class LabelEncoderModel:
         exprs = {}
         for c, cats in self.categories.items():
             m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(i))]) if cats else None
-            exprs[c] = F.element_at(m, F.col(f"`{c}`")) if m is not None else F.lit(None)
+            key = _present(c, types[c])
+            key = key if isinstance(types[c], (T.BooleanType, T.StringType, *_INTEGRAL)) else key.cast("double" if isinstance(types[c], _NUMERIC) else "string")
+            exprs[c] = F.element_at(m, key) if m is not None else F.lit(None)
         out = df
         for j, (c, table) in enumerate(self.dictionaries.items()):
             key, code = f"__lek{j}", f"__lec{j}"
@@ -221,7 +216,8 @@ class LabelEncoderModel:
         for c, code in exprs.items():
             if self.unseen_code is not None:
                 code = F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(code, F.lit(self.unseen_code)))
-            exprs[c] = code.cast("int").alias(c + suffix)
+            wide = self.dictionary_rows.get(c, 0) >= 1 << 31
+            exprs[c] = code.cast("bigint" if wide else "int").alias(c + suffix)
         if suffix:
             return out.select(*[F.col(f"`{c}`") for c in df.columns], *exprs.values())
         return out.select(*[exprs.get(c, F.col(f"`{c}`")) for c in df.columns])
@@ -271,7 +267,7 @@ def _fit_dictionaries(distinct: DataFrame, wide: Sequence[int], n_values: int, t
         "i", "v", F.when(F.col("i").isin(numeric), F.col("l")).alias("l"),
         F.when(F.col("i").isin(numeric), F.col("d")).alias("d"))
     ranked = rank_within(vals, ["i"], ["l", "d", "v"], name="__r", n_rows=n_values)
-    table = ranked.select("i", F.col("v").alias("value"), (F.col("__r") - 1).cast("int").alias("code"))
+    table = ranked.select("i", F.col("v").alias("value"), (F.col("__r") - 1).cast("bigint").alias("code"))
     return table.checkpoint(eager=True)
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -59,19 +60,17 @@ def training_set(df: DataFrame, features: Sequence[str], label: str, handle_inva
     their input once per iteration.  Memory and disk, so it spills instead
     of failing, and a lost executor's blocks are recomputed from lineage."""
     data = assemble(df, features, handle_invalid=handle_invalid).select(FEATURES, label)
-    # Fewer input partitions than cores (a few large row groups) would leave
-    # cores idle for every iteration: spread the cached set once.
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        data = data.repartition(cores)
-    return data.persist(StorageLevel.MEMORY_AND_DISK)
+    # A few large row groups would leave cores idle for every iteration:
+    # AQE spreads the cached set by size, once.
+    return data.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_ols(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error"):
-    """M1: ordinary least squares with intercept (one pass: the normal
-    solver aggregates X'X and X'y, so the input is not cached)."""
+    """M1: ordinary least squares with intercept.  Up to 4,096 features the
+    normal solver aggregates X'X and X'y in one pass, so the input is not
+    cached; wider data goes to L-BFGS."""
     data = assemble(df, features, handle_invalid=handle_invalid)
-    lr = LinearRegression(featuresCol=FEATURES, labelCol=label, solver="normal", regParam=0.0,
+    lr = LinearRegression(featuresCol=FEATURES, labelCol=label, solver="auto", regParam=0.0,
                           elasticNetParam=0.0, fitIntercept=True, standardization=False)
     return lr.fit(data)
 
@@ -112,7 +111,10 @@ def gbt_params(params: Mapping | None = None) -> dict:
             raise ValueError(f"{k} has no Spark counterpart; tune minInfoGain / minInstancesPerNode instead")
     depth = int(p["max_depth"])
     if depth < 0 or depth > SPARK_MAX_DEPTH:
+        warnings.warn(f"max_depth {depth} is grown to Spark's limit of {SPARK_MAX_DEPTH}", stacklevel=2)
         depth = SPARK_MAX_DEPTH
+    if "num_leaves" in (params or {}):
+        warnings.warn("num_leaves has no effect: Spark grows trees level by level; max_depth bounds them", stacklevel=2)
     col = float(p["colsample_bytree"])
     return {
         "maxIter": int(p["n_estimators"]),
@@ -159,6 +161,15 @@ class TreeFeatures:
         passthrough = [k for k in keep if k not in self.columns()]
         return df.select(*[F.col(f"`{k}`") for k in passthrough], *exprs)
 
+    def save(self, path: str, spark) -> None:
+        """One JSON line, so that a saved model can be scored elsewhere with the training categories and medians."""
+        text = json.dumps({"features": self.features, "categories": self.categories, "medians": self.medians, "indicators": self.indicators}, default=str)
+        spark.createDataFrame([(text,)], "state string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark, path: str) -> "TreeFeatures":
+        return TreeFeatures(**json.loads(spark.read.text(path).collect()[0][0]))
+
     def max_bins(self) -> int:
         return max([32] + [len(v) + 1 for v in self.categories.values()])
 
@@ -184,6 +195,18 @@ def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequ
     return state
 
 
+def gbt_estimator(label: str, task: str, params: Mapping | None, max_bins: int, n_classes: int | None = None):
+    """The boosted estimator of a task; more than two classes become one-vs-rest.
+
+    With spark.checkpoint.dir set, the boosting state is checkpointed every
+    10 trees, so long fits keep a short lineage and survive lost executors."""
+    common = dict(featuresCol=FEATURES, labelCol=label, maxBins=max_bins, checkpointInterval=10, **gbt_params(params))
+    if task == "regression":
+        return GBTRegressor(**common)
+    clf = GBTClassifier(**common)
+    return clf if (n_classes or 2) <= 2 else OneVsRest(classifier=clf, featuresCol=FEATURES, labelCol=label)
+
+
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "regression",
             params: Mapping | None = None, categoricals: Sequence[str] = (),
             n_classes: int | None = None):
@@ -191,33 +214,25 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "reg
     'classification'; labels must be 0..k-1 for classification."""
     state = fit_tree_features(df, features, categoricals)
     data = training_set(state.transform(df, keep=[label]), state.columns(), label)
-    sp = gbt_params(params)
-    # with spark.checkpoint.dir set, the boosting state is checkpointed every
-    # 10 trees, so long fits keep a short lineage and survive lost executors
-    common = dict(featuresCol=FEATURES, labelCol=label, maxBins=state.max_bins(), checkpointInterval=10, **sp)
-    if task == "regression":
-        est = GBTRegressor(**common)
-    else:
-        if n_classes is None:
-            n_classes = int(data.agg(F.max(label)).collect()[0][0]) + 1
-        clf = GBTClassifier(**common)
-        est = clf if n_classes <= 2 else OneVsRest(classifier=clf, featuresCol=FEATURES, labelCol=label)
     try:
-        return est.fit(data), state
+        if task != "regression" and n_classes is None:
+            n_classes = int(data.agg(F.max(label)).collect()[0][0]) + 1
+        return gbt_estimator(label, task, params, state.max_bins(), n_classes).fit(data), state
     finally:
         data.unpersist()
 
 
 def predict(model: Model, df: DataFrame, features: Sequence[str], target: str | None,
-            keep: Sequence[str] | None = None, tree_state: TreeFeatures | None = None) -> DataFrame:
-    """Score every row and append ``predicted_<target>``."""
+            keep: Sequence[str] | None = None, tree_state: TreeFeatures | None = None, handle_invalid: str = "error") -> DataFrame:
+    """Score every row and append ``predicted_<target>``.  A missing
+    feature fails the job (D17) unless ``handle_invalid`` says 'skip' or 'keep'."""
     keep = list(keep) if keep is not None else list(df.columns)
     # kept columns travel under private names, so they may overlap features
     tagged = df.select("*", *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)])
     tags = [f"__keep{i}" for i in range(len(keep))]
     base = tree_state.transform(tagged, keep=tags) if tree_state is not None else tagged
     cols = tree_state.columns() if tree_state is not None else list(features)
-    scored = model.transform(assemble(base, cols, handle_invalid="keep"))
+    scored = model.transform(assemble(base, cols, handle_invalid=handle_invalid))
     name = f"predicted_{target}" if target else "prediction"
     return scored.select(*[F.col(t).alias(c) for t, c in zip(tags, keep)], F.col("prediction").alias(name))
 

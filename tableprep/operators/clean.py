@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
 from ..functions.stats import exact_quantiles
 from .order import fill_ordered
 
@@ -22,18 +23,23 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 _FLOATING = (T.FloatType, T.DoubleType)
 
 
+# Typed places of a value among the stacked columns of a mode fit: integer,
+# double, decimal, text, anything else in text form.
+SLOTS = ("l", "d", "m", "s", "o")
+
+
 def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
 def _missing(c: str, dt: T.DataType):
     """NULL, or NaN for floating columns (D1: one missing marker)."""
-    col = F.col(c)
+    col = quoted(c)
     return col.isNull() | F.isnan(col) if isinstance(dt, _FLOATING) else col.isNull()
 
 
 def _present(c: str, dt: T.DataType):
-    col = F.col(c)
+    col = quoted(c)
     return F.when(~F.isnan(col), col) if isinstance(dt, _FLOATING) else col
 
 
@@ -60,7 +66,7 @@ def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         else:
             zero = F.lit(0).cast(dt)
         fills[c] = F.coalesce(_present(c, dt), zero).alias(c)
-    return df.select(*[fills.get(c, F.col(c)) for c in df.columns])
+    return df.select(*[fills.get(c, quoted(c)) for c in df.columns])
 
 
 def fit_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -81,7 +87,7 @@ def fit_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -
     if not cols:
         return {}
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s")
+        F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in cols])).alias("s")
     ).select("s.column", "s.value")
     rows = exact_quantiles(stacked, "value", [0.5], ["column"], accuracy=accuracy, names=["median"]).collect()
     got = {r["column"]: r["median"] for r in rows}
@@ -102,26 +108,26 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     def slot(c: str, kind: str):
         dt = types[c]
         integral = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        floating = isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType))
+        floating, exact = isinstance(dt, _FLOATING), isinstance(dt, T.DecimalType)
         text = isinstance(dt, T.StringType)
         v = _present(c, dt)
-        pick = {"l": integral, "d": floating, "s": text, "o": not (integral or floating or text)}[kind]
-        cast = {"l": "bigint", "d": "double", "s": "string", "o": "string"}[kind]
+        pick = {"l": integral, "d": floating, "m": exact, "s": text, "o": not (integral or floating or exact or text)}[kind]
+        cast = {"l": "bigint", "d": "double", "m": "decimal(38,18)", "s": "string", "o": "string"}[kind]
         return (v.cast(cast) if pick else F.lit(None).cast(cast)).alias(kind)
 
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), *[slot(c, k) for k in ("l", "d", "s", "o")]) for i, c in enumerate(cols)
+        F.struct(F.lit(i).alias("i"), *[slot(c, k) for k in SLOTS]) for i, c in enumerate(cols)
     ])).alias("x")).select("x.*").where(
-        F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("o").isNotNull())
-    counted = stacked.groupBy("i", "l", "d", "s", "o").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), "l", "d", "s", "o")).alias("b"))
+        F.coalesce(*(F.col(k).cast("string") for k in SLOTS)).isNotNull())
+    counted = stacked.groupBy("i", *SLOTS).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), *SLOTS)).alias("b"))
     out: dict[str, object] = {c: None for c in cols}
     for r in best.collect():  # one row per column
         c = cols[r["i"]]
         b = r["b"]
         # other types (dates, booleans, ...) come back in text form; the fill
         # casts the literal to the column type
-        out[c] = next((b[k] for k in ("l", "d", "s", "o") if b[k] is not None), None)
+        out[c] = next((b[k] for k in SLOTS if b[k] is not None), None)
     return out
 
 
@@ -134,10 +140,10 @@ def _fill_literals(df: DataFrame, values: dict) -> DataFrame:
         dt = types[c]
         if isinstance(v, float) and isinstance(dt, _NUMERIC) and not isinstance(dt, _FLOATING):
             # int column filled with a fractional statistic becomes double (D3)
-            exprs[c] = F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(c)
+            exprs[c] = F.coalesce(quoted(c).cast("double"), F.lit(v)).alias(c)
         else:
             exprs[c] = F.coalesce(_present(c, dt), F.lit(v).cast(dt)).alias(c)
-    return df.select(*[exprs.get(c, F.col(c)) for c in df.columns])
+    return df.select(*[exprs.get(c, quoted(c)) for c in df.columns])
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -232,10 +238,10 @@ def dedupe(df: DataFrame, subset: Sequence[str] | None = None,
     # ``order_by`` and then by the rest of the row.
     order = [c for c in (order_by or [])]
     rest = [c for c in df.columns if c not in keys and c not in order]
-    best = F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
-                          *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])).alias("__k")
+    best = F.min(F.struct(*[quoted(c).alias(f"o{i}") for i, c in enumerate(order)],
+                          *[quoted(c).alias(f"r{i}") for i, c in enumerate(rest)])).alias("__k")
     kept = df.groupBy(*keys).agg(best)
-    sel = {c: F.col(c) for c in keys}
+    sel = {c: quoted(c) for c in keys}
     sel.update({c: F.col(f"__k.o{i}").alias(c) for i, c in enumerate(order) if c not in keys})
     sel.update({c: F.col(f"__k.r{i}").alias(c) for i, c in enumerate(rest)})
     return kept.select(*[sel[c] for c in df.columns])

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
 from ..session import default_parallelism
 
 # Bucket count bounds.  Buckets are hashed to shuffle partitions, so there
@@ -105,11 +106,11 @@ class Buckets:
 
     @property
     def key(self) -> Column:
-        return F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(self.lead)], F.col("__rowhash").alias("h"),
-                        *[F.col(c).alias(f"r{i}") for i, c in enumerate(self.rest)])
+        return F.struct(*[quoted(c).alias(f"f{i}") for i, c in enumerate(self.lead)], F.col("__rowhash").alias("h"),
+                        *[quoted(c).alias(f"r{i}") for i, c in enumerate(self.rest)])
 
     def bucket_key(self) -> Column:
-        return F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(self.lead)], F.col("__rowhash").alias("h"))
+        return F.struct(*[quoted(c).alias(f"f{i}") for i, c in enumerate(self.lead)], F.col("__rowhash").alias("h"))
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("__rowhash", _row_hash(df))
@@ -200,7 +201,7 @@ def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
     want = n_buckets * SAMPLES_PER_BUCKET
     fraction = min(1.0, 1.5 * want / n_rows)
     hashed = df.withColumn("__rowhash", _row_hash(df))
-    bkey = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(lead)], F.col("__rowhash").alias("h"))
+    bkey = F.struct(*[quoted(c).alias(f"f{i}") for i, c in enumerate(lead)], F.col("__rowhash").alias("h"))
     sample = hashed.select(bkey.alias("__t"))
     if fraction < 1.0:
         sample = sample.sample(False, fraction, ORDER_SEED)
@@ -307,6 +308,12 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
         raise ValueError("direction must be 'forward' or 'backward'")
     cols = list(columns)
     keys = list(partition_by)
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def _known(c: str) -> Column:
+        """The value, NaN counting as missing."""
+        return F.when(~F.isnan(quoted(c)), quoted(c)) if isinstance(types[c], (T.FloatType, T.DoubleType)) else quoted(c)
+
     bk = range_buckets(df, lead_columns(df, order_by, keys), None, n_buckets)
     b = bk.apply(df)
     key = bk.key
@@ -314,13 +321,13 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     w = Window.partitionBy(*bk.partition_cols, *keys).orderBy(key)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if fwd else w.rowsBetween(0, Window.unboundedFollowing)
     pick = F.last if fwd else F.first
-    local = b.select("*", *[pick(F.col(c), ignorenulls=True).over(w).alias(f"__l{i}")
+    local = b.select("*", *[pick(_known(c), ignorenulls=True).over(w).alias(f"__l{i}")
                             for i, c in enumerate(cols)])
 
     # Edge value of every (bucket, key): last (first) non-null along the order.
     edge_agg = F.max_by if fwd else F.min_by
     edges = b.groupBy("__b", *keys).agg(*[
-        edge_agg(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"__e{i}") for i, c in enumerate(cols)])
+        edge_agg(_known(c), F.when(_known(c).isNotNull(), key)).alias(f"__e{i}") for i, c in enumerate(cols)])
     wc = Window.partitionBy(*keys).orderBy("__b")
     wc = wc.rowsBetween(Window.unboundedPreceding, -1) if fwd else wc.rowsBetween(1, Window.unboundedFollowing)
     carry = edges.select("__b", *keys, *[pick(F.col(f"__e{i}"), ignorenulls=True).over(wc).alias(f"__k{i}")
@@ -330,11 +337,10 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     # bounded too and it is broadcast.  With keys (one row per bucket and
     # key) or variable-width values (long text), AQE picks a broadcast from
     # its runtime size or keeps the shuffle join (skew-join handling on).
-    types = {f.name: f.dataType for f in df.schema.fields}
     bounded = not keys and all(_fixed_width(types[c]) for c in cols)
     joined = local.join(F.broadcast(carry) if bounded else carry, ["__b", *keys], "left")
-    filled = {c: F.coalesce(F.col(c), F.col(f"__l{i}"), F.col(f"__k{i}")).alias(c) for i, c in enumerate(cols)}
-    return joined.select(*[filled.get(c, F.col(c)) for c in df.columns])
+    filled = {c: F.coalesce(_known(c), F.col(f"__l{i}"), F.col(f"__k{i}")).alias(c) for i, c in enumerate(cols)}
+    return joined.select(*[filled.get(c, quoted(c)) for c in df.columns])
 
 
 def sequential_index_report(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
@@ -356,8 +362,8 @@ def sequential_index_report(df: DataFrame, columns: Sequence[str], order_by: Seq
     # Inside a bucket: a decrease against the previous row.  Across buckets:
     # first row of a bucket against the last row of the previous bucket.
     flagged = b.select("__b", key.alias("__t"), *[
-        (F.col(c) < F.lag(F.col(c)).over(w)).alias(f"__d{i}") for i, c in enumerate(numeric)],
-        *[F.col(c).alias(f"__v{i}") for i, c in enumerate(numeric)])
+        (quoted(c) < F.lag(quoted(c)).over(w)).alias(f"__d{i}") for i, c in enumerate(numeric)],
+        *[quoted(c).alias(f"__v{i}") for i, c in enumerate(numeric)])
     per_bucket = flagged.groupBy("__b").agg(
         *[F.sum(F.col(f"__d{i}").cast("int")).alias(f"__x{i}") for i in range(len(numeric))],
         *[F.min_by(F.col(f"__v{i}"), F.col("__t")).alias(f"__f{i}") for i in range(len(numeric))],

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
 from ..functions.stats import exact_quantiles
 
 AGG_FUNCTIONS = ("mean", "sum", "count", "min", "max", "std", "median")
@@ -28,7 +29,7 @@ def _dtype(df: DataFrame, c: str) -> T.DataType:
 def _value(df: DataFrame, c: str) -> Column:
     """Column with NaN read as missing."""
     dt = _dtype(df, c)
-    return F.when(~F.isnan(F.col(c)), F.col(c)) if isinstance(dt, _FLOATING) else F.col(c)
+    return F.when(~F.isnan(quoted(c)), quoted(c)) if isinstance(dt, _FLOATING) else quoted(c)
 
 
 # --- projections -----------------------------------------------------------
@@ -57,7 +58,7 @@ def map_labels(df: DataFrame, column: str, mapping: Mapping, out_col: str | None
                default=None) -> DataFrame:
     """Code -> label lookup through a literal map (narrow, no join)."""
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    looked = F.element_at(m, F.col(column)) if mapping else F.lit(None)
+    looked = F.element_at(m, quoted(column)) if mapping else F.lit(None)
     if default is not None:
         looked = F.coalesce(looked, F.lit(default))
     return df.withColumn(out_col or column, looked)
@@ -88,18 +89,21 @@ def filter_rows(df: DataFrame, condition: str | Column | None, on_error: str = "
 
 def sort_rows(df: DataFrame, column: str | None, ascending: bool = True) -> DataFrame:
     """O1: sort by one column, missing values last either way.
+    Rows of one value follow in the order of their hash, so that a value
+    (or NULL) that most rows share is spread over the sorted partitions.
     An absent or blank column leaves the table unchanged."""
     if not column or column not in df.columns:
         return df
     v = _value(df, column)
-    return df.orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_last())
+    hashable = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_last(), F.xxhash64(*hashable))
 
 
 def head_rows(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None,
               ascending: bool = True) -> DataFrame:
     """O2 / O1+limit: first ``n`` rows by an order (a distributed top-k)."""
     if order_by:
-        keys = [F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c in order_by]
+        keys = [quoted(c).asc_nulls_last() if ascending else quoted(c).desc_nulls_last() for c in order_by]
         return df.orderBy(*keys).limit(n)
     return df.limit(n)
 
@@ -120,7 +124,7 @@ def group_aggregate(df: DataFrame, group_col: str, agg_col: str, func: str,
     dt = _dtype(df, agg_col)
     if func in ("mean", "sum", "std", "median") and not isinstance(dt, _NUMERIC):
         raise ValueError(f"{func} needs a numeric column; {agg_col!r} is {dt.simpleString()}")
-    keyed = df.where(F.col(group_col).isNotNull())
+    keyed = df.where(_value(df, group_col).isNotNull())
     if func == "median":
         return exact_quantiles(keyed, agg_col, [0.5], [group_col], accuracy=accuracy, names=[out])
     v = _value(df, agg_col)
@@ -132,7 +136,7 @@ def group_aggregate(df: DataFrame, group_col: str, agg_col: str, func: str,
         "max": F.max(v),
         "std": F.stddev_samp(v),
     }[func]
-    return keyed.groupBy(group_col).agg(agg.alias(out))
+    return keyed.groupBy(quoted(group_col)).agg(agg.alias(out))
 
 
 def _sum_type(dt: T.DataType) -> str:
@@ -145,8 +149,8 @@ def _sum_type(dt: T.DataType) -> str:
 def pivot_values(df: DataFrame, column: str, max_values: int = 10_000) -> list:
     """Distinct non-null values of the pivot column, sorted; one distinct job.
     More than ``max_values`` values is an error, not a silent truncation."""
-    rows = (df.where(F.col(column).isNotNull()).select(column).distinct()
-            .orderBy(column).limit(max_values + 1).collect())
+    rows = (df.where(_value(df, column).isNotNull()).select(quoted(column)).distinct()
+            .orderBy(quoted(column)).limit(max_values + 1).collect())
     if len(rows) > max_values:
         raise ValueError(f"pivot column {column!r} has more than {max_values} distinct values: "
                          "use pivot_cells for the long (index, column, value) form")
@@ -163,7 +167,7 @@ def pivot_cells(df: DataFrame, index: str, columns: str, values: str, aggfunc: s
     if aggfunc in ("mean", "sum") and not isinstance(dt, _NUMERIC):
         raise ValueError(f"{aggfunc} needs a numeric column; {values!r} is {dt.simpleString()}")
     v = _value(df, values)
-    keyed = df.where(F.col(index).isNotNull() & F.col(columns).isNotNull())
+    keyed = df.where(_value(df, index).isNotNull() & _value(df, columns).isNotNull())
     if aggfunc in ("mean", "min", "max"):
         keyed = keyed.where(v.isNotNull())
     cell = {
@@ -173,7 +177,7 @@ def pivot_cells(df: DataFrame, index: str, columns: str, values: str, aggfunc: s
         "min": F.min(v),
         "max": F.max(v),
     }[aggfunc]
-    return keyed.groupBy(index, columns).agg(cell.alias("__cell"))
+    return keyed.groupBy(quoted(index), quoted(columns)).agg(cell.alias("__cell"))
 
 
 def pivot_table(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "mean",
@@ -190,4 +194,4 @@ def pivot_table(df: DataFrame, index: str, columns: str, values: str, aggfunc: s
     """
     cells = pivot_cells(df, index, columns, values, aggfunc)
     vals = list(column_values) if column_values is not None else pivot_values(cells, columns, max_values)
-    return cells.groupBy(index).pivot(columns, vals).agg(F.first("__cell"))
+    return cells.withColumnRenamed(columns, "__pivot").groupBy(quoted(index)).pivot("__pivot", vals).agg(F.first("__cell"))

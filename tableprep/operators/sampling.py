@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_hex, hash_u32
+from ..functions.names import quoted
+from ..session import default_parallelism
 from .order import add_row_index, rank_within
 
 
@@ -33,7 +35,7 @@ TOP_K_LIMIT = 100_000
 TOP_K_MERGE_ROWS = 2_000_000
 
 
-def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
+def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42, partitions: int | None = None) -> DataFrame:
     """The ``n`` rows with the smallest hashes of the key, repeatable and
     independent of partitioning.
 
@@ -43,8 +45,10 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) ->
     keeping them (with a 5-sigma margin, widened until at least ``n`` pass)
     loses nothing; only those candidates are ranked."""
     n = int(n)
-    order = [hash_hex(key_cols, seed), *key_cols]
-    parts = df.rdd.getNumPartitions()
+    # rows that share a key follow in the order of their other columns' hash, so the kept ones are fixed
+    order = [hash_hex(key_cols, seed), *key_cols, F.xxhash64(*[quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])]
+    # the plan is not run to learn its partition count: an upper estimate will do
+    parts = partitions or 4 * max(default_parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     if n <= TOP_K_LIMIT and n * parts <= TOP_K_MERGE_ROWS:
         return df.orderBy(*order).limit(n)
     total = df.count()

@@ -211,29 +211,24 @@ def q_dataset_summary(spark, d):
     f"SELECT '{t}' AS name, (SELECT count(*) FROM (SELECT 1 FROM {t} LIMIT 10)) >= 10 "
     f"AND (SELECT count(*) FROM (DESCRIBE {t})) >= 2 AS valid" for t in _SUMMARY_TABLES))
 def q_validate_dataset(spark, d):
-    parts = []
-    for t in _SUMMARY_TABLES:
-        df = table(spark, d, t)
-        ok = len(df.columns) >= 2
-        parts.append(df.limit(10).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(t).alias("name"), ((F.col("n") >= 10) & F.lit(ok)).alias("valid")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return spark.createDataFrame([(t, profile.validate_dataset(table(spark, d, t))) for t in _SUMMARY_TABLES], "name string, valid boolean")
 
 
 @register("csv_roundtrip", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+  o_orderkey || 'D' AS code, 'say "' || o_orderstatus || '", ' || o_orderpriority || chr(10) || 'next, line' AS note FROM orders""")
 def q_csv_roundtrip(spark, d):
     """S7 then S1-S3: write a CSV folder (one file per task) with NA tokens
-    for missing text, read it back with type inference."""
+    for missing text, quotes, commas and newlines inside fields, and codes
+    that must stay text; read it back with type inference."""
     o = table(spark, d, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-        F.when(F.col("o_orderkey") % 5 == 0, F.lit("NA")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("NA")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.concat("o_orderkey", F.lit("D")).alias("code"),
+        F.concat(F.lit('say "'), "o_orderstatus", F.lit('", '), "o_orderpriority", F.lit("\nnext, line")).alias("note"))
     path = scratch_path(spark, "csv-roundtrip")
     files.write_table(o, path, fmt="csv")
-    return files.read_csv(spark, path)
+    return files.read_csv(spark, path, multi_line=True)
 
 
 # ---------------------------------------------------------------- filters / dedupe
@@ -377,6 +372,48 @@ def q_cast_float(spark, d):
                     casts.to_float("p_brand").alias("brand_float"))
 
 
+@register("cast_codes", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN CAST(p_size AS DOUBLE) END AS code_float,
+  CASE WHEN p_partkey % 4 = 3 THEN CAST(p_size AS BIGINT) END AS code_int,
+  CASE WHEN p_partkey % 4 = 3 THEN CAST(p_size AS DOUBLE) ELSE -1.0 END AS code_num FROM part""")
+def q_cast_codes(spark, d):
+    """Text that a cast of the engine would read as a number (10D, 1f, 0x1p3) is a code, not a number."""
+    p = table(spark, d, "part")
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    code = F.when(kind == 0, F.concat(size, F.lit("D"))).when(kind == 1, F.concat(size, F.lit("f"))).when(kind == 2, F.concat(F.lit("0x"), size, F.lit("p3"))).otherwise(size)
+    return p.select("p_partkey", casts.to_float(code).alias("code_float"), casts.to_int(code, None, "null").alias("code_int"),
+                    casts.coerce_default(code, -1.0).alias("code_num"))
+
+
+@register("cast_decimal", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) END AS whole,
+  CAST(p_size AS BIGINT) AS cut FROM part""")
+def q_cast_decimal(spark, d):
+    """A decimal with a fraction is no integer."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(0.7)).cast("decimal(12,2)").alias("v"))
+    dt = p.schema["v"].dataType
+    return p.select("p_partkey", casts.to_int("v", dt, "null").alias("whole"), casts.to_int("v", dt, "truncate").alias("cut"))
+
+
+@register("fill_many_nan", """SELECT event_id, last_value(q IGNORE NULLS) OVER w AS "q.1", last_value(t IGNORE NULLS) OVER w AS "t x"
+  FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS q, CASE WHEN event_id % 3 < 2 THEN NULL ELSE value END AS t FROM events) s
+  WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_fill_many_nan(spark, d):
+    """N6 on two columns at once, NaN standing for missing, names with a dot and a blank."""
+    nan, value = F.lit(float("nan")), F.col("value").cast("double")
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, nan).otherwise(value).alias("q.1"),
+                                            F.when(F.col("event_id") % 3 < 2, nan).otherwise(value).alias("t x"))
+    return order.fill_ordered(rows, ["q.1", "t x"], ["event_id"])
+
+
+@register("odd_names", f"""SELECT l_returnflag AS "p/q", round(avg(coalesce(l_quantity, m)), {R}) AS "a.1_mean" FROM
+  (SELECT l_returnflag, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END AS l_quantity FROM lineitem),
+  (SELECT avg(CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END) AS m FROM lineitem) GROUP BY l_returnflag""")
+def q_odd_names(spark, d):
+    """N3 and A1 over column names with dots, blanks and slashes."""
+    li = table(spark, d, "lineitem").select(mask("l_quantity", F.col("l_linenumber") % 5 == 0), "l_returnflag", "l_linenumber").toDF("a.1", "p/q", "x y")
+    out = reshape.group_aggregate(reshape.sort_rows(clean.fill_mean(clean.drop_missing(li, ["x y"]), ["a.1"]), "x y"), "p/q", "a.1", "mean")
+    return out.select("p/q", F.round("`a.1_mean`", R).alias("a.1_mean"))
+
+
 @register("cast_string", """SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_str,
   CAST(p_retailprice AS VARCHAR) AS price_str FROM part""")
 def q_cast_string(spark, d):
@@ -573,8 +610,7 @@ def q_profile_table(spark, d):
 
 @register("sort_limit", """SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20""")
 def q_sort_limit(spark, d):
-    o = table(spark, d, "orders")
-    return o.orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").limit(20)
+    return reshape.sort_rows(table(spark, d, "orders"), "o_totalprice", ascending=False).limit(20)
 
 
 @register("preview_head", """SELECT * FROM orders ORDER BY o_orderkey LIMIT 5""")

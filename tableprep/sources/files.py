@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casts import text_to_double, text_to_long
+from ..functions.names import quoted
+
 # Text read as missing, the default token list of the pandas
 # CSV reader.
 NA_VALUES = (
@@ -44,12 +47,17 @@ def normalize_headers(names: Sequence[str | None]) -> list[str]:
     return out
 
 
-def _csv_header(spark: SparkSession, path: str, sep: str) -> list[str | None]:
+def _csv_options(sep: str, multi_line: bool) -> dict:
+    """Standard CSV: a quote inside a quoted field is doubled."""
+    return {"sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
+
+
+def _csv_header(spark: SparkSession, path: str, options: dict) -> list[str | None]:
     """The header row as written (Spark renames blanks and duplicates)."""
-    first = spark.read.option("header", False).option("sep", sep).csv(path).limit(1).collect()
+    first = spark.read.options(header=False, **options).csv(path).limit(1).collect()
     if not first:
         raise ValueError(f"empty file: {path}")
-    return [v if v is None else v.strip() for v in first[0]]
+    return list(first[0])
 
 
 def null_tokens(df: DataFrame, na_values: Sequence[str] = NA_VALUES) -> DataFrame:
@@ -83,8 +91,8 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
         present = v.isNotNull()
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.bool_and(~present | v.try_cast("bigint").isNotNull()).alias(f"i{i}"),
-            F.bool_and(~present | v.try_cast("double").isNotNull()).alias(f"d{i}"),
+            F.bool_and(~present | text_to_long(v).isNotNull()).alias(f"i{i}"),
+            F.bool_and(~present | text_to_double(v).isNotNull()).alias(f"d{i}"),
             F.bool_and(~present | v.isin(*TRUE_VALUES, *FALSE_VALUES)).alias(f"b{i}"),
         ]
     row = df.agg(*aggs).collect()[0]
@@ -109,7 +117,7 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
         col = F.col(f"`{c}`")
         t = types.get(c)
         if t in ("bigint", "double"):
-            exprs.append(F.trim(col).try_cast(t).alias(c))
+            exprs.append((text_to_long(col) if t == "bigint" else text_to_double(col)).alias(c))
         elif t == "boolean":
             exprs.append(F.when(F.trim(col).isin(*TRUE_VALUES), F.lit(True))
                          .when(F.trim(col).isin(*FALSE_VALUES), F.lit(False)).alias(c))
@@ -118,19 +126,36 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*exprs)
 
 
+def _checked_rows(spark: SparkSession, path: str, raw_header: list, header: list[str], options: dict) -> DataFrame:
+    """Rows as text; a row with more fields than the header fails the job, one with fewer is filled with NULLs.
+
+    Spark compares each file's own header with the schema, unless the header
+    has blank or repeated names, which no schema can hold."""
+    broken = "__broken_row"
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, broken]])
+    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=broken,
+                                             enforceSchema=raw_header != header, **options).csv(path)
+    wide = ", ".join(f"f{i} STRING" for i in range(len(header) + 1))
+    extra = F.from_csv(F.col(broken), wide, {"sep": options["sep"], "quote": '"', "escape": '"', "nullValue": "\0"})[f"f{len(header)}"]
+    fits = (F.when(F.col(broken).isNull() | extra.isNull(), F.lit(True))
+            .otherwise(F.raise_error(F.concat_ws(" ", F.lit(f"more than {len(header)} fields in the row of"), quoted(header[0]), F.lit(":"), F.col(broken)))
+                       .cast("boolean")))  # Spark can't read the broken-row column alone, so the message names a field
+    return rows.where(fits).drop(broken)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", na_values: Sequence[str] = NA_VALUES,
-             infer: bool = True, types: dict[str, str] | None = None) -> DataFrame:
+             infer: bool = True, types: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
     """S1 + S3: read a CSV file or folder of CSV files.
 
-    Fails on a missing or empty input.  Pass ``types`` (e.g. saved from an
-    earlier ``infer_types``) to skip the inference pass.
+    Fails on a missing or empty input, on a row with too many fields and on
+    files whose headers differ.  ``multi_line`` reads quoted newlines; such a
+    file cannot be split, so each is one task.  Pass ``types`` (e.g. saved
+    from an earlier ``infer_types``) to skip the inference pass.
     """
-    header = normalize_headers(_csv_header(spark, path, sep))
-    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False) \
-        .option("mode", "PERMISSIVE").csv(path)
-    if len(raw.columns) != len(header):
-        raise ValueError(f"header has {len(header)} names but rows have {len(raw.columns)} fields")
-    df = null_tokens(raw.toDF(*header), na_values)
+    options = _csv_options(sep, multi_line)
+    raw_header = _csv_header(spark, path, options)
+    header = normalize_headers([v if v is None else v.strip() for v in raw_header])
+    df = null_tokens(_checked_rows(spark, path, raw_header, header, options), na_values)
     if df.isEmpty():
         raise ValueError(f"no data rows: {path}")
     if types is None and infer:
@@ -169,6 +194,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(header=True, quote='"', escape='"', escapeQuotes=True).csv(path)
     else:
         w.format(fmt).save(path)

@@ -77,7 +77,7 @@ def score_stream(df: DataFrame, model, features: Sequence[str], target: str | No
     keep = list(keep) if keep is not None else [c for c in df.columns]
     if feature_state is not None:
         df = feature_state.transform(df, keep=keep)
-        features = feature_state.train_columns
+        features = feature_state.columns() if isinstance(feature_state, models.TreeFeatures) else feature_state.train_columns
         return models.predict(model, df, features, target, keep=keep)
     return models.predict(model, df, features, target, keep=keep, tree_state=tree_state)
 
