@@ -168,6 +168,8 @@ def q_logistic_fit(spark, d):
     return models.coefficient_table(m, lf.train_columns)
 
 
+# The registered fits use the form's defaults (100 trees of depth 7); the
+# explanations, whose cost is per row and leaf, take a smaller ensemble.
 _GBT_SMALL = {"n_estimators": 20, "max_depth": 5}
 _LI_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"]
 
@@ -175,18 +177,17 @@ _LI_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"
 @register("gbt_regression")
 def q_gbt_regression(spark, d):
     li = table(spark, d, "lineitem")
-    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", _GBT_SMALL,
-                                  categoricals=["l_returnflag"])
+    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", categoricals=["l_returnflag"])
     return models.predict(model, li, _LI_FEATS, "l_extendedprice", keep=["l_orderkey", "l_linenumber"],
                           tree_state=state)
 
 
 @register("gbt_classification")
 def q_gbt_classification(spark, d):
-    data = _docs_labelled(spark, d)
+    """Fit on the labelled documents, score every document."""
     feats = ["n_chars", "lang", "source"]
-    model, state = models.fit_gbt(data, feats, "quality", "classification", _GBT_SMALL)
-    return models.predict(model, data, feats, "quality", keep=["doc_id", "quality"], tree_state=state)
+    model, state = models.fit_gbt(_docs_labelled(spark, d), feats, "quality", "classification")
+    return models.predict(model, table(spark, d, "documents"), feats, "quality", keep=["doc_id"], tree_state=state)
 
 
 @register("cv_scores")
@@ -252,3 +253,78 @@ def q_tree_attribution_multiclass(spark, d):
                                   {"n_estimators": 5, "max_depth": 3})
     x = state.transform(data, keep=["o_orderkey"])
     return explain.tree_attribution(x, model, state.columns(), keep=["o_orderkey"])
+
+
+# ---------------------------------------------------------------- fits held against closed forms and invariants
+
+_FOLD_SQL = "CAST('0x' || substr(md5('42' || '|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
+@register("cv_scores_univariate", f"""WITH t AS (SELECT l_quantity AS x, l_extendedprice AS y, {_FOLD_SQL} % 5 AS fold FROM lineitem),
+m AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t, (SELECT DISTINCT fold FROM t) f WHERE t.fold <> f.fold GROUP BY f.fold),
+r AS (SELECT t.fold, 1 - sum((y - a - b * x) ^ 2) / (var_pop(y) * count(y)) AS r2 FROM t JOIN m ON t.fold = m.fold GROUP BY t.fold)
+SELECT round(avg(r2), {R}) AS cv_mean, round(stddev_samp(r2), {R}) AS cv_std, CAST(count(*) AS INTEGER) AS folds FROM r""")
+def q_cv_scores_univariate(spark, d):
+    out = evaluate.cv_scores(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", ["l_orderkey", "l_linenumber"], k=5)
+    return out.select(rnd("cv_mean"), rnd("cv_std"), "folds")
+
+
+@register("score_holdout_univariate", f"""WITH t AS (SELECT *, {_FOLD_SQL} % 100 < 80 AS train FROM lineitem),
+m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM t WHERE train)
+SELECT l_orderkey, l_linenumber, l_quantity, round(a + b * l_quantity, {R}) AS predicted_l_extendedprice FROM t, m WHERE NOT train""")
+def q_score_holdout_univariate(spark, d):
+    train, hold = sampling.hash_split(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], 80)
+    m = models.fit_ols(train, ["l_quantity"], "l_extendedprice")
+    out = models.predict(m, hold, ["l_quantity"], "l_extendedprice", keep=["l_orderkey", "l_linenumber", "l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", rnd("predicted_l_extendedprice"))
+
+
+@register("logistic_gradient", """WITH t AS (SELECT lang, source FROM documents JOIN labels USING (doc_id))
+SELECT 'n_chars' AS feature, CAST(0 AS DOUBLE) AS gradient UNION ALL SELECT '(intercept)', 0
+UNION ALL SELECT 'lang_' || lang, 0 FROM (SELECT DISTINCT lang FROM t) WHERE lang > (SELECT min(lang) FROM t)
+UNION ALL SELECT 'source_' || source, 0 FROM (SELECT DISTINCT source FROM t) WHERE source > (SELECT min(source) FROM t)""")
+def q_logistic_gradient(spark, d):
+    """M2: the summed-loss L2 objective has no slope left at the fitted coefficients."""
+    data = _docs_labelled(spark, d)
+    lf = features.fit_linear_features(data, ["n_chars", "lang", "source"])
+    x = lf.transform(data, keep=["quality"]).persist()
+    m = models.fit_logistic(x, lf.train_columns, "quality", C=1.0)
+    coefs = dict(zip(lf.train_columns, m.coefficients.toArray().tolist()))
+    margin = sum((F.col(f"`{c}`") * w for c, w in coefs.items()), F.lit(float(m.intercept)))
+    miss = 1 / (1 + F.exp(-margin)) - F.col("quality")
+    sums = x.agg(F.sum(miss).alias("g_"), *[F.sum(miss * F.col(f"`{c}`")).alias(f"g{i}") for i, c in enumerate(coefs)]).first()
+    rows = [("(intercept)", float(sums["g_"]))] + [(c, float(sums[f"g{i}"]) + w) for i, (c, w) in enumerate(coefs.items())]
+    return spark.createDataFrame([(c, abs(round(g, 2))) for c, g in rows], "feature string, gradient double")
+
+
+@register("coefficient_extremes_by_type", f"""WITH b AS (SELECT avg(p_retailprice) AS base FROM part WHERE p_type = (SELECT min(p_type) FROM part)),
+n AS (SELECT count(*) AS n FROM part)
+SELECT 'p_type_' || p_type AS feature, round((avg(p_retailprice) - any_value(base)) * sqrt(count(*) / any_value(n) * (1 - count(*) / any_value(n))), 4) AS coefficient
+FROM part, b, n WHERE p_type > (SELECT min(p_type) FROM part) GROUP BY p_type""")
+def q_coefficient_extremes_by_type(spark, d):
+    """O4 over one categorical feature, whose coefficients are differences of group means."""
+    p = table(spark, d, "part")
+    lf = features.fit_linear_features(p, ["p_type"])
+    m = models.fit_ols(lf.transform(p, keep=["p_retailprice"]), lf.train_columns, "p_retailprice")
+    out = explain.coefficient_extremes(models.coefficient_table(m, lf.train_columns), k=10)
+    return out.select("feature", F.round("coefficient", 4).alias("coefficient"))
+
+
+@register("importance_total", "SELECT CAST(1 AS DOUBLE) AS total, CAST(5 AS BIGINT) AS features")
+def q_importance_total(spark, d):
+    model, state = models.fit_gbt(table(spark, d, "lineitem"), _LI_FEATS, "l_extendedprice", "regression", _GBT_SMALL, categoricals=["l_returnflag"])
+    return explain.feature_importance(model, state.columns()).agg(rnd(F.sum("importance"), "total"), F.count("feature").alias("features"))
+
+
+@register("tree_attribution_sums", "SELECT l_orderkey, l_linenumber, CAST(0 AS DOUBLE) AS gap FROM lineitem")
+def q_tree_attribution_sums(spark, d):
+    """Base value and contributions add up to the prediction of every row."""
+    li = table(spark, d, "lineitem")
+    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", {"n_estimators": 10, "max_depth": 4}, categoricals=["l_returnflag"])
+    keys = ["l_orderkey", "l_linenumber", "predicted_l_extendedprice"]
+    scored = models.predict(model, li, _LI_FEATS, "l_extendedprice", keep=[*li.columns], tree_state=state)
+    # features travel under their prepared form, so the two keys that are features too are renamed first
+    named = scored.withColumnRenamed("l_linenumber", "line").withColumn("l_linenumber", F.col("line"))
+    out = explain.tree_attribution(state.transform(named, keep=["l_orderkey", "line", "predicted_l_extendedprice"]), model, state.columns(), keep=["l_orderkey", "line", keys[2]])
+    total = sum((F.col(f"`{c}`") for c in out.columns if c.endswith("_contrib")), F.col("base_value"))
+    return out.select("l_orderkey", F.col("line").alias("l_linenumber"), F.abs(F.round(total - F.col(keys[2]), 4)).alias("gap"))
