@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import exact_quantiles
+from ..functions.names import quoted
+from ..functions.stats import column_quantiles
 
 FEATURES = "features"
 
@@ -187,11 +188,8 @@ def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequ
         with_nulls = [c for i, c in enumerate(nums) if nulls[f"n{i}"] > 0]
         state.indicators = with_nulls
         if with_nulls:
-            stacked = df.select(F.explode(F.array(*[
-                F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
-                for c in with_nulls])).alias("s")).select("s.*")
-            med = exact_quantiles(stacked, "value", [0.5], ["column"], names=["m"]).collect()
-            state.medians = {r["column"]: (r["m"] if r["m"] is not None else 0.0) for r in med}
+            med = column_quantiles(df, {c: quoted(c) for c in with_nulls}, [0.5])
+            state.medians = {c: (r["q"][0] if r["q"][0] is not None else 0.0) for c, r in med.items()}
     return state
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import quoted
-from ..functions.stats import exact_quantiles
+from ..functions.stats import column_quantiles
 from .order import fill_ordered
 
 STRATEGIES = ("drop", "zero", "mean", "median", "mode", "forward", "backward")
@@ -80,18 +80,13 @@ def fit_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
 
 
 def fit_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> dict[str, float | None]:
-    """Exact medians of numeric columns; all columns share the three passes of
-    ``exact_quantiles`` by stacking them into (column, value) rows."""
+    """Exact medians of numeric columns, all in the two scans of ``column_quantiles``."""
     types = _types(df)
     cols = [c for c in columns if isinstance(types[c], _NUMERIC)]
     if not cols:
         return {}
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in cols])).alias("s")
-    ).select("s.column", "s.value")
-    rows = exact_quantiles(stacked, "value", [0.5], ["column"], accuracy=accuracy, names=["median"]).collect()
-    got = {r["column"]: r["median"] for r in rows}
-    return {c: got.get(c) for c in cols}
+    got = column_quantiles(df, {c: quoted(c) for c in cols}, [0.5], accuracy=accuracy)
+    return {c: got[c]["q"][0] for c in cols}
 
 
 def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:

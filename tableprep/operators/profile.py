@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import exact_quantiles
+from ..functions.names import quoted
+from ..functions.stats import column_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -76,14 +77,6 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def _quantiles_long(df: DataFrame, cols: Sequence[str], probs, names, accuracy, extra_aggs=None) -> DataFrame:
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols])
-    ).alias("s")).select("s.column", "s.value")
-    return exact_quantiles(stacked, "value", probs, ["column"], accuracy=accuracy, names=names,
-                           extra_aggs=extra_aggs)
-
-
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
                      accuracy: int = 10_000) -> DataFrame:
     """Count, mean, std (sample), min, 25 / 50 / 75 % (exact, linear
@@ -92,10 +85,11 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, count bigint, mean double, std double, "
                                                    "min double, q25 double, q50 double, q75 double, max double")
-    # one stacked (column, value) pass gives the moments and the quantile grid
     moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    out = _quantiles_long(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], accuracy, moments)
-    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    got = column_quantiles(df, {c: quoted(c) for c in cols}, [0.25, 0.5, 0.75], moments, accuracy)
+    rows = [(c, r["count"], r["mean"], r["std"], r["min"], *r["q"], r["max"]) for c, r in got.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, "
+                                                 "q25 double, q50 double, q75 double, max double")
 
 
 def column_stats(df: DataFrame) -> tuple[DataFrame, DataFrame]:
