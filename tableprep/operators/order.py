@@ -20,7 +20,7 @@ row), so ties in the user's ``order_by`` -- a hot key holding a third of the
 rows -- are spread over many buckets; windows order by that key and then by
 the rest of the row, so the result does not depend on partitioning.  Each
 shuffle partition receives a run of consecutive, equally sized buckets
-(exact placement through partition keys, no sampling pass).  Only
+(placed by ``repartitionById``, no sampling pass).  Only
 rows identical in every column cannot be split (they are interchangeable,
 so the answer is still exact).
 """
@@ -115,31 +115,11 @@ class Buckets:
     def apply(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("__rowhash", _row_hash(df))
         if self.bounds_df is None:
-            return out.withColumn("__b", F.lit(0)).withColumn("__pkey", F.lit(0).cast("bigint"))
+            return out.withColumn("__b", F.lit(0)).withColumn("__pkey", F.lit(0))
         out = _search(out, self.bucket_key(), self.bounds_df.select("b").scalar(), self.m, "__b")
         parts = min(self.partitions, self.count)
-        slot = F.floor(F.col("__b") * F.lit(parts) / F.lit(self.count)).cast("int") + 1
-        out = out.withColumn("__pkey", F.element_at(self.bounds_df.select(F.slice("k", 1, parts)).scalar(), slot))
-        return out.repartition(parts, "__pkey")
-
-
-# parts -> keys; Spark's hash (Murmur3, fixed seed) makes them a pure
-# function of the partition count, so each count is searched once.
-_KEYS_BY_PARTS: dict[int, list[int]] = {}
-
-
-def _partition_keys(spark, parts: int) -> list[int]:
-    """For p in 0..parts-1 the smallest non-negative long k with
-    pmod(hash(k), parts) = p: a key that hash partitioning sends to p."""
-    if parts in _KEYS_BY_PARTS:
-        return list(_KEYS_BY_PARTS[parts])
-    cand = spark.range(0, 64 * parts).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p"))
-    found = {r["p"]: r["k"] for r in cand.groupBy("p").agg(F.min("id").alias("k")).collect()}
-    missing = [p for p in range(parts) if p not in found]
-    if missing:
-        raise RuntimeError(f"no partition key found for partitions {missing[:5]}")
-    _KEYS_BY_PARTS[parts] = [int(found[p]) for p in range(parts)]
-    return list(_KEYS_BY_PARTS[parts])
+        out = out.withColumn("__pkey", F.floor(F.col("__b") * F.lit(parts) / F.lit(self.count)).cast("int"))
+        return out.repartitionById(parts, F.col("__pkey"))
 
 
 def _search(df: DataFrame, key: Column, bounds: Column, m: int, out: str) -> DataFrame:
@@ -216,9 +196,7 @@ def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
             seen.append(r["__t"])
     if not seen:
         return Buckets(lead, rest, None, 0, parts)
-    keys = _partition_keys(spark, min(parts, len(seen) + 1))
-    bounds_df = spark.createDataFrame([(seen, keys)], T.StructType([T.StructField("b", T.ArrayType(struct_type)),
-                                                                   T.StructField("k", T.ArrayType(T.LongType()))]))
+    bounds_df = spark.createDataFrame([(seen,)], T.StructType([T.StructField("b", T.ArrayType(struct_type))]))
     return Buckets(lead, rest, bounds_df, len(seen), parts)
 
 
@@ -293,6 +271,15 @@ def reset_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name:
     return add_row_index(base, order_by=order_by, name=name, start=0)
 
 
+def _join_buckets(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of a per-(bucket, key) table; a NULL key is a key like any other."""
+    table = table.withColumnRenamed("__b", "__at")
+    same = F.col("__b") == F.col("__at")
+    for i, c in enumerate(keys):
+        same = same & quoted(c).eqNullSafe(F.col(f"__of{i}"))
+    return rows.join(table, same, "left")
+
+
 def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                  direction: str = "forward", partition_by: Sequence[str] = (),
                  n_buckets: int | None = None) -> DataFrame:
@@ -330,15 +317,17 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
         edge_agg(_known(c), F.when(_known(c).isNotNull(), key)).alias(f"__e{i}") for i, c in enumerate(cols)])
     wc = Window.partitionBy(*keys).orderBy("__b")
     wc = wc.rowsBetween(Window.unboundedPreceding, -1) if fwd else wc.rowsBetween(1, Window.unboundedFollowing)
-    carry = edges.select("__b", *keys, *[pick(F.col(f"__e{i}"), ignorenulls=True).over(wc).alias(f"__k{i}")
-                                         for i in range(len(cols))])
-    # Without keys the carry table has one row per bucket (at most
-    # MAX_BUCKETS); when the filled columns are fixed-width its bytes are
-    # bounded too and it is broadcast.  With keys (one row per bucket and
-    # key) or variable-width values (long text), AQE picks a broadcast from
-    # its runtime size or keeps the shuffle join (skew-join handling on).
-    bounded = not keys and all(_fixed_width(types[c]) for c in cols)
-    joined = local.join(F.broadcast(carry) if bounded else carry, ["__b", *keys], "left")
+    # Buckets are ordered by key, so only the key a bucket shares with its
+    # neighbour can carry a value in: one row per bucket (at most
+    # MAX_BUCKETS), whatever the number of keys.  When its columns are
+    # fixed-width its bytes are bounded too and it is broadcast; with long
+    # text, AQE picks a broadcast from its runtime size or keeps the shuffle
+    # join (skew-join handling on).
+    carry = edges.select("__b", *[quoted(c).alias(f"__of{i}") for i, c in enumerate(keys)], F.count(F.lit(1)).over(wc).alias("__before"),
+                         *[pick(F.col(f"__e{i}"), ignorenulls=True).over(wc).alias(f"__k{i}") for i in range(len(cols))])
+    carry = carry.where("__before > 0").drop("__before")
+    bounded = all(_fixed_width(types[c]) for c in [*cols, *keys])
+    joined = _join_buckets(local, F.broadcast(carry) if bounded else carry, keys)
     filled = {c: F.coalesce(_known(c), F.col(f"__l{i}"), F.col(f"__k{i}")).alias(c) for i, c in enumerate(cols)}
     return joined.select(*[filled.get(c, quoted(c)) for c in df.columns])
 
@@ -413,12 +402,16 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], nam
     local = b.withColumn("__p", F.row_number().over(Window.partitionBy(*bk.partition_cols, *keys).orderBy(key)))
     sizes = b.groupBy("__b", *keys).agg(F.count(F.lit(1)).alias("__c"))
     wk = Window.partitionBy(*keys).orderBy("__b")
-    offs = sizes.select("__b", *keys,
-                        F.coalesce(F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                                   F.lit(0)).alias("__off"),
+    offs = sizes.select("__b", *[quoted(c).alias(f"__of{i}") for i, c in enumerate(keys)],
+                        F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("__off"),
                         F.sum("__c").over(Window.partitionBy(*keys)).alias("__size"))
-    joined = local.join(F.broadcast(offs) if not keys else offs, ["__b", *keys], "left")
-    extra = [(F.col("__off") + F.col("__p")).cast("bigint").alias(name)]
+    if not size_name:
+        # only the key a bucket shares with the one before has an offset: one row per bucket
+        offs = offs.where("__off IS NOT NULL")
+        types = {f.name: f.dataType for f in df.schema.fields}
+        offs = F.broadcast(offs) if all(_fixed_width(types[c]) for c in keys) else offs
+    joined = _join_buckets(local, F.broadcast(offs) if not keys else offs, keys)
+    extra = [(F.coalesce("__off", F.lit(0)) + F.col("__p")).cast("bigint").alias(name)]
     if size_name:
         extra.append(F.col("__size").cast("bigint").alias(size_name))
-    return joined.select(*df.columns, *extra)
+    return joined.select(*map(quoted, df.columns), *extra)
