@@ -190,8 +190,12 @@ def impute(df: DataFrame, plan: Sequence[tuple[str, str]], order_by: Sequence[st
         if s in ("forward", "backward"):
             if not order_by:
                 raise ValueError("forward / backward fill needs order_by")
-            df = fill_ordered(df, [c], order_by, s)
-            i += 1
+            # a run of fills in one direction is one pass, as long as the rows' order isn't what is filled
+            run = []
+            while i < len(steps) and steps[i][1] == s and steps[i][0] not in run and not (run and set(run) & set(order_by)):
+                run.append(steps[i][0])
+                i += 1
+            df = fill_ordered(df, run, order_by, s)
             continue
         # A run of statistic fills on distinct columns, fitted together.
         run, touched = [], set()

@@ -94,3 +94,43 @@ def test_mode_of_dates_and_booleans(spark):
     out = clean.impute(df, [("d", "mode"), ("b", "mode")]).collect()
     assert {r["d"] for r in out} == {dt2.date(2024, 1, 2), dt2.date(2023, 5, 5)}
     assert [r["b"] for r in out].count(True) == 3
+
+
+def test_text_that_only_looks_like_a_number(spark):
+    from tableprep.functions import casts
+    df = spark.createDataFrame([("10D",), ("1f",), ("0x1p3",), ("5.7",), (" 12 ",), ("1e3",), ("inf",)], "v string")
+    got = df.select(casts.to_float("v").alias("f"), casts.to_int("v", None, "null").alias("i"), casts.coerce_default("v", -1).alias("d")).collect()
+    assert [r.f for r in got] == [None, None, None, 5.7, 12.0, 1000.0, float("inf")]
+    assert [r.i for r in got][:6] == [None, None, None, None, 12, 1000]
+    assert [r.d for r in got][:5] == [-1.0, -1.0, -1.0, 5.7, 12.0]
+
+
+def test_decimal_fraction_is_no_integer(spark):
+    from tableprep.functions import casts
+    df = spark.sql("SELECT CAST(5.7 AS DECIMAL(10,2)) AS a, CAST(5 AS DECIMAL(10,2)) AS b")
+    dt = df.schema["a"].dataType
+    assert tuple(df.select(casts.to_int("a", dt, "null").alias("x"), casts.to_int("a", dt, "truncate").alias("y"), casts.to_int("b", dt).alias("z")).first()) == (None, 5, 5)
+    with pytest.raises(Exception, match="fractional"):
+        df.select(casts.to_int("a", dt)).collect()
+
+
+def test_dates_in_many_forms(spark):
+    import datetime as dt
+
+    from tableprep.functions import casts
+    df = spark.createDataFrame([(t,) for t in ("2024-1-5", "Jan 5, 2024", "5 January 2024", "2024-01-05T10:00:00Z", "2024/1/5", "13/45/2024")], "d string")
+    assert [r[0] for r in df.select(casts.to_date("d")).collect()] == [dt.date(2024, 1, 5)] * 5 + [None]
+
+
+def test_nan_is_filled_and_names_may_hold_dots(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, nan, nan), (3, None, 7.0)], ["i", "a.1", "x y"])
+    out = clean.impute(df, [("a.1", "forward"), ("x y", "forward")], order_by=["i"]).orderBy("i").collect()
+    assert [tuple(r) for r in out] == [(1, 1.0, 5.0), (2, 1.0, 5.0), (3, 1.0, 7.0)]
+    assert clean.fit_medians(df, ["x y"]) == {"x y": 6.0}
+
+
+def test_mode_fill_keeps_decimals(spark):
+    df = spark.sql("SELECT CAST(x AS DECIMAL(6,2)) AS v FROM VALUES (1.10), (1.10), (2.00), (NULL) AS t(x)")
+    out = clean.fill_mode(df, ["v"])
+    assert out.dtypes == [("v", "decimal(6,2)")] and sorted(str(r.v) for r in out.collect()) == ["1.10", "1.10", "1.10", "2.00"]

@@ -274,3 +274,44 @@ def test_multiclass_paths(spark):
     assert tab.count() == 9
     ext = explain.coefficient_extremes(tab, k=2).collect()
     assert len(ext) == 4 and all(not r["feature"].startswith("(intercept)") for r in ext)
+
+
+def test_r2_leaves_rows_without_prediction_out(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.5), (3.0, None), (100.0, None)], "y double, p double")
+    assert evaluate.r2_score(df, "y", "p").first()[0] == pytest.approx(0.5)
+
+
+def test_default_classifier_of_cv(spark):
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 10 > 4)) for i in range(300)], "id long, x double, y double")
+    row = evaluate.cv_scores(df, ["x"], "y", ["id"], task="classification", k=3).first()
+    assert row.cv_mean > 0.95 and row.folds == 3
+
+
+def test_cv_of_boosted_trees_with_categories_and_classes(spark):
+    df = spark.createDataFrame([(i, f"c{i % 40}", float(i % 40 % 3)) for i in range(400)], "id long, c string, y double")
+    row = evaluate.cv_gbt_scores(df, ["c"], "y", ["id"], task="classification", params={"n_estimators": 3, "max_depth": 6, "subsample": 1.0, "colsample_bytree": 1.0}, k=2).first()
+    assert row.cv_mean > 0.6
+
+
+def test_tree_features_survive_saving(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, "a", 1.0), (None, "b", 2.0), (3.0, None, 3.0)], "x double, c string, y double")
+    state = models.fit_tree_features(df, ["x", "c"])
+    state.save(str(tmp_path / "s"), spark)
+    again = models.TreeFeatures.load(spark, str(tmp_path / "s"))
+    assert again.transform(df).collect() == state.transform(df).collect()
+
+
+def test_missing_features_fail_scoring_unless_told(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 3.5)], "x double, y double")
+    m = models.fit_ols(df, ["x"], "y")
+    bad = spark.createDataFrame([(None, 1.0)], "x double, y double")
+    with pytest.raises(Exception):
+        models.predict(m, bad, ["x"], "y").collect()
+    assert models.predict(m, bad, ["x"], "y", handle_invalid="skip").count() == 0
+
+
+def test_label_encoding_of_decimals_dates_and_zeros(spark):
+    df = spark.sql("SELECT CAST(a AS DECIMAL(6,2)) AS a, DATE(b) AS b, CAST(c AS DOUBLE) AS c FROM VALUES (2.5, '2024-01-02', 0.0), (1.5, '2024-01-01', -0.0D), (2.5, '2024-01-02', 1.0) AS t(a, b, c)")
+    for limit in (None, 0):
+        out = features.fit_label_encoder(df, ["a", "b", "c"], literal_limit=limit).transform(df)
+        assert sorted(map(tuple, out.collect())) == [(0, 0, 0), (1, 1, 0), (1, 1, 1)]

@@ -94,3 +94,31 @@ def test_g5_remove_first_then_dedupe(sample):
 def test_dataset_summary(sample):
     s = catalog.dataset_summary({"d": sample}, {"d": "classification"}).collect()[0]
     assert (s["name"], s["task"], s["rows"], s["columns"]) == ("d", "classification", 8, 5)
+
+
+def write(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+    return str(path)
+
+
+def test_quotes_commas_and_newlines(spark, tmp_path):
+    p = write(tmp_path / "q.csv", 'id,txt,n\n1,"say ""hi"", ok",10\n2,"a\nb",20\n3,x\n')
+    assert [tuple(r) for r in files.read_csv(spark, p, multi_line=True).collect()] == [(1, 'say "hi", ok', 10), (2, "a\nb", 20), (3, "x", None)]
+
+
+def test_too_many_fields_fail(spark, tmp_path):
+    with pytest.raises(Exception, match="more than 2 fields"):
+        files.read_csv(spark, write(tmp_path / "w.csv", "a,b\n1,2\n3,4,5\n")).collect()
+
+
+def test_folder_of_differing_headers_fails(spark, tmp_path):
+    write(tmp_path / "f" / "1.csv", "a,b\n1,x\n")
+    write(tmp_path / "f" / "2.csv", "b,a\ny,2\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        files.read_csv(spark, str(tmp_path / "f")).collect()
+
+
+def test_codes_stay_text(spark, tmp_path):
+    df = files.read_csv(spark, write(tmp_path / "c.csv", "a,b,c,d\n10D,0x1p3,1e3,1f\n20F,7,-.5,2\n"))
+    assert [t for _, t in df.dtypes] == ["string", "string", "double", "string"]
