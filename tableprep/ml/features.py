@@ -339,8 +339,8 @@ class OneHotModel:
         return df.select(*keep, *dummies)
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> OneHotModel:
-    return OneHotModel(fit_categories(df, columns), drop_first)
+def fit_one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True, max_categories: int = 10_000) -> OneHotModel:
+    return OneHotModel(fit_categories(df, columns, max_categories), drop_first)
 
 
 @dataclass
@@ -403,14 +403,14 @@ class LinearFeaturesModel:
 
 
 def fit_linear_features(df: DataFrame, features: Sequence[str],
-                        numeric_categoricals: Sequence[str] = ()) -> LinearFeaturesModel:
+                        numeric_categoricals: Sequence[str] = (), max_categories: int = 10_000) -> LinearFeaturesModel:
     """L8 fit: text / boolean features and ``numeric_categoricals`` become
     dummies (drop first), then every resulting column, dummies included, is
     standardised (L7)."""
     types = _types(df)
     feats = list(features)
     cats = [c for c in feats if c in numeric_categoricals or isinstance(types[c], (T.StringType, T.BooleanType))]
-    oh = fit_one_hot(df, cats, drop_first=True)
+    oh = fit_one_hot(df, cats, drop_first=True, max_categories=max_categories)
     x = oh.transform(df.select(*[F.col(f"`{c}`") for c in feats]))
     train_cols = x.columns
     scaler = fit_scaler(x, train_cols)

@@ -175,12 +175,12 @@ class TreeFeatures:
         return max([32] + [len(v) + 1 for v in self.categories.values()])
 
 
-def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequence[str] = ()) -> TreeFeatures:
+def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequence[str] = (), max_categories: int = 10_000) -> TreeFeatures:
     from .features import fit_categories
     types = {f.name: f.dataType for f in df.schema.fields}
     cats = [c for c in features if c in categoricals or isinstance(types[c], (T.StringType, T.BooleanType))]
     nums = [c for c in features if c not in cats]
-    state = TreeFeatures(list(features), fit_categories(df, cats))
+    state = TreeFeatures(list(features), fit_categories(df, cats, max_categories))
     if nums:
         nulls = df.agg(*[(F.count(F.lit(1)) - F.count(F.when(~F.isnan(F.col(f"`{c}`").cast("double")),
                                                              F.col(f"`{c}`")))).alias(f"n{i}")
@@ -207,10 +207,10 @@ def gbt_estimator(label: str, task: str, params: Mapping | None, max_bins: int,
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "regression",
             params: Mapping | None = None, categoricals: Sequence[str] = (),
-            n_classes: int | None = None):
+            n_classes: int | None = None, max_categories: int = 10_000):
     """M3: returns (model, TreeFeatures).  ``task`` is 'regression' or
     'classification'; labels must be 0..k-1 for classification."""
-    state = fit_tree_features(df, features, categoricals)
+    state = fit_tree_features(df, features, categoricals, max_categories)
     data = training_set(state.transform(df, keep=[label]), state.columns(), label)
     try:
         if task != "regression" and n_classes is None:

@@ -40,6 +40,7 @@ class PrepPlan:
     # (index, columns, values, aggfunc)
     pivot: tuple[str, str, str, str] | None = None
     pivot_values: tuple | None = None
+    pivot_max_values: int = 10_000
     on_error: str = "raise"
     extra: dict = field(default_factory=dict)
 
@@ -104,5 +105,5 @@ def apply_plan(df: DataFrame, plan: PrepPlan) -> DataFrame:
     if plan.pivot:
         i, c, v, fn = plan.pivot
         vals = list(plan.pivot_values) if plan.pivot_values is not None else None
-        df = _guard(lambda d: reshape.pivot_table(d, i, c, v, fn, vals), df, plan.on_error)
+        df = _guard(lambda d: reshape.pivot_table(d, i, c, v, fn, vals, plan.pivot_max_values), df, plan.on_error)
     return df

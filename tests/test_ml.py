@@ -315,3 +315,11 @@ def test_label_encoding_of_decimals_dates_and_zeros(spark):
     for limit in (None, 0):
         out = features.fit_label_encoder(df, ["a", "b", "c"], literal_limit=limit).transform(df)
         assert sorted(map(tuple, out.collect())) == [(0, 0, 0), (1, 1, 0), (1, 1, 1)]
+
+
+def test_category_limits_are_parameters(spark):
+    df = spark.createDataFrame([(f"c{i:05d}", float(i % 7)) for i in range(10_050)], "c string, y double")
+    with pytest.raises(ValueError, match="more than 10000"):
+        features.fit_one_hot(df, ["c"])
+    assert len(features.fit_one_hot(df, ["c"], max_categories=20_000).categories["c"]) == 10_050
+    assert models.fit_tree_features(df, ["c"], max_categories=20_000).max_bins() == 10_051
