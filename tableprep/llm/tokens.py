@@ -16,7 +16,7 @@ import os
 import re
 from array import array
 
-MEMO_WORDS = 800_000  # entries a worker keeps (about 200 bytes each) before it drops the newer half
+MEMO_WORDS = 400_000  # entries a worker keeps (about 200 bytes each) before it drops the newer half
 
 _ODD = re.compile(r"[^\S \n]|\x00")
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
