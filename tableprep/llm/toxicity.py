@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text: the hashes of its words (ASCII-lower-cased runs of letters and
-digits), of their stems (first four and five bytes, so that inflected forms of a word
+digits), of their stems (first four to eight bytes, so that inflected forms of a word
 share slots), of word pairs and of pairs with one word between, each once, in ``2**BITS``
 slots, plus a bias.  FTRL-proximal keeps per-coordinate rates and an L1 penalty that leaves most
 weights at exactly zero; only the others are broadcast (at most ``2**BITS``, a few
@@ -31,7 +31,7 @@ from tableprep.llm.quality import held_out, training_labels
 
 BITS, MAX_ROWS, EPOCHS, THRESHOLD = 20, 12_000, 4, 0.7
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
 BIAS = 1 << BITS  # the slot after the hashed ones
 SLICE = 2 << 20  # bytes of text hashed at once
 
