@@ -10,13 +10,14 @@ from tableprep.llm import _common as C
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One star step over (u, v) with u > v.  The least neighbour of a node comes from an
-    aggregate, not from its gathered neighbours, so a node with millions of links is fine."""
+    aggregate, not from its gathered neighbours, and is written before it is joined back:
+    Spark splits the rows of a hot node only between two plain shuffles."""
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = C.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = C.materialize(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = links.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
     return out.where("u <> v").distinct()
 

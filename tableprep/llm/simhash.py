@@ -256,7 +256,8 @@ def groups(signed: DataFrame, distance: int = DISTANCE) -> DataFrame:
     distinct = C.materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     linked = components(near_links(distinct, distance))
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that Spark can split the rows of a very large component in the join below
+    named = C.materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     return rooted.join(named, "root").select("fp", "component_id", "root")
 
 
