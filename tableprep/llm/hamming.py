@@ -105,6 +105,7 @@ class Index:
 
 def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k: int = K, every: int = EVERY, block_codes: int = BLOCK_CODES) -> DataFrame:
     """query_id, rank (from 1), match_id, distance: the k nearest rows of every query, the query's own row included."""
+    spark = vectors.sparkSession
     coded = C.materialize(binary_codes(vectors, id_col, vector_col), "codes")
     by_code = Window.partitionBy("code").orderBy("id", "twin")
     # a rank limit, which Spark applies before the shuffle too, so a code that a third of the rows share stays small
@@ -117,8 +118,11 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
     chunk = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(max(1, -(-questions.count() // CHUNK))))
     chunks = questions.groupBy(chunk.alias("chunk")).agg(F.sort_array(F.collect_list("code")).alias("queries"))
     # every chunk of the stated query set goes to every block
-    sent = chunks.select("queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = C.materialize(packed, "code-blocks").join(C.materialize(sent, "code-queries"), "block").select("rows.first", "rows.code", "queries")
+    sent = chunks.select("chunk", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    met = C.materialize(packed, "code-blocks").join(C.materialize(sent, "code-queries"), "block")
+    # the work of a pair outweighs its bytes, so the pairs are dealt out by number, not by size
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    met = met.repartition(tasks, "block", "chunk").select("rows.first", "rows.code", "queries")
 
     def run(batches):
         for batch in batches:
