@@ -25,6 +25,7 @@ from tableprep.llm import rans, tokens
 
 BLOCK_TOKENS = 1 << 18
 BITS = 20
+MEMO_WORDS = 800_000  # twice the default: nothing else runs in these tasks
 
 IDS = "part int, seq long, before long, doc_id long, n_tokens long, ids binary"
 BLOCKS = "part int, seq long, before long, n_docs long, n_tokens long, payload binary"
@@ -37,7 +38,7 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, part, seq, before = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, before = tokens.encoder(tokenizer, MEMO_WORDS), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             ids, at = batch.column(0), 0
             for group in tokens.text_groups(batch.column(1).to_pylist()):

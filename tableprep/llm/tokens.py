@@ -43,7 +43,8 @@ class Memo(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int):
+        self.memo_words = memo_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,8 +93,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) > MEMO_WORDS:  # the words met first are the frequent ones: keep those
-            self.memo = Memo(self._encode, itertools.islice(self.memo.items(), MEMO_WORDS // 2))
+        if len(self.memo) > self.memo_words:  # the words met first are the frequent ones: keep those
+            self.memo = Memo(self._encode, itertools.islice(self.memo.items(), self.memo_words // 2))
         get, out = self.memo.__getitem__, []
         for t in texts:
             pieces = self._pieces(t)
@@ -101,9 +102,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> Encoder:
+    """The worker's encoder of a tokenizer file; ``memo_words`` bounds its memo."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, memo_words)
     return _loaded[path]
 
 
