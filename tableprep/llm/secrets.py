@@ -1,7 +1,11 @@
 """Secret scans: candidate strings, judged by a random forest that takes out the false positives.
 
-A candidate is a run of 12 or more characters of keys and digests that holds a digit, or
-mixes or shouts its letters.  Its features: length, character kinds, character transitions
+A candidate is a run of 12 or more characters of keys and digests that holds a digit, has a
+capital after its first character or 20 letters on end; the whole value, of any length and
+characters, assigned to a credential's name (what stands in the quotes, else up to white
+space or the next such assignment); or the password part of a URL, which counts as assigned
+to the name ``password``.  A value stands for a run that starts where it starts; other
+candidates may overlap.  Its features: length, character kinds, character transitions
 (between kinds, and how usual its letter pairs are in the dictionary's words), dictionary
 coverage, the path it stands in (in the text, and the path or source of the document) and
 its neighbouring words.  The dictionary is made of the most frequent short words of all
@@ -10,8 +14,9 @@ of true findings in the training rows.
 
 Training rows are labelled findings (doc_id, start, label), at most ``max_rows`` of them,
 those of the least md5 of their place.  The tables at hold have none, so the queries derive them by
-rule (``rule_labels``): known shapes and assignments to a credential's name are true,
-plain numbers and plain words are false, anything else is left for the forest to judge.
+rule (``rule_labels``): known shapes and assignments to a credential's name that hold a
+digit are true, plain numbers (after a credential's name, those under four digits) and plain
+words after no such name are false, anything else is left for the forest to judge.
 
 NULL text holds no candidate; a NULL doc_id or path is a value of its own; repeated rows
 are judged each; texts are scanned whole; without any labelled finding nothing is called a
@@ -41,6 +46,10 @@ _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{12,}={0,2}")
 _WORD = re.compile(rb"[A-Za-z]+")
 _KEY_ID = re.compile(r"AKIA[A-Z0-9]{16}")
 _NAMES = frozenset(("token", "password", "passwd", "secret", "key", "apikey", "credential", "auth", "bearer"))
+_ASSIGNED = re.compile(rf"(?i)(?<![a-z])({'|'.join(sorted(_NAMES))})[0-9_]*[\"']?\]?[ \t]*(?:=>|:=|=+|:(?!:))[ \t]*".encode())
+_QUOTED = re.compile(rb"""\"([^\"\\\r\n]*(?:\\.[^\"\\\r\n]*)*)\"|'([^'\\\r\n]*(?:\\.[^'\\\r\n]*)*)'""")
+_BARE = re.compile(rb"""(?:\"{3}|'{3}|[\"'])?(?![\"'])((?:(?!,[\"'])\S)+)""")
+_URL = re.compile(rb"://[^\s/:@]*:([^\s/]+)@")
 FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "kind_changes", "hex_only", "distinct", "pair_surprise", "dictionary", "vowels",
             "in_path", "extension", "assigned", "quoted", "before_share", "after_share", "path_share"]
 FOUND = "path string, start long, length long, value string, before string, after string, assigned boolean, quoted boolean, in_path boolean, extension boolean"
@@ -50,20 +59,43 @@ def likely(run: bytes) -> bool:
     """Whether a run may be a secret at all."""
     if any(48 <= b <= 57 for b in run):
         return True
-    return len(run) >= 16 and run[1:] != run[1:].lower()
+    return run[1:] != run[1:].lower() or any(len(w) >= 20 for w in _WORD.findall(run))
+
+
+def values(raw: bytes) -> dict[int, tuple[int, str, bool]]:
+    """First byte -> (end, name assigned to, quoted) of every value assigned to a credential's name, and of every password in a URL."""
+    out = {m.start(1): (m.end(1), "password", False) for m in _URL.finditer(raw)}
+    names, closed = list(_ASSIGNED.finditer(raw)), 0
+    for m, following in zip(names, [*names[1:], None]):
+        name, at = m.group(1).decode().lower(), m.end()
+        whole = _QUOTED.match(raw, at)
+        if whole and whole.end() - at > 2:
+            closed = max(closed, whole.end() - 1)
+            out[at + 1] = (whole.end() - 1, name, True)
+            continue
+        # a bare value ends before the next name, and inside the quotes it stands in
+        stop = following.start() if following else len(raw)
+        bare = _BARE.match(raw, at, min(stop, closed) if at < closed else stop)
+        if bare:
+            out[bare.start(1)] = (bare.end(1), name, False)
+    return out
 
 
 def find(raw: bytes) -> list[tuple]:
-    """(first byte, end, value, word before, word after, assigned, quoted, in a path, has an extension) of each candidate."""
-    out = []
+    """(first byte, end, value, word before, word after, assigned, quoted, in a path, has an extension) of each candidate, by first byte."""
+    spans = values(raw)
     for m in _CANDIDATE.finditer(raw):
         if likely(m.group()):
-            a, b = m.span()
-            left, right = raw[max(0, a - CONTEXT): a], raw[b: b + CONTEXT]
-            before, after = _WORD.findall(left), _WORD.search(right)
-            bare = left.rstrip(b" \"'")
-            out.append((a, b, m.group().decode(), before[-1].decode().lower() if before else "", after.group().decode().lower() if after else "",
-                        bare.endswith((b"=", b":")), left[-1:] in (b'"', b"'") and right[:1] in (b'"', b"'"), left[-1:] in (b"/", b"\\", b"."), right[:1] == b"." and right[1:2].isalpha()))
+            end, name, quoted = spans.get(m.start(), (0, None, False))
+            spans[m.start()] = (max(end, m.end()), name, quoted)
+    out = []
+    for a, (b, name, whole) in sorted(spans.items()):
+        left, right = raw[max(0, a - CONTEXT): a], raw[b: b + CONTEXT]
+        before, after = _WORD.findall(left), _WORD.search(right)
+        bare = left.rstrip(b" \"'")
+        out.append((a, b, raw[a:b].decode(), name or (before[-1].decode().lower() if before else ""), after.group().decode().lower() if after else "",
+                    name is not None or bare.endswith((b"=", b":")), whole or (left[-1:] in (b'"', b"'") and right[:1] in (b'"', b"'")),
+                    left[-1:] in (b"/", b"\\", b"."), right[:1] == b"." and right[1:2].isalpha()))
     return out
 
 
@@ -116,7 +148,7 @@ def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
                 raw = data[a:b].tobytes()
                 for s, e, *rest in find(raw):
                     value, before, after, assigned, quoted, in_path, extension = rest
-                    rows.append({"path": path, "start": len(raw[:s].decode()), "length": e - s, "value": value, "before": before, "after": after,
+                    rows.append({"path": path, "start": len(raw[:s].decode()), "length": len(value), "value": value, "before": before, "after": after,
                                  "assigned": assigned, "quoted": quoted, "in_path": in_path, "extension": extension})
                     at.append(i)
             found = pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -153,8 +185,10 @@ def dictionary(docs: DataFrame, words: int = WORDS) -> Dictionary:
 def rule_labels(found: DataFrame) -> DataFrame:
     """Labelled findings by rule, of the documents that are not held out."""
     digit = F.col("value").rlike("[0-9]")
-    true = F.col("value").rlike(f"^{_KEY_ID.pattern}$") | (F.col("assigned") & F.col("before").isin(*sorted(_NAMES)) & digit)
-    false = F.col("value").rlike("^[0-9-]+$") | F.col("value").rlike("^[A-Za-z-]+$")
+    named = F.col("assigned") & F.col("before").isin(*sorted(_NAMES))
+    # after a name, short numbers are counts and anything without a digit may be a password
+    true = F.col("value").rlike(f"^{_KEY_ID.pattern}$") | (named & digit & ~F.col("value").rlike("^[0-9-]{1,11}$"))
+    false = F.col("value").rlike("^[0-9-]{1,3}$") | (~named & F.col("value").rlike("^([0-9-]+|[A-Za-z-]+)$"))
     label = F.when(true, 1.0).when(false, 0.0)
     return found.where(~held_out("doc_id", 4, 2)).select("doc_id", "start", label.alias("label")).where("label IS NOT NULL")
 
@@ -223,10 +257,16 @@ def redact(docs: DataFrame, labels: DataFrame | None = None, path_col: str = "so
                     rows.append(dict(zip(names, rest)) | {"path": None if paths[i] is None else str(paths[i])})
                     spots.append((i, a, b))
             if rows:
-                for (i, a, b), score in reversed(list(zip(spots, judge.scores(rows)))):
+                secret: list[list[int]] = []
+                for (i, a, b), score in zip(spots, judge.scores(rows)):
                     if score >= THRESHOLD:
-                        raw = texts[i].encode()
-                        texts[i] = (raw[:a] + mask + raw[b:]).decode()
+                        if secret and secret[-1][0] == i and a < secret[-1][2]:  # overlapping ones are masked as one
+                            secret[-1][2] = max(b, secret[-1][2])
+                        else:
+                            secret.append([i, a, b])
+                for i, a, b in reversed(secret):
+                    raw = texts[i].encode()
+                    texts[i] = (raw[:a] + mask + raw[b:]).decode()
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)

@@ -45,6 +45,42 @@ def test_labelled_findings_teach_the_forest(spark):
     assert all((secrets.MASK in masked[i]) == bool(i % 2) and masked[i].endswith(" and more words") for i in range(300))
 
 
+PLANTED = ['password = "{}"', "password={}", 'api_key: "{}"', "secret = '{}'", "passwd: {}", '{{"token": "{}", "n": 1}}', "postgres://admin:{}@db.host/prod"]
+SHORT = ["hunter{}!", "Tr0ub4dor&{}", "abcd{}efg", "9f8e7d{}", "P@ssw0rd!{}xx", "grüße{}", "x{}"]
+LETTERS = ["QmZxTrLpWsKd", "correct", "abcdefghijklmnopqrstuvwxy", "p@ss-word!"]
+
+
+def test_short_punctuated_and_letter_only_secrets(spark):
+    """What stands after a credential's name or as a URL's password is a candidate as a whole, called a secret and masked."""
+    made, texts = {}, {}
+    for i in range(420):
+        value = LETTERS[i % 4] if i % 5 == 0 else SHORT[i % 7].format(i)
+        head = f"some words here, order {10**13 + i} of "
+        line = PLANTED[i // 7 % 7].format(value)
+        texts[i] = f"{head}{line} and more words"
+        made[(i, len(head) + line.rindex(value))] = value
+    df = spark.createDataFrame([(i, t, None, "src", None) for i, t in texts.items()], DOCS)
+    got = {(r.doc_id, r.start): r for r in secrets.scan(df).collect()}
+    true = {(i, a) for (i, a), value in made.items()}
+    assert true <= got.keys()
+    for at in true:
+        assert (got[at].length, got[at].sha256) == (len(made[at]), hashlib.sha256(made[at].encode()).hexdigest())
+        assert got[at].is_secret
+    assert len(got) == 840 and not any(r.is_secret for at, r in got.items() if at not in true)
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for (i, a), value in made.items():
+        assert masked[i] == texts[i][:a] + secrets.MASK + texts[i][a + len(value):]
+
+
+def test_overlapping_candidates_and_bounds_of_values():
+    found = lambda t: [v[2] for v in secrets.find(t.encode())]
+    assert found('secret = "user password=hunter2" z') == ["user password=hunter2", "hunter2"]
+    assert found("?key=1a&password=hunter2 x") == ["1a&", "hunter2"]
+    assert found('{"token":123456,"user":"bob"}') == ["123456"]
+    assert found('password="" monkey: 5 tokens=3 key::x token = key: ') == found('http://host:80/a@b') == []
+    assert found("abcdefghijklmnopqrstuvwxy") == ["abcdefghijklmnopqrstuvwxy"]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = odd_docs.collect()
     extra = odd_docs.selectExpr("*", "'v' AS value", "true AS is_secret", "1 AS start")
