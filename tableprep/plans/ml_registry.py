@@ -202,8 +202,7 @@ def q_random_search(spark, d):
     data = _docs_labelled(spark, d)
     state = models.fit_tree_features(data, ["n_chars", "lang", "source"])
     x = state.transform(data, keep=["doc_id", "quality"])
-    return evaluate.random_search(x, state.columns(), "quality", ["doc_id"], task="classification",
-                                  n_trials=4, k=3, overrides={"n_estimators": 10, "max_depth": 4})
+    return evaluate.random_search(x, state.columns(), "quality", ["doc_id"], task="classification")
 
 
 @register("score_table")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableprep.ml import evaluate, explain, features, models
 from tableprep.ml.explain import _shapley_table
+from tableprep.plans.ml_registry import q_random_search
 from tableprep.session import scratch_path
 
 from .conftest import SF001, rows
@@ -241,6 +242,20 @@ def test_cv_and_search(spark):
     assert all(100 <= t["n_estimators"] <= 1000 and 3 <= t["max_depth"] <= 10 for t in trials)
 
 
+def test_registered_search_is_the_whole_one(spark, monkeypatch):
+    """20 trials of 5 folds, every parameter drawn from its range and none pinned; the fits themselves are left out."""
+    fitted = []
+    monkeypatch.setattr(evaluate, "gbt_estimator", lambda label, task, params, bins, classes: fitted.append(params) or params)
+    monkeypatch.setattr(evaluate, "_fold_scores", lambda data, estimator, evaluator, k: [estimator["learning_rate"]] * k if k == 5 else [])
+    got = q_random_search(spark, SF001).collect()
+    assert sorted(r["trial"] for r in got) == list(range(20))
+    for name, low, high, *_ in evaluate.SEARCH_SPACE:
+        if name != "num_leaves":
+            seen = [r[name] for r in got]
+            assert len(set(seen)) > 1 and low <= min(seen) <= max(seen) <= high
+            assert sorted(seen) == sorted(t[name] for t in fitted)
+
+
 def test_validate_params_and_feature_columns(spark):
     assert models.validate_model_parameters({"learning_rate": 0.1, "n_estimators": 100, "max_depth": 7})
     assert not models.validate_model_parameters({"learning_rate": 0.1, "n_estimators": 100})
