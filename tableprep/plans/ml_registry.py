@@ -168,9 +168,7 @@ def q_logistic_fit(spark, d):
     return models.coefficient_table(m, lf.train_columns)
 
 
-# The registered fits use the form's defaults (100 trees of depth 7); the
-# explanations, whose cost is per row and leaf, take a smaller ensemble.
-_GBT_SMALL = {"n_estimators": 20, "max_depth": 5}
+# The registered fits and explanations use the form's defaults (100 trees of depth 7).
 _LI_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"]
 
 
@@ -217,7 +215,7 @@ def q_score_table(spark, d):
 @register("feature_importance")
 def q_feature_importance(spark, d):
     li = table(spark, d, "lineitem")
-    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", _GBT_SMALL,
+    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression",
                                   categoricals=["l_returnflag"])
     return explain.feature_importance(model, state.columns(), top=20)
 
@@ -235,7 +233,7 @@ def q_coefficient_extremes(spark, d):
 def q_tree_attribution(spark, d):
     li = table(spark, d, "lineitem")
     model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression",
-                                  {"n_estimators": 10, "max_depth": 4}, categoricals=["l_returnflag"])
+                                  categoricals=["l_returnflag"])
     x = state.transform(li, keep=["l_orderkey", "l_linenumber"])
     return explain.tree_attribution(x, model, state.columns(), keep=["l_orderkey", "l_linenumber"])
 
@@ -248,8 +246,7 @@ def q_tree_attribution_multiclass(spark, d):
                                          "o_orderstatus")
     data = features.fit_label_encoder(o, ["o_orderstatus"]).transform(o)
     feats = ["o_totalprice", "o_custkey", "o_orderpriority"]
-    model, state = models.fit_gbt(data, feats, "o_orderstatus", "classification",
-                                  {"n_estimators": 5, "max_depth": 3})
+    model, state = models.fit_gbt(data, feats, "o_orderstatus", "classification")
     x = state.transform(data, keep=["o_orderkey"])
     return explain.tree_attribution(x, model, state.columns(), keep=["o_orderkey"])
 
@@ -311,7 +308,7 @@ def q_coefficient_extremes_by_type(spark, d):
 
 @register("importance_total", "SELECT CAST(1 AS DOUBLE) AS total, CAST(5 AS BIGINT) AS features")
 def q_importance_total(spark, d):
-    model, state = models.fit_gbt(table(spark, d, "lineitem"), _LI_FEATS, "l_extendedprice", "regression", _GBT_SMALL, categoricals=["l_returnflag"])
+    model, state = models.fit_gbt(table(spark, d, "lineitem"), _LI_FEATS, "l_extendedprice", "regression", categoricals=["l_returnflag"])
     return explain.feature_importance(model, state.columns()).agg(rnd(F.sum("importance"), "total"), F.count("feature").alias("features"))
 
 
@@ -319,7 +316,7 @@ def q_importance_total(spark, d):
 def q_tree_attribution_sums(spark, d):
     """Base value and contributions add up to the prediction of every row."""
     li = table(spark, d, "lineitem")
-    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", {"n_estimators": 10, "max_depth": 4}, categoricals=["l_returnflag"])
+    model, state = models.fit_gbt(li, _LI_FEATS, "l_extendedprice", "regression", categoricals=["l_returnflag"])
     keys = ["l_orderkey", "l_linenumber", "predicted_l_extendedprice"]
     scored = models.predict(model, li, _LI_FEATS, "l_extendedprice", keep=[*li.columns], tree_state=state)
     # features travel under their prepared form, so the two keys that are features too are renamed first

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from tableprep.ml import evaluate, explain, features, models
 from tableprep.ml.explain import _shapley_table
+from tableprep.plans import ml_registry
 from tableprep.plans.ml_registry import q_random_search
 from tableprep.session import scratch_path
 
-from .conftest import SF001, rows
+from .conftest import SF0001, SF001, rows
 
 
 def test_detect_and_recommend(spark):
@@ -256,6 +257,20 @@ def test_registered_search_is_the_whole_one(spark, monkeypatch):
             assert sorted(seen) == sorted(t[name] for t in fitted)
 
 
+@pytest.mark.parametrize("name", ["feature_importance", "importance_total", "tree_attribution", "tree_attribution_sums", "tree_attribution_multiclass"])
+def test_registered_explanations_fit_at_the_defaults(spark, monkeypatch, name):
+    class Fitted(Exception):
+        pass
+
+    def fit(df, features, label, task, params=None, **more):
+        raise Fitted(models.gbt_params(params))
+
+    monkeypatch.setattr(models, "fit_gbt", fit)
+    with pytest.raises(Fitted) as seen:
+        getattr(ml_registry, f"q_{name}")(spark, SF0001)
+    assert (seen.value.args[0]["maxIter"], seen.value.args[0]["maxDepth"]) == (100, 7)
+
+
 def test_validate_params_and_feature_columns(spark):
     assert models.validate_model_parameters({"learning_rate": 0.1, "n_estimators": 100, "max_depth": 7})
     assert not models.validate_model_parameters({"learning_rate": 0.1, "n_estimators": 100})
