@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings, by prefix doubling over sampled positions.
+"""Exact removal of repeated byte strings, by minimizer runs in place of prefix doubling.
 
 Every byte covered by a ``length``-byte string that also starts anywhere else (same
 document included) goes; strings are judged on the input and never cross documents.
