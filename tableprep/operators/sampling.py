@@ -64,9 +64,9 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42, par
         frac *= 2
     if n <= TOP_K_LIMIT and min(m, n * parts) <= TOP_K_MERGE_ROWS:
         return cand.orderBy(*order).limit(n)
-    keyed = cand.withColumn("__sample_hash", order[0])
-    ranked = add_row_index(keyed, ["__sample_hash", *key_cols], name="__sample_rank")
-    return ranked.where(F.col("__sample_rank") <= n).drop("__sample_rank", "__sample_hash")
+    keyed = cand.select("*", order[0].alias("__sample_hash"), order[-1].alias("__sample_tie"))
+    ranked = add_row_index(keyed, ["__sample_hash", *key_cols, "__sample_tie"], name="__sample_rank")
+    return ranked.where(F.col("__sample_rank") <= n).drop("__sample_rank", "__sample_hash", "__sample_tie")
 
 
 def hash_split(df: DataFrame, key_cols: Sequence[str], train_pct: int = 80,

@@ -132,6 +132,14 @@ def test_sample_threshold_cut_equals_top_k(spark, monkeypatch):
         assert len(got) == n and got == want, n
 
 
+def test_sample_branches_keep_equal_rows_of_repeated_keys(spark, monkeypatch):
+    from tableprep.operators import sampling as S
+    df = spark.range(3000).withColumn("k", F.col("id") % 4).repartition(12)
+    top = rows(S.sample_n(df, 1000, ["k"]))
+    monkeypatch.setattr(S, "TOP_K_LIMIT", 10)
+    assert len(top) == 1000 and rows(S.sample_n(df, 1000, ["k"])) == top
+
+
 def test_dedupe_subset_is_deterministic(spark):
     from tableprep.operators import clean as C
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, v int").repartition(3)
