@@ -8,7 +8,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprep.llm import hamming, mixing, packing, quality, quality_rules, secrets, simhash, suffix_dedup, token_output, toxicity
+from tableprep.llm import (chat_format, fill_middle, hamming, mixing, packing, quality, quality_rules, secrets, simhash, suffix_dedup, table_kmeans,
+                           token_output, toxicity)
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -37,9 +38,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_curriculum_mix": mixing.op8_curriculum_mix,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_toxicity_ftrl": toxicity.op10_toxicity_ftrl,
+        "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op12_chat_format": chat_format.op12_chat_format,
+        "op13_table_kmeans": table_kmeans.op13_table_kmeans,
     }
     return {name: importable(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_hamming_topk": hamming.ORACLE_SQL, "op8_curriculum_mix": mixing.ORACLE_SQL}
+    return {"op6_hamming_topk": hamming.ORACLE_SQL, "op8_curriculum_mix": mixing.ORACLE_SQL, "op11_fill_middle": fill_middle.ORACLE_SQL,
+            "op12_chat_format": chat_format.ORACLE_SQL, "op13_table_kmeans": table_kmeans.ORACLE_SQL}
