@@ -2,21 +2,13 @@
 attribution (M11) and tree attribution (M12).
 
 Linear attribution is a set of column expressions for every row.  Tree
-attribution computes exact path-dependent Shapley values: the expected
-output of one leaf, given a feature subset S, is a product game over the
-distinct features d on its root-to-leaf path -- a feature in S contributes
-1 if the row meets all of that feature's conditions on the path (else 0),
-a feature outside S contributes its share of training cover along the path.
-Because the row only enters through the 2^d pattern of met conditions, each
-leaf's Shapley values are tabulated once per pattern inside the Python
-worker, and every row is a table lookup.  Rows are processed by
-``mapInPandas`` on the executors; only the tree structure (bounded by trees
-x nodes) is broadcast.
+attribution computes exact path-dependent Shapley values (``tree_paths`` has
+the method).  Rows are processed by ``mapInPandas`` on the executors; only the
+ensemble's flat arrays are broadcast, and their size is checked.
 """
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 from collections.abc import Sequence
@@ -28,17 +20,16 @@ from pyspark.sql import functions as F
 
 from pyspark import cloudpickle
 
+from ..functions.names import quoted
 from ..session import default_parallelism, scratch_path
+from .tree_paths import attributor, flat_bytes, flatten
 
 # The per-row work runs in Python workers that need not have this package
 # installed: ship this module's functions with the task by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Leaves whose path uses at most this many distinct features get their
-# Shapley table for all 2^d condition patterns once per worker; deeper
-# leaves (Spark trees reach depth 30) are solved exactly for the patterns
-# that occur in each batch, so no depth is refused.
-FULL_TABLE_DEPTH = 8
+# An ensemble's arrays go to every executor: at most this many bytes (28 a node, so 38 million nodes).
+MAX_TREE_BYTES = 1 << 30
 
 
 def feature_importance(model, names: Sequence[str], top: int = 20) -> DataFrame:
@@ -89,84 +80,6 @@ def _gbt_trees(model) -> tuple[list[dict], list[float]]:
     return [trees[t] for t in ids], [weights[t] for t in ids]
 
 
-def _leaves(tree: dict, weight: float) -> list[tuple]:
-    """Every leaf as (value, features, conditions, cover ratios)."""
-    out = []
-
-    def walk(nid, conds):
-        n = tree[nid]
-        if n["leftChild"] < 0:
-            feats: dict[int, dict] = {}
-            for f, kind, arg, ratio in conds:
-                e = feats.setdefault(f, {"lo": -math.inf, "hi": math.inf, "cats": None, "neg": set(), "r": 1.0})
-                e["r"] *= ratio
-                if kind == "le":
-                    e["hi"] = min(e["hi"], arg)
-                elif kind == "gt":
-                    e["lo"] = max(e["lo"], arg)
-                elif kind == "in":
-                    e["cats"] = set(arg) if e["cats"] is None else e["cats"] & set(arg)
-                else:
-                    e["neg"] |= set(arg)
-            order = sorted(feats)
-            out.append((weight * n["prediction"], order, [feats[f] for f in order],
-                        np.array([feats[f]["r"] for f in order])))
-            return
-        f = n["featureIndex"]
-        arg = list(n["leftCategoriesOrThreshold"])
-        cat = n["numCategories"] >= 0
-        parent = max(n["rawCount"], 1)
-        left, right = tree[n["leftChild"]], tree[n["rightChild"]]
-        rl, rr = left["rawCount"] / parent, right["rawCount"] / parent
-        if cat:
-            walk(n["leftChild"], conds + [(f, "in", arg, rl)])
-            walk(n["rightChild"], conds + [(f, "notin", arg, rr)])
-        else:
-            walk(n["leftChild"], conds + [(f, "le", arg[0], rl)])
-            walk(n["rightChild"], conds + [(f, "gt", arg[0], rr)])
-
-    walk(0, [])
-    return out
-
-
-def _shapley_rows(b: np.ndarray, pats: np.ndarray) -> np.ndarray:
-    """Shapley values of the product game for the given 0/1 patterns of met
-    conditions: rows[k, i] for pattern pats[k] and the game
-    v(S) = prod_{f in S} a_f prod_{f not in S} b_f.  O(len(pats) d^2)."""
-    d = len(b)
-    n = len(pats)
-    a = ((pats[:, None] >> np.arange(d)[None, :]) & 1).astype(float)  # (n, d)
-    w = np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
-    rows = np.zeros((n, d))
-    for i in range(d):
-        coef = np.zeros((n, d))  # polynomial coefficients in z of prod_{f != i} (b_f + a_f z)
-        coef[:, 0] = 1.0
-        for f in range(d):
-            if f == i:
-                continue
-            shifted = np.zeros_like(coef)
-            shifted[:, 1:] = coef[:, :-1] * a[:, f:f + 1]
-            coef = coef * b[f] + shifted
-        rows[:, i] = (a[:, i] - b[i]) * (coef @ w)
-    return rows
-
-
-def _shapley_table(b: np.ndarray) -> np.ndarray:
-    """``_shapley_rows`` for every one of the 2^d patterns."""
-    return _shapley_rows(b, np.arange(2 ** len(b), dtype=np.int64))
-
-
-def _met(x: np.ndarray, cond: dict) -> np.ndarray:
-    if cond["cats"] is not None:
-        m = np.isin(x, list(cond["cats"]))
-    else:
-        m = np.ones(len(x), dtype=bool)
-    if cond["neg"]:
-        m &= ~np.isin(x, list(cond["neg"]))
-    m &= (x > cond["lo"]) & (x <= cond["hi"])
-    return m
-
-
 def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Per row, the Shapley contribution of every feature to the raw
     ensemble output (regression prediction, or classification margin) and
@@ -184,42 +97,26 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
         ensembles, multiclass = list(model.models), True
     else:
         raise ValueError("tree attribution needs a boosted ensemble, or a one-vs-rest set of them")
-    per_class = []
-    for m in ensembles:
-        trees, weights = _gbt_trees(m)
-        leaves = [leaf for t, w in zip(trees, weights) for leaf in _leaves(t, w)]
-        per_class.append((leaves, float(sum(v * float(np.prod(r)) for v, _, _, r in leaves))))
-    full_depth = FULL_TABLE_DEPTH
+    flats = [flatten(*_gbt_trees(m)) for m in ensembles]
+    size = sum(map(flat_bytes, flats))
+    if size > MAX_TREE_BYTES:
+        raise ValueError(f"the trees take {size:,} bytes as arrays; MAX_TREE_BYTES allows {MAX_TREE_BYTES:,}")
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(per_class)
+    shared = spark.sparkContext.broadcast({"flats": flats})
     feats = list(feature_cols)
     keep = list(keep)
     names = [f"{f}_contrib" for f in feats]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*map(quoted, keep)).schema.fields]
                        + (["`class` int"] if multiclass else [])
                        + [f"`{n}` double" for n in names] + ["base_value double"])
 
     def run(batches):
-        tables = {}
-        classes = shared.value
+        held = shared.value  # stays in the worker, and the tables made so far with it
+        if "attribute" not in held:
+            held["attribute"] = attributor(held["flats"])
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
-            for ci, (lv, base) in enumerate(classes):
-                out = np.zeros((len(pdf), len(feats)))
-                for li, (value, fidx, conds, ratios) in enumerate(lv):
-                    if not fidx:
-                        continue
-                    pattern = np.zeros(len(pdf), dtype=np.int64)
-                    for j, (f, c) in enumerate(zip(fidx, conds)):
-                        pattern |= _met(x[:, f], c).astype(np.int64) << j
-                    if len(fidx) <= full_depth:
-                        t = tables.get((ci, li))
-                        if t is None:
-                            t = tables[(ci, li)] = _shapley_table(ratios)
-                        out[:, fidx] += value * t[pattern]
-                    else:
-                        seen, where = np.unique(pattern, return_inverse=True)
-                        out[:, fidx] += value * _shapley_rows(ratios, seen)[where.reshape(-1)]
+            for ci, (out, base) in enumerate(held["attribute"](x, len(feats))):
                 res = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
                 if multiclass:
                     res["class"] = np.int32(ci)
@@ -229,6 +126,6 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
                 yield res
 
     cols = keep + [f for f in feats if f not in keep]
-    rows = df.select(*[F.col(f"`{c}`") for c in cols])
+    rows = df.select(*map(quoted, cols))
     # The per-row work is CPU-heavy Python: deal the (narrow) feature rows out first.
     return rows.repartition(max(default_parallelism(spark), spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)

@@ -1,18 +1,15 @@
-import itertools
-import math
-
 import numpy as np
 import pytest
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
 from pyspark.sql import functions as F
 
 from tableprep.ml import evaluate, explain, features, models
-from tableprep.ml.explain import _shapley_table
 from tableprep.plans import ml_registry
 from tableprep.plans.ml_registry import q_random_search
 from tableprep.session import scratch_path
 
 from .conftest import SF0001, SF001, rows
+from .test_tree_paths import brute
 
 
 def test_detect_and_recommend(spark):
@@ -146,27 +143,6 @@ def test_gbt_params_mapping():
         models.gbt_params({"reg_alpha": 0.5})
 
 
-def _brute_force_shapley(tree_leaves, x, d_all):
-    """Path-dependent expectation by enumeration over feature subsets."""
-    def expect(subset):
-        tot = 0.0
-        for value, fidx, conds, ratios in tree_leaves:
-            w = value
-            for f, c, r in zip(fidx, conds, ratios):
-                w *= float(explain._met(np.array([x[f]]), c)[0]) if f in subset else r
-            tot += w
-        return tot
-    phi = np.zeros(d_all)
-    n = d_all
-    for i in range(n):
-        others = [j for j in range(n) if j != i]
-        for k in range(n):
-            for S in itertools.combinations(others, k):
-                wt = math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n)
-                phi[i] += wt * (expect(set(S) | {i}) - expect(set(S)))
-    return phi, expect(set())
-
-
 def test_tree_attribution_exact(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet").limit(3000).withColumn("rid", F.monotonically_increasing_id())
     li = li.persist()
@@ -180,45 +156,20 @@ def test_tree_attribution_exact(spark):
     assert np.allclose(contrib.sum(axis=1) + att["base_value"], pred.loc[att.index, "predicted_y"], atol=1e-6)
     # brute force on a few rows
     trees, weights = explain._gbt_trees(model)
-    leaves = [lf for t, w in zip(trees, weights) for lf in explain._leaves(t, w)]
     xs = x.toPandas().set_index("rid")
     for rid in list(att.index[:3]):
         vec = xs.loc[rid, state.columns()].to_numpy(dtype=float)
-        phi, base = _brute_force_shapley(leaves, vec, len(state.columns()))
+        phi, base = brute(trees, weights, vec)
         assert np.allclose(phi, contrib.loc[rid].to_numpy(), atol=1e-6)
         assert base == pytest.approx(att.loc[rid, "base_value"])
 
 
-def test_tree_attribution_deep_paths_use_seen_patterns(spark, monkeypatch):
-    """Paths deeper than the full-table depth are solved per seen pattern;
-    the result must equal the full-table path."""
-    li = spark.read.parquet(f"{SF001}/lineitem.parquet").withColumn("rid", F.monotonically_increasing_id())
-    feats = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"]
-    model, state = models.fit_gbt(li, feats, "l_extendedprice", "regression",
-                                  {"n_estimators": 3, "max_depth": 6}, categoricals=["l_returnflag"])
-    x = state.transform(li, keep=["rid"])
-    full = explain.tree_attribution(x, model, state.columns(), keep=["rid"]).toPandas().set_index("rid").sort_index()
-    monkeypatch.setattr(explain, "FULL_TABLE_DEPTH", 1)
-    deep = explain.tree_attribution(x, model, state.columns(), keep=["rid"]).toPandas().set_index("rid").sort_index()
-    assert np.allclose(full.to_numpy(), deep.to_numpy(), atol=1e-9)
-
-
-def test_shapley_rows_match_table_and_efficiency():
-    b = np.array([0.3, 0.6, 0.5, 0.9, 0.2, 0.7, 0.4, 0.8, 0.35, 0.55])
-    pats = np.array([0, 5, 511, 1023, 700], dtype=np.int64)
-    rows = explain._shapley_rows(b, pats)
-    assert np.allclose(rows, _shapley_table(b)[pats])
-    for k, pat in enumerate(pats):
-        a = [(int(pat) >> j) & 1 for j in range(len(b))]
-        assert rows[k].sum() == pytest.approx(np.prod(a) - np.prod(b))
-
-
-def test_shapley_table_efficiency():
-    b = np.array([0.3, 0.6, 0.5])
-    t = _shapley_table(b)
-    for pat in range(8):
-        a = [(pat >> j) & 1 for j in range(3)]
-        assert t[pat].sum() == pytest.approx(np.prod(a) - np.prod(b))
+def test_tree_attribution_refuses_a_model_too_large_to_send(spark, monkeypatch):
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet").limit(500)
+    model, state = models.fit_gbt(li, ["l_quantity"], "l_extendedprice", "regression", {"n_estimators": 2, "max_depth": 3})
+    monkeypatch.setattr(explain, "MAX_TREE_BYTES", 100)
+    with pytest.raises(ValueError, match="MAX_TREE_BYTES"):
+        explain.tree_attribution(state.transform(li), model, state.columns())
 
 
 def test_bundle_roundtrip(spark):
