@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import threading
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ def r2_score(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def accuracy_score(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """M9: share of rows whose prediction equals the label."""
-    return df.agg(F.avg((F.col(label).cast("double") == F.col(prediction).cast("double")).cast("double"))
+    return df.agg(F.avg((quoted(label).cast("double") == quoted(prediction).cast("double")).cast("double"))
                   .alias("accuracy"))
 
 
@@ -45,9 +48,14 @@ def _default_estimator(task: str, label: str):
     return LogisticRegression(featuresCol=FEATURES, labelCol=label)
 
 
+def _fold_score(data: DataFrame, estimator, evaluator, fold: int) -> float:
+    """Score on one fold of an estimator fitted on the others."""
+    return evaluator.evaluate(estimator.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)))
+
+
 def _fold_scores(data: DataFrame, estimator, evaluator, k: int) -> list[float]:
-    """Score on each fold of an estimator fitted on the others; no fit beyond the k needed."""
-    return [evaluator.evaluate(estimator.fit(data.where(F.col("fold") != i)).transform(data.where(F.col("fold") == i))) for i in range(k)]
+    """Score on each fold; no fit beyond the k needed."""
+    return [_fold_score(data, estimator, evaluator, i) for i in range(k)]
 
 
 def cv_scores(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str],
@@ -68,13 +76,21 @@ def _score_row(df: DataFrame, scores: list[float]) -> DataFrame:
                                            "cv_mean double, cv_std double, folds int")
 
 
-def _gbt_folds(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str, categoricals: Sequence[str], k: int, seed: int):
-    """Persisted (features, label, fold) rows of a boosted model, its bin count and class count."""
+# Bytes of a partition of the persisted fold set: a learner starts a task per partition and tree level.
+FOLD_PART_BYTES = 32 << 20
+
+
+def _gbt_folds(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str, categoricals: Sequence[str], k: int, seed: int,
+               part_bytes: int = FOLD_PART_BYTES):
+    """Persisted (features, label, fold) rows of a boosted model, in partitions of a measured size, its bin count and class count."""
     state = fit_tree_features(df, features, categoricals)
     folded = assign_folds(df, key_cols, k, seed)
-    data = assemble(state.transform(folded, keep=[label, "fold"]), state.columns()).select(FEATURES, label, "fold").persist()
-    classes = None if task == "regression" else int(data.agg(F.max(label)).collect()[0][0]) + 1
-    return data, state.max_bins(), classes
+    rows = state.transform(folded, keep=[label, "fold"])
+    found = rows.agg(F.count(F.lit(1)), *([] if task == "regression" else [F.max(quoted(label))])).first()
+    parts = max(1, -(-int(found[0]) * 8 * (len(state.columns()) + 4) // part_bytes))
+    data = assemble(rows, state.columns()).select(FEATURES, label, "fold")
+    data = (data.coalesce(1) if parts == 1 else data.repartition(parts)).persist()
+    return data, state.max_bins(), None if task == "regression" else int(found[1]) + 1
 
 
 def cv_gbt_scores(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str = "regression", params: Mapping | None = None,
@@ -117,26 +133,125 @@ def draw_trials(n_trials: int, seed: int = 42, space=SEARCH_SPACE,
     return trials
 
 
+class _Search:
+    """The folds scored so far, and what they prove.
+
+    Taken one after another, a trial is given up after the first fold at which it could not
+    reach the best mean of the trials before it even with perfect scores (1.0) on the rest.
+    That rule alone says what is reported; fits that run beside it can only be cancelled
+    when the rule is certain to give their trial up."""
+
+    def __init__(self, n_trials: int, k: int):
+        self.k, self.scores = k, [[None] * k for _ in range(n_trials)]
+
+    def hopeless(self, trial: int, best: float | None) -> int | None:
+        """The fold after which the trial is given up against ``best``, as far as the folds are known."""
+        total = 0.0
+        for done, score in enumerate(self.scores[trial][:-1], 1):
+            if score is None:
+                return None
+            total += score
+            if best is not None and (total + self.k - done) / self.k < best:
+                return done
+        return None
+
+    def mean(self, trial: int) -> float | None:
+        folds = self.scores[trial]
+        return None if None in folds else float(np.mean(folds))
+
+    def surely_hopeless(self, trial: int) -> bool:
+        """Some earlier trial that the rule keeps already beats this one."""
+        return any(self.mean(t) is not None and self.hopeless(trial, self.mean(t)) is not None for t in range(trial))
+
+    def report(self) -> list[tuple[float | None, float | None, int]]:
+        """Mean, deviation and folds of every trial, by the rule."""
+        out, best = [], None
+        for t, folds in enumerate(self.scores):
+            stop = self.hopeless(t, best)
+            if stop is not None:
+                out.append((None, None, stop))
+                continue
+            mean = float(np.mean(folds))
+            out.append((mean, float(np.std(folds, ddof=1)), self.k))
+            best = mean if best is None else max(best, mean)
+        return out
+
+
+def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float], parallelism: int) -> list[tuple[float | None, float | None, int]]:
+    """``score(trial, fold)`` of all folds that the search needs, ``parallelism`` at once, trial by trial.
+
+    Each fit runs in a thread of its own under a job tag of its trial; when the trial is
+    proved hopeless, its waiting folds are skipped and its running jobs cancelled."""
+    found, tag, sc = _Search(n_trials, k), f"search-{uuid.uuid4().hex}", spark.sparkContext
+    lock, jobs = threading.Lock(), iter([(t, f) for t in range(n_trials) for f in range(k)])
+    given_up: set[int] = set()
+    errors: list[BaseException] = []
+
+    def work() -> None:
+        while True:
+            with lock:
+                job = next(jobs, None)
+                while job and job[0] in given_up:
+                    job = next(jobs, None)
+            if job is None or errors:
+                return
+            trial, fold = job
+            sc.addJobTag(f"{tag}-{trial}")
+            try:
+                value = float(score(trial, fold))
+            except BaseException as e:
+                if trial not in given_up:
+                    errors.append(e)
+                    return
+                continue
+            finally:
+                sc.removeJobTag(f"{tag}-{trial}")
+            with lock:
+                found.scores[trial][fold] = value
+                new = {t for t in range(trial, n_trials) if t not in given_up and found.surely_hopeless(t)}
+                given_up.update(new)
+            for t in new:
+                sc.cancelJobsWithTag(f"{tag}-{t}")
+
+    threads = [InheritableThread(target=work) for _ in range(min(parallelism, n_trials * k))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+    return found.report()
+
+
 def random_search(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str],
                   task: str = "regression", n_trials: int = 20, k: int = 5, seed: int = 42,
-                  overrides: Mapping | None = None, categoricals: Sequence[str] = ()) -> DataFrame:
+                  overrides: Mapping | None = None, categoricals: Sequence[str] = (), parallelism: int | None = None) -> DataFrame:
     """M5: seeded random search over the GBDT space, each trial scored by
     K-fold CV on the same hash folds; one row per trial, best first.
 
+    The fits are independent and run ``parallelism`` at once (default: one per core that the
+    session has) over one persisted fold set, whose partitions follow its size.  A trial
+    whose first folds prove that it cannot become the best is given up: its ``cv_mean`` is
+    NULL and ``folds`` says how many were scored.  Which trials those are depends on the
+    scores alone, not on which fit ends first.
+
     ``overrides`` pins parameters (e.g. a smaller ``n_estimators`` budget)."""
+    spark = df.sparkSession
     trials = draw_trials(n_trials, seed, overrides=overrides)
     data, bins, classes = _gbt_folds(df, features, label, key_cols, task, categoricals, k, seed)
+    evaluator = _evaluator(task, label)
+
+    def score(trial: int, fold: int) -> float:
+        params = {n: v for n, v in trials[trial].items() if n != "num_leaves"}
+        return _fold_score(data, gbt_estimator(label, task, params, bins, classes), evaluator, fold)
+
     try:
-        scores = [_fold_scores(data, gbt_estimator(label, task, {n: v for n, v in t.items() if n != "num_leaves"}, bins, classes), _evaluator(task, label), k)
-                  for t in trials]
+        data.count()
+        found = search_folds(spark, n_trials, k, score, parallelism or spark.sparkContext.defaultParallelism)
     finally:
         data.unpersist()
-    rows = []
-    for i, t in enumerate(trials):
-        rows.append((i, int(t["n_estimators"]), float(t["learning_rate"]), int(t["max_depth"]),
-                     float(t["subsample"]), float(t["colsample_bytree"]),
-                     float(np.mean(scores[i])), float(np.std(scores[i], ddof=1))))
-    spark = df.sparkSession
+    rows = [(i, int(t["n_estimators"]), float(t["learning_rate"]), int(t["max_depth"]), float(t["subsample"]), float(t["colsample_bytree"]), *found[i])
+            for i, t in enumerate(trials)]
     out = spark.createDataFrame(rows, "trial int, n_estimators int, learning_rate double, max_depth int, "
-                                      "subsample double, colsample_bytree double, cv_mean double, cv_std double")
-    return out.orderBy(F.col("cv_mean").desc(), "trial")
+                                      "subsample double, colsample_bytree double, cv_mean double, cv_std double, folds int")
+    return out.orderBy(F.col("cv_mean").desc_nulls_last(), "trial")

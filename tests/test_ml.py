@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
@@ -198,14 +200,82 @@ def test_registered_search_is_the_whole_one(spark, monkeypatch):
     """20 trials of 5 folds, every parameter drawn from its range and none pinned; the fits themselves are left out."""
     fitted = []
     monkeypatch.setattr(evaluate, "gbt_estimator", lambda label, task, params, bins, classes: fitted.append(params) or params)
-    monkeypatch.setattr(evaluate, "_fold_scores", lambda data, estimator, evaluator, k: [estimator["learning_rate"]] * k if k == 5 else [])
+    monkeypatch.setattr(evaluate, "_fold_score", lambda data, estimator, evaluator, fold: 0.95 + estimator["learning_rate"] / 100)
     got = q_random_search(spark, SF001).collect()
     assert sorted(r["trial"] for r in got) == list(range(20))
     for name, low, high, *_ in evaluate.SEARCH_SPACE:
         if name != "num_leaves":
             seen = [r[name] for r in got]
             assert len(set(seen)) > 1 and low <= min(seen) <= max(seen) <= high
-            assert sorted(seen) == sorted(t[name] for t in fitted)
+            assert sorted(seen * 5) == sorted(t[name] for t in fitted) and {r["folds"] for r in got} == {5}
+
+
+def serial_search(scores):
+    """One trial after another, given up once perfect scores on the rest could not reach the best mean so far."""
+    out, best, k = [], None, len(scores[0])
+    for folds in scores:
+        for done in range(1, k):
+            if best is not None and (sum(folds[:done]) + k - done) / k < best:
+                out.append((None, None, done))
+                break
+        else:
+            out.append((float(np.mean(folds)), float(np.std(folds, ddof=1)), k))
+            best = max(best, out[-1][0]) if best is not None else out[-1][0]
+    return out
+
+
+@pytest.mark.parametrize("seed, spread", [(0, 0.02), (1, 0.3), (2, 2.0), (3, 5.0)])
+def test_concurrent_search_reports_what_the_serial_one_does(spark, seed, spread):
+    rng = np.random.default_rng(seed)
+    scores = (1 - rng.uniform(size=(12, 1)) * spread * rng.uniform(size=(12, 5))).tolist()
+    want, ran = serial_search(scores), []
+
+    def score(trial, fold):
+        time.sleep(float(rng.uniform(0, 0.02)))
+        ran.append((trial, fold))
+        return scores[trial][fold]
+
+    for parallelism in (1, 8):
+        ran.clear()
+        got = evaluate.search_folds(spark, 12, 5, score, parallelism)
+        assert got == want and len(set(ran)) == len(ran)
+        assert {(t, f) for t, (_, _, n) in enumerate(want) for f in range(n)} <= set(ran)
+        best = max(range(12), key=lambda t: np.mean(scores[t]))
+        assert max((m, -t) for t, (m, _, _) in enumerate(got) if m is not None)[1] == -best
+        if parallelism == 1:
+            assert len(ran) == sum(n for _, _, n in want)
+
+
+def test_hopeless_trials_are_cancelled_and_errors_raised(spark):
+    def score(trial, fold):
+        if trial == 0:
+            time.sleep(0.5)
+            return 0.9
+        if fold == 1:
+            spark.range(10 ** 12).selectExpr("sum(id * id % 7)").collect()  # hours, unless cancelled
+        return -5.0
+
+    began = time.monotonic()
+    assert evaluate.search_folds(spark, 2, 3, score, 6) == [(pytest.approx(0.9), pytest.approx(0), 3), (None, None, 1)]
+    assert time.monotonic() - began < 60
+
+    def broken(trial, fold):
+        raise RuntimeError("no fit")
+
+    with pytest.raises(RuntimeError, match="no fit"):
+        evaluate.search_folds(spark, 2, 3, broken, 2)
+
+
+def test_search_of_a_small_space_equals_its_folds_alone(spark):
+    df = spark.createDataFrame([(i, float(i % 17), float(i % 5), float((i % 17 > 8) ^ (i % 5 > 2))) for i in range(300)], "id long, a double, b double, y double")
+    over = {"n_estimators": 4, "max_depth": 3, "subsample": 1.0, "colsample_bytree": 1.0}
+    got = evaluate.random_search(df, ["a", "b"], "y", ["id"], task="classification", n_trials=3, k=3, overrides=over).collect()
+    trials = evaluate.draw_trials(3, overrides=over)
+    for r in got:
+        params = {n: v for n, v in trials[r["trial"]].items() if n != "num_leaves"}
+        alone = evaluate.cv_gbt_scores(df, ["a", "b"], "y", ["id"], task="classification", params=params, k=3).first()
+        assert r["folds"] == 3 and r["cv_mean"] == pytest.approx(alone["cv_mean"]) and r["cv_std"] == pytest.approx(alone["cv_std"])
+    assert [r["cv_mean"] for r in got] == sorted((r["cv_mean"] for r in got), reverse=True)
 
 
 @pytest.mark.parametrize("name", ["feature_importance", "importance_total", "tree_attribution", "tree_attribution_sums", "tree_attribution_multiclass"])
