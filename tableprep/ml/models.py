@@ -61,9 +61,10 @@ def training_set(df: DataFrame, features: Sequence[str], label: str, handle_inva
     their input once per iteration.  Memory and disk, so it spills instead
     of failing, and a lost executor's blocks are recomputed from lineage."""
     data = assemble(df, features, handle_invalid=handle_invalid).select(FEATURES, label)
-    # A few large row groups would leave cores idle for every iteration:
-    # AQE spreads the cached set by size, once.
-    return data.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
+    # A few large row groups would leave cores idle for every iteration, and more
+    # partitions than cores only add tasks to it: AQE spreads the cached set once,
+    # to one partition per core, fewer for small sets, more where those pass its size.
+    return data.hint("rebalance", df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_ols(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error"):
@@ -197,8 +198,8 @@ def gbt_estimator(label: str, task: str, params: Mapping | None, max_bins: int,
     """The boosted estimator of a task; more than two classes become one-vs-rest.
 
     With spark.checkpoint.dir set, the boosting state is checkpointed every
-    10 trees, so long fits keep a short lineage and survive lost executors."""
-    common = dict(featuresCol=FEATURES, labelCol=label, maxBins=max_bins, checkpointInterval=10, **gbt_params(params))
+    25 trees, so long fits keep a short lineage and survive lost executors."""
+    common = dict(featuresCol=FEATURES, labelCol=label, maxBins=max_bins, checkpointInterval=25, **gbt_params(params))
     if task == "regression":
         return GBTRegressor(**common)
     clf = GBTClassifier(**common)

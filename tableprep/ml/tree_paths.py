@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -65,11 +66,17 @@ def flat_bytes(flat: dict) -> int:
     return sum(a.nbytes for a in flat.values())
 
 
+@lru_cache(maxsize=None)
+def _nodes(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on [0, 1] that are exact up to degree d - 1."""
+    t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
+    return (t + 1) / 2, w / 2
+
+
 def _product_game(met: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Shapley values of product games: one row per feature, one column per pattern of ``met``."""
     d = len(share)
-    t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
-    t, w = (t + 1) / 2, w / 2
+    t, w = _nodes(d)
     part = met[:, None, :] * t[None, :, None] + (share[:, None] * (1 - t)[None, :])[:, :, None]
     before, after = np.ones_like(part), np.ones_like(part)
     for f in range(1, d):
