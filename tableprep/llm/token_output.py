@@ -1,8 +1,11 @@
 """Token-ID / binary output: documents as rANS-coded blocks of token ids.
 
-``write_tokens`` puts the documents in ascending ``doc_id`` order, tokenises them once,
-counts every id over the whole corpus, and codes runs of documents into independent
-blocks (``rans`` describes their bytes) under one shared frequency table.  A folder holds
+``write_tokens`` tokenises the documents once, counts every id over the whole corpus,
+puts the documents' ids (not their texts) in ascending ``doc_id`` order, and codes runs of
+documents into independent blocks (``rans`` describes their bytes) under one shared
+frequency table.  Rows of one ``doc_id`` are ordered by the crc32 of their ids and then by
+a number of their own, so a ``doc_id`` or a row that a third of the table repeats is dealt
+over many ranges.  A folder holds
 ``blocks`` (one row per block, written by Spark's own committer so a lost executor leaves
 no half file), and ``table`` (symbol, count, freq).  ``read_tokens`` decodes it again.
 
@@ -27,32 +30,29 @@ BLOCK_TOKENS = 1 << 18
 BITS = 20
 MEMO_WORDS = 800_000  # twice the default: nothing else runs in these tasks
 
-IDS = "part int, seq long, before long, doc_id long, n_tokens long, ids binary"
+IDS = "doc_id long, n_tokens long, crc long, twin long, ids binary"
 BLOCKS = "part int, seq long, before long, n_docs long, n_tokens long, payload binary"
 DOCS = "part int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Ids of every document (with the end id) in doc_id order; ``before`` counts the ids earlier in the same part."""
+    """Ids of every document (with the end id), as they come; ``twin`` numbers the rows."""
     kind = "<u2" if tokens.vocab_size(tokenizer) <= 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, part, seq, before = tokens.encoder(tokenizer, MEMO_WORDS), TaskContext.get().partitionId(), 0, 0
+        enc, seq = tokens.encoder(tokenizer, MEMO_WORDS), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, at = batch.column(0), 0
             for group in tokens.text_groups(batch.column(1).to_pylist()):
-                coded = [np.frombuffer(b + end, "<u4") for b in enc.encode(group)]
-                n = np.array([len(c) for c in coded], np.int64)
-                befores = before + np.cumsum(n) - n
+                raw = [b + end for b in enc.encode(group)]
+                narrow = [np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raw]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), part, np.int32)), pa.array(seq + np.arange(len(n))), pa.array(befores),
-                    ids.slice(at, len(n)).cast(pa.int64()), pa.array(n), pa.array([c.astype(kind).tobytes() for c in coded], pa.binary())],
-                    names=["part", "seq", "before", "doc_id", "n_tokens", "ids"])
-                before, seq, at = before + int(n.sum()), seq + len(n), at + len(n)
+                    ids.slice(at, len(raw)).cast(pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                    pa.array(seq + np.arange(len(raw))), pa.array(narrow, pa.binary())], names=["doc_id", "n_tokens", "crc", "twin", "ids"])
+                seq, at = seq + len(raw), at + len(raw)
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return C.materialize(rows.mapInArrow(run, IDS), "token-ids")
+    return C.materialize(docs.select("doc_id", "text").mapInArrow(run, IDS), "token-ids")
 
 
 def count_ids(coded: DataFrame, kind: str) -> DataFrame:
@@ -85,26 +85,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bl
     table = (counts[:, 0], freqs, bits)
 
     def run(batches):
-        shared = rans.Table(*table)
-        docs_, held, size = [], [], 0
+        shared, part, seq, before = rans.Table(*table), TaskContext.get().partitionId(), 0, 0
+        held, size = [], 0
 
         def block():
-            payload = rans.encode_block(shared, [d[3] for d in docs_], [d[4] for d in docs_], np.concatenate(held).astype(np.int64))
-            return pa.RecordBatch.from_pylist([{"part": docs_[0][0], "seq": docs_[0][1], "before": docs_[0][2], "n_docs": len(docs_), "n_tokens": size, "payload": payload}], schema=schema)
+            ids = np.concatenate([h[2] for h in held]).astype(np.int64)
+            payload = rans.encode_block(shared, [h[0] for h in held], [h[1] for h in held], ids)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_docs": len(held), "n_tokens": size, "payload": payload}], schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if docs_ and (size + row[4] > block_tokens or row[0] != docs_[0][0] or row[1] != docs_[-1][1] + 1):
+            for doc_id, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and size + n > block_tokens:
                     yield block()
-                    docs_, held, size = [], [], 0
-                docs_.append(row[:5])
-                held.append(np.frombuffer(row[5], kind))
-                size += row[4]
-        if docs_:
+                    held, seq, before, size = [], seq + len(held), before + size, 0
+                held.append((doc_id, n, np.frombuffer(ids, kind)))
+                size += n
+        if held:
             yield block()
 
-    coded.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    order = ("doc_id", "crc", "twin")
+    placed = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select("doc_id", "n_tokens", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -127,6 +129,35 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("part", "before", "payload").mapInArrow(run, DOCS + (", ids binary" if with_ids else ""))
 
 
+def block_range(block: rans.Block, first: int, last: int) -> np.ndarray:
+    """Ids first to last (not included) of a block, from the segments between checkpoints that hold them."""
+    step = block.stride * block.lanes
+    first, last = max(first, 0), min(last, block.tokens)
+    if first >= last:
+        return np.zeros(0, "<u4")
+    k = first // step
+    return np.concatenate([block.segment(i) for i in range(k, (last - 1) // step + 1)])[first - k * step: last - k * step]
+
+
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(start, ids): the corpus's ids from ``first`` to ``last`` (not included), a row for each
+    block that holds some.  Other blocks aren't read, and of these only the needed segments are decoded."""
+    rows = spark.read.parquet(f"{path}/table").collect()
+    table = ([r.symbol for r in rows], [r.freq for r in rows], rows[0].bits if rows else BITS)
+    starts = spark.createDataFrame(list(part_starts(spark, path).items()), "part int, base long")
+
+    def run(batches):
+        shared = rans.Table(*table)
+        for batch in batches:
+            for start, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = block_range(rans.Block(shared, payload), first - start, last - start)
+                yield pa.RecordBatch.from_arrays([pa.array([max(start, first)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["start", "ids"])
+
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(F.broadcast(starts), "part")
+    start = F.col("base") + F.col("before")
+    return blocks.where((start < last) & (start + F.col("n_tokens") > first)).select(start.alias("start"), "payload").mapInArrow(run, "start long, ids binary")
+
+
 def part_starts(spark: SparkSession, path: str) -> dict[int, int]:
     """Ids before each part: one row per write partition, in doc_id order."""
     rows = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()

@@ -18,7 +18,9 @@ from array import array
 
 MEMO_WORDS = 400_000  # entries a worker keeps (about 200 bytes each) before it drops the newer half
 
-_ODD = re.compile(r"[^\S \n]|\x00")
+# fixed values: white space but space and newline, and NUL (the mark that texts are split at)
+_ODD = "\0\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _loaded: dict[str, "Encoder"] = {}
 
@@ -68,10 +70,9 @@ class Encoder:
             return None
         if self.mode == "words":
             return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _RUNS)) or any(map(text.__contains__, _ODD)):
             return None
-        out = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return None if "" in out or " " in out else out
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _part(self, word: str) -> bytes:
         """Ids of one plain pre-token, by the memo."""

@@ -69,6 +69,37 @@ def test_token_files_round_trip(spark, docs, odd_docs, tmp_path):
         assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
 
 
+@pytest.mark.parametrize("first, last", [(0, 10 ** 9), (0, 1), (4990, 5020), (12_345, 31_000), (7, 7), (10 ** 8, 10 ** 9)])
+def test_a_range_of_ids_decodes_only_its_segments(spark, docs, tmp_path, first, last):
+    path = f"{tmp_path}/r"
+    token_output.write_tokens(docs, path, BYTE, block_tokens=5000)
+    every = [i for r in sorted(docs.collect(), key=lambda r: r.doc_id) for i in ids_of(BYTE, r.text)]
+    got = sorted(token_output.read_range(spark, path, first, last).collect())
+    assert [i for r in got for i in np.frombuffer(r.ids, "<u4").tolist()] == every[first:last]
+    assert [r.start for r in got] == np.cumsum([first, *(len(r.ids) // 4 for r in got)])[:-1].tolist()
+
+
+def test_block_range_counts_segments(monkeypatch):
+    ids = np.arange(50_000) % 300
+    table = rans.Table(np.arange(300), rans.quantise(np.arange(300), np.bincount(ids), 16), 16)
+    block, decoded = rans.Block(table, rans.encode_block(table, [1], [50_000], ids, lanes=64, stride=16)), []
+    segment = rans.Block.segment
+    monkeypatch.setattr(rans.Block, "segment", lambda self, k: decoded.append(k) or segment(self, k))
+    assert token_output.block_range(block, 2000, 3100).tolist() == ids[2000:3100].tolist()
+    assert decoded == [1, 2, 3]  # of 49, each of 16 steps of 64 lanes
+
+
+def test_a_row_that_a_third_repeat_is_dealt_over_ranges(spark, docs, tmp_path):
+    one = docs.limit(1).selectExpr("5L AS doc_id", "text").crossJoin(spark.range(4000).select())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few rows would else be put together again
+    try:
+        token_output.write_tokens(one.unionByName(docs.select("doc_id", "text")), f"{tmp_path}/hot", BYTE, block_tokens=5000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(f"{tmp_path}/hot/blocks").groupBy("part").sum("n_docs").collect()
+    assert len(parts) > 4 and max(r[1] for r in parts) < 0.5 * 5000
+
+
 def test_token_files_of_no_documents(spark, no_docs, tmp_path):
     token_output.write_tokens(no_docs, f"{tmp_path}/e", BYTE)
     assert token_output.digest(spark, f"{tmp_path}/e").collect() == []
