@@ -2,15 +2,20 @@
 
 Spark 4 runs with ANSI mode on, so every coercion goes through ``try_cast`` /
 ``try_to_timestamp``: unparsable input becomes NULL instead of failing the
-job.  All functions return a ``Column``; nothing touches the data here.
+job.  All functions return a ``Column`` and touch no data, but for ``date_layouts`` and
+``date_formats``, which look at a whole column once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import quoted
+
 # Date/time formats tried in order when a string column is cast to a date
 # (Spark datetime pattern syntax).  First match wins; lone letters such as
 # ``M`` also take one digit.
@@ -34,6 +39,14 @@ DATE_FORMATS = (
     "MMMM d yyyy",
 )
 
+# Layouts that read the same texts in the other order of day and month.  A column has one
+# order: see ``date_formats``.
+DAY_FIRST_FORMATS = {
+    "M/d/yyyy": "d/M/yyyy",
+    "M/d/yyyy H:m[:s]": "d/M/yyyy H:m[:s]",
+    "M-d-yyyy": "d-M-yyyy",
+}
+
 # Nanoseconds, microseconds, milliseconds or seconds per epoch unit.
 _EPOCH_DIVISOR_TO_SECONDS = {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}
 
@@ -126,7 +139,8 @@ def to_date(c, source_type: T.DataType | None = None, formats=DATE_FORMATS,
             epoch_unit: str = "ns") -> Column:
     """C4: cast to date.
 
-    Strings are parsed with the first matching format of ``formats``;
+    Strings are parsed with the first matching format of ``formats`` (``date_formats``
+    finds those of a column);
     numbers are read as an epoch count in ``epoch_unit`` (nanoseconds by
     default, so a small integer id becomes 1970-01-01 as in the reference).
     """
@@ -145,6 +159,39 @@ def to_date(c, source_type: T.DataType | None = None, formats=DATE_FORMATS,
     return F.to_date(parsed)
 
 
+def date_layouts(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """How many values of each text column every layout reads: column, layout, day_first
+    (NULL where a layout leaves no choice), parsed, present.  One aggregate over the table,
+    all columns and layouts side by side."""
+    layouts = [(f, None if f not in DAY_FIRST_FORMATS else False) for f in formats] + [(DAY_FIRST_FORMATS[f], True) for f in formats if f in DAY_FIRST_FORMATS]
+    text = [F.trim(quoted(c).cast("string")) for c in columns]
+    aggs = [F.count(t).alias(f"n{i}") for i, t in enumerate(text)]
+    aggs += [F.count(F.try_to_timestamp(t, F.lit(f))).alias(f"p{i}_{j}") for i, t in enumerate(text) for j, (f, _) in enumerate(layouts)]
+    row = df.agg(*aggs).first()
+    rows = [(c, f, first, row[f"p{i}_{j}"], row[f"n{i}"]) for i, c in enumerate(columns) for j, (f, first) in enumerate(layouts)]
+    return df.sparkSession.createDataFrame(rows, "column string, layout string, day_first boolean, parsed long, present long")
+
+
+def date_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = DATE_FORMATS) -> dict[str, tuple[str, ...]]:
+    """C4: the layouts to read each text column with, decided from the whole column.
+
+    A column has one order of day and month: day first if those layouts read more of its
+    values than the month-first ones do (values over 12 decide), else month first.  The
+    layouts of the other order are left out, so a value that only they read becomes NULL.
+    Of the rest, those that read most values come first; equal ones keep their order in
+    ``formats``."""
+    found: dict[str, list] = {c: [] for c in columns}
+    for r in date_layouts(df, columns, formats).collect() if columns else []:
+        found[r["column"]].append(r)
+    out = {}
+    for c, rows in found.items():
+        read = {first: sum(r["parsed"] for r in rows if r["day_first"] is first) for first in (True, False)}
+        other = not read[True] > read[False]  # the order that the column does not have
+        kept = [r for r in rows if r["day_first"] is not other]
+        out[c] = tuple(r["layout"] for r in sorted(kept, key=lambda r: -r["parsed"]))
+    return out
+
+
 def coerce_default(c, default, to: str = "double") -> Column:
     """Numeric coercion with a fallback value for NULL / unparsable."""
     if to not in ("double", "bigint"):

@@ -15,11 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import quoted
+
 
 def _key_string(key_cols: Sequence[str | Column], seed) -> Column:
     parts = [F.lit(str(seed))]
     for c in key_cols:
-        col = F.col(c) if isinstance(c, str) else c
+        col = quoted(c) if isinstance(c, str) else c
         parts.append(col.cast("string"))
     return F.concat_ws("|", *parts)
 

@@ -32,20 +32,42 @@ BROADCAST_GROUP_BYTES = 64 << 20
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int,
-                small_bytes: int) -> DataFrame:
-    """Join ``small`` (a per-group table) onto ``big``; broadcast only when its
-    row count and byte size, which the caller measured, are under the limits
-    (otherwise a shuffle join, which AQE may still turn into a broadcast
-    from the runtime size)."""
-    if not keys:
-        raise ValueError("per-group join needs keys")
-    if small_rows <= BROADCAST_GROUP_LIMIT and small_bytes <= BROADCAST_GROUP_BYTES:
-        small = F.broadcast(small)
-    # a NULL key is a group like any other
-    other = small.withColumnsRenamed({k: f"__of_{i}" for i, k in enumerate(keys)})
-    same = reduce(and_, (quoted(k).eqNullSafe(F.col(f"__of_{i}")) for i, k in enumerate(keys)))
-    return big.join(other, same).drop(*(f"__of_{i}" for i in range(len(keys))))
+def _join_same(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys; a NULL key is a group like any other."""
+    other = other.withColumnsRenamed({k: f"__of_{i}" for i, k in enumerate(keys)})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__of_{i}")) for i, k in enumerate(keys)))
+    return rows.join(other, same, how).drop(*(f"__of_{i}" for i in range(len(keys))))
+
+
+class GroupJoin:
+    """How a per-group table meets the rows of its groups.
+
+    Up to the limits (both measured) the whole table is broadcast.  Beyond them the groups
+    are told apart by size: those of over ``hot`` rows, so few that their part of the table
+    is within the limits, are broadcast to their rows, which stay where they are and are
+    summed per task before any shuffle; the rest of the rows, in groups of at most ``hot``
+    rows, meet the rest of the table in a shuffle join.  So a group with a third of all
+    rows is never gathered, however many groups there are."""
+
+    def __init__(self, sizes: DataFrame, keys: list[str], row_bytes: int):
+        # sizes: the keys and __n, the rows of each group
+        self.keys, self.hot, self.hot_keys = keys, None, None
+        n, size = _group_table_size(sizes, keys, row_bytes)
+        if n <= BROADCAST_GROUP_LIMIT and size <= BROADCAST_GROUP_BYTES:
+            return
+        self.hot = max(1, int(sizes.agg(F.sum("__n")).first()[0] or 0) // max(1, BROADCAST_GROUP_LIMIT))
+        while True:  # groups of over 1 / limit of the rows are fewer than the limit; their keys may still be long
+            self.hot_keys = sizes.where(F.col("__n") > self.hot).select(*keys)
+            if _group_table_size(self.hot_keys, keys, row_bytes)[1] <= BROADCAST_GROUP_BYTES:
+                return
+            self.hot *= 4
+
+    def join(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        if self.hot is None:
+            return _join_same(rows, F.broadcast(groups), self.keys)
+        marked = _join_same(rows, F.broadcast(self.hot_keys.withColumn("__hot", F.lit(True))), self.keys, "left")
+        hot = _join_same(marked.where("__hot").drop("__hot"), F.broadcast(_join_same(groups, F.broadcast(self.hot_keys), self.keys)), self.keys)
+        return hot.unionByName(_join_same(marked.where("__hot IS NULL").drop("__hot"), groups, self.keys))
 
 
 def _group_table_size(stats: DataFrame, keys: Sequence[str], row_bytes: int) -> tuple[int, int]:
@@ -53,7 +75,7 @@ def _group_table_size(stats: DataFrame, keys: Sequence[str], row_bytes: int) ->
     variable-width keys their measured text length."""
     types = {f.name: f.dataType for f in stats.schema.fields}
     var = [c for c in keys if not isinstance(types[c], _FIXED)]
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.octet_length(F.col(c).cast("string"))).alias(f"b{i}")
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.octet_length(quoted(c).cast("string"))).alias(f"b{i}")
                                              for i, c in enumerate(var)]
     r = stats.agg(*aggs).collect()[0]
     n = int(r["n"])
@@ -93,15 +115,16 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
     spark = df.sparkSession
     user_g = list(group_cols)
-    g = user_g or ["__one"]
+    # groups travel under names of their own, whatever the table's are
+    g = [f"__k{i}" for i in range(len(user_g))] or ["__one"]
     k = len(probs)
     gp = [j / grid for j in range(grid + 1)]
     inf = float("inf")
 
-    v = F.col(value_col).cast("double")
-    src = df if user_g else df.withColumn("__one", F.lit(0))
+    v = quoted(value_col).cast("double")
+    group_exprs = [quoted(c).alias(k) for c, k in zip(user_g, g)] or [F.lit(0).alias("__one")]
     # NaN is folded into NULL so that both are skipped by every pass.
-    base_all = src.select(*g, F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("__v"))
+    base_all = df.select(*group_exprs, F.when(F.isnan(v), F.lit(None)).otherwise(v).alias("__v"))
     base = base_all.where(F.col("__v").isNotNull())
 
     # Round 0: group sizes and a quantile grid over every whole group.
@@ -130,14 +153,14 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                          *_bracket(F.lit(0), F.col("__n"), F.lit(-inf), F.lit(inf), small, grid))
     stats = stats.persist()
     # the bracket state per group: k targets of (index, lo, hi) plus overhead
-    n_groups, group_bytes = _group_table_size(stats, g, 32 * k + 64)
+    meeting = GroupJoin(stats.select(*g, "__n"), g, 32 * k + 64)
     state = state.persist()
     sizes = state.agg(F.count_if(F.col("__n") > max_candidates).alias("big"), F.max("__n").alias("top")).collect()[0]
     n_big, top = sizes["big"], sizes["top"] or 0
 
     def with_state(rows: DataFrame, st: DataFrame, fields) -> DataFrame:
         arr = st.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("i", *fields))).alias("__br"))
-        return _join_small(rows, arr, g, n_groups, group_bytes)
+        return meeting.join(rows, arr)
 
     if top <= max_candidates * grid // 8:
         # A first bracket spans about five grid steps (5n/grid values) plus the
@@ -157,7 +180,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
             F.struct(F.lit(i).alias("i"), F.col(f"a{i}").alias("lt_lo"), F.col(f"b{i}").alias("le_lo"),
                      F.col(f"c{i}").alias("lt_hi"), F.col(f"d{i}").alias("le_hi"), F.col(f"e{i}").alias("arr"))
             for i in range(k)])).alias("c")).select(*g, "c.*")
-        res = state.select(*g, "i", "j0", "j1", "frac", "lo", "hi").join(counts, [*g, "i"])
+        res = _join_same(state.select(*g, "i", "j0", "j1", "frac", "lo", "hi"), counts, [*g, "i"])
         for m, j in (("m0", "j0"), ("m1", "j1")):
             idx = (F.col(j) - F.col("le_lo") + 1).cast("int")
             res = res.withColumn(m, F.when(idx >= 1, F.try_element_at("arr", idx)))
@@ -186,7 +209,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
             F.struct(F.lit(i).alias("i"), F.col(f"a{i}").alias("lt_lo"), F.col(f"b{i}").alias("le_lo"),
                      F.col(f"c{i}").alias("lt_hi"), F.col(f"d{i}").alias("le_hi")) for i in range(k)])
         ).alias("c")).select(*g, "c.*")
-        nxt = state.select(*g, "__n", "i", "j0", "j1", "frac", "lo", "hi").join(counts, [*g, "i"])
+        nxt = _join_same(state.select(*g, "__n", "i", "j0", "j1", "frac", "lo", "hi"), counts, [*g, "i"])
         mid = F.col("lt_hi") - F.col("le_lo")
         in_mid = lambda j: (j >= F.col("le_lo")) & (j < F.col("lt_hi"))
         nxt = nxt.withColumn("need", in_mid(F.col("j0")) | in_mid(F.col("j1"))).withColumn("mid", mid)
@@ -202,7 +225,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
             *g, "__v", F.explode(F.filter("__br", lambda b: (F.col("__v") > b["lo"]) & (F.col("__v") < b["hi"])))
             .alias("b")).select(*g, F.col("b.i").alias("i"), "__v")
         grids = inside.groupBy(*g, "i").agg(F.percentile_approx("__v", gp, accuracy).alias("__grid"))
-        upd = state.join(grids, [*g, "i"], "left")
+        upd = _join_same(state, grids, [*g, "i"], "left")
         refine = F.col("__grid").isNotNull()
         new_lo, new_hi = _bracket(F.col("le_lo"), F.col("mid"), F.col("lo"), F.col("hi"), F.lit(False), grid)
         upd = upd.select(*g, "__n", "i", "j0", "j1", "frac",
@@ -224,10 +247,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     cand = cand.withColumn("__r", F.row_number().over(Window.partitionBy(*g, "i").orderBy("__v")) - 1)
     pick = needed.select(*g, "i", "j0", "j1", "le_lo")
     r = F.col("__r") + F.col("le_lo")
-    picked = (cand.join(pick, [*g, "i"]).where((r == F.col("j0")) | (r == F.col("j1")))
+    picked = (_join_same(cand, pick, [*g, "i"]).where((r == F.col("j0")) | (r == F.col("j1")))
               .groupBy(*g, "i").agg(F.max(F.when(r == F.col("j0"), F.col("__v"))).alias("m0"),
                                     F.max(F.when(r == F.col("j1"), F.col("__v"))).alias("m1")))
-    res = state.join(picked, [*g, "i"], "left")
+    res = _join_same(state, picked, [*g, "i"], "left")
     return _finish(res, stats, g, user_g, names, k, list(extra))
 
 
@@ -246,10 +269,11 @@ def _finish(res: DataFrame, stats: DataFrame, g, user_g, names, k: int, extra_na
     v1 = value_at(F.col("j1"), F.col("m1"))
     res = res.select(*g, "i", (v0 + F.col("frac") * (v1 - v0)).alias("__q"))
     out = res.groupBy(*g).agg(*[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(names[i]) for i in range(k)])
-    ren = out.select(*[F.col(c).alias(f"__g{j}") for j, c in enumerate(g)], *names)
-    keys = stats.select(*g, *extra_names)
+    ren = out.select(*[F.col(c).alias(f"__g{j}") for j, c in enumerate(g)], *map(quoted, names))
+    keys = stats.select(*g, *map(quoted, extra_names))
     cond = [keys[c].eqNullSafe(ren[f"__g{j}"]) for j, c in enumerate(g)]
-    return keys.join(ren, cond, "left").select(*user_g, *names, *extra_names)
+    out = keys.join(ren, cond, "left")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(g, user_g)], *map(quoted, [*names, *extra_names]))
 
 
 def _bracket(offset, size, lo, hi, whole, grid: int):
@@ -331,10 +355,9 @@ def exact_quantile_values(df: DataFrame, value_col: str, probs: Sequence[float],
 def mode_of(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
             out_col: str = "mode") -> DataFrame:
     """Most frequent non-null value per group; ties go to the smallest value."""
-    g = list(group_cols)
-    counted = (df.where(F.col(value_col).isNotNull())
-               .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("__c")))
-    best = F.min(F.struct((-F.col("__c")).alias("neg"), F.col(value_col).alias("v")))
+    g = [quoted(c) for c in group_cols]
+    counted = df.where(quoted(value_col).isNotNull()).groupBy(*g, quoted(value_col).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    best = F.min(F.struct((-F.col("__c")).alias("neg"), F.col("__v").alias("v")))
     return counted.groupBy(*g).agg(best["v"].alias(out_col))
 
 

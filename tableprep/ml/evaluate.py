@@ -83,6 +83,7 @@ FOLD_PART_BYTES = 32 << 20
 def _gbt_folds(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str, categoricals: Sequence[str], k: int, seed: int,
                part_bytes: int = FOLD_PART_BYTES):
     """Persisted (features, label, fold) rows of a boosted model, in partitions of a measured size, its bin count and class count."""
+    # without the label: an order of categories by the target would have seen the folds that are scored
     state = fit_tree_features(df, features, categoricals)
     folded = assign_folds(df, key_cols, k, seed)
     rows = state.transform(folded, keep=[label, "fold"])

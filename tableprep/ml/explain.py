@@ -55,9 +55,37 @@ def linear_attribution(df: DataFrame, coefficients: dict[str, float], intercept:
     base value = intercept + sum coef_f * mean_f; base + sum of contributions
     equals the (linear, or log-odds) prediction of every row."""
     base = intercept + sum(coefficients[f] * means.get(f, 0.0) for f in coefficients)
-    contrib = [(F.lit(c) * (F.col(f"`{f}`").cast("double") - F.lit(means.get(f, 0.0)))).alias(f"{f}_contrib")
+    contrib = [(F.lit(c) * (quoted(f).cast("double") - F.lit(means.get(f, 0.0)))).alias(f"{f}_contrib")
                for f, c in coefficients.items()]
-    return df.select(*[F.col(f"`{k}`") for k in keep], *contrib, F.lit(base).alias("base_value"))
+    return df.select(*map(quoted, keep), *contrib, F.lit(base).alias("base_value"))
+
+
+def multinomial_attribution(df: DataFrame, matrix, intercepts, features: Sequence[str], means: dict[str, float], keep: Sequence[str] = ()) -> DataFrame:
+    """M11 of a model with several classes: one row per input row and class.
+
+    A class's log-odds are taken against the mean over classes, which a softmax does not
+    notice: with the coefficient matrix and intercepts centred over classes, the
+    contribution of feature f to class k is ``w_kf * (x_f - mean_f)``, the base value is
+    ``b_k + sum w_kf * mean_f``, and base plus contributions is the class's ``margin``,
+    whose softmax over classes is the predicted probability.  Columns: ``keep``, ``class``,
+    ``<feature>_contrib``, ``base_value``, ``margin``.  Column expressions only, exploded
+    over the classes."""
+    w = np.asarray(matrix, float)
+    b = np.asarray(intercepts, float)
+    w, b = w - w.mean(axis=0), b - b.mean()
+    centre = np.array([means.get(f, 0.0) for f in features])
+    base = b + w @ centre
+    x = [quoted(f).cast("double") for f in features]
+
+    def of_class(k: int):
+        parts = [F.lit(float(w[k, j])) * (x[j] - F.lit(float(centre[j]))) for j in range(len(features))]
+        # the margin is taken from the raw values, so that the sum of the parts can be held against it
+        margin = sum((F.lit(float(w[k, j])) * x[j] for j in range(len(features))), F.lit(float(b[k])))
+        return F.struct(F.lit(k).alias("class"), *[p.alias(f"p{j}") for j, p in enumerate(parts)], F.lit(float(base[k])).alias("base_value"), margin.alias("margin"))
+
+    out = df.select(*map(quoted, keep), F.explode(F.array(*[of_class(k) for k in range(len(b))])).alias("__class"))
+    names = [F.col("__class").getField(f"p{j}").alias(f"{f}_contrib") for j, f in enumerate(features)]
+    return out.select(*map(quoted, keep), F.col("__class.class").alias("class"), *names, F.col("__class.base_value").alias("base_value"), F.col("__class.margin").alias("margin"))
 
 
 # --- tree attribution ------------------------------------------------------------

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _FLOATING = (T.FloatType, T.DoubleType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -30,11 +32,17 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
 
 
 def _present(c: str, dt: T.DataType) -> Column:
-    col = F.col(f"`{c}`")
+    col = quoted(c)
     # NaN is missing, and -0.0 is the value 0.0
     return F.when(~F.isnan(col), F.when(col == 0, F.lit(0.0).cast(dt)).otherwise(col)) if isinstance(dt, _FLOATING) else col
 
 
+def category_key(c: str, dt: T.DataType) -> Column:
+    """A category as it stands in a literal list: as it is, decimals as doubles, dates as texts."""
+    key = _present(c, dt)
+    return key if isinstance(dt, (T.BooleanType, T.StringType, *_INTEGRAL)) else key.cast("double" if isinstance(dt, _NUMERIC) else "string")
+
+
 # --- detection -------------------------------------------------------------------
 
 def detect_categoricals(df: DataFrame, max_unique: int = 20, columns: Sequence[str] | None = None) -> list[str]:
@@ -201,9 +209,7 @@ class LabelEncoderModel:
         exprs = {}
         for c, cats in self.categories.items():
             m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(i))]) if cats else None
-            key = _present(c, types[c])
-            key = key if isinstance(types[c], (T.BooleanType, T.StringType, *_INTEGRAL)) else key.cast("double" if isinstance(types[c], _NUMERIC) else "string")
-            exprs[c] = F.element_at(m, key) if m is not None else F.lit(None)
+            exprs[c] = F.element_at(m, category_key(c, types[c])) if m is not None else F.lit(None)
         out = df
         for j, (c, table) in enumerate(self.dictionaries.items()):
             key, code = f"__lek{j}", f"__lec{j}"

@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import warnings
 from collections.abc import Mapping, Sequence
@@ -23,12 +24,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import quoted
 from ..functions.stats import column_quantiles
+from .features import LabelEncoderModel, _present, category_key, fit_label_encoder
 
 FEATURES = "features"
 
@@ -104,8 +106,12 @@ def validate_model_parameters(params: Mapping) -> bool:
     return True
 
 
-def gbt_params(params: Mapping | None = None) -> dict:
-    """Map reference GBDT parameters to Spark ``GBT*`` parameters (2.13)."""
+def gbt_params(params: Mapping | None = None, cap_leaves: bool = False) -> dict:
+    """Map reference GBDT parameters to Spark ``GBT*`` parameters (2.13).
+
+    Spark grows trees level by level, so it cannot stop at a number of leaves.
+    ``cap_leaves`` caps the depth at the last level that a tree of at most ``num_leaves``
+    leaves can fill."""
     p = dict(GBT_DEFAULTS)
     p.update(params or {})
     for k in ("reg_alpha", "reg_lambda"):
@@ -115,8 +121,11 @@ def gbt_params(params: Mapping | None = None) -> dict:
     if depth < 0 or depth > SPARK_MAX_DEPTH:
         warnings.warn(f"max_depth {depth} is grown to Spark's limit of {SPARK_MAX_DEPTH}", stacklevel=2)
         depth = SPARK_MAX_DEPTH
-    if "num_leaves" in (params or {}):
-        warnings.warn("num_leaves has no effect: Spark grows trees level by level; max_depth bounds them", stacklevel=2)
+    leaves = (params or {}).get("num_leaves")
+    if leaves is not None and cap_leaves:
+        depth = min(depth, max(1, math.floor(math.log2(max(int(leaves), 2)))))
+    elif leaves is not None:
+        warnings.warn("num_leaves has no effect: Spark grows trees level by level; max_depth bounds them, or cap_leaves", stacklevel=2)
     col = float(p["colsample_bytree"])
     return {
         "maxIter": int(p["n_estimators"]),
@@ -128,63 +137,157 @@ def gbt_params(params: Mapping | None = None) -> dict:
     }
 
 
+# Categorical features with more values than this get no bin per value: their categories
+# are put in the order of a target statistic instead (``TargetOrder``).
+NOMINAL_CATEGORIES = 1_000
+ORDER_FOLDS = 5
+ORDER_WEIGHT = 10.0  # rows that the overall mean counts as in a category's statistic
+
+
+@dataclass
+class TargetOrder:
+    """Categories of a wide column, ordered by their mean target.
+
+    ``table`` holds a row per value: the text value, its rows ``n`` and target sum ``s``, and
+    the same per fold of the training rows.  A value's number is its mean, drawn to the overall
+    mean as by ``ORDER_WEIGHT`` rows; missing and unseen values get the overall mean.  A
+    training row's number leaves the rows of its own fold out, so its label is not in its
+    feature.  Folds are a hash of the row's features and label."""
+    table: DataFrame
+    mean: float
+    rows: int
+    nbytes: int
+
+    def _joined(self, df: DataFrame, key: Column, i: int) -> DataFrame:
+        from .features import DICTIONARY_BROADCAST_BYTES, DICTIONARY_BROADCAST_ROWS
+        table = self.table.select(F.col("value").alias(f"__tov{i}"), F.struct("n", "s", "folds").alias(f"__to{i}"))
+        if self.rows <= DICTIONARY_BROADCAST_ROWS and self.nbytes <= DICTIONARY_BROADCAST_BYTES:
+            table = F.broadcast(table)
+        return df.withColumn(f"__tok{i}", key).join(table, F.col(f"__tok{i}") == F.col(f"__tov{i}"), "left")
+
+    def number(self, i: int, fold: Column | None) -> Column:
+        got, w = F.col(f"__to{i}"), F.lit(ORDER_WEIGHT)
+        n, s = got["n"], got["s"]
+        if fold is not None:
+            own = F.try_element_at(got["folds"], fold.cast("int"))
+            n, s = n - F.coalesce(own["n"], F.lit(0)), s - F.coalesce(own["s"], F.lit(0.0))
+        return F.coalesce((s + w * F.lit(self.mean)) / (n + w), F.lit(self.mean))
+
+
+def fit_target_order(df: DataFrame, column: str, label: str, features: Sequence[str]) -> TargetOrder:
+    """Counts and target sums per value and fold, with partial sums per task; the table is
+    checkpointed, so scoring reads fixed data, and no value passes through the driver."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    y = quoted(label).cast("double")
+    rows = df.where(y.isNotNull()).select(_present(column, df.schema[column].dataType).cast("string").alias("value"), y.alias("y"), row_fold(features, label).alias("fold"))
+    by_fold = rows.where("value IS NOT NULL").groupBy("value", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    per_fold = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s"))))  # at most ORDER_FOLDS entries
+    table = by_fold.groupBy("value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), per_fold.alias("folds")).checkpoint(eager=True)
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 32 * ORDER_FOLDS).alias("b")).first()
+    return TargetOrder(table, float(rows.agg(F.avg("y")).first()[0] or 0.0), int(size["n"]), int(size["b"] or 0))
+
+
+def row_fold(features: Sequence[str], label: str) -> Column:
+    return F.pmod(F.xxhash64(*map(quoted, features), quoted(label)), F.lit(ORDER_FOLDS)).cast("int")
+
+
 @dataclass
 class TreeFeatures:
     """D18 state: Spark trees do not take NULLs, so numeric features are
     filled with their (exact) training median and get a ``<c>__missing``
     indicator when the training data had NULLs; categorical features are
-    label-encoded with NULL / unseen as an extra last code."""
+    label-encoded with NULL / unseen as an extra last code.  Columns of over 100 values
+    are encoded through a dictionary table, and those of over ``NOMINAL_CATEGORIES`` are
+    numbers in the order of the target (``TargetOrder``), which need no bin per value."""
     features: list[str]
     categories: dict[str, list] = field(default_factory=dict)
     medians: dict[str, float] = field(default_factory=dict)
     indicators: list[str] = field(default_factory=list)
+    wide: LabelEncoderModel = field(default_factory=lambda: LabelEncoderModel())
+    ordered: dict[str, TargetOrder] = field(default_factory=dict)
 
     def columns(self) -> list[str]:
         return list(self.features) + [f"{c}__missing" for c in self.indicators]
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def transform(self, df: DataFrame, keep: Sequence[str] = (), label: str | None = None) -> DataFrame:
+        """``label`` marks ``df`` as the training rows: target orders then leave out each row's own fold."""
+        types = {f.name: f.dataType for f in df.schema.fields}
+        base, private = df, {}
+        for i, (c, order) in enumerate(self.ordered.items()):
+            base = order._joined(base, _present(c, types[c]).cast("string"), i)
+            private[c] = order.number(i, row_fold(self.features, label) if label else None)
+        if self.wide.dictionaries:
+            # the codes stand beside the columns under a suffix
+            base = self.wide.transform(base, suffix="__code")
+            private |= {c: F.coalesce(quoted(f"{c}__code").cast("double"), F.lit(float(self.wide.dictionary_rows[c]))) for c in self.wide.dictionaries}
         exprs = []
         for c in self.features:
-            col = F.col(f"`{c}`")
-            if c in self.categories:
-                cats = self.categories[c]
-                m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))])
-                code = F.coalesce(F.element_at(m, col), F.lit(float(len(cats))))
-                meta = {"ml_attr": {"type": "nominal", "name": c,
-                                    "vals": [str(v) for v in cats] + ["__other"]}}
-                exprs.append(code.alias(c, metadata=meta))
+            col = quoted(c)
+            if c in self.ordered:
+                exprs.append(private[c].alias(c))
+            elif c in self.categories or c in self.wide.dictionaries:
+                if c in self.categories:
+                    cats = self.categories[c]
+                    m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))]) if cats else None
+                    code = F.coalesce(F.element_at(m, category_key(c, types[c])), F.lit(float(len(cats)))) if cats else F.lit(0.0)
+                    n = len(cats)
+                else:
+                    code, n = private[c], self.wide.dictionary_rows[c]
+                exprs.append(code.alias(c, metadata={"ml_attr": {"type": "nominal", "name": c, "num_vals": n + 1}}))
             else:
                 v = col.cast("double")
                 v = F.when(~F.isnan(v), v)
                 exprs.append(F.coalesce(v, F.lit(self.medians.get(c, 0.0))).alias(c))
         for c in self.indicators:
-            exprs.append(F.col(f"`{c}`").isNull().cast("double").alias(f"{c}__missing"))
+            exprs.append(quoted(c).isNull().cast("double").alias(f"{c}__missing"))
         # a kept column that is also a feature appears once, as the feature
         passthrough = [k for k in keep if k not in self.columns()]
-        return df.select(*[F.col(f"`{k}`") for k in passthrough], *exprs)
+        return base.select(*map(quoted, passthrough), *exprs)
 
     def save(self, path: str, spark) -> None:
-        """One JSON line, so that a saved model can be scored elsewhere with the training categories and medians."""
-        text = json.dumps({"features": self.features, "categories": self.categories, "medians": self.medians, "indicators": self.indicators}, default=str)
-        spark.createDataFrame([(text,)], "state string").coalesce(1).write.mode("overwrite").text(path)
+        """One JSON line and the dictionary tables, so that a saved model can be scored elsewhere with the training categories and medians."""
+        ordered = {c: {"at": f"order{i}", "mean": o.mean, "rows": o.rows, "nbytes": o.nbytes} for i, (c, o) in enumerate(self.ordered.items())}
+        text = json.dumps({"features": self.features, "categories": self.categories, "medians": self.medians, "indicators": self.indicators,
+                           "wide": bool(self.wide.dictionaries), "ordered": ordered}, default=str)
+        spark.createDataFrame([(text,)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        if self.wide.dictionaries:
+            self.wide.save(f"{path}/wide")
+        for i, o in enumerate(self.ordered.values()):
+            o.table.write.mode("overwrite").parquet(f"{path}/order{i}")
 
     @staticmethod
     def load(spark, path: str) -> "TreeFeatures":
-        return TreeFeatures(**json.loads(spark.read.text(path).collect()[0][0]))
+        state = json.loads(spark.read.text(f"{path}/state").collect()[0][0])
+        wide = LabelEncoderModel.load(spark, f"{path}/wide") if state.pop("wide") else LabelEncoderModel()
+        ordered = {c: TargetOrder(spark.read.parquet(f"{path}/{o['at']}"), o["mean"], o["rows"], o["nbytes"]) for c, o in state.pop("ordered").items()}
+        return TreeFeatures(**state, wide=wide, ordered=ordered)
 
     def max_bins(self) -> int:
-        return max([32] + [len(v) + 1 for v in self.categories.values()])
+        return max([32] + [len(v) + 1 for v in self.categories.values()] + [n + 1 for n in self.wide.dictionary_rows.values()])
 
 
-def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequence[str] = (), max_categories: int = 10_000) -> TreeFeatures:
-    from .features import fit_categories
+def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequence[str] = (), max_categories: int = 10_000, label: str | None = None,
+                      nominal: int | None = None) -> TreeFeatures:
+    """``label`` lets columns of over ``nominal`` (NOMINAL_CATEGORIES) values be ordered by it; without one they
+    keep a code and a bin per value, up to ``max_categories`` values."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cats = [c for c in features if c in categoricals or isinstance(types[c], (T.StringType, T.BooleanType))]
     nums = [c for c in features if c not in cats]
-    state = TreeFeatures(list(features), fit_categories(df, cats, max_categories))
+    encoder = fit_label_encoder(df, cats)
+    limit = NOMINAL_CATEGORIES if nominal is None else nominal
+    size = {c: encoder.dictionary_rows.get(c, len(encoder.categories.get(c, []))) for c in cats}
+    ordered = [c for c in cats if label is not None and size[c] > limit]
+    too_many = [c for c in cats if c not in ordered and size[c] > max_categories]
+    if too_many:
+        raise ValueError(f"more than {max_categories} categories in {too_many}: give the label to order them by")
+    wide = [c for c in encoder.dictionaries if c not in ordered]
+    state = TreeFeatures(list(features), {c: v for c, v in encoder.categories.items() if c not in ordered})
+    state.wide = LabelEncoderModel({}, None, {c: encoder.dictionaries[c] for c in wide}, {c: encoder.dictionary_rows[c] for c in wide}, {c: encoder.dictionary_bytes[c] for c in wide})
+    state.ordered = {c: fit_target_order(df, c, label, features) for c in ordered}
     if nums:
-        nulls = df.agg(*[(F.count(F.lit(1)) - F.count(F.when(~F.isnan(F.col(f"`{c}`").cast("double")),
-                                                             F.col(f"`{c}`")))).alias(f"n{i}")
+        nulls = df.agg(*[(F.count(F.lit(1)) - F.count(F.when(~F.isnan(quoted(c).cast("double")),
+                                                             quoted(c)))).alias(f"n{i}")
                          for i, c in enumerate(nums)]).collect()[0]
         with_nulls = [c for i, c in enumerate(nums) if nulls[f"n{i}"] > 0]
         state.indicators = with_nulls
@@ -211,8 +314,8 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "reg
             n_classes: int | None = None, max_categories: int = 10_000):
     """M3: returns (model, TreeFeatures).  ``task`` is 'regression' or
     'classification'; labels must be 0..k-1 for classification."""
-    state = fit_tree_features(df, features, categoricals, max_categories)
-    data = training_set(state.transform(df, keep=[label]), state.columns(), label)
+    state = fit_tree_features(df, features, categoricals, max_categories, label=label)
+    data = training_set(state.transform(df, keep=[label], label=label), state.columns(), label)
     try:
         if task != "regression" and n_classes is None:
             n_classes = int(data.agg(F.max(label)).collect()[0][0]) + 1

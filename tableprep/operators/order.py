@@ -4,9 +4,9 @@ pandas rows are ordered; Spark rows are not, and a window with an
 ``ORDER BY`` but no ``PARTITION BY`` moves the whole table into one task.
 Every operator here instead works on *range buckets* of the ordering:
 
-1. a bounded sample of the order tuple is sorted by Spark and every k-th
-   tuple becomes a literal boundary (boundaries are fixed values in the
-   plan, so a recomputed stage after a lost executor puts every row in the
+1. a bounded sample of the order tuple is sorted by Spark, by range, and
+   every k-th tuple (long texts cut to their first characters) becomes a
+   literal boundary (boundaries are fixed values in the plan, so a recomputed stage after a lost executor puts every row in the
    same bucket again);
 2. each row gets its bucket from a binary search over one literal array of
    boundaries (log2 of the bucket count comparisons, all inside codegen);
@@ -46,6 +46,9 @@ BUCKETS_PER_PARTITION = 4
 CASE_SEARCH_LIMIT = 256
 ROWS_PER_BUCKET = 2_000_000
 SAMPLES_PER_BUCKET = 32
+# Boundaries go to every task; long texts and binaries in them are cut to a leading part.
+BOUNDARY_BYTES = 64 << 20
+BOUNDARY_CHARS = 1024
 # Per-bucket / per-key carry tables up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 ORDER_SEED = 17
@@ -159,6 +162,37 @@ def _search(df: DataFrame, key: Column, bounds: Column, m: int, out: str) -> Dat
     return cur.drop("__key", "__bounds")
 
 
+def _cut(sample: DataFrame, n_buckets: int) -> DataFrame:
+    """Sampled keys with long texts and binaries cut to their first characters.
+
+    Any point of the key's order may be a boundary, and a leading part is one, just before
+    the whole, so buckets stay in order and exact.  Rows that share that many leading
+    characters (and are equal in the columns before) share a bucket."""
+    chars = max(16, min(BOUNDARY_CHARS, BOUNDARY_BYTES // (4 * n_buckets)))
+    key = sample.schema["__t"].dataType
+    parts = [F.substring(F.col("__t")[f.name], 1, chars) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.col("__t")[f.name] for f in key.fields]
+    return sample.select(F.struct(*[p.alias(f.name) for p, f in zip(parts, key.fields)]).alias("__t"))
+
+
+def _every_kth(sample: DataFrame, k: int) -> DataFrame:
+    """Every k-th key of a sample, in order.  Spark sorts the sample by range, and a key's
+    rank is its place in its partition after the rows of the partitions before, of which
+    only the counts reach the driver: no task sees the whole sample."""
+    ordered = sample.orderBy("__t").select("__t", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")).persist()
+    try:
+        before, total = {}, 0
+        for r in ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("first")).orderBy("__p").collect():
+            before[r["__p"]] = total - r["first"]
+            total += r["n"]
+        if not before:
+            return ordered.select("__t").limit(0)
+        shift = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__p"))
+        rows = ordered.where((F.col("__m") + shift + 1) % k == 0).orderBy("__t").select("__t").collect()
+        return sample.sparkSession.createDataFrame(rows, ordered.select("__t").schema)
+    finally:
+        ordered.unpersist()
+
+
 def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
                   n_buckets: int | None = None) -> Buckets:
     """Range buckets over (lead columns, row hash), boundaries from a bounded
@@ -185,10 +219,8 @@ def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
     sample = hashed.select(bkey.alias("__t"))
     if fraction < 1.0:
         sample = sample.sample(False, fraction, ORDER_SEED)
-    ranked = sample.withColumn("__r", F.row_number().over(Window.orderBy("__t")))
     m = min(n_rows, want) if fraction >= 1.0 else want
-    step = max(1, math.ceil(m / n_buckets))
-    picked = ranked.where((F.col("__r") % step) == 0).orderBy("__r").select("__t")
+    picked = _every_kth(_cut(sample, n_buckets), max(1, math.ceil(m / n_buckets)))
     struct_type = picked.schema["__t"].dataType
     seen = []
     for r in picked.collect():
@@ -264,6 +296,11 @@ def _add_file_order_index(df: DataFrame, name: str, start: int) -> DataFrame:
     return out.select(name, *df.columns)
 
 
+def sort_for_files(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Rows so that files written from them are in order: a range sort, part file by part file."""
+    return df.orderBy(*map(quoted, lead_columns(df, order_by)))
+
+
 def reset_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "index",
                     drop: Sequence[str] = ()) -> DataFrame:
     """Drop old label columns and number rows again from 0."""

@@ -46,7 +46,7 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42, par
     loses nothing; only those candidates are ranked."""
     n = int(n)
     # rows that share a key follow in the order of their other columns' hash, so the kept ones are fixed
-    order = [hash_hex(key_cols, seed), *key_cols, F.xxhash64(*[quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])]
+    order = [hash_hex(key_cols, seed), *map(quoted, key_cols), F.xxhash64(*[quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])]
     # the plan is not run to learn its partition count: an upper estimate will do
     parts = partitions or 4 * max(default_parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     if n <= TOP_K_LIMIT and n * parts <= TOP_K_MERGE_ROWS:

@@ -5,10 +5,13 @@ metrics (M8, M9), CV / search (M4, M5), scoring (M6) and explanations
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..ml import evaluate, explain, features, models
+from ..ml import evaluate, explain, features, models, sparse, stages
 from ..operators import sampling
+from ..session import scratch_path
+from ..sources import files
 from .registry import R, register, rnd, table
 
 
@@ -306,6 +309,94 @@ def q_coefficient_extremes_by_type(spark, d):
     return out.select("feature", F.round("coefficient", 4).alias("coefficient"))
 
 
+@register("sparse_dummies", """SELECT 'l_orderkey_' || l_orderkey AS feature, row_number() OVER (ORDER BY l_orderkey) - 1 AS entry,
+  round(count(*) / (SELECT count(*) FROM lineitem), 8) AS mean, round(sqrt(count(*) / (SELECT count(*) FROM lineitem) * (1 - count(*) / (SELECT count(*) FROM lineitem))), 8) AS deviation
+FROM lineitem GROUP BY l_orderkey QUALIFY row_number() OVER (ORDER BY l_orderkey) > 1
+UNION ALL SELECT 'l_quantity', 0, round(avg(l_quantity), 8), round(stddev_pop(l_quantity), 8) FROM lineitem""")
+def q_sparse_dummies(spark, d):
+    """Every entry of the sparse layout, one for each order, with its mean and deviation."""
+    state = sparse.fit_sparse_features(table(spark, d, "lineitem"), ["l_quantity", "l_orderkey"], ["l_orderkey"])
+    means, stds = state.moments()
+    out = state.with_names(spark, mean=means, deviation=stds)
+    return out.select("feature", "entry", F.round("mean", 8).alias("mean"), F.round("deviation", 8).alias("deviation"))
+
+
+@register("linear_wide_categories", """SELECT l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_orderkey), 3) AS predicted_l_quantity FROM lineitem""")
+def q_linear_wide_categories(spark, d):
+    """L8 and M1 with a dummy for every order: least squares then predicts the mean of each order."""
+    li = table(spark, d, "lineitem")
+    model = sparse.fit_sparse_linear(li, ["l_orderkey"], "l_quantity", numeric_categoricals=["l_orderkey"])
+    out = model.predict(li, ["l_orderkey", "l_linenumber"], "predicted_l_quantity")
+    return out.withColumn("predicted_l_quantity", F.round("predicted_l_quantity", 3))
+
+
+@register("multinomial_attribution", """SELECT o_orderkey, k AS class, CAST(0 AS DOUBLE) AS gap FROM orders, (SELECT unnest([0, 1, 2])::INTEGER AS k)""")
+def q_multinomial_attribution(spark, d):
+    """M11 with three classes: base value and contributions add up to the class's centred log-odds, as the fitted model's probabilities have them."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
+    data = features.fit_label_encoder(o, ["o_orderstatus"]).transform(o)
+    feats = ["o_totalprice", "o_custkey"]
+    scaler = features.fit_scaler(data, feats)
+    x = scaler.transform(data)
+    m = models.fit_logistic(x, feats, "o_orderstatus")
+    scored = m.transform(models.assemble(x, feats)).withColumn("p", vector_to_array("probability"))
+    out = explain.multinomial_attribution(scored, m.coefficientMatrix.toArray(), m.interceptVector.toArray(), feats, {f: 0.0 for f in feats}, keep=["o_orderkey", "p"])
+    total = sum((F.col(f"`{f}_contrib`") for f in feats), F.col("base_value"))
+    logs = F.transform("p", lambda v: F.log(v))
+    centred = F.element_at(logs, F.col("class") + 1) - F.aggregate(logs, F.lit(0.0), lambda a, v: a + v) / F.size(logs)
+    return out.select("o_orderkey", "class", F.abs(F.round(total - centred, 6)).alias("gap"))
+
+
+@register("pipeline_model_scores", f"""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, {R}) AS predicted_l_extendedprice FROM lineitem, m""")
+def q_pipeline_model_scores(spark, d):
+    """Preparation and model saved as one pipeline, loaded again, score the raw table."""
+    li = table(spark, d, "lineitem")
+    path = scratch_path(spark, "pipeline-model")
+    stages.save_pipeline(stages.linear_pipeline(["l_quantity"], "l_extendedprice").fit(li), path, {"target": "l_extendedprice"})
+    model, notes = stages.load_pipeline(path)
+    return model.transform(li).select("l_orderkey", "l_linenumber", rnd("prediction", f"predicted_{notes['target']}"))
+
+
+@register("wide_category_order", f"""SELECT CAST(l_orderkey AS VARCHAR) AS value, count(*) AS n,
+  round((sum(l_quantity) + 10 * (SELECT avg(l_quantity) FROM lineitem)) / (count(*) + 10), {R}) AS number FROM lineitem GROUP BY l_orderkey""")
+def q_wide_category_order(spark, d):
+    """M3: the order of a category with a value for every order, by the mean quantity."""
+    state = models.fit_tree_features(table(spark, d, "lineitem"), ["l_orderkey"], ["l_orderkey"], label="l_quantity")
+    order = state.ordered["l_orderkey"]
+    number = (F.col("s") + models.ORDER_WEIGHT * order.mean) / (F.col("n") + models.ORDER_WEIGHT)
+    return order.table.select("value", "n", F.round(number, R).alias("number"))
+
+
+@register("gbt_wide_category", """SELECT l_orderkey, l_linenumber, true AS scored FROM lineitem""")
+def q_gbt_wide_category(spark, d):
+    """M3 with a category of a value for every order: every row is scored, inside the range of the target."""
+    li = table(spark, d, "lineitem")
+    feats = ["l_orderkey", "l_discount"]
+    model, state = models.fit_gbt(li, feats, "l_quantity", "regression", {"n_estimators": 20, "max_depth": 5}, categoricals=["l_orderkey"])
+    out = models.predict(model, li, feats, "l_quantity", keep=["l_orderkey", "l_linenumber"], tree_state=state)
+    return out.select("l_orderkey", "l_linenumber", F.col("predicted_l_quantity").between(0, 60).alias("scored"))
+
+
+@register("cv_gbt_scores", "SELECT CAST(5 AS INTEGER) AS folds, true AS beats_the_mean")
+def q_cv_gbt_scores(spark, d):
+    """M4 of the boosted model, at the form's defaults but for 20 trees of depth 4 (five fits)."""
+    li = table(spark, d, "lineitem").withColumn("billed", F.col("l_extendedprice") + 10_000 * F.col("l_quantity"))
+    out = evaluate.cv_gbt_scores(li, ["l_quantity", "l_discount", "l_returnflag"], "billed", ["l_orderkey", "l_linenumber"], params={"n_estimators": 20, "max_depth": 4})
+    return out.select("folds", (F.col("cv_mean") > 0).alias("beats_the_mean"))
+
+
+@register("score_and_export", f"""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, round(a + b * l_quantity, {R}) AS predicted_l_extendedprice FROM lineitem, m""")
+def q_score_and_export(spark, d):
+    """Every row scored, written as CSV by the executors and read back."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    path = scratch_path(spark, "scored")
+    models.score_and_export(models.fit_ols(li, ["l_quantity"], "l_extendedprice"), li, ["l_quantity"], "l_extendedprice", path)
+    out = files.read_csv(spark, path)
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", rnd("predicted_l_extendedprice"))
+
+
 @register("importance_total", "SELECT CAST(1 AS DOUBLE) AS total, CAST(5 AS BIGINT) AS features")
 def q_importance_total(spark, d):
     model, state = models.fit_gbt(table(spark, d, "lineitem"), _LI_FEATS, "l_extendedprice", "regression", categoricals=["l_returnflag"])

@@ -14,8 +14,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import casts
+from ..functions.names import quoted
 from ..operators import clean, order, reshape
 
 
@@ -48,6 +50,8 @@ class PrepPlan:
 def apply_casts(df: DataFrame, conversions, on_fraction: str = "error") -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     exprs = {}
+    dates = [c for c, target in conversions if target == "datetime" and isinstance(types.get(c), T.StringType)]
+    formats = casts.date_formats(df, dates)  # one pass over all date columns
     for c, target in conversions:
         if c not in types:
             raise ValueError(f"unknown column {c!r}")
@@ -59,7 +63,7 @@ def apply_casts(df: DataFrame, conversions, on_fraction: str = "error") -> DataF
         elif target == "string":
             e = casts.to_string(c)
         elif target == "datetime":
-            e = casts.to_date(c, src)
+            e = casts.to_date(quoted(c), src, formats.get(c, casts.DATE_FORMATS))
         elif target == "category":
             # Categories stay text; encoders (ml.features) give the codes
             e = casts.to_string(c)

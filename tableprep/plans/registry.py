@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts
+from ..functions.names import quoted
+from ..ml import evaluate
 from ..operators import clean, order, profile, reshape, sampling
 from ..session import scratch_path
 from ..sources import catalog, files
+from . import load
+from .prep import apply_casts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -414,6 +418,37 @@ def q_odd_names(spark, d):
     return out.select("p/q", F.round("`a.1_mean`", R).alias("a.1_mean"))
 
 
+@register("odd_names_more", f"""WITH t AS (SELECT l_returnflag, l_quantity, l_orderkey, l_linenumber, l_linestatus FROM lineitem),
+m AS (SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), {R}) AS median, round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END), {R}) AS open_sum FROM t GROUP BY 1),
+f AS (SELECT l_returnflag, count(*) FILTER (WHERE h % 100 < 80) AS train_rows, count(*) FILTER (WHERE h % 5 = 0) AS fold_0 FROM
+  (SELECT l_returnflag, CAST('0x' || substr(md5('42' || '|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM t) GROUP BY 1),
+s AS (SELECT l_returnflag, count(*) AS sampled FROM (SELECT l_returnflag FROM t ORDER BY md5('42' || '|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)) LIMIT 500) GROUP BY 1),
+a AS (SELECT l_returnflag, CAST(1 AS DOUBLE) AS accuracy FROM (SELECT DISTINCT l_returnflag FROM t))
+SELECT l_returnflag AS "p/q", median AS "a.1_median", open_sum, train_rows, fold_0, coalesce(sampled, 0) AS sampled, accuracy FROM m JOIN f USING (l_returnflag) LEFT JOIN s USING (l_returnflag) JOIN a USING (l_returnflag)""")
+def q_odd_names_more(spark, d):
+    """Median, pivot, split, folds, sample and metrics over column names with dots, blanks and slashes."""
+    li = table(spark, d, "lineitem").select("l_quantity", "l_returnflag", "l_orderkey", "l_linenumber", "l_linestatus").toDF("a.1", "p/q", "key.1", "key 2", "s.t")
+    keys = ["key.1", "key 2"]
+    median = reshape.group_aggregate(li, "p/q", "a.1", "median").withColumn("a.1_median", F.round("`a.1_median`", R))
+    pivot = reshape.pivot_table(li, "p/q", "s.t", "a.1", "sum", ["F", "O"]).select("p/q", F.round("O", R).alias("open_sum"))
+    train, _ = sampling.hash_split(li, keys, 80)
+    train = train.groupBy("p/q").agg(F.count("*").alias("train_rows"))
+    folds = sampling.assign_folds(li, keys, 5).groupBy("p/q").agg(F.count_if(F.col("fold") == 0).alias("fold_0"))
+    sampled = sampling.sample_n(li, 500, keys).groupBy("p/q").agg(F.count("*").alias("sampled"))
+    accuracy = evaluate.accuracy_score(li.withColumn("a.2", quoted("a.1")), "a.1", "a.2")
+    out = median.join(pivot, "p/q").join(train, "p/q").join(folds, "p/q").join(sampled, "p/q", "left").crossJoin(F.broadcast(accuracy))
+    return out.withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+
+
+@register("group_median_many", f"""SELECT k, round(quantile_cont(l_extendedprice, 0.5), {R}) AS l_extendedprice_median FROM
+  (SELECT CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE l_orderkey * 10 + l_linenumber END AS k, l_extendedprice FROM lineitem) GROUP BY k""")
+def q_group_median_many(spark, d):
+    """A1 median of hundreds of thousands of groups (at sf0.1), one of which holds a large part of the rows."""
+    key = F.when(F.col("l_linenumber") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber"))
+    out = reshape.group_aggregate(table(spark, d, "lineitem").select(key.alias("k"), "l_extendedprice"), "k", "l_extendedprice", "median")
+    return out.select("k", rnd("l_extendedprice_median"))
+
+
 @register("cast_string", """SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_str,
   CAST(p_retailprice AS VARCHAR) AS price_str FROM part""")
 def q_cast_string(spark, d):
@@ -432,6 +467,37 @@ def q_cast_date(spark, d):
                     casts.to_date(F.concat(F.lit("2024-13-"), F.col("o_orderkey").cast("string"))).alias("bad_day"))
 
 
+@register("cast_date_by_column", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day_first,
+  CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS DATE) WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END AS mixed,
+  CAST(o_orderdate AS DATE) AS month_first FROM orders""")
+def q_cast_date_by_column(spark, d):
+    """C4: the column decides between day first and month first; in a mixed one the values of the other order are swapped or NULL."""
+    o = table(spark, d, "orders")
+    by_day, by_month = F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "MM/dd/yyyy")
+    texts = o.select("o_orderkey", by_day.alias("day_first"), F.when(F.col("o_orderkey") % 10 == 0, by_month).otherwise(by_day).alias("mixed"), by_month.alias("month_first"))
+    return apply_casts(texts, [(c, "datetime") for c in ("day_first", "mixed", "month_first")])
+
+
+@register("load_row_label", """SELECT o_orderkey, o_custkey, o_totalprice, 'o_orderkey' AS label FROM orders""")
+def q_load_row_label(spark, d):
+    """S5 at load: the first column of a written table, sequential in file order, becomes the row label and stays it through filters and joins."""
+    path = scratch_path(spark, "labelled")
+    order.sort_for_files(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"]).write.option("header", True).csv(path)
+    loaded = load.load_table(spark, path)
+    kept = loaded.where("o_custkey >= 0").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left")
+    kept = kept.select("o_orderkey", "o_custkey", "o_totalprice")
+    return kept.withColumn("label", F.lit(load.label_of(kept)))
+
+
+@register("load_blank_lead", """SELECT row_number() OVER (ORDER BY o_orderkey) AS "Index", o_orderkey, o_custkey FROM orders""")
+def q_load_blank_lead(spark, d):
+    """S2 at load: a blank first column goes, and the rows are numbered in file order."""
+    path = scratch_path(spark, "blank-lead")
+    rows = table(spark, d, "orders").select(F.lit(None).cast("string").alias("Unnamed: 0"), "o_orderkey", "o_custkey")
+    order.sort_for_files(rows, ["o_orderkey"]).write.option("header", True).csv(path)
+    return load.load_table(spark, path)
+
+
 @register("cast_epoch_date", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS from_ns,
   CAST(make_timestamp(CAST(floor(o_orderkey / 1000) AS BIGINT)) AS DATE) AS key_as_ns FROM orders""")
 def q_cast_epoch_date(spark, d):

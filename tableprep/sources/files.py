@@ -135,9 +135,10 @@ def _checked_rows(spark: SparkSession, path: str, raw_header: list, header: list
     schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, broken]])
     rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=broken,
                                              enforceSchema=raw_header != header, **options).csv(path)
-    wide = ", ".join(f"f{i} STRING" for i in range(len(header) + 1))
-    extra = F.from_csv(F.col(broken), wide, {"sep": options["sep"], "quote": '"', "escape": '"', "nullValue": "\0"})[f"f{len(header)}"]
-    fits = (F.when(F.col(broken).isNull() | extra.isNull(), F.lit(True))
+    # separators outside quotes, so that an empty extra field counts like any other
+    bare = F.regexp_replace(F.col(broken), '"(?:[^"]|"")*"', "")
+    separators = (F.length(bare) - F.length(F.replace(bare, F.lit(options["sep"]), F.lit("")))) / len(options["sep"])
+    fits = (F.when(F.col(broken).isNull() | (separators < len(header)), F.lit(True))
             .otherwise(F.raise_error(F.concat_ws(" ", F.lit(f"more than {len(header)} fields in the row of"), quoted(header[0]), F.lit(":"), F.col(broken)))
                        .cast("boolean")))  # Spark can't read the broken-row column alone, so the message names a field
     return rows.where(fits).drop(broken)

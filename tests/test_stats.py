@@ -59,8 +59,7 @@ def test_exact_quantiles_state_over_byte_bound(spark, monkeypatch):
     keys = ["k" * 300 + str(i % 4) for i in range(400)]
     vals = [float((i * 37) % 101) for i in range(400)]
     df = spark.createDataFrame(list(zip(keys, vals)), "k string, v double")
-    st = df.groupBy("k").count()
-    n, size = stats._group_table_size(st, ["k"], 96)
+    n, size = stats._group_table_size(df.groupBy("k").count(), ["k"], 96)
     assert n == 4 and size >= 4 * 301
     monkeypatch.setattr(stats, "BROADCAST_GROUP_BYTES", 10)
     got = {r["k"]: (r["q0"], r["q1"]) for r in
@@ -68,3 +67,44 @@ def test_exact_quantiles_state_over_byte_bound(spark, monkeypatch):
     pdf = pd.DataFrame({"k": keys, "v": vals})
     for k, grp in pdf.groupby("k"):
         assert got[k] == pytest.approx((grp["v"].quantile(0.25), grp["v"].quantile(0.5)))
+
+
+@pytest.mark.parametrize("limit, size", [(20, 64 << 20), (1000, 400), (1, 64 << 20), (3, 10)])
+def test_exact_quantiles_of_many_groups_and_a_hot_one(spark, monkeypatch, limit, size):
+    """Past the broadcast limits a group with a third of the rows is summed where its rows are; the answers stay."""
+    from tableprep.functions import stats
+    monkeypatch.setattr(stats, "BROADCAST_GROUP_LIMIT", limit)
+    monkeypatch.setattr(stats, "BROADCAST_GROUP_BYTES", size)
+    rows = [(None if i % 9 == 0 else "hot" if i % 3 == 0 else f"g{i % 211}", float((i * 7919) % 1013)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    for most in (100_000, 50):
+        got = {r["k"]: (r["q0"], r["q1"]) for r in exact_quantiles(df, "v", [0.5, 0.9], ["k"], max_candidates=most).collect()}
+        want = {}
+        for k, v in rows:
+            want.setdefault(k, []).append(v)
+        assert got == {k: pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.9))) for k, v in want.items()}
+
+
+def test_hot_groups_stay_where_their_rows_are(spark, monkeypatch):
+    from tableprep.functions import stats
+    monkeypatch.setattr(stats, "BROADCAST_GROUP_LIMIT", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 60_000, 1, 8).selectExpr("IF(id % 3 = 0, -1, id) AS __k0", "id AS v")
+        sizes = rows.groupBy("__k0").agg(F.count("*").alias("__n")).persist()
+        meeting = stats.GroupJoin(sizes, ["__k0"], 100)
+        assert meeting.hot == 60_000 // 50 and meeting.hot_keys.count() == 1
+        joined = meeting.join(rows, sizes)
+        assert joined.count() == 60_000 and joined.where("__k0 = -1").select("__n").distinct().collect() == [(20_000,)]
+        per_task = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(per_task) < 2 * 60_000 / 16  # eight scan tasks and eight of the shuffle
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quantiles_and_mode_of_odd_names(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0), (2, "b", 5.0)], "`k.1` int, `x y` string, `v.w` double")
+    assert {tuple(r) for r in exact_quantiles(df, "v.w", [0.5], ["k.1", "x y"], names=["m.d"]).collect()} == {(1, "a", 3.0), (2, "b", 5.0)}
+    assert {tuple(r) for r in mode_of(df, "v.w", ["k.1"]).collect()} == {(1, 2.0), (2, 5.0)}
