@@ -186,6 +186,7 @@ def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float
     found, tag, sc = _Search(n_trials, k), f"search-{uuid.uuid4().hex}", spark.sparkContext
     lock, jobs = threading.Lock(), iter([(t, f) for t in range(n_trials) for f in range(k)])
     given_up: set[int] = set()
+    running: dict[int, int] = {}  # fits under way of each trial
     errors: list[BaseException] = []
 
     def work() -> None:
@@ -194,9 +195,10 @@ def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float
                 job = next(jobs, None)
                 while job and job[0] in given_up:
                     job = next(jobs, None)
-            if job is None or errors:
-                return
-            trial, fold = job
+                if job is None or errors:
+                    return
+                trial, fold = job
+                running[trial] = running.get(trial, 0) + 1
             sc.addJobTag(f"{tag}-{trial}")
             try:
                 value = float(score(trial, fold))
@@ -207,18 +209,21 @@ def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float
                 continue
             finally:
                 sc.removeJobTag(f"{tag}-{trial}")
+                with lock:
+                    running[trial] -= 1
             with lock:
                 found.scores[trial][fold] = value
-                new = {t for t in range(trial, n_trials) if t not in given_up and found.surely_hopeless(t)}
-                given_up.update(new)
-            for t in new:
-                sc.cancelJobsWithTag(f"{tag}-{t}")
+                given_up.update(t for t in range(trial, n_trials) if t not in given_up and found.surely_hopeless(t))
 
     threads = [InheritableThread(target=work) for _ in range(min(parallelism, n_trials * k))]
     for t in threads:
         t.start()
     for t in threads:
-        t.join()
+        while t.is_alive():
+            t.join(0.2)
+            # a fit is many jobs: what it starts after a cancelling goes as well
+            for trial in [i for i in list(given_up) if running.get(i)]:
+                sc.cancelJobsWithTag(f"{tag}-{trial}")
     if errors:
         raise errors[0]
     return found.report()
