@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -35,22 +37,63 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a reread, never a second run of what made the rows."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialised tables whose last reader has run.  A task of that reader that is
+    lost later would have to be run from the start, so what reads them must be written first."""
+    for t in tables:
+        _written.remove(t._scratch_path)
+        _delete(t.sparkSession, t._scratch_path)
 
 
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the scratch tables written since ``mark()``; results that still read them end."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def mark() -> int:
     return len(_written)
 
 
+def _at_exit() -> None:
+    """What results still read when their session ends goes with it."""
+    spark = SparkSession.getActiveSession()
+    if _written and spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the session may end at this moment
+            release(spark)
+
+
+atexit.register(_at_exit)
+
+SMALL_ROWS, SMALL_BYTES = 2_000_000, 64 << 20
+
+
+def is_small(table: DataFrame, row_bytes: int, var: Column | None = None) -> bool:
+    """Whether a written table may be broadcast: its rows, of ``row_bytes`` each and ``var`` more, are counted."""
+    r = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(0) if var is None else var).alias("b")).first()
+    return r["n"] <= SMALL_ROWS and r["n"] * row_bytes + (r["b"] or 0) <= SMALL_BYTES
+
+
+def keyed_rows(rows: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that may have a partner in a written ``table``, and those that surely have
+    none, told apart by the table's keys where those are small enough to broadcast (keys of
+    8 bytes); else all rows and None."""
+    if not is_small(table, 16 + 8 * len(keys)):
+        return rows, None
+    marked = rows.join(F.broadcast(table.select(*keys).distinct().withColumn("met__", F.lit(True))), keys, "left")
+    return marked.where("met__").drop("met__"), marked.where("met__ IS NULL").drop("met__")
+
+
 def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 

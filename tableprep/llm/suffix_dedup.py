@@ -126,8 +126,8 @@ def find_runs(known: DataFrame, length: int) -> DataFrame:
     return known.select("th", "n", "text").mapInArrow(run, RUNS)
 
 
-def name_blocks(known: DataFrame, wanted: DataFrame, length: int, block: int) -> DataFrame:
-    """Blocks of the windows of the wanted runs: the name of what a block's windows share, and of each window.
+def name_blocks(known: DataFrame, per_text: DataFrame, length: int, block: int) -> DataFrame:
+    """Blocks of the windows of the wanted runs (gathered by text): the name of what a block's windows share, and of each window.
     Windows are numbered by their distance to the leader, so blocks of equal strings line up."""
     def run(batches):
         before = None
@@ -154,8 +154,9 @@ def name_blocks(known: DataFrame, wanted: DataFrame, length: int, block: int) ->
                      _long(names.of(np.array(start), np.array(end))), pa.array(p0, pa.int64()), windows],
                     names=["th", "n", "lo", "twice", "gram", "block", "inner", "first", "names"])
 
-    per_text = C.materialize(wanted.groupBy("th", "n").agg(F.collect_list(F.struct("lo", "span", "shift", "gram", "twice")).alias("runs")), "runs-by-text")
-    return known.join(per_text, ["th", "n"]).select("th", "n", "text", "runs").mapInArrow(run, BLOCKS)
+    # only the texts that have such runs are shuffled
+    met, _ = C.keyed_rows(known, per_text, ["th", "n"])
+    return met.join(per_text, ["th", "n"]).select("th", "n", "text", "runs").mapInArrow(run, BLOCKS)
 
 
 def repeated(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
@@ -166,24 +167,31 @@ def repeated(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
 
 
 def repeated_spans(known: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """th, n and ``spans`` (start, end; not merged) of every text that has repeated strings."""
+    """th, n and ``spans`` (start, end; not merged) of every text that has repeated strings, written."""
     runs = C.materialize(find_runs(known, length), "runs")
     again = C.materialize(runs.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     live = C.materialize(runs.join(again, "gram", "left_semi"), "live-runs")
+    C.drop(runs, again)
     same = ["gram", "whole", "span", "shift"]
     kinds = C.materialize(live.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("th", "n", "lo")).alias("at")), "run-kinds")
     full = live.join(kinds.where("times > 1").select(*same), same, "left_semi").select("th", "n", F.col("lo").alias("start"), (F.col("lo") + F.col("span") + length).alias("end"))
+    full = C.materialize(full, "whole-runs")
     # a run that is alone of its kind may share some windows with the other kinds of its leader's string
-    mixed = C.materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 AND least = 1").select("gram"), "mixed")
+    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 AND least = 1").select("gram")
     wanted = kinds.join(mixed, "gram", "left_semi").select("at.*", "span", "shift", "gram", (F.col("times") > 1).alias("twice"))
-    blocks = C.materialize(name_blocks(known, wanted, length, block), "blocks")
+    per_text = C.materialize(wanted.groupBy("th", "n").agg(F.collect_list(F.struct("lo", "span", "shift", "gram", "twice")).alias("runs")), "runs-by-text")
+    C.drop(live, kinds)
+    blocks = C.materialize(name_blocks(known, per_text, length, block), "blocks")
     near = C.materialize(repeated(blocks, ["gram", "block", "inner"], ["th", "n", "lo"]), "near-blocks")
     left = blocks.join(near, ["gram", "block", "inner"], "left_semi").select("th", "n", "twice", "gram", "block", "first", F.posexplode("names").alias("k", "name"))
     windows = C.materialize(left.select("th", "n", "twice", "gram", "block", (F.col("first") + F.col("k")).alias("start"), "name"), "windows")
+    C.drop(per_text, blocks, near)
     found = C.materialize(repeated(windows, ["gram", "block", "name"], ["th", "n", "start"]), "repeated-windows")
     part = windows.where(~F.col("twice")).join(found, ["gram", "block", "name"], "left_semi").select("th", "n", "start", (F.col("start") + length).alias("end"))
     # copies of a text come to the same spans: count them once before they meet
-    return full.union(part).distinct().groupBy("th", "n").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = C.materialize(full.union(part).distinct().groupBy("th", "n").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    C.drop(full, windows, found)
+    return spans
 
 
 def remove_spans(text: bytes, spans: list) -> tuple[bytes, int]:
@@ -202,7 +210,7 @@ def remove_spans(text: bytes, spans: list) -> tuple[bytes, int]:
 def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; the bytes kept if asked for."""
     known = known_by(docs)
-    spans = C.materialize(repeated_spans(known, length), "spans")
+    spans = repeated_spans(known, length)
 
     def run(batches):
         for batch in batches:
@@ -216,8 +224,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = known.join(spans, ["th", "n"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    shape = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    # texts without a span stay where they are; only the others are shuffled to their spans
+    met, rest = C.keyed_rows(known, spans, ["th", "n"])
+    out = met.join(spans, ["th", "n"], "left").select("doc_id", "text", "spans").mapInArrow(run, shape)
+    if rest is None:
+        return out
+    whole = rest.select("doc_id", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
+                        *([F.col("text").cast("binary").alias("kept")] if with_text else []))
+    return out.unionByName(whole)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
