@@ -28,7 +28,7 @@ from tableprep.llm import rans, tokens
 
 BLOCK_TOKENS = 1 << 18
 BITS = 20
-MEMO_WORDS = 800_000  # twice the default: nothing else runs in these tasks
+MEMO_WORDS = 2_000_000  # pieces in a worker's table, about 60 bytes each: nothing else runs in these tasks
 
 IDS = "doc_id long, n_tokens long, crc long, twin long, ids binary"
 BLOCKS = "part int, seq long, before long, n_docs long, n_tokens long, payload binary"
@@ -44,7 +44,7 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc, seq = tokens.encoder(tokenizer, MEMO_WORDS), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, at = batch.column(0), 0
-            for group in tokens.text_groups(batch.column(1).to_pylist()):
+            for group in tokens.text_groups(batch.column(1).to_pylist(), 4 << 20):
                 raw = [b + end for b in enc.encode(group)]
                 narrow = [np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raw]
                 yield pa.RecordBatch.from_arrays([

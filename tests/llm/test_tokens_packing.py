@@ -39,6 +39,25 @@ def test_memo_equals_the_library(path, texts):
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_piece_table_forgets_compares_bytes_and_cuts_long_texts(monkeypatch):
+    tok, rng = tokenizer(BYTE), np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeé ,.")) for _ in range(rng.integers(1, 40))).replace(" ", "") or "x" for _ in range(4000)]
+    texts = [" ".join(rng.choice(words, 300)).replace("e", "\n", 2).strip() for _ in range(40)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    enc = tokens.Encoder(BYTE, 500)  # forgets again and again
+    for _ in range(3):
+        for t, ids in zip(texts, want):
+            assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == ids
+    assert enc.table.used <= 500 + 4000
+    monkeypatch.setattr(tokens, "LONG", 50)
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.Encoder(BYTE, 500).encode(texts)] == want
+    # slots that lead to other pieces' entries are passed over
+    enc = tokens.Encoder(BYTE, 300)
+    enc.table.bits, enc.table.slots = 13, np.full(1 << 13, -1, np.int32)
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == want
+    assert (enc.table.slots >= 0).sum() == enc.table.used
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1000, 70_000])
 def test_rans_block_round_trip_and_checkpoints(n):
     rng = np.random.default_rng(n)
