@@ -94,6 +94,14 @@ def keyed_rows(rows: DataFrame, table: DataFrame, keys: list[str]) -> tuple[Data
     return marked.where("met__").drop("met__"), marked.where("met__ IS NULL").drop("met__")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or as many underscores after it as make it unlike every column (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 

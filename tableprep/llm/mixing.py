@@ -98,12 +98,13 @@ def leading_words(text: str, n: str) -> Column:
 
 
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each copy taken, with the columns of ``docs``, range-sorted by position."""
+    """The mix itself: each copy taken, with the columns of ``docs``, range-sorted by position.
+    ``position`` and ``epoch`` follow them, with underscores after where ``docs`` has such columns."""
     copies = mix_plan(docs, with_row=True, **settings).select("row", "h", "size", F.explode("copies").alias("copy")).where("copy.words > 0")
     cut = F.when(F.col("copy.words") < F.col("size"), leading_words("row.text", "copy.words")).otherwise(F.col("row.text"))
     placed = copies.repartitionByRange("copy.position", "h").sortWithinPartitions("copy.position", "h")
     return placed.select(*(cut.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns),
-                         F.col("copy.position").alias("position"), F.col("copy.epoch").alias("epoch"))
+                         F.col("copy.position").alias(C.fresh("position", docs.columns)), F.col("copy.epoch").alias(C.fresh("epoch", docs.columns)))
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from tableprep.llm import _common as C
 from tableprep.llm import tokens
 
 CAPACITY = 2048
-PIECES = "doc_id long, row_hash long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, row_hash long, piece int, start long, length long, ids_crc32 long, twin long"
 
 
 class Sizes:
@@ -172,7 +173,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Tokens of every document, cut into pieces of at most ``capacity``."""
     def run(batches):
-        enc, end = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end, seq = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, hashes, at = batch.column(0).cast(pa.int64()), batch.column(1), 0
             for group in tokens.text_groups(batch.column(2).to_pylist()):
@@ -187,21 +188,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with
                 take = pa.array(row, pa.int64())
                 k = np.array(piece, np.int64)
                 cols = [ids.take(take), hashes.take(take), pa.array(k.astype(np.int32)), pa.array(k * capacity),
-                        pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
+                        pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                        pa.array(seq + np.arange(len(raw)))]
+                seq += len(raw)
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * with_ids,
-                                                 names=["doc_id", "row_hash", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                                                 names=["doc_id", "row_hash", "piece", "start", "length", "ids_crc32", "twin"] + ["ids"] * with_ids)
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 
 
 def rank_in_length(df: DataFrame) -> DataFrame:
     """``rank``: number of the piece among those of its length, from 0.  A length that a
-    third of all pieces share is dealt over hash buckets, whose counts are summed first."""
+    third of all pieces share is dealt over hash buckets, whose counts are summed first;
+    ``twin`` numbers the pieces, so that equal ones are dealt as well."""
     buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("row_hash", "piece"), F.lit(buckets)).cast("int"))
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("row_hash", "piece", "twin"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = df.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("length", "bucket").orderBy("row_hash", "doc_id", "piece")
+    inside = Window.partitionBy("length", "bucket").orderBy("row_hash", "doc_id", "piece", "twin")
     ranked = df.withColumn("inside", F.row_number().over(inside) - 1)
     return ranked.join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("inside")).drop("bucket", "first", "inside")
 
@@ -223,7 +227,7 @@ def pack(table: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     cut = C.materialize(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
-    return pack(cut, capacity).drop("row_hash")
+    return pack(cut, capacity).drop("row_hash", "twin")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

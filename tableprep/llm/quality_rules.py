@@ -24,7 +24,7 @@ LEAST_WORDS, MOST_REPEAT_PERCENT, THRESHOLD = 50, 50, 0.5
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = quality.MAX_ROWS) -> trees.Forest:
-    x, y = quality.training_matrix(docs, quality.training_labels(labels, "quality", max_rows))
+    x, y = quality.training_matrix(docs, quality.training_labels(labels, "quality", max_rows), max_rows)
     return trees.boost(x, y, monotone={doc_stats.FEATURES.index(f): -1 for f in FALLING})
 
 

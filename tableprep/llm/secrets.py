@@ -44,6 +44,7 @@ MASK = "[SECRET]"
 
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{12,}={0,2}")
 _WORD = re.compile(rb"[A-Za-z]+")
+_LETTERS = bytes(b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))  # small letters, anything else a space
 _KEY_ID = re.compile(r"AKIA[A-Z0-9]{16}")
 _NAMES = frozenset(("token", "password", "passwd", "secret", "key", "apikey", "credential", "auth", "bearer"))
 _ASSIGNED = re.compile(rf"(?i)(?<![a-z])({'|'.join(sorted(_NAMES))})[0-9_]*[\"']?\]?[ \t]*(?:=>|:=|=+|:(?!:))[ \t]*".encode())
@@ -104,6 +105,7 @@ class Dictionary:
 
     def __init__(self, counts: dict[str, int]):
         self.words, pairs = set(counts), np.ones((26, 26))
+        self.sizes = sorted({len(w) for w in counts}, reverse=True)
         for word, n in counts.items():
             for x, y in zip(word, word[1:]):
                 pairs[ord(x) - 97, ord(y) - 97] += n
@@ -113,7 +115,7 @@ class Dictionary:
         """Share of the characters inside dictionary words, longest word first from the left."""
         text, i, inside = value.lower(), 0, 0
         while i < len(text):
-            size = next((k for k in (5, 4, 3) if text[i: i + k] in self.words), 0)
+            size = next((k for k in self.sizes if i + k <= len(text) and text[i: i + k] in self.words), 0)
             inside += size
             i += size or 1
         return inside / max(1, len(text))
@@ -162,20 +164,20 @@ def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
 
 
 def dictionary(docs: DataFrame, words: int = WORDS) -> Dictionary:
-    """The most frequent words of 3 to 5 small letters, counted over all documents; each task sums its own first."""
+    """The most frequent runs of 3 letters or more (capitals as small ones), counted over all documents; each task sums its own first."""
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
             data, off = C.utf8_batch(batch.column(0))
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                total.update(data[a:b].tobytes().split())
+                total.update(data[a:b].tobytes().translate(_LETTERS).split())
             if len(total) > 1 << 18:
                 yield short(total)
                 total.clear()
         yield short(total)
 
     def short(total):
-        kept = [(w.decode(), n) for w, n in total.items() if 3 <= len(w) <= 5 and w.isalpha() and w.islower()]
+        kept = [(w.decode(), n) for w, n in total.items() if len(w) >= 3]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -217,10 +219,15 @@ class Judge:
 
 def train(docs: DataFrame, found: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Judge:
     """``found``: findings of ``docs`` (materialised); ``labels``: doc_id, start, label."""
-    chosen = labels.dropDuplicates(["doc_id", "start"]).orderBy(hash_hex(["doc_id", "start"])).limit(max_rows)
-    # the training rows are bounded by max_rows
-    rows = found.join(F.broadcast(chosen), ["doc_id", "start"]).limit(2 * max_rows).collect()
-    return Judge([r.asDict() for r in rows], dictionary(docs))
+    # one label for each place, the greater where they differ
+    chosen = labels.groupBy("doc_id", "start").agg(F.max("label").alias("label")).orderBy(hash_hex(["doc_id", "start"]), "doc_id", "start").limit(max_rows)
+    chosen = chosen.withColumnsRenamed({"doc_id": "of", "start": "at"})
+    # the labels are bounded by max_rows; a NULL id is a value of its own.  Where a place holds
+    # several findings (an id that stands for many texts), equal ones count once and a
+    # distributed top-k keeps max_rows in all
+    rows = found.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("start") == F.col("at"))).drop("of", "at")
+    order = [hash_hex(["doc_id", "start"]), *(F.col(c) for c in rows.columns)]
+    return Judge([r.asDict() for r in rows.distinct().orderBy(*order).limit(max_rows).collect()], dictionary(docs))
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, path_col: str = "source", max_rows: int = MAX_ROWS) -> DataFrame:

@@ -270,12 +270,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The documents without their near-duplicates: of each group the row of the least doc_id (NULL last), then text hash, stays."""
     found = near_duplicates(docs, shingle, distance)
+    d, h, here = (C.fresh(c, docs.columns) for c in ("kept_id", "kept_hash", "text_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
-    kept = found.groupBy("root").agg(first.alias("k")).select("k.d", "k.h").distinct()
-    rows = docs.withColumn("h__", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("h__") == F.col("h")), "left_semi")
+    kept = found.groupBy("root").agg(first.alias("k")).select(F.col("k.d").alias(d), F.col("k.h").alias(h)).distinct()
+    rows = docs.withColumn(here, F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(here) == F.col(h)), "left_semi")
     # rows that repeat one another in id and text are one document
-    return rows.dropDuplicates(["doc_id", "h__"]).drop("h__")
+    return rows.dropDuplicates(["doc_id", here]).drop(here)
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

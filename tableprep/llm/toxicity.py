@@ -7,9 +7,9 @@ slots, plus a bias.  FTRL-proximal keeps per-coordinate rates and an L1 penalty
 weights at exactly zero; only the others are broadcast (at most ``2**BITS``, a few
 thousand in practice).
 
-Training rows: labelled documents that are not held out, at most ``max_rows``, those of
-the least md5 of their id.  Spark hashes their texts; the learner, which is sequential by
-nature, reads that bounded table in one task.  Scoring hashes every document in one pass
+Training rows: at most ``max_rows`` labelled documents that are not held out, those of the
+least md5 of their id, then of the least text hash; equal rows count once.  Spark hashes
+their texts; the learner, which is sequential by nature, reads that bounded table in one task.  Scoring hashes every document in one pass
 without a shuffle.
 
 NULL text counts as empty: its score is the bias alone.  A NULL doc_id is not held out and
@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.functions.hashing import hash_hex
 from tableprep.llm import _common as C
-from tableprep.llm.quality import held_out, training_labels
+from tableprep.llm.quality import held_out, training_labels, training_texts
 
 BITS, MAX_ROWS, EPOCHS, THRESHOLD = 20, 12_000, 4, 0.7
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
@@ -133,8 +132,8 @@ def learn(rows: list[tuple[np.ndarray, float]], epochs: int = EPOCHS) -> tuple[n
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
     def hashed(batches):
         for batch in batches:
-            rows = [s.astype("<u4").tobytes() for s in features(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["turn", "y", "slots"])
+            rows = [s.astype("<u4").tobytes() for s in features(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.binary())], names=["turn", "h", "y", "slots"])
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["turn", "slots", "y"])
@@ -142,9 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
         return pd.DataFrame({"slot": slot, "w": w})
 
     chosen = training_labels(labels, "toxic", max_rows, ~held_out("doc_id", 3, 1))
-    # `chosen` is bounded by max_rows, so it may be broadcast, and one task may learn from it
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(hash_hex(["doc_id"], 7).alias("turn"), "y", "text")
-    table = C.materialize(rows.mapInArrow(hashed, "turn string, y double, slots binary"), "toxic-slots")
+    # hashed first and written, so that the top-k takes short rows: an id's turn, not its text
+    hashed_rows = C.materialize(training_texts(docs, chosen, 7).mapInArrow(hashed, "turn string, h long, y double, slots binary"), "toxic-slots")
+    kept = hashed_rows.select("turn", "h", "y").distinct().orderBy("turn", "h", "y").limit(max_rows)
+    once = hashed_rows.groupBy("turn", "h", "y").agg(F.any_value("slots").alias("slots"))
+    # `kept` is bounded by max_rows, so it may be broadcast, and one task may learn from the rows it leaves
+    table = once.join(F.broadcast(kept), ["turn", "h", "y"], "left_semi").select("turn", "y", "slots")
     got = table.groupBy().applyInPandas(train, "slot long, w double").collect()
     return np.array([r.slot for r in got], np.int64), np.array([r.w for r in got], float)
 
