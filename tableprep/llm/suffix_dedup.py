@@ -194,6 +194,52 @@ def repeated_spans(known: DataFrame, length: int = LENGTH, block: int = BLOCK) -
     return spans
 
 
+def positions(known: DataFrame, width: int) -> DataFrame:
+    """th, n, at and the next ``width`` (at most 8) bytes as one number, for every place of every text that has them."""
+    def run(batches):
+        for batch in batches:
+            for th, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = text.encode()
+                for i in range(0, len(raw) - width + 1, SLICE):
+                    part = raw[i: i + SLICE + width - 1]
+                    m = len(part) - width + 1
+                    eights = np.ndarray((m,), "<u8", part + bytes(8), 0, (1,)) & np.uint64((1 << 8 * width) - 1)
+                    yield pa.RecordBatch.from_arrays([_long(np.full(m, th)), _long(np.full(m, n)), _long(i + np.arange(m)), _long(eights)], names=["th", "n", "at", "rank"])
+
+    once = known.groupBy("th", "n").agg(F.any_value("text").alias("text"))
+    return once.mapInArrow(run, "th long, n long, at long, rank long")
+
+
+def repeated_by_doubling(known: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The spans of ``repeated_spans``, by plain prefix doubling over all byte positions.
+
+    A position's rank at 8 bytes is those bytes.  Each round pairs the rank of a position
+    with the rank ``offset`` further on; Spark sorts the pairs, and a pair that stands at
+    several positions gets a new rank, the least of them.  What is unique drops out, and
+    what begins there has no partner in later rounds.  Offsets double until the pairs cover
+    ``length`` bytes; the last offset is shortened to end there.
+
+    A row per byte and round: for texts of some megabytes in all (the README has the check
+    tool's figures).  Copies of a text are one text here, all of it repeated."""
+    copies = C.materialize(known.groupBy("th", "n").count().where(f"count > 1 AND n >= {length}"), "copied-texts")
+    size = min(8, length)
+    place = F.struct("th", "n", "at")
+
+    def rerank(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        classes = pairs.groupBy(*keys).agg(F.count("*").alias("times"), F.min(place).alias("least")).where("times > 1").select(*keys, F.xxhash64("least.th", "least.n", "least.at").alias("new"))
+        return C.materialize(pairs.join(classes, keys).select("th", "n", "at", F.col("new").alias("rank")), "ranks")
+
+    ranks = rerank(C.materialize(positions(known, size), "positions"), ["rank"])
+    while size < length:
+        offset = min(size, length - size)
+        ahead = ranks.select("th", "n", (F.col("at") - offset).alias("at"), F.col("rank").alias("next"))
+        wider = rerank(C.materialize(ranks.join(ahead, ["th", "n", "at"]), "pairs"), ["rank", "next"])
+        ranks, size = wider, size + offset
+    inside = ranks.select("th", "n", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    whole = copies.select("th", "n", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    return C.materialize(inside.union(whole).groupBy("th", "n").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+
+
 def remove_spans(text: bytes, spans: list) -> tuple[bytes, int]:
     """What is left of a text, and how many stretches went."""
     kept, at, gone, end = [], 0, 0, -1
@@ -207,10 +253,11 @@ def remove_spans(text: bytes, spans: list) -> tuple[bytes, int]:
     return b"".join(kept), gone
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; the bytes kept if asked for."""
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, doubling: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; the bytes kept if
+    asked for.  ``doubling`` finds the repeats by plain prefix doubling."""
     known = known_by(docs)
-    spans = repeated_spans(known, length)
+    spans = (repeated_by_doubling if doubling else repeated_spans)(known, length)
 
     def run(batches):
         for batch in batches:

@@ -69,3 +69,16 @@ def test_odd_rows(odd_docs, no_docs):
 def test_kept_text(spark):
     df = spark.createDataFrame([(1, "xx" + "abcdefgh" * 3 + "yy", None, None, None), (2, "abcdefgh" * 3, None, None, None)], DOCS)
     assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(df, 16, with_text=True).collect()} == {1: b"xxyy", 2: b""}
+
+
+@pytest.mark.parametrize("seed, length", [(0, 40), (1, 16), (2, 5)])
+def test_plain_prefix_doubling_finds_the_same(spark, odd_docs, seed, length):
+    """8, 16, 32 bytes and then the length itself, over every position."""
+    rng = np.random.default_rng(seed)
+    make = lambda n: "".join(rng.choice(list("abcé "), n))
+    passage = make(60)
+    texts = [make(int(rng.integers(0, 120))) + (passage if k % 3 else "") + make(30) for k in range(12)]
+    texts += [texts[0], texts[1] + texts[1][:50], "a" * 90, "", None]
+    df = spark.createDataFrame([(i, x, None, None, None) for i, x in enumerate(texts)], DOCS)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, length, doubling=True).collect())
+    assert got == [(i, *b) for i, b in enumerate(brute(texts, length))]
