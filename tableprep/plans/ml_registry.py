@@ -397,6 +397,23 @@ def q_score_and_export(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", rnd("predicted_l_extendedprice"))
 
 
+@register("numeric_categoricals", """SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, rank AS code FROM part
+JOIN (SELECT p_size AS s, CAST(row_number() OVER (ORDER BY p_size) - 1 AS INTEGER) AS rank FROM (SELECT DISTINCT p_size FROM part)) ON p_size = s""")
+def q_numeric_categoricals(spark, d):
+    """L4: a numeric column marked as categorical gets its codes in the order of its values (2 before 10)."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
+    encoder = features.fit_label_encoder(p, ["p_size"])
+    return encoder.transform(p, suffix="_code").withColumnRenamed("p_size_code", "code")
+
+
+@register("present_mask", f"""SELECT l_orderkey, l_linenumber, l_linenumber % 4 <> 0 AS present FROM lineitem""")
+def q_present_mask(spark, d):
+    """which rows have a value (NULL and NaN are missing)."""
+    nan = F.when(F.col("l_linenumber") % 8 == 0, F.lit(float("nan")))
+    li = table(spark, d, "lineitem").withColumn("v", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity")).otherwise(nan))
+    return li.select("l_orderkey", "l_linenumber", features._present("v", li.schema["v"].dataType).isNotNull().alias("present"))
+
+
 @register("importance_total", "SELECT CAST(1 AS DOUBLE) AS total, CAST(5 AS BIGINT) AS features")
 def q_importance_total(spark, d):
     model, state = models.fit_gbt(table(spark, d, "lineitem"), _LI_FEATS, "l_extendedprice", "regression", categoricals=["l_returnflag"])

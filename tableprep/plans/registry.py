@@ -20,7 +20,7 @@ from ..operators import clean, order, profile, reshape, sampling
 from ..session import scratch_path
 from ..sources import catalog, files
 from . import load
-from .prep import apply_casts
+from .prep import PrepPlan, apply_casts, apply_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -478,6 +478,28 @@ def q_cast_date_by_column(spark, d):
     return apply_casts(texts, [(c, "datetime") for c in ("day_first", "mixed", "month_first")])
 
 
+@register("plan_passthrough", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_plan_passthrough(spark, d):
+    """P4, A1h, C8: unknown options and blank or bad steps leave the table as it is (``on_error='skip'``)."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return apply_plan(n, PrepPlan(index="whatever", filter="   ", group=("n_name", "n_regionkey", "no such function"), pivot=("n_name", "missing", "n_regionkey", "mean"), on_error="skip"))
+
+
+@register("cast_category", """SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size, p_brand FROM part""")
+def q_cast_category(spark, d):
+    """A category column stays text."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    return apply_casts(p, [("p_size", "category"), ("p_brand", "category")])
+
+
+@register("label_column", """SELECT o_orderkey AS label, o_custkey, o_totalprice, 'o_custkey,o_totalprice' AS features FROM orders""")
+def q_label_column(spark, d):
+    """The first column as row label, out of the features, then a plain column again."""
+    marked = load.mark_label(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+    feats = ",".join(load.feature_names(marked))
+    return load.label_to_column(marked, "label").withColumn("features", F.lit(feats))
+
+
 @register("load_row_label", """SELECT o_orderkey, o_custkey, o_totalprice, 'o_orderkey' AS label FROM orders""")
 def q_load_row_label(spark, d):
     """S5 at load: the first column of a written table, sequential in file order, becomes the row label and stays it through filters and joins."""
