@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import assign_folds
 from ..functions.names import quoted
-from .models import FEATURES, assemble, fit_tree_features, gbt_estimator
+from .models import FEATURES, assemble, fit_tree_features, gbt_estimator, training_set
 
 
 def r2_score(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -95,8 +95,13 @@ def _gbt_folds(df: DataFrame, features: Sequence[str], label: str, key_cols: Seq
 
 
 def cv_gbt_scores(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str = "regression", params: Mapping | None = None,
-                  categoricals: Sequence[str] = (), k: int = 5, seed: int = 42) -> DataFrame:
-    """M4 of the boosted model, categorical features and any number of classes included."""
+                  categoricals: Sequence[str] = (), k: int = 5, seed: int = 42, nominal: int | None = None) -> DataFrame:
+    """M4 of the boosted model, categorical features of any width and any number of classes included.
+
+    Categories that are ordered by the target (those of over ``nominal`` values) are ordered
+    anew for every fold, by the rows of the others alone, so no score has seen its labels."""
+    if fit_tree_features(df, features, categoricals, label=label, nominal=nominal).ordered:
+        return _score_row(df, _ordered_fold_scores(df, features, label, key_cols, task, params, categoricals, k, seed, nominal))
     data, bins, classes = _gbt_folds(df, features, label, key_cols, task, categoricals, k, seed)
     try:
         return _score_row(df, _fold_scores(data, gbt_estimator(label, task, params, bins, classes), _evaluator(task, label), k))
@@ -104,6 +109,21 @@ def cv_gbt_scores(df: DataFrame, features: Sequence[str], label: str, key_cols:
         data.unpersist()
 
 
+def _ordered_fold_scores(df, features, label, key_cols, task, params, categoricals, k, seed, nominal) -> list[float]:
+    folded, scores = assign_folds(df, key_cols, k, seed), []
+    classes = None if task == "regression" else int(df.agg(F.max(quoted(label))).first()[0]) + 1
+    for i in range(k):
+        train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
+        state = fit_tree_features(train, features, categoricals, label=label, nominal=nominal)
+        data = training_set(state.transform(train, keep=[label], label=label), state.columns(), label)
+        try:
+            model = gbt_estimator(label, task, params, state.max_bins(), classes).fit(data)
+        finally:
+            data.unpersist()
+        scores.append(_evaluator(task, label).evaluate(model.transform(assemble(state.transform(test, keep=[label]), state.columns()))))
+    return scores
+
+
 # Search ranges of the reference's GBDT tuning form
 # (name, low, high, integer?, log scale?).
 SEARCH_SPACE = (

@@ -152,7 +152,9 @@ class TargetOrder:
     the same per fold of the training rows.  A value's number is its mean, drawn to the overall
     mean as by ``ORDER_WEIGHT`` rows; missing and unseen values get the overall mean.  A
     training row's number leaves the rows of its own fold out, so its label is not in its
-    feature.  Folds are a hash of the row's features and label."""
+    feature.  Folds are a hash of the whole row, so rows that differ in any column (an id, say)
+    fall into different ones.  A category all of whose training rows are in one fold counts
+    as unseen there."""
     table: DataFrame
     mean: float
     rows: int
@@ -174,13 +176,13 @@ class TargetOrder:
         return F.coalesce((s + w * F.lit(self.mean)) / (n + w), F.lit(self.mean))
 
 
-def fit_target_order(df: DataFrame, column: str, label: str, features: Sequence[str]) -> TargetOrder:
+def fit_target_order(df: DataFrame, column: str, label: str) -> TargetOrder:
     """Counts and target sums per value and fold, with partial sums per task; the table is
     checkpointed, so scoring reads fixed data, and no value passes through the driver."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     y = quoted(label).cast("double")
-    rows = df.where(y.isNotNull()).select(_present(column, df.schema[column].dataType).cast("string").alias("value"), y.alias("y"), row_fold(features, label).alias("fold"))
+    rows = df.where(y.isNotNull()).select(_present(column, df.schema[column].dataType).cast("string").alias("value"), y.alias("y"), row_fold(df).alias("fold"))
     by_fold = rows.where("value IS NOT NULL").groupBy("value", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
     per_fold = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s"))))  # at most ORDER_FOLDS entries
     table = by_fold.groupBy("value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), per_fold.alias("folds")).checkpoint(eager=True)
@@ -188,8 +190,9 @@ def fit_target_order(df: DataFrame, column: str, label: str, features: Sequence[
     return TargetOrder(table, float(rows.agg(F.avg("y")).first()[0] or 0.0), int(size["n"]), int(size["b"] or 0))
 
 
-def row_fold(features: Sequence[str], label: str) -> Column:
-    return F.pmod(F.xxhash64(*map(quoted, features), quoted(label)), F.lit(ORDER_FOLDS)).cast("int")
+def row_fold(df: DataFrame) -> Column:
+    hashable = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*hashable), F.lit(ORDER_FOLDS)).cast("int")
 
 
 @dataclass
@@ -211,12 +214,12 @@ class TreeFeatures:
         return list(self.features) + [f"{c}__missing" for c in self.indicators]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), label: str | None = None) -> DataFrame:
-        """``label`` marks ``df`` as the training rows: target orders then leave out each row's own fold."""
+        """``label`` marks ``df`` as the training rows, as they were fitted: target orders then leave out each row's own fold."""
         types = {f.name: f.dataType for f in df.schema.fields}
-        base, private = df, {}
+        base, private = df.withColumn("__fold", row_fold(df)) if label and self.ordered else df, {}
         for i, (c, order) in enumerate(self.ordered.items()):
             base = order._joined(base, _present(c, types[c]).cast("string"), i)
-            private[c] = order.number(i, row_fold(self.features, label) if label else None)
+            private[c] = order.number(i, F.col("__fold") if label else None)
         if self.wide.dictionaries:
             # the codes stand beside the columns under a suffix
             base = self.wide.transform(base, suffix="__code")
@@ -284,7 +287,7 @@ def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequ
     wide = [c for c in encoder.dictionaries if c not in ordered]
     state = TreeFeatures(list(features), {c: v for c, v in encoder.categories.items() if c not in ordered})
     state.wide = LabelEncoderModel({}, None, {c: encoder.dictionaries[c] for c in wide}, {c: encoder.dictionary_rows[c] for c in wide}, {c: encoder.dictionary_bytes[c] for c in wide})
-    state.ordered = {c: fit_target_order(df, c, label, features) for c in ordered}
+    state.ordered = {c: fit_target_order(df, c, label) for c in ordered}
     if nums:
         nulls = df.agg(*[(F.count(F.lit(1)) - F.count(F.when(~F.isnan(quoted(c).cast("double")),
                                                              quoted(c)))).alias(f"n{i}")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tableprep.ml import explain, features, models, sparse, stages
+from tableprep.ml import evaluate, explain, features, models, sparse, stages
 from tableprep.session import scratch_path
 
 
@@ -121,6 +121,15 @@ def test_target_orders_leave_their_own_fold_out(spark):
         models.fit_tree_features(df, ["k"], max_categories=100)
 
 
+def test_cross_validation_of_wide_categories_sees_no_scored_label(spark):
+    noise = spark.range(1500).selectExpr("id", "concat('k', id % 700) AS k", "CAST(xxhash64(id) % 1000 AS double) AS y")
+    params = {"n_estimators": 8, "max_depth": 4, "learning_rate": 0.3}
+    row = evaluate.cv_gbt_scores(noise, ["k"], "y", ["id"], params=params, k=3, nominal=100).first()
+    assert row["cv_mean"] < 0.05 and row["folds"] == 3
+    real = spark.range(2100).selectExpr("id", "concat('k', id % 300) AS k", "CAST((id % 300) * 7 % 300 AS double) AS y")
+    assert evaluate.cv_gbt_scores(real, ["k"], "y", ["id"], params=params, k=3, nominal=100).first()["cv_mean"] > 0.7
+
+
 def test_decimal_and_date_categories_of_boosted_trees(spark, monkeypatch):
     rows = [(decimal.Decimal(i % 5) / 2, datetime.date(2024, 1, 1 + i % 4), float(i % 5)) for i in range(200)]
     df = spark.createDataFrame(rows, "d decimal(10,2), t date, y double")
