@@ -10,7 +10,9 @@ as its k-th verified distance is no larger.  Each block hands on its own k best
 per query, and Spark merges those.
 
 Queries are the stated set of rows (ids divisible by ``every``), in chunks; each chunk
-meets every block by an equi-join on the block number.
+meets every block by an equi-join on the block number.  There are as few chunks as give
+every task work (more only where one would pass ``CHUNK`` codes), tasks get runs of pairs
+in the order of their blocks, and a task indexes a block once for all its chunks.
 
 A row without id or vector is neither query nor answer; a NULL or NaN component counts as
 a 0 bit, shorter vectors are filled up with 0 bits; repeated rows are answers each, ties
@@ -31,7 +33,7 @@ from tableprep.llm import _common as C
 
 K, EVERY = 10, 20
 SEGMENT = 16
-BLOCK_CODES, CHUNK = 1 << 16, 1024
+BLOCK_CODES, CHUNK, LEAST_CHUNK = 1 << 16, 1 << 16, 256
 STEP = 64  # queries probed at once
 
 
@@ -115,24 +117,30 @@ def top_k(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", k:
     packed = classes.groupBy(F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.col("ids")[0].alias("first"), "code"))).alias("rows"))
     asked = coded.where(F.pmod("id", F.lit(every)) == 0)
     questions = asked.select("code").distinct()
-    chunk = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(max(1, -(-questions.count() // CHUNK))))
+    # the work of a pair outweighs its bytes, so the pairs are dealt out by number, not by size
+    tasks, n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), questions.count()
+    n_chunks = max(1, -(-n // CHUNK), min(-(-tasks // blocks), n // LEAST_CHUNK))
+    chunk = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(n_chunks))
     chunks = questions.groupBy(chunk.alias("chunk")).agg(F.sort_array(F.collect_list("code")).alias("queries"))
     # every chunk of the stated query set goes to every block
     sent = chunks.select("chunk", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     met = C.materialize(packed, "code-blocks").join(C.materialize(sent, "code-queries"), "block")
-    # the work of a pair outweighs its bytes, so the pairs are dealt out by number, not by size
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    met = met.repartition(tasks, "block", "chunk").select("rows.first", "rows.code", "queries")
+    dealt = F.floor((F.col("block") * n_chunks + F.col("chunk")) * F.lit(tasks) / F.lit(blocks * n_chunks)).cast("int")
+    met = met.withColumn("task", dealt).repartitionById(tasks, F.col("task")).sortWithinPartitions("block", "chunk").select("block", "rows.first", "rows.code", "queries")
 
     def run(batches):
+        indexed = None
         for batch in batches:
-            for first, codes, queries in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                words = len(codes[0]) // 8
-                table = Index(np.frombuffer(b"".join(codes), "<u8").reshape(-1, words), np.array(first, np.int64))
+            for i in range(batch.num_rows):
+                block, queries = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
+                if block != indexed:
+                    first, codes = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                    words = len(codes[0]) // 8
+                    table, indexed = Index(np.frombuffer(b"".join(codes), "<u8").reshape(-1, words), np.array(first, np.int64)), block
                 asked_codes = np.frombuffer(b"".join(queries), "<u8").reshape(-1, words)
-                for i in range(0, len(queries), STEP):
-                    q, row, dist = table.search(asked_codes[i: i + STEP], k)
-                    yield pa.RecordBatch.from_arrays([pa.array([queries[i + x] for x in q], pa.binary()), pa.array([codes[x] for x in row], pa.binary()), pa.array(dist)],
+                for j in range(0, len(queries), STEP):
+                    q, row, dist = table.search(asked_codes[j: j + STEP], k)
+                    yield pa.RecordBatch.from_arrays([pa.array([queries[j + x] for x in q], pa.binary()), pa.array([codes[x] for x in row], pa.binary()), pa.array(dist)],
                                                      names=["query", "code", "distance"])
 
     near = met.mapInArrow(run, "query binary, code binary, distance long")

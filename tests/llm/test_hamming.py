@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -43,3 +45,30 @@ def test_copies_and_empty(spark):
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     assert sorted(map(tuple, hamming.top_k(df, k=3).select("query_id", "rank", "match_id", "distance").collect())) == brute(rows, 3, 20)
     assert hamming.top_k(df.where("id < 0")).collect() == []
+
+
+def test_a_task_indexes_a_block_once(spark, tmp_path, monkeypatch):
+    """Builds are counted in files, by block and task: one for each block of a task, however many chunks meet it."""
+    folder = str(tmp_path)
+
+    class Counted(hamming.Index):
+        def __init__(self, codes, first_ids):
+            import os
+            import uuid
+
+            from pyspark import TaskContext
+
+            with open(os.path.join(folder, f"{codes[0].tobytes().hex()}-{len(codes)}-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"), "w"):
+                super().__init__(codes, first_ids)
+
+    monkeypatch.setattr(hamming, "Index", Counted)
+    monkeypatch.setattr(hamming, "LEAST_CHUNK", 8)
+    monkeypatch.setattr(hamming, "CHUNK", 16)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=64).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = sorted(map(tuple, hamming.top_k(df, k=3, every=5, block_codes=1000).select("query_id", "rank", "match_id", "distance").collect()))
+    assert got == brute(rows, 3, 5)
+    builds = [name.rsplit("-", 2)[:2] for name in os.listdir(folder)]
+    assert builds and len(builds) == len(set(map(tuple, builds)))  # no block twice in a task
+    assert len({b[0] for b in builds}) == 3 and len(builds) <= 3 + max(8, spark.sparkContext.defaultParallelism)
