@@ -49,6 +49,8 @@ SAMPLES_PER_BUCKET = 32
 # Boundaries go to every task; long texts and binaries in them are cut to a leading part.
 BOUNDARY_BYTES = 64 << 20
 BOUNDARY_CHARS = 1024
+# A sample of at most this many keys is ranked by one window, in one job; larger ones by range.
+WINDOW_SAMPLE = 20_000
 # Per-bucket / per-key carry tables up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 ORDER_SEED = 17
@@ -220,7 +222,12 @@ def range_buckets(df: DataFrame, lead: Sequence[str], n_rows: int | None = None,
     if fraction < 1.0:
         sample = sample.sample(False, fraction, ORDER_SEED)
     m = min(n_rows, want) if fraction >= 1.0 else want
-    picked = _every_kth(_cut(sample, n_buckets), max(1, math.ceil(m / n_buckets)))
+    step, keys = max(1, math.ceil(m / n_buckets)), _cut(sample, n_buckets)
+    if 2 * want <= WINDOW_SAMPLE:  # half as many again are drawn
+        ranked = keys.withColumn("__r", F.row_number().over(Window.orderBy("__t")))
+        picked = ranked.where((F.col("__r") % step) == 0).orderBy("__r").select("__t")
+    else:
+        picked = _every_kth(keys, step)
     struct_type = picked.schema["__t"].dataType
     seen = []
     for r in picked.collect():

@@ -73,8 +73,10 @@ def test_a_column_has_one_order_of_day_and_month(spark):
     assert [r[0] for r in planned] == [r["mixed"] for r in out]
 
 
-def test_boundaries_of_long_text_keys_stay_small(spark):
+@pytest.mark.parametrize("window", [20_000, 0])
+def test_boundaries_of_long_text_keys_stay_small(spark, monkeypatch, window):
     """Keys of a megabyte: numbering stays exact, boundaries are cut, and no task sorts the whole sample."""
+    monkeypatch.setattr(order, "WINDOW_SAMPLE", window)
     df = spark.range(120).select(F.concat(F.lpad(((F.col("id") * 37) % 120).cast("string"), 3, "0"), F.repeat(F.lit("x"), 1 << 20)).alias("k"), "id")
     bk = order.range_buckets(df, ["k"], None, 12)
     bounds = bk.bounds_df.first()["b"]
