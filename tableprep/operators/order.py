@@ -349,18 +349,19 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     b = bk.apply(df)
     key = bk.key
     fwd = direction == "forward"
-    w = Window.partitionBy(*bk.partition_cols, *keys).orderBy(key)
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if fwd else w.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if fwd else F.first
-    local = b.select("*", *[pick(_known(c), ignorenulls=True).over(w).alias(f"__l{i}")
+    # Backward runs the order from its end: a frame that reaches to the last row would be
+    # summed up anew for every row of the bucket.
+    w = Window.partitionBy(*bk.partition_cols, *keys).orderBy(key.asc() if fwd else key.desc())
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = b.select("*", *[F.last(_known(c), ignorenulls=True).over(w).alias(f"__l{i}")
                             for i, c in enumerate(cols)])
 
     # Edge value of every (bucket, key): last (first) non-null along the order.
     edge_agg = F.max_by if fwd else F.min_by
     edges = b.groupBy("__b", *keys).agg(*[
         edge_agg(_known(c), F.when(_known(c).isNotNull(), key)).alias(f"__e{i}") for i, c in enumerate(cols)])
-    wc = Window.partitionBy(*keys).orderBy("__b")
-    wc = wc.rowsBetween(Window.unboundedPreceding, -1) if fwd else wc.rowsBetween(1, Window.unboundedFollowing)
+    wc = Window.partitionBy(*keys).orderBy(F.asc("__b") if fwd else F.desc("__b"))
+    wc = wc.rowsBetween(Window.unboundedPreceding, -1)
     # Buckets are ordered by key, so only the key a bucket shares with its
     # neighbour can carry a value in: one row per bucket (at most
     # MAX_BUCKETS), whatever the number of keys.  When its columns are
@@ -368,7 +369,7 @@ def fill_ordered(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
     # text, AQE picks a broadcast from its runtime size or keeps the shuffle
     # join (skew-join handling on).
     carry = edges.select("__b", *[quoted(c).alias(f"__of{i}") for i, c in enumerate(keys)], F.count(F.lit(1)).over(wc).alias("__before"),
-                         *[pick(F.col(f"__e{i}"), ignorenulls=True).over(wc).alias(f"__k{i}") for i in range(len(cols))])
+                         *[F.last(F.col(f"__e{i}"), ignorenulls=True).over(wc).alias(f"__k{i}") for i in range(len(cols))])
     carry = carry.where("__before > 0").drop("__before")
     bounded = all(_fixed_width(types[c]) for c in [*cols, *keys])
     joined = _join_buckets(local, F.broadcast(carry) if bounded else carry, keys)
