@@ -120,36 +120,43 @@ def _sort_key(v):
     return (0, v) if isinstance(v, (int, float)) else (1, str(v))
 
 
-def _distinct_values(df: DataFrame, columns: Sequence[str], types) -> DataFrame:
+def _distinct_values(df: DataFrame, columns: Sequence[str], types, counted: bool = False) -> DataFrame:
     """Distinct non-null (column index, value) pairs of all ``columns`` from one
     stacked pass with partial aggregation.  ``v`` is the text form (the
     join / map key); ``d`` and ``l`` carry the numeric order for numeric
-    columns (``l`` exact for integral types, ``d`` for the others)."""
+    columns (``l`` exact for integral types, ``d`` for the others).
+    ``counted`` adds the rows of each value as ``n``."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), _present(c, types[c]).cast("string").alias("v"),
                  (_present(c, types[c]).cast("double") if isinstance(types[c], _NUMERIC) else F.lit(None).cast("double")).alias("d"),
                  (_present(c, types[c]).cast("bigint") if isinstance(types[c], _INTEGRAL)
                   else F.lit(None).cast("bigint")).alias("l"))
         for i, c in enumerate(columns)])).alias("s")).select("s.*").where(F.col("v").isNotNull())
-    return stacked.distinct()
+    return stacked.groupBy("i", "v", "d", "l").agg(F.count(F.lit(1)).alias("n")) if counted else stacked.distinct()
 
 
-def _category_lists(distinct: DataFrame, columns: Sequence[str], types, wanted) -> dict[str, list]:
+def _category_rows(distinct: DataFrame, columns: Sequence[str], types, wanted) -> dict[str, list]:
     """Collect the (bounded) distinct values of the columns indexed by ``wanted``
-    as sorted Python lists."""
+    as sorted Python lists of (value, rows); rows are 0 where they were not counted."""
     out: dict[str, list] = {columns[i]: [] for i in wanted}
     if not wanted:
         return out
+    counted = "n" in distinct.columns
     for r in distinct.where(F.col("i").isin(list(wanted))).collect():
         c = columns[r["i"]]
         dt = types[c]
         if isinstance(dt, T.BooleanType):
-            out[c].append(r["v"] == "true")
+            value = r["v"] == "true"
         elif isinstance(dt, _NUMERIC):
-            out[c].append(r["l"] if r["l"] is not None else r["d"])
+            value = r["l"] if r["l"] is not None else r["d"]
         else:
-            out[c].append(r["v"])
-    return {c: sorted(v, key=_sort_key) for c, v in out.items()}
+            value = r["v"]
+        out[c].append((value, r["n"] if counted else 0))
+    return {c: sorted(v, key=lambda x: _sort_key(x[0])) for c, v in out.items()}
+
+
+def _category_lists(distinct: DataFrame, columns: Sequence[str], types, wanted) -> dict[str, list]:
+    return {c: [v for v, _ in rows] for c, rows in _category_rows(distinct, columns, types, wanted).items()}
 
 
 def fit_categories(df: DataFrame, columns: Sequence[str], max_categories: int = 10_000) -> dict[str, list]:
@@ -197,6 +204,7 @@ class LabelEncoderModel:
     dictionaries: dict[str, DataFrame] = field(default_factory=dict)
     dictionary_rows: dict[str, int] = field(default_factory=dict)
     dictionary_bytes: dict[str, int] = field(default_factory=dict)
+    counts: dict[str, list[int]] = field(default_factory=dict)  # of a counted fit: rows of each of ``categories``
 
     def _broadcastable(self, c: str) -> bool:
         rows = self.dictionary_rows.get(c)
@@ -271,23 +279,24 @@ def _fit_dictionaries(distinct: DataFrame, wide: Sequence[int], n_values: int, t
     # integers, d otherwise), with the text only as a final tiebreak
     vals = distinct.where(F.col("i").isin(list(wide))).select(
         "i", "v", F.when(F.col("i").isin(numeric), F.col("l")).alias("l"),
-        F.when(F.col("i").isin(numeric), F.col("d")).alias("d"))
+        F.when(F.col("i").isin(numeric), F.col("d")).alias("d"), *[n for n in distinct.columns if n == "n"])
     ranked = rank_within(vals, ["i"], ["l", "d", "v"], name="__r", n_rows=n_values)
-    table = ranked.select("i", F.col("v").alias("value"), (F.col("__r") - 1).cast("bigint").alias("code"))
+    table = ranked.select("i", F.col("v").alias("value"), (F.col("__r") - 1).cast("bigint").alias("code"), *[n for n in distinct.columns if n == "n"])
     return table.checkpoint(eager=True)
 
 
 def fit_label_encoder(df: DataFrame, columns: Sequence[str], unseen_code: int | None = None,
-                      literal_limit: int | None = None) -> LabelEncoderModel:
+                      literal_limit: int | None = None, counted: bool = False) -> LabelEncoderModel:
     """L3 fit: one distinct job over all columns.  Columns with at most
     ``literal_limit`` values become literal maps; wider ones get an exact
-    dictionary table (no cap on the number of categories)."""
+    dictionary table (no cap on the number of categories).  ``counted`` adds each
+    value's rows: ``counts`` of literal lists, a column ``n`` of dictionaries."""
     limit = LITERAL_CATEGORIES if literal_limit is None else literal_limit
     columns = list(columns)
     if not columns:
         return LabelEncoderModel({}, unseen_code)
     types = _types(df)
-    distinct = _distinct_values(df, columns, types).persist()
+    distinct = _distinct_values(df, columns, types, counted).persist()
     try:
         sized = distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("v")).alias("b"))
         counts, nbytes = {}, {}
@@ -295,17 +304,19 @@ def fit_label_encoder(df: DataFrame, columns: Sequence[str], unseen_code: int |
             counts[r["i"]], nbytes[r["i"]] = r["n"], r["b"] or 0
         small = [i for i in range(len(columns))
                  if counts.get(i, 0) <= limit and nbytes.get(i, 0) <= LITERAL_BYTES]
-        cats = _category_lists(distinct, columns, types, small)
+        found = _category_rows(distinct, columns, types, small)
+        cats = {c: [v for v, _ in rows] for c, rows in found.items()}
         dicts, sizes, byte_sizes = {}, {}, {}
         wide = [i for i in range(len(columns)) if i not in small]
         if wide:
             table = _fit_dictionaries(distinct, wide, sum(counts[i] for i in wide), types, columns)
             for i in wide:
-                dicts[columns[i]] = table.where(F.col("i") == i).select("value", "code")
+                dicts[columns[i]] = table.where(F.col("i") == i).drop("i")
                 sizes[columns[i]] = int(counts[i])
                 byte_sizes[columns[i]] = int(nbytes[i])
         ordered = {c: cats[c] for c in columns if c in cats}
-        return LabelEncoderModel(ordered, unseen_code, dicts, sizes, byte_sizes)
+        return LabelEncoderModel(ordered, unseen_code, dicts, sizes, byte_sizes,
+                                 {c: [n for _, n in rows] for c, rows in found.items()} if counted else {})
     finally:
         distinct.unpersist()
 

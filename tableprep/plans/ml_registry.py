@@ -316,8 +316,7 @@ UNION ALL SELECT 'l_quantity', 0, round(avg(l_quantity), 8), round(stddev_pop(l_
 def q_sparse_dummies(spark, d):
     """Every entry of the sparse layout, one for each order, with its mean and deviation."""
     state = sparse.fit_sparse_features(table(spark, d, "lineitem"), ["l_quantity", "l_orderkey"], ["l_orderkey"])
-    means, stds = state.moments()
-    out = state.with_names(spark, mean=means, deviation=stds)
+    out = state.entries(spark)
     return out.select("feature", "entry", F.round("mean", 8).alias("mean"), F.round("deviation", 8).alias("deviation"))
 
 
