@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import assign_folds
 from ..functions.names import quoted
-from .models import FEATURES, assemble, fit_tree_features, gbt_estimator, training_set
+from .models import FEATURES, UNIT, WEIGHT, assemble, fit_tree_features, gbt_estimator, grouped_rows, row_unit, spread, training_set
 
 
 def r2_score(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -48,14 +48,14 @@ def _default_estimator(task: str, label: str):
     return LogisticRegression(featuresCol=FEATURES, labelCol=label)
 
 
-def _fold_score(data: DataFrame, estimator, evaluator, fold: int) -> float:
-    """Score on one fold of an estimator fitted on the others."""
-    return evaluator.evaluate(estimator.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)))
+def _fold_score(data: DataFrame, estimator, evaluator, fold: int, train: DataFrame | None = None) -> float:
+    """Score on one fold of an estimator fitted on the others (on those of ``train``, if given)."""
+    return evaluator.evaluate(estimator.fit((train or data).where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)))
 
 
-def _fold_scores(data: DataFrame, estimator, evaluator, k: int) -> list[float]:
+def _fold_scores(data: DataFrame, estimator, evaluator, k: int, train: DataFrame | None = None) -> list[float]:
     """Score on each fold; no fit beyond the k needed."""
-    return [_fold_score(data, estimator, evaluator, i) for i in range(k)]
+    return [_fold_score(data, estimator, evaluator, i, train) for i in range(k)]
 
 
 def cv_scores(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str],
@@ -81,15 +81,17 @@ FOLD_PART_BYTES = 32 << 20
 
 
 def _gbt_folds(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], task: str, categoricals: Sequence[str], k: int, seed: int,
-               part_bytes: int = FOLD_PART_BYTES):
-    """Persisted (features, label, fold) rows of a boosted model, in partitions of a measured size, its bin count and class count."""
+               part_bytes: int = FOLD_PART_BYTES, units: bool = False):
+    """Persisted (features, label, fold) rows of a boosted model, in partitions of a measured size, its bin count and class count; ``units`` adds each row's unit."""
     # without the label: an order of categories by the target would have seen the folds that are scored
     state = fit_tree_features(df, features, categoricals)
-    folded = assign_folds(df, key_cols, k, seed)
-    rows = state.transform(folded, keep=[label, "fold"])
+    folded, kept = assign_folds(df, key_cols, k, seed), [label, "fold"]
+    if units:
+        folded, kept = folded.withColumn(UNIT, row_unit(df)), [*kept, UNIT]
+    rows = state.transform(folded, keep=kept)
     found = rows.agg(F.count(F.lit(1)), *([] if task == "regression" else [F.max(quoted(label))])).first()
     parts = max(1, -(-int(found[0]) * 8 * (len(state.columns()) + 4) // part_bytes))
-    data = assemble(rows, state.columns()).select(FEATURES, label, "fold")
+    data = assemble(rows, state.columns()).select(FEATURES, *map(quoted, kept))
     data = (data.coalesce(1) if parts == 1 else data.repartition(parts)).persist()
     return data, state.max_bins(), None if task == "regression" else int(found[1]) + 1
 
@@ -102,11 +104,17 @@ def cv_gbt_scores(df: DataFrame, features: Sequence[str], label: str, key_cols:
     anew for every fold, by the rows of the others alone, so no score has seen its labels."""
     if fit_tree_features(df, features, categoricals, label=label, nominal=nominal).ordered:
         return _score_row(df, _ordered_fold_scores(df, features, label, key_cols, task, params, categoricals, k, seed, nominal))
-    data, bins, classes = _gbt_folds(df, features, label, key_cols, task, categoricals, k, seed)
+    data, bins, classes = _gbt_folds(df, features, label, key_cols, task, categoricals, k, seed, units=True)
+    # fits read rows of equal features and fold as one; the scores are those of the single rows
+    train, estimator = grouped_rows(data, label, task, ["fold"]), gbt_estimator(label, task, params, bins, classes)
+    if train is not None:
+        train, estimator = spread(train).persist(), estimator.setWeightCol(WEIGHT)
     try:
-        return _score_row(df, _fold_scores(data, gbt_estimator(label, task, params, bins, classes), _evaluator(task, label), k))
+        return _score_row(df, _fold_scores(data, estimator, _evaluator(task, label), k, train))
     finally:
         data.unpersist()
+        if train is not None:
+            train.unpersist()
 
 
 def _ordered_fold_scores(df, features, label, key_cols, task, params, categoricals, k, seed, nominal) -> list[float]:

@@ -92,13 +92,14 @@ def multinomial_attribution(df: DataFrame, matrix, intercepts, features: Sequenc
 
 def _gbt_trees(model) -> tuple[list[dict], list[float]]:
     """Read the fitted ensemble as node tables through its saved form (the
-    only public route to per-node training counts)."""
+    only public route to per-node training counts).  A node's count is the weight of its
+    training rows, as rows of equal features may be fitted as one (``grouped_rows``)."""
     spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
     path = scratch_path(spark, "gbt-structure")
     model.write().overwrite().save(path)
     weights = dict(enumerate(float(w) for w in model.treeWeights))
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
+        "treeID", "nodeData.id", "nodeData.prediction", F.col("nodeData.impurityStats")[0].alias("rawCount"), "nodeData.leftChild",
         "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
         "nodeData.split.numCategories").collect()
     trees: dict[int, dict] = {}

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,15 +59,51 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = FEATURES,
     return va.transform(df)
 
 
+# Rows of equal features are fitted as weighted rows where that leaves at most one in GROUP_GAIN.
+# Each such group stays apart in GROUP_UNITS parts, which subsampling draws in place of rows.
+GROUP_UNITS = 8
+GROUP_GAIN = 4
+WEIGHT, UNIT = "__weight", "__unit"
+
+
+def row_unit(df: DataFrame) -> Column:
+    """Part of its group that a row belongs to: a hash of the whole row."""
+    hashable = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(F.lit(UNIT), *hashable), F.lit(GROUP_UNITS)).cast("int")
+
+
+def grouped_rows(data: DataFrame, label: str, task: str, keys: Sequence[str] = ()) -> DataFrame | None:
+    """Assembled (features, label, unit, ``keys``) rows with equal features as one weighted row
+    each, or None where few features repeat (continuous ones, small tables).
+
+    Boosted trees see a row by its features alone, so nothing is lost: squared errors are
+    fitted to the mean label of equal rows with their number as weight, as what its labels
+    spread around the mean adds the same to every split; classes are kept apart by label.
+    Every row counts.  Subsampling draws a group's units, GROUP_UNITS parts of its rows."""
+    x = vector_to_array(FEATURES)
+    by = [quoted(label)] if task != "regression" else [quoted(label).isNull().alias("__none")]
+    size = data.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(x, *by, *map(quoted, keys)))).first()
+    if size[1] * GROUP_UNITS * GROUP_GAIN > size[0]:
+        return None
+    mean = [] if task != "regression" else [F.avg(quoted(label).cast("double")).alias(label)]
+    found = data.groupBy(x.alias("__x"), *by, UNIT, *map(quoted, keys)).agg(*mean, F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    vector = array_to_vector("__x").alias(FEATURES, metadata=data.schema[FEATURES].metadata)
+    return found.select(vector, quoted(label), *map(quoted, keys), WEIGHT)
+
+
 def training_set(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error") -> DataFrame:
     """Assembled (features, label) rows, persisted: iterative learners read
     their input once per iteration.  Memory and disk, so it spills instead
     of failing, and a lost executor's blocks are recomputed from lineage."""
     data = assemble(df, features, handle_invalid=handle_invalid).select(FEATURES, label)
+    return spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(data: DataFrame) -> DataFrame:
     # A few large row groups would leave cores idle for every iteration, and more
     # partitions than cores only add tasks to it: AQE spreads the cached set once,
     # to one partition per core, fewer for small sets, more where those pass its size.
-    return data.hint("rebalance", df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    return data.hint("rebalance", data.sparkSession.sparkContext.defaultParallelism)
 
 
 def fit_ols(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error"):
@@ -300,16 +337,24 @@ def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequ
     return state
 
 
-def gbt_estimator(label: str, task: str, params: Mapping | None, max_bins: int, n_classes: int | None = None):
+# Classes of a one-vs-rest model that are fitted at once; each holds its own binned rows.
+CLASSES_AT_ONCE = 3
+
+
+def gbt_estimator(label: str, task: str, params: Mapping | None, max_bins: int, n_classes: int | None = None, weight: str | None = None):
     """The boosted estimator of a task; more than two classes become one-vs-rest.
 
     With spark.checkpoint.dir set, the boosting state is checkpointed every
     25 trees, so long fits keep a short lineage and survive lost executors."""
-    common = dict(featuresCol=FEATURES, labelCol=label, maxBins=max_bins, checkpointInterval=25, **gbt_params(params))
+    weights = {"weightCol": weight} if weight else {}
+    common = dict(featuresCol=FEATURES, labelCol=label, maxBins=max_bins, checkpointInterval=25, **gbt_params(params), **weights)
     if task == "regression":
         return GBTRegressor(**common)
     clf = GBTClassifier(**common)
-    return clf if (n_classes or 2) <= 2 else OneVsRest(classifier=clf, featuresCol=FEATURES, labelCol=label)
+    if (n_classes or 2) <= 2:
+        return clf
+    # the fits are independent, and small jobs of one leave cores idle for the others
+    return OneVsRest(classifier=clf, featuresCol=FEATURES, labelCol=label, parallelism=min(n_classes, CLASSES_AT_ONCE), **weights)
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "regression",
@@ -318,11 +363,18 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "reg
     """M3: returns (model, TreeFeatures).  ``task`` is 'regression' or
     'classification'; labels must be 0..k-1 for classification."""
     state = fit_tree_features(df, features, categoricals, max_categories, label=label)
-    data = training_set(state.transform(df, keep=[label], label=label), state.columns(), label)
+    data, weight = None, None
+    if not state.ordered:
+        rows = state.transform(df.withColumn(UNIT, row_unit(df)), keep=[label, UNIT])
+        data = grouped_rows(assemble(rows, state.columns()).select(FEATURES, label, UNIT), label, task)
+    if data is not None:
+        weight, data = WEIGHT, spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        data = training_set(state.transform(df, keep=[label], label=label), state.columns(), label)
     try:
         if task != "regression" and n_classes is None:
             n_classes = int(data.agg(F.max(label)).collect()[0][0]) + 1
-        return gbt_estimator(label, task, params, state.max_bins(), n_classes).fit(data), state
+        return gbt_estimator(label, task, params, state.max_bins(), n_classes, weight).fit(data), state
     finally:
         data.unpersist()
 
