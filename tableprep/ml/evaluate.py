@@ -123,7 +123,7 @@ def _ordered_fold_scores(df, features, label, key_cols, task, params, categorica
     for i in range(k):
         train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
         state = fit_tree_features(train, features, categoricals, label=label, nominal=nominal)
-        data = training_set(state.transform(train, keep=[label], label=label), state.columns(), label)
+        data = training_set(state.transform(train, keep=[label], label=label), state.columns(), label, n_rows=train.count())
         try:
             model = gbt_estimator(label, task, params, state.max_bins(), classes).fit(data)
         finally:

@@ -91,19 +91,29 @@ def grouped_rows(data: DataFrame, label: str, task: str, keys: Sequence[str] = (
     return found.select(vector, quoted(label), *map(quoted, keys), WEIGHT)
 
 
-def training_set(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error") -> DataFrame:
+def training_set(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error", n_rows: int | None = None) -> DataFrame:
     """Assembled (features, label) rows, persisted: iterative learners read
     their input once per iteration.  Memory and disk, so it spills instead
     of failing, and a lost executor's blocks are recomputed from lineage."""
     data = assemble(df, features, handle_invalid=handle_invalid).select(FEATURES, label)
-    return spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+    return spread(data, n_rows).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def spread(data: DataFrame) -> DataFrame:
-    # A few large row groups would leave cores idle for every iteration, and more
-    # partitions than cores only add tasks to it: AQE spreads the cached set once,
-    # to one partition per core, fewer for small sets, more where those pass its size.
-    return data.hint("rebalance", data.sparkSession.sparkContext.defaultParallelism)
+# Boosted fits hold about 220 bytes a row in the blocks that a task reads: at most 450 MB.
+ROWS_PER_TASK = 2_000_000
+
+
+def spread(data: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Rows dealt out for an iterative learner.
+
+    A few large row groups would leave cores idle for every iteration, and more
+    partitions than cores only add tasks to it: AQE spreads the cached set once,
+    to one partition per core, fewer for small sets.  Above ``ROWS_PER_TASK`` rows a core
+    (of ``n_rows``, where that is known) every core gets as many partitions as that
+    takes; AQE, which counts compressed bytes, would put them together again."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    rounds = -(-(n_rows or 0) // (cores * ROWS_PER_TASK))
+    return data.repartition(cores * rounds) if rounds > 1 else data.hint("rebalance", cores)
 
 
 def fit_ols(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error"):
@@ -363,14 +373,14 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "reg
     """M3: returns (model, TreeFeatures).  ``task`` is 'regression' or
     'classification'; labels must be 0..k-1 for classification."""
     state = fit_tree_features(df, features, categoricals, max_categories, label=label)
-    data, weight = None, None
+    data, weight, n_rows = None, None, df.count()
     if not state.ordered:
         rows = state.transform(df.withColumn(UNIT, row_unit(df)), keep=[label, UNIT])
         data = grouped_rows(assemble(rows, state.columns()).select(FEATURES, label, UNIT), label, task)
     if data is not None:
-        weight, data = WEIGHT, spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+        weight, data = WEIGHT, spread(data, n_rows // GROUP_GAIN).persist(StorageLevel.MEMORY_AND_DISK)
     else:
-        data = training_set(state.transform(df, keep=[label], label=label), state.columns(), label)
+        data = training_set(state.transform(df, keep=[label], label=label), state.columns(), label, n_rows=n_rows)
     try:
         if task != "regression" and n_classes is None:
             n_classes = int(data.agg(F.max(label)).collect()[0][0]) + 1
