@@ -104,6 +104,27 @@ def test_hot_groups_stay_where_their_rows_are(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_small_groups_are_sorted_in_one_shuffle(spark, monkeypatch):
+    """No sketch of a group that is sorted whole (one of 1,001 steps for every group took most of the time), and no joins of its own."""
+    monkeypatch.setattr(F, "percentile_approx", None)
+    df = spark.range(0, 3000, 1, 4).selectExpr("IF(id < 3, NULL, id % 1000) AS k", "IF(id % 1000 = 7, NULL, id * 1D) AS v")
+    out = exact_quantiles(df, "v", [0.5, 0.9], ["k"], extra_aggs={"total": F.sum})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    want = df.toPandas().groupby("k", dropna=False)["v"]
+    got = {r["k"]: (r["q0"], r["q1"], r["total"]) for r in out.collect()}
+    assert len(got) == 1001 and got[7] == (None, None, None) and got[None] == pytest.approx((1, 1.8, 3))
+    assert {k: q for k, q in got.items() if k not in (7, None)} == {
+        int(k): pytest.approx((g.quantile(0.5), g.quantile(0.9), g.sum())) for k, g in want if k == k and k != 7}
+
+
+def test_groups_of_many_missing_values_are_not_sorted_whole(spark):
+    """A group is big by its rows, so one of many missing values goes the way of big groups."""
+    df = spark.range(0, 900, 1, 4).selectExpr("CAST(id % 3 AS int) AS k", "IF(id % 3 = 0 AND id > 30 OR id % 3 = 1, NULL, id * 1D) AS v")
+    got = {r["k"]: r["q0"] for r in exact_quantiles(df, "v", [0.5], ["k"], max_candidates=100).collect()}
+    assert got == {0: 15.0, 1: None, 2: 450.5}
+
+
 def test_quantiles_and_mode_of_odd_names(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0), (2, "b", 5.0)], "`k.1` int, `x y` string, `v.w` double")
     assert {tuple(r) for r in exact_quantiles(df, "v.w", [0.5], ["k.1", "x y"], names=["m.d"]).collect()} == {(1, "a", 3.0), (2, "b", 5.0)}
