@@ -56,6 +56,20 @@ def test_filter_sort_head(sales):
     assert [r["v"] for r in reshape.head_rows(sales, 2, ["v"]).collect()] == [1.0, 3.0]
 
 
+def test_sorted_partitions_follow_rows_not_packed_bytes(spark, monkeypatch):
+    """Rows that repeat pack to almost nothing and were merged into few tasks; equal rows all met in one."""
+    monkeypatch.setattr(reshape, "SORT_PART_BYTES", 100_000, raising=False)
+    df = spark.range(0, 20_000, 1, 8).selectExpr("id % 4 AS v", "'x' AS `t.1`", "IF(id % 4 = 1, NULL, 1.5D) AS w")
+    for ascending in (True, False):
+        out = reshape.sort_rows(df, "v", ascending)
+        got = out.collect()
+        assert out.columns == df.columns and [r["v"] for r in got] == sorted((i % 4 for i in range(20_000)), reverse=not ascending)
+        assert all((r["w"] is None) == (r["v"] == 1) and r["t.1"] == "x" for r in got)
+        assert max(r[1] for r in out.groupBy(F.spark_partition_id()).agg(F.count("w")).collect()) <= 2_000
+    assert [r["v"] for r in reshape.sort_rows(df, "v", False, first=3).collect()] == [3, 3, 3]
+    assert reshape.sort_rows(df.where("v > 9"), "v").count() == 0
+
+
 def test_projections(spark):
     df = spark.createDataFrame([(1, "F", 2.0)], "id int, s string, q double")
     assert reshape.drop_first_column(df).columns == ["s", "q"]
