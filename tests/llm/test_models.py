@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -166,3 +167,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = quality.keep_good(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.count() <= odd_docs.count()
     assert quality.keep_good(no_docs, model).collect() == []
+
+
+def test_slots_are_hashed_in_bounded_memory():
+    texts = pa.array([None, *["The same few words, said again. " * 30] * 4000, ""])  # 4 MB
+    tracemalloc.start()
+    try:
+        got = toxicity.features(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20
+    assert not len(got[0]) and not len(got[-1]) and {tuple(g) for g in got[1:-1]} == {tuple(brute_slots(texts[1].as_py()))}
+
+
+def test_training_rows_in_their_turn():
+    rows = [("b", [1, 2], 1.0), ("a", [9], 0.0), ("b", [1], 1.0), ("a", [9], 1.0), ("a", [], 0.0)]
+    parts = [pa.table({"turn": [t for t, _, _ in p], "slots": pa.array([np.array(s, "<u4").tobytes() for _, s, _ in p], pa.binary()), "y": [y for _, _, y in p]})
+             for p in (rows[:2], rows[2:])]
+    assert [(s.tolist(), y) for s, y in toxicity.Rows(pa.concat_tables(parts))] == [(s, y) for _, s, y in sorted(rows)]
