@@ -206,11 +206,12 @@ class _Search:
         return out
 
 
-def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float], parallelism: int) -> list[tuple[float | None, float | None, int]]:
+def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float], parallelism: int, give_up: bool = True) -> list[tuple[float | None, float | None, int]]:
     """``score(trial, fold)`` of all folds that the search needs, ``parallelism`` at once, trial by trial.
 
     Each fit runs in a thread of its own under a job tag of its trial; when the trial is
-    proved hopeless, its waiting folds are skipped and its running jobs cancelled."""
+    proved hopeless, its waiting folds are skipped and its running jobs cancelled.  Without
+    ``give_up`` every fold of every trial is scored, however bad its first ones were."""
     found, tag, sc = _Search(n_trials, k), f"search-{uuid.uuid4().hex}", spark.sparkContext
     lock, jobs = threading.Lock(), iter([(t, f) for t in range(n_trials) for f in range(k)])
     given_up: set[int] = set()
@@ -241,7 +242,8 @@ def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float
                     running[trial] -= 1
             with lock:
                 found.scores[trial][fold] = value
-                given_up.update(t for t in range(trial, n_trials) if t not in given_up and found.surely_hopeless(t))
+                if give_up:
+                    given_up.update(t for t in range(trial, n_trials) if t not in given_up and found.surely_hopeless(t))
 
     threads = [InheritableThread(target=work) for _ in range(min(parallelism, n_trials * k))]
     for t in threads:
@@ -254,7 +256,7 @@ def search_folds(spark, n_trials: int, k: int, score: Callable[[int, int], float
                 sc.cancelJobsWithTag(f"{tag}-{trial}")
     if errors:
         raise errors[0]
-    return found.report()
+    return found.report() if give_up else [(float(np.mean(folds)), float(np.std(folds, ddof=1)), k) for folds in found.scores]
 
 
 def random_search(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str],
@@ -264,10 +266,8 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key_cols:
     K-fold CV on the same hash folds; one row per trial, best first.
 
     The fits are independent and run ``parallelism`` at once (default: one per core that the
-    session has) over one persisted fold set, whose partitions follow its size.  A trial
-    whose first folds prove that it cannot become the best is given up: its ``cv_mean`` is
-    NULL and ``folds`` says how many were scored.  Which trials those are depends on the
-    scores alone, not on which fit ends first.
+    session has) over one persisted fold set, whose partitions follow its size.  Every trial
+    is scored on all ``k`` folds; none is given up early.
 
     ``overrides`` pins parameters (e.g. a smaller ``n_estimators`` budget)."""
     spark = df.sparkSession
@@ -281,7 +281,7 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key_cols:
 
     try:
         data.count()
-        found = search_folds(spark, n_trials, k, score, parallelism or spark.sparkContext.defaultParallelism)
+        found = search_folds(spark, n_trials, k, score, parallelism or spark.sparkContext.defaultParallelism, give_up=False)
     finally:
         data.unpersist()
     rows = [(i, int(t["n_estimators"]), float(t["learning_rate"]), int(t["max_depth"]), float(t["subsample"]), float(t["colsample_bytree"]), *found[i])

@@ -211,6 +211,26 @@ def test_registered_search_is_the_whole_one(spark, monkeypatch):
             assert sorted(seen * 5) == sorted(t[name] for t in fitted) and {r["folds"] for r in got} == {5}
 
 
+def test_search_scores_every_fold_of_bad_trials_too(spark, monkeypatch):
+    """A trial that cannot become the best after its first fold keeps all its folds, mean and deviation."""
+    df = spark.createDataFrame([(i, float(i % 17), float(i % 2)) for i in range(60)], "id long, a double, y double")
+    trials, ran = evaluate.draw_trials(4), []
+    monkeypatch.setattr(evaluate, "gbt_estimator", lambda label, task, params, bins, classes: params)
+
+    def score(data, estimator, evaluator, fold):
+        trial = [t["learning_rate"] for t in trials].index(estimator["learning_rate"])
+        ran.append((trial, fold))
+        return 0.9 if trial == 0 else -5.0 - fold
+
+    monkeypatch.setattr(evaluate, "_fold_score", score)
+    for parallelism in (1, 4):
+        ran.clear()
+        got = evaluate.random_search(df, ["a"], "y", ["id"], task="classification", n_trials=4, k=3, parallelism=parallelism).collect()
+        assert sorted(ran) == [(t, f) for t in range(4) for f in range(3)]
+        assert [(r["trial"], r["folds"]) for r in got] == [(0, 3), (1, 3), (2, 3), (3, 3)]
+        assert [(r["cv_mean"], r["cv_std"]) for r in got[1:]] == [(pytest.approx(-6), pytest.approx(1))] * 3
+
+
 def serial_search(scores):
     """One trial after another, given up once perfect scores on the rest could not reach the best mean so far."""
     out, best, k = [], None, len(scores[0])
