@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import assign_folds
 from ..functions.names import quoted
+from .cells import FoldCells, fold_cells
 from .models import FEATURES, UNIT, WEIGHT, assemble, fit_tree_features, gbt_estimator, grouped_rows, row_unit, spread, training_set
 
 
@@ -48,8 +49,10 @@ def _default_estimator(task: str, label: str):
     return LogisticRegression(featuresCol=FEATURES, labelCol=label)
 
 
-def _fold_score(data: DataFrame, estimator, evaluator, fold: int, train: DataFrame | None = None) -> float:
+def _fold_score(data: DataFrame | FoldCells, estimator, evaluator, fold: int, train: DataFrame | None = None) -> float:
     """Score on one fold of an estimator fitted on the others (on those of ``train``, if given)."""
+    if isinstance(data, FoldCells):
+        return data.score(estimator, fold)
     return evaluator.evaluate(estimator.fit((train or data).where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)))
 
 
@@ -267,7 +270,8 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key_cols:
 
     The fits are independent and run ``parallelism`` at once (default: one per core that the
     session has) over one persisted fold set, whose partitions follow its size.  Every trial
-    is scored on all ``k`` folds; none is given up early.
+    is scored on all ``k`` folds; none is given up early.  Two classes of numeric features are
+    counted into cells first, and a fit is then one task (``cells``).
 
     ``overrides`` pins parameters (e.g. a smaller ``n_estimators`` budget)."""
     spark = df.sparkSession
@@ -277,10 +281,11 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key_cols:
 
     def score(trial: int, fold: int) -> float:
         params = {n: v for n, v in trials[trial].items() if n != "num_leaves"}
-        return _fold_score(data, gbt_estimator(label, task, params, bins, classes), evaluator, fold)
+        return _fold_score(cells or data, gbt_estimator(label, task, params, bins, classes), evaluator, fold)
 
     try:
         data.count()
+        cells = fold_cells(data, FEATURES, label, k, bins) if classes and classes <= 2 else None
         found = search_folds(spark, n_trials, k, score, parallelism or spark.sparkContext.defaultParallelism, give_up=False)
     finally:
         data.unpersist()

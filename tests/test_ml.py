@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
 from pyspark.sql import functions as F
 
-from tableprep.ml import evaluate, explain, features, models
+from tableprep.ml import cells, evaluate, explain, features, models
 from tableprep.plans import ml_registry
 from tableprep.plans.ml_registry import q_random_search
 from tableprep.session import scratch_path
@@ -231,6 +231,60 @@ def test_search_scores_every_fold_of_bad_trials_too(spark, monkeypatch):
         assert [(r["cv_mean"], r["cv_std"]) for r in got[1:]] == [(pytest.approx(-6), pytest.approx(1))] * 3
 
 
+def noisy_classes(spark, n=1_500):
+    """Continuous features of more values than bins, and a label that depends on both."""
+    rng = np.random.default_rng(3)
+    a, b, flip = rng.normal(size=n), rng.integers(0, 6, n), rng.uniform(size=n) < 0.15
+    y = ((a * a + b / 3 > 1.6) ^ flip).astype(float)
+    return spark.createDataFrame([(i, float(a[i]), float(b[i]), float(y[i])) for i in range(n)], "id long, a double, b double, y double")
+
+
+def test_fits_of_a_search_over_cells_are_those_of_spark(spark, monkeypatch):
+    """Each fold's score is the one of Spark's own boosted trees, and no fit runs a job per tree level."""
+    df, over = noisy_classes(spark), {"n_estimators": 12, "subsample": 1.0, "colsample_bytree": 1.0}
+    trials = evaluate.draw_trials(3, overrides=over)
+    want = [evaluate.cv_gbt_scores(df, ["a", "b"], "y", ["id"], task="classification", params={n: v for n, v in t.items() if n != "num_leaves"}, k=3).first() for t in trials]
+
+    def fit(self, *args):
+        raise AssertionError("a fit of Spark ML")
+
+    monkeypatch.setattr("pyspark.ml.classification.GBTClassifier.fit", fit)
+    got = evaluate.random_search(df, ["a", "b"], "y", ["id"], task="classification", n_trials=3, k=3, overrides=over).collect()
+    for r in got:
+        assert (r["cv_mean"], r["cv_std"]) == (pytest.approx(want[r["trial"]]["cv_mean"], abs=2e-3), pytest.approx(want[r["trial"]]["cv_std"], abs=2e-3))
+
+
+def test_cells_count_every_row_once_and_repeats_alike(spark):
+    """The cells of a fold hold each row as a training or a scored one; three copies of the rows are three times the counts."""
+    df = noisy_classes(spark, 400).withColumn("fold", F.col("id") % 3)
+    x = models.assemble(df, ["a", "b"])
+    once, thrice = (cells.fold_cells(d, "features", "y", 3, 32) for d in (x, x.union(x).union(x).repartition(7)))
+    for i, ((binned, sizes, counts), (binned3, sizes3, counts3)) in enumerate(zip(once.folds, thrice.folds)):
+        assert sizes == sizes3 and sizes[0] == 32 and (binned == binned3).all() and all((3 * c == c3).all() for c, c3 in zip(counts, counts3))
+        held = df.groupBy((F.col("fold") == i).alias("t"), "y").count().collect()
+        assert {(r["t"], r["y"]): r["count"] for r in held} == {(t, y): int(c.sum()) for (t, y), c in zip([(False, 1.0), (False, 0.0), (True, 1.0), (True, 0.0)], counts)}
+
+
+def test_rows_that_are_no_cells_are_left_to_spark(spark, monkeypatch):
+    df = noisy_classes(spark, 60).withColumn("fold", F.col("id") % 2)
+    x = models.assemble(df, ["a", "b"])
+    assert cells.fold_cells(x, "features", "y", 2, 32) is not None
+    assert cells.fold_cells(x.withColumn("y", F.expr("IF(id = 7, NULL, y)")), "features", "y", 2, 32) is None
+    assert cells.fold_cells(x.withColumn("y", F.col("y") + 1), "features", "y", 2, 32) is None
+    codes = models.fit_tree_features(df, ["a", "b"], ["b"]).transform(df, keep=["y", "fold"])
+    assert cells.fold_cells(models.assemble(codes, ["a", "b"]), "features", "y", 2, 32) is None
+    monkeypatch.setattr(cells, "MAX_VALUES", 50)
+    assert cells.fold_cells(x, "features", "y", 2, 32) is None
+
+
+def test_subsampled_cells_find_the_classes(spark):
+    binned, positive = np.arange(20)[:, None], np.array([0, 90] * 10)
+    p = {"trees": 60, "step": 0.3, "depth": 5, "rate": 0.6, "seed": 1, "features": 0.7, "min_rows": 1, "min_gain": 0.0}
+    margin = cells.boosted_margins(binned, [20], positive, positive[::-1], p)
+    assert ((margin > 0) == (positive > 0)).all()
+    assert (cells.boosted_margins(binned, [20], positive, positive[::-1], p) == margin).all()
+
+
 def serial_search(scores):
     """One trial after another, given up once perfect scores on the rest could not reach the best mean so far."""
     out, best, k = [], None, len(scores[0])
