@@ -99,6 +99,10 @@ def training_set(df: DataFrame, features: Sequence[str], label: str, handle_inva
     return spread(data, n_rows).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+# Rows of so many bins are fitted by their bins from here on, where that groups them: below, continuous features stay as they are.
+BIN_ROWS = 200_000
+GROUPS_PER_TASK = 50_000
+
 # Boosted fits hold about 220 bytes a row in the blocks that a task reads: at most 450 MB.
 ROWS_PER_TASK = 2_000_000
 
@@ -230,18 +234,56 @@ def fit_target_order(df: DataFrame, column: str, label: str) -> TargetOrder:
     ensure_checkpoint_dir(df.sparkSession)
     y = quoted(label).cast("double")
     rows = df.where(y.isNotNull()).select(_present(column, df.schema[column].dataType).cast("string").alias("value"), y.alias("y"), row_fold(df).alias("fold"))
-    by_fold = rows.where("value IS NOT NULL").groupBy("value", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-    per_fold = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s"))))  # at most ORDER_FOLDS entries
-    table = by_fold.groupBy("value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), per_fold.alias("folds")).checkpoint(eager=True)
+    # one shuffle: a value's folds are columns of fixed width until they become its map
+    of_fold = [x for i in range(ORDER_FOLDS) for x in (F.count(F.when(F.col("fold") == i, 1)).alias(f"n{i}"), F.sum(F.when(F.col("fold") == i, F.col("y"))).alias(f"s{i}"))]
+    by_value = rows.where("value IS NOT NULL").groupBy("value").agg(*of_fold)
+    entries = F.array(*[F.struct(F.lit(i).alias("fold"), F.struct(F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s")).alias("of")) for i in range(ORDER_FOLDS)])
+    n, s = sum(F.col(f"n{i}") for i in range(ORDER_FOLDS)), sum(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(ORDER_FOLDS))
+    table = by_value.select("value", n.alias("n"), s.alias("s"), F.map_from_entries(F.filter(entries, lambda e: e["of"]["n"] > 0)).alias("folds")).checkpoint(eager=True)
     size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 32 * ORDER_FOLDS).alias("b")).first()
     return TargetOrder(table, float(rows.agg(F.avg("y")).first()[0] or 0.0), int(size["n"]), int(size["b"] or 0))
 
 
 def row_fold(df: DataFrame) -> Column:
-    hashable = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    # without the unit, which stands beside the columns that an order was fitted on
+    hashable = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.name != UNIT]
     return F.pmod(F.xxhash64(*hashable), F.lit(ORDER_FOLDS)).cast("int")
 
 
+def bin_of(v: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted cuts are below ``v``, by bisection."""
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(float(lo))
+        mid = (lo + hi) // 2
+        return F.when(v <= F.lit(float(cuts[mid])), among(lo, mid)).otherwise(among(mid + 1, hi))
+    return among(0, len(cuts))
+
+
+# Rank error of a cut, as one in so many of all rows.
+CUT_ACCURACY = 2_000
+
+
+def fit_cuts(rows: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Where Spark's trees may split numeric columns: between all values, where those are at most
+    ``bins``, else at ``bins`` equal shares of the rows (all of them; Spark ML looks at 10,000)."""
+    if not columns:
+        return {}
+    shares = [i / bins for i in range(1, bins)]
+    seen = rows.agg(*[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)], *[F.max(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+                    *[F.percentile_approx(quoted(c), shares, CUT_ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    few = [i for i, _ in enumerate(columns) if seen[f"n{i}"] <= 2 * bins]
+    values = rows.agg(*[F.sort_array(F.collect_set(quoted(columns[i]))).alias(f"v{i}") for i in few]).first() if few else {}
+    cuts = {}
+    for i, c in enumerate(columns):
+        if i in few and len(values[f"v{i}"]) <= bins:
+            v = values[f"v{i}"]
+            cuts[c] = [(a + b) / 2 for a, b in zip(v, v[1:])]
+        else:
+            cuts[c] = sorted({q for q in seen[f"q{i}"] or [] if q < seen[f"m{i}"]})
+    return cuts
+
+
 @dataclass
 class TreeFeatures:
     """D18 state: Spark trees do not take NULLs, so numeric features are
@@ -256,6 +298,7 @@ class TreeFeatures:
     indicators: list[str] = field(default_factory=list)
     wide: LabelEncoderModel = field(default_factory=lambda: LabelEncoderModel())
     ordered: dict[str, TargetOrder] = field(default_factory=dict)
+    cuts: dict[str, list[float]] = field(default_factory=dict)  # numbers that travel as their bin: how many cuts are below
 
     def columns(self) -> list[str]:
         return list(self.features) + [f"{c}__missing" for c in self.indicators]
@@ -293,13 +336,14 @@ class TreeFeatures:
             exprs.append(quoted(c).isNull().cast("double").alias(f"{c}__missing"))
         # a kept column that is also a feature appears once, as the feature
         passthrough = [k for k in keep if k not in self.columns()]
-        return base.select(*map(quoted, passthrough), *exprs)
+        out = base.select(*map(quoted, passthrough), *exprs)
+        return out.withColumns({c: bin_of(quoted(c), cuts) for c, cuts in self.cuts.items()}) if self.cuts else out
 
     def save(self, path: str, spark) -> None:
         """One JSON line and the dictionary tables, so that a saved model can be scored elsewhere with the training categories and medians."""
         ordered = {c: {"at": f"order{i}", "mean": o.mean, "rows": o.rows, "nbytes": o.nbytes} for i, (c, o) in enumerate(self.ordered.items())}
         text = json.dumps({"features": self.features, "categories": self.categories, "medians": self.medians, "indicators": self.indicators,
-                           "wide": bool(self.wide.dictionaries), "ordered": ordered}, default=str)
+                           "wide": bool(self.wide.dictionaries), "ordered": ordered, "cuts": self.cuts}, default=str)
         spark.createDataFrame([(text,)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
         if self.wide.dictionaries:
             self.wide.save(f"{path}/wide")
@@ -324,10 +368,13 @@ def fit_tree_features(df: DataFrame, features: Sequence[str], categoricals: Sequ
     types = {f.name: f.dataType for f in df.schema.fields}
     cats = [c for c in features if c in categoricals or isinstance(types[c], (T.StringType, T.BooleanType))]
     nums = [c for c in features if c not in cats]
-    encoder = fit_label_encoder(df, cats)
     limit = NOMINAL_CATEGORIES if nominal is None else nominal
+    # no dictionary is made for a column that is far over the limit: an order has no use for one
+    far = df.agg(*[F.approx_count_distinct(_present(c, types[c]).cast("string")).alias(f"n{i}") for i, c in enumerate(cats)]).first() if label is not None and cats else []
+    over = [c for c, n in zip(cats, far) if n > 2 * limit + 100]
+    encoder = fit_label_encoder(df, [c for c in cats if c not in over])
     size = {c: encoder.dictionary_rows.get(c, len(encoder.categories.get(c, []))) for c in cats}
-    ordered = [c for c in cats if label is not None and size[c] > limit]
+    ordered = [c for c in cats if c in over or label is not None and size[c] > limit]
     too_many = [c for c in cats if c not in ordered and size[c] > max_categories]
     if too_many:
         raise ValueError(f"more than {max_categories} categories in {too_many}: give the label to order them by")
@@ -377,14 +424,31 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, task: str = "reg
     if not state.ordered:
         rows = state.transform(df.withColumn(UNIT, row_unit(df)), keep=[label, UNIT])
         data = grouped_rows(assemble(rows, state.columns()).select(FEATURES, label, UNIT), label, task)
-    if data is not None:
-        weight, data = WEIGHT, spread(data, n_rows // GROUP_GAIN).persist(StorageLevel.MEMORY_AND_DISK)
+    numbers = [c for c in state.features if c not in state.categories and c not in state.wide.dictionaries]
+    if data is None and n_rows > BIN_ROWS and numbers:
+        rows = state.transform(df.withColumn(UNIT, row_unit(df)), keep=[label, UNIT], label=label)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            cuts = fit_cuts(rows, numbers, state.max_bins())
+            binned = rows.withColumns({c: bin_of(quoted(c), x) for c, x in cuts.items()})
+            data = grouped_rows(assemble(binned, state.columns()).select(FEATURES, label, UNIT), label, task)
+            if data is not None:
+                weight, state.cuts, data = WEIGHT, cuts, data.persist(StorageLevel.MEMORY_AND_DISK)
+                groups = data.count()  # while the rows are there
+        finally:
+            rows.unpersist()
+    if weight:
+        # a tree level is a job over them: few rows a task would only add tasks to each
+        fitted = data.coalesce(max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-groups // GROUPS_PER_TASK))))
+    elif data is not None:
+        weight, fitted = WEIGHT, spread(data, n_rows // GROUP_GAIN).persist(StorageLevel.MEMORY_AND_DISK)
+        data = fitted
     else:
-        data = training_set(state.transform(df, keep=[label], label=label), state.columns(), label, n_rows=n_rows)
+        fitted = data = training_set(state.transform(df, keep=[label], label=label), state.columns(), label, n_rows=n_rows)
     try:
         if task != "regression" and n_classes is None:
             n_classes = int(data.agg(F.max(label)).collect()[0][0]) + 1
-        return gbt_estimator(label, task, params, state.max_bins(), n_classes, weight).fit(data), state
+        return gbt_estimator(label, task, params, state.max_bins(), n_classes, weight).fit(fitted), state
     finally:
         data.unpersist()
 

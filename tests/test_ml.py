@@ -449,3 +449,67 @@ def test_category_limits_are_parameters(spark):
         features.fit_one_hot(df, ["c"])
     assert len(features.fit_one_hot(df, ["c"], max_categories=20_000).categories["c"]) == 10_050
     assert models.fit_tree_features(df, ["c"], max_categories=20_000).max_bins() == 10_051
+
+
+def many_rows(spark):
+    """5,000 rows of a continuous number, few numbers and a category; the target depends on all."""
+    rng = np.random.default_rng(8)
+    a, b, c = rng.normal(size=5_000), rng.integers(0, 3, 5_000), rng.integers(0, 2, 5_000)
+    return spark.createDataFrame([(i, float(a[i]), float(b[i]), f"c{c[i]}", float(np.sin(2 * a[i]) + b[i] * c[i])) for i in range(5_000)], "id long, a double, b double, c string, y double")
+
+
+def test_large_tables_are_fitted_by_their_bins(spark, monkeypatch):
+    """Rows of equal bins are one weighted row; every row counts and is scored as close as by the rows themselves."""
+    df, sizes = many_rows(spark), []
+    p = {"n_estimators": 15, "max_depth": 5, "subsample": 1.0, "colsample_bytree": 1.0}
+
+    def error():
+        model, state = models.fit_gbt(df, ["a", "b", "c"], "y", params=p)
+        out = models.predict(model, df, ["a", "b", "c"], "y", keep=["id", "y"], tree_state=state)
+        return out.agg(F.avg(F.pow(F.col("y") - F.col("predicted_y"), 2)), F.count("*")).first(), state
+
+    (alone, n), state = error()
+    assert n == 5_000 and not state.cuts
+    monkeypatch.setattr(models, "BIN_ROWS", 1_000)
+    monkeypatch.setattr(models, "GROUP_UNITS", 2)
+    real = models.grouped_rows
+
+    def grouped(data, label, task, keys=()):
+        out = real(data, label, task, keys)
+        if out is not None:
+            sizes.append(out.agg(F.count("*"), F.sum(models.WEIGHT)).first())
+        return out
+
+    monkeypatch.setattr(models, "grouped_rows", grouped)
+    (binned, n), state = error()
+    assert n == 5_000 and len(sizes) == 1 and sizes[0][0] <= 32 * 3 * 2 * 2 and sizes[0][1] == 5_000
+    assert len(state.cuts["a"]) == 31 and state.cuts["b"] == [0.5, 1.5] and "c" not in state.cuts
+    assert binned == pytest.approx(alone, abs=0.01)
+
+
+def test_bins_hold_equal_shares_and_survive_saving(spark, tmp_path):
+    df = many_rows(spark)
+    cuts = models.fit_cuts(df, ["a", "b"], 8)
+    state = models.TreeFeatures(["a", "b"], cuts=cuts)
+    got = {r["a"]: r["count"] for r in state.transform(df).groupBy("a").count().collect()}
+    assert sorted(got) == [float(i) for i in range(8)] and all(abs(n - 625) <= 10 for n in got.values())
+    edges = spark.createDataFrame([(c,) for c in [-math.inf, *cuts["a"], math.inf]], "a double")
+    assert [r[0] for r in edges.select(models.bin_of(F.col("a"), cuts["a"])).collect()] == [0.0, *map(float, range(7)), 7.0]
+    state.save(str(tmp_path / "s"), spark)
+    again = models.TreeFeatures.load(spark, str(tmp_path / "s"))
+    assert rows(again.transform(df)) == rows(state.transform(df))
+
+
+def test_wide_ordered_categories_need_no_dictionary(spark, monkeypatch):
+    """A category far over the limit is ordered without a dictionary; its training numbers leave out the row's own fold, whether a unit stands beside it or not."""
+    df = spark.createDataFrame([(i, f"k{i % 900}", float(i % 900 + i % 7)) for i in range(3_600)], "id long, k string, y double")
+    want = models.fit_target_order(df, "k", "y")
+    encoded, real = [], models.fit_label_encoder
+    monkeypatch.setattr(models, "fit_label_encoder", lambda d, columns: encoded.extend(columns) or real(d, columns))
+    state = models.fit_tree_features(df, ["k"], label="y", nominal=200)
+    assert encoded == [] and list(state.ordered) == ["k"] and rows(state.ordered["k"].table, "value", "n", "s") == rows(want.table, "value", "n", "s")
+    plain = rows(state.transform(df, keep=["id"], label="y"))
+    assert rows(state.transform(df.withColumn(models.UNIT, models.row_unit(df)), keep=["id"], label="y")) == plain
+    folds = {(r["value"], f): (v["n"], v["s"]) for r in state.ordered["k"].table.collect() for f, v in r["folds"].items()}
+    by_hand = df.groupBy("k", models.row_fold(df).alias("f")).agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()
+    assert folds == {(r["k"], r["f"]): (r["n"], r["s"]) for r in by_hand}
