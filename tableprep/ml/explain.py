@@ -28,6 +28,11 @@ from .tree_paths import attributor, flat_bytes, flatten
 # installed: ship this module's functions with the task by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows of equal features are explained once, where at most one in SAME_GAIN rows is distinct and
+# the contributions of these fit a broadcast (values: rows x classes x columns).
+SAME_GAIN = 4
+SAME_VALUES = 2_000_000
+
 # An ensemble's arrays go to every executor: at most this many bytes (28 a node, so 38 million nodes).
 MAX_TREE_BYTES = 1 << 30
 
@@ -119,7 +124,8 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
     that class's one-vs-rest margin.  All classes run in one pass.
 
     ``df`` must hold the prepared numeric feature columns (e.g. the output of
-    ``TreeFeatures.transform``)."""
+    ``TreeFeatures.transform``).  Where few of its rows are distinct in them (binned numbers,
+    categories), these are explained and joined to all rows."""
     if hasattr(model, "treeWeights"):
         ensembles, multiclass = [model], False
     elif hasattr(model, "models") and all(hasattr(m, "treeWeights") for m in model.models):
@@ -134,6 +140,31 @@ def tree_attribution(df: DataFrame, model, feature_cols: Sequence[str], keep: Se
     shared = spark.sparkContext.broadcast({"flats": flats})
     feats = list(feature_cols)
     keep = list(keep)
+    same = [quoted(f).cast("double").alias(f"__same{i}") for i, f in enumerate(feats)]
+    size = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*same))).first() if feats else (0, 0)
+    if feats and size[1] * SAME_GAIN <= size[0] and size[1] * len(ensembles) * (2 * len(feats) + 2) <= SAME_VALUES:
+        return _explained_once(df, shared, feats, keep, same, multiclass)
+    return _explained(df, shared, feats, keep, multiclass)
+
+
+def _explained_once(df: DataFrame, shared, feats: list[str], keep: list[str], same: list, multiclass: bool) -> DataFrame:
+    """Contributions of the distinct feature rows, joined back to all rows."""
+    keys = [f"__same{i}" for i in range(len(feats))]
+    distinct = df.select(*same).distinct()
+    found = _explained(distinct, shared, keys, keys, multiclass)
+    contributions = [F.col(f"{k}_contrib").alias(f"__c{i}") for i, k in enumerate(keys)]
+    table = found.select(*[F.col(k).alias(f"__at{i}") for i, k in enumerate(keys)], *([F.col("class").alias("__class")] if multiclass else []), *contributions, F.col("base_value").alias("__base"))
+    rows = df.select(*[quoted(c).alias(f"__keep{i}") for i, c in enumerate(keep)], *same)
+    # NULLs, NaN and both zeros meet their like
+    on = [F.col(f"__same{i}").eqNullSafe(F.col(f"__at{i}")) for i in range(len(feats))]
+    out = rows.join(F.broadcast(table), on)
+    return out.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], *([F.col("__class").alias("class")] if multiclass else []),
+                      *[F.col(f"__c{i}").alias(f"{f}_contrib") for i, f in enumerate(feats)], F.col("__base").alias("base_value"))
+
+
+def _explained(df: DataFrame, shared, feats: list[str], keep: list[str], multiclass: bool) -> DataFrame:
+    """Contributions of every row by itself."""
+    spark = df.sparkSession
     names = [f"{f}_contrib" for f in feats]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*map(quoted, keep)).schema.fields]
                        + (["`class` int"] if multiclass else [])

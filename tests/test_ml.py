@@ -513,3 +513,14 @@ def test_wide_ordered_categories_need_no_dictionary(spark, monkeypatch):
     folds = {(r["value"], f): (v["n"], v["s"]) for r in state.ordered["k"].table.collect() for f, v in r["folds"].items()}
     by_hand = df.groupBy("k", models.row_fold(df).alias("f")).agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()
     assert folds == {(r["k"], r["f"]): (r["n"], r["s"]) for r in by_hand}
+
+
+def test_attribution_of_repeated_rows_is_made_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 3), i % 3) for i in range(300)], "id long, a double, b double, y int")
+    model, state = models.fit_gbt(df, ["a", "b"], "y", "classification", {"n_estimators": 4, "max_depth": 3})
+    x, explained, real = state.transform(df, keep=["id"]), [], explain._explained
+    monkeypatch.setattr(explain, "_explained", lambda d, *more: explained.append(d.count()) or real(d, *more))
+    once = rows(explain.tree_attribution(x, model, ["a", "b"], keep=["id", "a"]))
+    monkeypatch.setattr(explain, "SAME_GAIN", 10 ** 9)
+    alone = rows(explain.tree_attribution(x, model, ["a", "b"], keep=["id", "a"]))
+    assert explained == [15, 300] and len(once) == 900 and np.allclose(once, alone)
